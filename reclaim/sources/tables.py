@@ -53,8 +53,39 @@ def inventory_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def load_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inventory_from_events(read_table(spark, sf_dir, "events"))
+def load_inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The inventory as a stored table, the way a fleet inventory arrives.
+
+    With ``materialize`` the derived rows are written once per session to the
+    shared checkpoint folder (``spark.checkpoint.dir``), range-partitioned by
+    ``(host, path)`` and laid out by host, then read back: ``path`` is then a
+    real column, so rule filters reach the Parquet scan instead of rebuilding
+    the path from ``events`` once per predicate."""
+    if not materialize:
+        return inventory_from_events(read_table(spark, sf_dir, "events"))
+    return spark.read.parquet(materialized_inventory_path(spark, sf_dir)).select(*INVENTORY_COLUMNS)
+
+
+_MATERIALIZED: dict = {}
+
+
+def materialized_inventory_path(spark: SparkSession, sf_dir: str) -> str:
+    import os
+    import uuid
+
+    from reclaim.session import checkpoint_dir
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    st = os.stat(src) if os.path.exists(src) else None
+    key = (spark.sparkContext.applicationId, src, st.st_mtime_ns if st else None, st.st_size if st else None)
+    if key not in _MATERIALIZED:
+        base = checkpoint_dir(spark, fallback="/tmp/reclaim-checkpoints")
+        out = f"{base.rstrip('/')}/reclaim-inventory-{uuid.uuid4().hex}"
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        (inventory_from_events(read_table(spark, sf_dir, "events"))
+         .repartitionByRange(n, "host", "path")
+         .write.mode("overwrite").partitionBy("host").parquet(out))
+        _MATERIALIZED[key] = out
+    return _MATERIALIZED[key]
 
 
 def ancestors(path="path", first: int = 2) -> F.Column:
