@@ -9,14 +9,15 @@ then only the candidate rows that have a matching ancestor name are shuffled.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from typing import Callable, Iterable, Optional
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reclaim.functions.paths import (_c, at_or_below, base_name, below, glob_match, parent_dir,
-                                    path_parts, root_len)
+from reclaim.functions.paths import (_c, at_or_below, base_name, below, glob_match, glob_to_regex,
+                                    parent_dir, path_parts, root_len)
 from reclaim.functions.predicates import any_of
 
 
@@ -29,14 +30,19 @@ def scan_roots(df: DataFrame, roots: Iterable[str], path: str = "path") -> DataF
 class DirTest:
     """A test on a directory, given its path and its name.
 
-    ``names`` (a name-only test) lets the common case run as an array overlap
-    on the path parts, with no per-ancestor string building."""
+    ``names`` (a name-only test) runs as an array overlap on the path parts;
+    ``regex`` (a whole-path pattern, unanchored body) runs as one regex on the
+    row's own path.  Both stay in generated code, with no per-ancestor string
+    building; ``fn`` is the general form, evaluated per ancestor."""
     names: Optional[tuple] = None
+    regex: Optional[str] = None
     fn: Optional[Callable[[Column, Column], Column]] = None
 
     def __call__(self, dpath: Column, dname: Column) -> Column:
         if self.names is not None:
             return dname.isin(list(self.names))
+        if self.regex is not None:
+            return dpath.rlike("^(?:" + self.regex + ")$")
         return self.fn(dpath, dname)
 
 
@@ -46,7 +52,8 @@ def named(*names: str) -> DirTest:
 
 def dir_path_glob(*globs: str) -> DirTest:
     """``find -type d -path G`` (``*`` crosses ``/``), any of several globs."""
-    return DirTest(fn=lambda d, n: any_of(glob_match(g, d) for g in globs))
+    body = "|".join(glob_to_regex(g)[1:-1] for g in globs)
+    return DirTest(regex=body)
 
 
 def dir_name_glob(*globs: str) -> DirTest:
@@ -54,7 +61,19 @@ def dir_name_glob(*globs: str) -> DirTest:
 
 
 def dir_path_regex(regex: str) -> DirTest:
-    return DirTest(fn=lambda d, n: d.rlike(regex))
+    """Directory path matches ``regex`` (anchors at the ends are implied)."""
+    body = regex[1:] if regex.startswith("^") else regex
+    body = body[:-1] if body.endswith("$") and not body.endswith("\\$") else body
+    return DirTest(regex=body)
+
+
+def _regex_exact_below(root: str, body: str) -> bool:
+    """The one-regex form is exact when no proper ancestor of ``root`` can
+    match the directory pattern (then every match is at or below the root)."""
+    parts = root.rstrip("/").split("/")
+    prefixes = ["/".join(parts[:i]) for i in range(1, len(parts))]
+    rx = re.compile("(?:" + body + ")")
+    return not any(rx.fullmatch(p) for p in prefixes)
 
 
 def under_dir(root: str, test: DirTest, contents_only: bool = True, skip_hidden: bool = False,
@@ -78,6 +97,13 @@ def under_dir(root: str, test: DirTest, contents_only: bool = True, skip_hidden:
         if not contents_only:
             hit = hit | ((_c(kind) == "d") & base_name(path).isin(list(test.names)))
         return scope & F.coalesce(hit, F.lit(False))
+    if test.regex is not None and _regex_exact_below(root, test.regex):
+        body = "(?:" + test.regex + ")"
+        below_rx = body + ("/[^./][^/]*(?:/.*)?" if skip_hidden else "/.+")
+        hit = _c(path).rlike("^" + below_rx + "$")
+        if not contents_only:
+            hit = hit | ((_c(kind) == "d") & _c(path).rlike("^" + body + "$"))
+        return scope & hit
     top = n - 1 if contents_only else n
 
     def at(k):

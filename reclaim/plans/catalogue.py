@@ -58,7 +58,7 @@ def wine_prepare(home: str, as_of, days: int, flag: str = "_wine_old", key: str
     def prep(inv: DataFrame) -> DataFrame:
         h = home.rstrip("/")
         rx = "^" + re.escape(h) + r"/\.wine[^/]*$"
-        cand = DirTest(fn=lambda d, n: d.rlike(rx))
+        cand = dir_path_regex(rx)
         dirs = (directories(inv)
                 .filter(F.col("path").rlike(rx)
                         & age_days_over(days, as_of, "mtime"))

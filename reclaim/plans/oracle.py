@@ -275,3 +275,75 @@ FROM (SELECT row_number() OVER (ORDER BY name) AS seq, name FROM (VALUES {", ".j
 LEFT JOIN (SELECT rule, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM (
     SELECT {first_match_case(["cache", "electron", "trash", "user_logs"])} AS rule, size_bytes FROM inv_p)
   WHERE rule IS NOT NULL GROUP BY rule) p ON p.rule = s.name""")
+
+
+# -- the whole file-tree catalogue ($HOME = /root), in byte order of names ------
+def _contents(d: str) -> str:
+    return f"(starts_with(path, '{d}/') AND NOT starts_with(path, '{d}/.'))"
+
+
+def _subtree(d: str) -> str:
+    return f"(path = '{d}' OR starts_with(path, '{d}/'))"
+
+
+def _older(col: str, days: int) -> str:
+    return f"{col} <= {AS_OF} - INTERVAL {days + 1} DAY"
+
+
+_AUTOTOOLS = "['autom4te.cache', 'config.status', 'config.log', 'configure~', 'Makefile.in', 'aclocal.m4', '.deps', '.libs']"
+R_ALL = {
+    "ansible": _contents("/root/.ansible/tmp"),
+    "autotools": f"(starts_with(path, '/home/') AND ((kind IN ('d', 'f') AND list_contains({_AUTOTOOLS}, parts[-1])) "
+                 f"OR list_has_any({ANC}, {_AUTOTOOLS})))",
+    "blender": r"(starts_with(path, '/root/') AND kind = 'f' AND regexp_matches(path, '^.*/blender_.*_autosave\.blend$'))",
+    "browser": r"(starts_with(path, '/home/') AND regexp_matches(path, '^(.*/\.cache/google-chrome/Default/Cache|"
+               r".*/\.cache/chromium/Default/Cache|.*/\.mozilla/firefox/.*/Cache)/.+$'))",
+    "bun": _contents("/root/.bun/install/cache"),
+    "cache": R["cache"],
+    "cmake": "(EXISTS (SELECT 1 FROM mk WHERE mk.host = inv_p.host AND (starts_with(inv_p.path, mk.d || '/') "
+             "OR (inv_p.path = mk.d AND inv_p.kind = 'd'))) OR (starts_with(path, '/home/') AND "
+             f"(list_has_any({ANC}, ['CMakeFiles']) OR (kind = 'd' AND parts[-1] = 'CMakeFiles'))))",
+    "containerd": _contents("/var/lib/containerd/io.containerd.snapshotter.v1.overlayfs"),
+    "crash": f"({_contents('/var/crash')} OR (starts_with(path, '/var/lib/systemd/coredump/') AND kind = 'f'))",
+    "deno": _contents("/root/.cache/deno"),
+    "dropbox": _contents("/root/.dropbox/cache"),
+    "electron": R["electron"],
+    "gradle": _subtree("/root/.gradle/caches"),
+    "helm": f"({_contents('/root/.cache/helm')} OR {_contents('/root/.local/share/helm')})",
+    "home": R["home"],
+    "jetbrains": "((path = '/root/.local/share/JetBrains' OR starts_with(path, '/root/.local/share/JetBrains/')) AND "
+                 "(list_has_any(parts[5:len(parts)-1], ['.caches']) OR (kind = 'd' AND parts[-1] = '.caches')))",
+    "kdenlive": "(starts_with(path, '/root/') AND kind = 'f' AND regexp_matches(path, '^.*/kdenlive/render/.*$'))",
+    "kubectl": f"({_contents('/root/.kube/cache')} OR {_contents('/root/.kube/http-cache')})",
+    "libreoffice": r"(starts_with(path, '/home/') AND regexp_matches(path, '^.*/\.config/libreoffice/4/user/uno_packages/cache/.+$'))",
+    "logs": f"(starts_with(path, '/var/log/') AND kind = 'f' AND ends_with(path, '.log') AND {_older('mtime', 30)})",
+    "maven": _subtree("/root/.m2/repository"),
+    "mercurial": r"((starts_with(path, '/home/') AND kind = 'f' AND regexp_matches(parts[-1], '^.*\.hg.*\.bak$')) OR "
+                 + _contents("/root/.hg/bundle-backup") + ")",
+    "minikube": _contents("/root/.minikube/cache"),
+    "pipenv": _contents("/root/.cache/pipenv"),
+    "python": R["python"],
+    "rust": f"({_subtree('/root/.cargo/registry')} OR {_subtree('/root/.cargo/git')})",
+    "snap": _contents("/var/lib/snapd/cache"),
+    "steam": _contents("/root/.steam/steam/steamapps/downloading"),
+    "temp": f"((starts_with(path, '/tmp/') OR starts_with(path, '/var/tmp/')) AND kind = 'f' AND {_older('atime', 10)})",
+    "terraform": _contents("/root/.terraform.d/plugin-cache"),
+    "thunderbird": "(starts_with(path, '/root/.thunderbird/') AND list_has_any(parts[3:len(parts)-1], ['Cache']))",
+    "trash": R["trash"],
+    "user_logs": R["user_logs"],
+    "vagrant": _contents("/root/.vagrant.d/boxes"),
+    "virtualbox": f"(starts_with(path, '/root/VirtualBox VMs/') AND kind = 'f' AND ends_with(path, '.vdi') AND {_older('mtime', 90)})",
+    "wine": "EXISTS (SELECT 1 FROM wd WHERE wd.host = inv_p.host AND (starts_with(inv_p.path, wd.d || '/') "
+            "OR (inv_p.path = wd.d AND inv_p.kind = 'd')))",
+}
+
+SQL["catalogue_run"] = _with_ctes(
+    r"""mk AS (SELECT DISTINCT host, regexp_replace(path, '/[^/]*$', '') AS d FROM inv
+           WHERE starts_with(path, '/home/') AND string_split(path, '/')[-1] = 'CMakeCache.txt'
+             AND string_split(path, '/')[-2] = 'build'),
+wd AS (SELECT host, d FROM (SELECT host, mtime, regexp_extract(path, '^(/root/\.wine[^/]*)/', 1) AS d FROM inv)
+       WHERE d <> '' GROUP BY host, d HAVING max(mtime) <= """ + AS_OF + """ - INTERVAL 91 DAY),
+hits AS (SELECT CASE """ + " ".join(f"WHEN {R_ALL[n]} THEN '{n}'" for n in sorted(R_ALL)) + """ END AS rule,
+                size_bytes FROM inv_p)""",
+    """SELECT CASE WHEN grouping(rule) = 1 THEN 'Total' ELSE rule END AS rule, count(*) AS files,
+       CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM hits WHERE rule IS NOT NULL GROUP BY ROLLUP (rule)""")
