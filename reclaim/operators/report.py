@@ -62,12 +62,14 @@ def max_over_run(report: DataFrame, col: str, run: Optional[str] = None, out: Op
     return report.withColumn(out or f"max_{col}", F.max(col).over(w))
 
 
-def capped_share(df: DataFrame, value: str, cap, keys: Sequence[str] = (), out: str = "share") -> DataFrame:
+def capped_share(df: DataFrame, value: str, cap, keys: Sequence[str] = (), out: str = "share",
+                 max_out: Optional[str] = None) -> DataFrame:
     """``value / min(max over the run, cap)``; 0 when the divisor is 0 or
     null; not clamped, so it may exceed 1 (as the reference does).
 
     The max per run is a grouped aggregate joined back on the run keys (not a
-    window), so one run holding a third of all rows is not one task."""
+    window), so one run holding a third of all rows is not one task.
+    ``max_out`` keeps the run maximum (D4) as a column."""
     cap_c = cap if isinstance(cap, Column) else F.lit(cap)
     if keys:
         mx = df.groupBy(*keys).agg(F.max(value).alias("_max"))
@@ -77,4 +79,5 @@ def capped_share(df: DataFrame, value: str, cap, keys: Sequence[str] = (), out:
         j = df.withColumn("_k", F.lit(1)).join(F.broadcast(mx), ["_k"], "left").drop("_k")
     share = F.coalesce(F.try_divide(F.col(value).cast("double"),
                                     F.least(F.col("_max"), cap_c).cast("double")), F.lit(0.0))
-    return j.withColumn(out, share).drop("_max")
+    j = j.withColumn(out, share)
+    return j.withColumnRenamed("_max", max_out) if max_out else j.drop("_max")

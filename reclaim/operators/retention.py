@@ -142,7 +142,9 @@ def before_current(df: DataFrame, keys, version: Column, is_current: Column) ->
     (``sort -V | sed '/cur/q;p'``).  No current row in a key -> nothing dropped."""
     keys = _keys(keys)
     v = df.withColumn("_v", version).withColumn("_is_cur", is_current)
-    cur = v.groupBy(*keys).agg(F.min(F.when(F.col("_is_cur"), F.col("_v"))).alias("_cur"))
+    # only current rows feed the aggregate, so its (sort-based, string) min
+    # sees a handful of rows per key, not the whole table
+    cur = v.filter(F.col("_is_cur")).groupBy(*keys).agg(F.min("_v").alias("_cur"))
     return (join_on_keys(v, cur.filter(F.col("_cur").isNotNull()), keys, "inner")
             .filter(F.col("_v") < F.col("_cur"))
             .drop("_v", "_is_cur", "_cur"))

@@ -324,9 +324,8 @@ def q_run_report(spark, sf):
 
 def q_capped_share(spark, sf):
     o = read_table(spark, sf, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
-    r = capped_share(o, "o_totalprice", CAP_SHARE, keys=["o_orderstatus"])
-    mx = o.groupBy("o_orderstatus").agg(F.max("o_totalprice").alias("max_price"))
-    return r.join(mx, ["o_orderstatus"], "left").select("o_orderkey", "o_orderstatus", "max_price", "share")
+    r = capped_share(o, "o_totalprice", CAP_SHARE, keys=["o_orderstatus"], max_out="max_price")
+    return r.select("o_orderkey", "o_orderstatus", "max_price", "share")
 
 
 # -- 2.5 windows ----------------------------------------------------------------------
