@@ -28,6 +28,7 @@ class Rule:
     required_tools: tuple = ()          # any one of them must exist on the host
     prepare: Optional[Callable[[DataFrame], DataFrame]] = None  # adds columns the predicate reads
     description: str = ""
+    roots: tuple = ()                   # the rule can only match rows at or below these paths
 
 
 class RuleBook:
@@ -43,9 +44,12 @@ class RuleBook:
         return self
 
     def register(self, name: str, predicate: Column, requires_approval: bool = False,
-                 required_tools: Sequence[str] = (), prepare=None, description: str = "") -> "RuleBook":
-        """Register a user rule (a Column, not a Python UDF)."""
-        return self.add(Rule(name, predicate, requires_approval, tuple(required_tools), prepare, description))
+                 required_tools: Sequence[str] = (), prepare=None, description: str = "",
+                 roots: Sequence[str] = ()) -> "RuleBook":
+        """Register a user rule (a Column, not a Python UDF).  ``roots``, if
+        given, promises the rule only matches rows at or below those paths."""
+        return self.add(Rule(name, predicate, requires_approval, tuple(required_tools), prepare, description,
+                             tuple(roots)))
 
     def __contains__(self, name: str) -> bool:
         return name in self._rules
@@ -90,19 +94,45 @@ def all_hits(rules: Sequence[Rule]) -> Column:
     return F.filter(arr, lambda x: x.isNotNull())
 
 
-def first_match_name(rules: Sequence[Rule]) -> Column:
+def _top(root: str) -> str:
+    parts = root.rstrip("/").split("/")
+    return "/".join(parts[:2]) if len(parts) > 1 else ""
+
+
+def _dispatch(rules: Sequence[Rule], value, path: str = "path") -> Column:
+    """``coalesce(when(p_i, v_i) ...)`` in run order.  When every rule declares
+    its roots, rows are first routed by their top-level directory, so a row is
+    tested only against the rules that can reach it (and a row outside every
+    root against none); the order within a route is the run order."""
+    tagged = [(r, value(i, r)) for i, r in enumerate(rules)]
+    plain = F.coalesce(*[F.when(r.predicate, v) for r, v in tagged])
+    if len(rules) < 4 or any(not r.roots for r in rules) or any(_top(x) == "" for r in rules for x in r.roots):
+        return plain
+    tops = sorted({_top(x) for r in rules for x in r.roots})
+    p = F.col(path)
+    out = None
+    for t in tops:
+        group = [(r, v) for r, v in tagged if any(_top(x) == t for x in r.roots)]
+        branch = F.coalesce(*[F.when(r.predicate, v) for r, v in group]) if len(group) > 1 \
+            else F.when(group[0][0].predicate, group[0][1])
+        cond = p.startswith(t + "/") | (p == F.lit(t))
+        out = F.when(cond, branch) if out is None else out.when(cond, branch)
+    return out
+
+
+def first_match_name(rules: Sequence[Rule], path: str = "path") -> Column:
     """The first rule in run order that matches (null when none)."""
     if not rules:
         return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(r.predicate, F.lit(r.name)) for r in rules])
+    return _dispatch(rules, lambda i, r: F.lit(r.name), path)
 
 
-def first_match_seq(rules: Sequence[Rule], start: int = 1) -> Column:
+def first_match_seq(rules: Sequence[Rule], start: int = 1, path: str = "path") -> Column:
     """Position (1-based) in run order of the first matching rule.  With a name
     listed twice only the first position can match (X10)."""
     if not rules:
         return F.lit(None).cast("int")
-    return F.coalesce(*[F.when(r.predicate, F.lit(i)) for i, r in enumerate(rules, start)])
+    return _dispatch(rules, lambda i, r: F.lit(i + start), path)
 
 
 def first_match(df: DataFrame, rules: Sequence[Rule], out: str = "rule",

@@ -199,9 +199,10 @@ def mark_under_dirs(inventory: DataFrame, root: str, candidate: DirTest, dirs: D
 def marked_dirs(inventory: DataFrame, dir_name: str, marker: str, path: str = "path") -> DataFrame:
     """C3 helper: ``(host, dir)`` of directories called ``dir_name`` that directly
     hold a file called ``marker``."""
+    # "/<dir_name>/<marker>" at the end: a suffix test, which Parquet can push down
     p = parent_dir(path)
     return (inventory
-            .filter((base_name(path) == marker) & (base_name(p) == dir_name))
+            .filter(_c(path).endswith(f"/{dir_name}/{marker}"))
             .select("host", p.alias("dir")).distinct())
 
 

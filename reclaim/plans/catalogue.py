@@ -12,6 +12,7 @@ smaller ones.
 
 from __future__ import annotations
 
+import dataclasses
 import re
 
 from pyspark.sql import DataFrame
@@ -59,7 +60,9 @@ def wine_prepare(home: str, as_of, days: int, flag: str = "_wine_old", key: str
         h = home.rstrip("/")
         rx = "^" + re.escape(h) + r"/\.wine[^/]*$"
         cand = dir_path_regex(rx)
-        dirs = (directories(inv)
+        # only rows inside a $HOME/.wine* directory can make or be under one
+        inside = inv.filter(below(h) & F.col("path").rlike("^" + re.escape(h) + r"/\.wine[^/]*/"))
+        dirs = (directories(inside)
                 .filter(F.col("path").rlike(rx)
                         & age_days_over(days, as_of, "mtime"))
                 .select("host", F.col("path").alias("dir")))
@@ -67,8 +70,36 @@ def wine_prepare(home: str, as_of, days: int, flag: str = "_wine_old", key: str
     return prep
 
 
+def rule_roots(home: str = "/root") -> dict:
+    """Where each rule can match: its predicate only holds at or below these."""
+    h = home.rstrip("/")
+    return {
+        "logs": ("/var/log",), "crash": ("/var/crash", "/var/lib/systemd/coredump"), "temp": ("/tmp", "/var/tmp"),
+        "home": ("/home",), "cache": ("/home",), "trash": ("/home", "/root/.local/share/Trash"),
+        "user_logs": ("/home",), "virtualbox": (f"{h}/VirtualBox VMs",), "vagrant": (f"{h}/.vagrant.d/boxes",),
+        "snap": ("/var/lib/snapd/cache",), "python": ("/home", "/tmp"), "libreoffice": ("/home",),
+        "browser": ("/home",), "deno": (f"{h}/.cache/deno",), "bun": (f"{h}/.bun/install/cache",),
+        "pipenv": (f"{h}/.cache/pipenv",), "gradle": (f"{h}/.gradle/caches",), "wine": (h,),
+        "electron": ("/home",), "kdenlive": (h,), "blender": (h,),
+        "steam": (f"{h}/.steam/steam/steamapps/downloading",), "thunderbird": (f"{h}/.thunderbird",),
+        "dropbox": (f"{h}/.dropbox/cache",), "maven": (f"{h}/.m2/repository",),
+        "rust": (f"{h}/.cargo/registry", f"{h}/.cargo/git"), "jetbrains": (f"{h}/.local/share/JetBrains",),
+        "mercurial": ("/home", f"{h}/.hg/bundle-backup"), "cmake": ("/home",), "autotools": ("/home",),
+        "kubectl": (f"{h}/.kube/cache", f"{h}/.kube/http-cache"),
+        "helm": (f"{h}/.cache/helm", f"{h}/.local/share/helm"), "minikube": (f"{h}/.minikube/cache",),
+        "terraform": (f"{h}/.terraform.d/plugin-cache",), "ansible": (f"{h}/.ansible/tmp",),
+        "containerd": ("/var/lib/containerd/io.containerd.snapshotter.v1.overlayfs",),
+    }
+
+
 def file_rules(as_of, home: str = "/root", log_days: int = LOG_DAYS,
                temp_days: int = TEMP_ATIME_DAYS, old_days: int = OLD_DAYS) -> list[Rule]:
+    roots = rule_roots(home)
+    return [dataclasses.replace(r, roots=roots[r.name])
+            for r in _file_rules(as_of, home, log_days, temp_days, old_days)]
+
+
+def _file_rules(as_of, home, log_days, temp_days, old_days) -> list[Rule]:
     h = home.rstrip("/")
     f = kind_in("f")
     R = Rule
