@@ -10,3 +10,4 @@ from reclaim.operators.selection import (SelectionError, check_mode, requested,
                                          tool_gate, with_host_tools)
 from reclaim.operators.report import (reclaim_by_rule, with_grand_total, run_report, max_over_run,
                                       capped_share, TOTAL_LABEL)
+from reclaim.operators.order import global_row_number

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reclaim.functions.paths import below
-from reclaim.functions.predicates import (MIB, age_days_over, any_of, kind_in, name_glob_any,
+from reclaim.functions.predicates import (MIB, age_days_over, kind_in, name_glob_any,
                                          name_in, path_glob, size_over)
 from reclaim.operators.rules import Rule, RuleBook
 from reclaim.operators.tree import (contents_of, dir_path_glob, dir_path_regex, mark_under_dirs,
-                                    marked_dirs, named, subtree_of, under_dir, DirTest)
+                                    marked_dirs, named, subtree_of, under_dir)
 
 # Fixed values that must equal the reference's: names, globs, paths and day
 # counts of the rules.

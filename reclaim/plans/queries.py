@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclaim.functions import (MIB, age_days_over, base_name, before_day_boundary, contains_any,
@@ -19,14 +19,14 @@ from reclaim.functions import (MIB, age_days_over, base_name, before_day_boundar
                                size_label, size_over, status_label, trim_chars, version_key)
 from reclaim.functions.paths import below
 from reclaim.functions.text import field
-from reclaim.operators import (Rule, RuleBook, all_hits, approval_gate, before_current, capped_share,
+from reclaim.operators import (Rule, RuleBook, all_hits, before_current, capped_share,
                                dir_contents, dir_path_regex, drop_all_but_latest, drop_last_n,
-                               first_match, freed_between, max_over_run, named, ordered_catalogue,
-                               over_budget, reclaim_by_rule, run_report, scan_roots, select_rules,
+                               first_match, freed_between, named, ordered_catalogue,
+                               over_budget, reclaim_by_rule, scan_roots, select_rules,
                                superseded, tool_gate, under_dir, under_marked_dirs, union_steps,
                                unreferenced, with_grand_total, with_host_tools)
-from reclaim.operators.tree import dir_path_glob
-from reclaim.plans.catalogue import (ELECTRON_GLOB, HOME_TEMP_GLOBS, THUMBNAILS_DIR_REGEX,
+from reclaim.operators.order import global_row_number
+from reclaim.plans.catalogue import (ELECTRON_GLOB, HOME_TEMP_GLOBS,
                                      file_rulebook)
 from reclaim.sources import (csv_field, json_env_names, load_inventory, read_table, regex_all,
                              with_directories, ws_field)
@@ -241,40 +241,15 @@ APPROVAL_INCLUDE = "cache,trash,user_logs,electron,python"
 APPROVALS = [("cache", "y"), ("trash", "n"), ("user_logs", "Y")]
 
 
-def _selected_run(spark, sf, include, approvals, errors=()):
-    """C5 + C8 + E7 + D1: statuses per run step, and the rows each step owns."""
-    book = six_rules()
-    cat = book.catalogue(spark)
-    sel = select_rules(spark, cat, include=include)
-    ap = spark.createDataFrame(list(approvals) or [("", "")], "name string, ans string")
-    st = approval_gate(sel, cat, ap)
-    er = spark.createDataFrame(list(errors) or [("", "")], "name string, error string")
-    st = st.join(er, ["name"], "left")
-    # The rule table is small (bounded by the catalogue); which steps run is
-    # decided on the driver to build one first-match expression.
-    steps = st.select("seq", "name", "skipped", "error").orderBy("seq").collect()
-    assert len(steps) <= 10_000
-    names_seen, run = set(), []
-    for s in steps:
-        runs = (not s["skipped"]) and s["error"] is None
-        rule = book[s["name"]]
-        # a name run a second time finds its rows already gone
-        pred = rule.predicate if (runs and s["name"] not in names_seen) else F.lit(False)
-        if runs:
-            names_seen.add(s["name"])
-        run.append(Rule(f"{s['seq']}", pred))
-    hits = first_match(inv(spark, sf), run, out="_step")
-    per_seq = reclaim_by_rule(hits, rule="_step").select(F.col("_step").cast("long").alias("seq"),
-                                                         "files", "bytes")
-    return st, per_seq
+def _run(spark, sf, include, approvals, errors=()):
+    """C5 + C8 + E7 + D1 + D3 through the whole-run API."""
+    from reclaim.plans.run import run
+    return run(spark, inv(spark, sf), six_rules(), include=include, approvals=approvals, errors=errors)
 
 
 def q_approval_gate(spark, sf):
-    st, per_seq = _selected_run(spark, sf, APPROVAL_INCLUDE, APPROVALS)
-    return (st.join(per_seq, ["seq"], "left")
-            .select("seq", "name", "skipped",
-                    F.when(F.col("skipped"), F.lit(0)).otherwise(F.coalesce("files", F.lit(0))).cast("long").alias("files"),
-                    F.when(F.col("skipped"), F.lit(0)).otherwise(F.coalesce("bytes", F.lit(0))).cast("long").alias("bytes")))
+    rep = _run(spark, sf, APPROVAL_INCLUDE, APPROVALS).report
+    return rep.select("seq", "name", (F.col("status") == "Skipped").alias("skipped"), "files", "bytes")
 
 
 SELECT_INCLUDE = "user_logs,cache,user_logs,trash"
@@ -282,8 +257,8 @@ SELECT_EXCLUDE = "home,python"
 
 
 def q_select_include(spark, sf):
-    st, per_seq = _selected_run(spark, sf, SELECT_INCLUDE, [("user_logs", "y"), ("cache", "y"), ("trash", "y")])
-    return run_report(st, per_seq).select("seq", "name", "files", "bytes")
+    approvals = [("user_logs", "y"), ("cache", "y"), ("trash", "y")]
+    return _run(spark, sf, SELECT_INCLUDE, approvals).report.select("seq", "name", "files", "bytes")
 
 
 def q_select_exclude(spark, sf):
@@ -318,8 +293,8 @@ RUN_ERRORS = [("electron", "permission denied")]
 
 
 def q_run_report(spark, sf):
-    st, per_seq = _selected_run(spark, sf, RUN_INCLUDE, RUN_APPROVALS, RUN_ERRORS)
-    return run_report(st, per_seq).select("seq", "name", "status", "files", "bytes")
+    return _run(spark, sf, RUN_INCLUDE, RUN_APPROVALS, RUN_ERRORS).report.select(
+        "seq", "name", "status", "files", "bytes")
 
 
 def q_capped_share(spark, sf):
@@ -382,8 +357,7 @@ def q_ordered_catalogue(spark, sf):
 
 def q_version_order(spark, sf):
     b = _brands(spark, sf).select("p_brand").distinct()
-    return b.select("p_brand", F.row_number().over(Window.orderBy(version_key("p_brand")))
-                    .cast("long").alias("pos"))
+    return global_row_number(b, [version_key("p_brand"), F.col("p_brand")]).select("p_brand", "pos")
 
 
 def q_global_drop_last_n(spark, sf):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclaim.functions.format import format_bytes, size_label
-from reclaim.operators.report import reclaim_by_rule, run_report
+from reclaim.operators.report import max_over_run, reclaim_by_rule, run_report
 from reclaim.operators.rules import Rule, RuleBook, first_match, prepare_all
 from reclaim.operators.selection import approval_gate, select_rules, tool_gate, with_host_tools
 
@@ -34,7 +34,10 @@ class RunResult:
 
 def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str = "", exclude: str = "",
         all_rules: bool = False, approvals: Optional[Iterable[tuple]] = None,
-        host_tools: Optional[DataFrame] = None, errors: Optional[Iterable[tuple]] = None) -> RunResult:
+        host_tools: Optional[DataFrame] = None, errors: Optional[Iterable[tuple]] = None,
+        start_free_bytes: Optional[int] = None) -> RunResult:
+    """``start_free_bytes`` (the free space before the run) caps the bytes share
+    at half of it, as the reference's report does; the shares may exceed 1."""
     cat = book.catalogue(spark)
     sel = select_rules(spark, cat, include=include, exclude=exclude, all_rules=all_rules)
     ap = spark.createDataFrame(list(approvals or []) or [("", "")], "name string, ans string")
@@ -64,6 +67,14 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
     plan = plan.join(F.broadcast(st.select("seq", F.col("name").alias("rule"))), ["seq"], "left")
     per = reclaim_by_rule(plan, rule="seq")
     report = run_report(st, per).withColumn("freed", size_label("bytes"))
+    # D4 + E6 over the report (one row per step, so a window is right here)
+    report = max_over_run(report, "bytes", out="max_bytes")
+    report = max_over_run(report, "duration_s", out="max_duration_s")
+    cap = F.lit(start_free_bytes // 2) if start_free_bytes is not None else F.col("max_bytes")
+    report = (report
+              .withColumn("bytes_share", F.coalesce(F.try_divide(F.col("bytes").cast("double"),
+                                                                 F.least("max_bytes", cap).cast("double")), F.lit(0.0)))
+              .withColumn("duration_share", F.coalesce(F.try_divide("duration_s", "max_duration_s"), F.lit(0.0))))
     total = report.agg(F.sum("files").cast("long").alias("files"), F.sum("bytes").cast("long").alias("bytes")) \
         .withColumn("freed", format_bytes("bytes"))
     return RunResult(plan, report.orderBy("seq"), total)

@@ -213,3 +213,13 @@ def test_reclaim_by_rule_counts(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", None)], "rule string, size_bytes long")
     got = {r.rule: (r.files, r.bytes) for r in reclaim_by_rule(df).collect()}
     assert got == {"a": (2, 3), "b": (1, 0)}
+
+
+def test_global_row_number_matches_sort(spark):
+    from reclaim.operators import global_row_number
+    rnd = random.Random(3)
+    rows = [(i, rnd.randrange(0, 50)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, v long")
+    got = {r.id: r.pos for r in global_row_number(df, [F.col("v"), F.col("id")], partitions=7).collect()}
+    want = {i: p for p, (v, i) in enumerate(sorted((v, i) for i, v in rows), start=1)}
+    assert got == want

@@ -26,6 +26,10 @@ def test_run_matches_select_include(spark):
     tot = res.total.collect()[0]
     assert tot.files == sum(x[2] for x in got) and tot.bytes == sum(x[3] for x in got)
     assert res.plan.filter(F.col("rule").isNull()).count() == 0
+    shares = sorted(r.bytes_share for r in res.report.collect())
+    assert shares[-1] == 1.0 and shares[0] == 0.0  # the largest step against the run maximum
+    capped = run(spark, inv, six_rules(), include="cache", approvals=[("cache", "y")], start_free_bytes=2)
+    assert capped.report.collect()[0].bytes_share > 1  # not clamped, as the reference
 
 
 def test_run_tool_gate_per_host(spark):

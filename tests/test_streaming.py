@@ -4,7 +4,6 @@ import os
 import uuid
 
 import pytest
-from pyspark.sql import functions as F
 
 from reclaim.operators import first_match, reclaim_by_rule
 from reclaim.plans.queries import five_rules
