@@ -159,9 +159,23 @@ def unreferenced(items: DataFrame, refs: DataFrame, keys) -> DataFrame:
 
 def freed_between(readings: DataFrame, keys, seq: str, reading: str, out: str = "freed") -> DataFrame:
     """E5: amount freed between consecutive readings of free space, floored at 0
-    (the first reading of a key frees 0).  Readings are few per key (one per
-    run step), so a window per key is the right tool here."""
+    (the first reading of a key frees 0).
+
+    No window: readings get a global position in (keys, seq) order (range
+    partitioned, see :func:`reclaim.operators.order.global_row_number`), and
+    each row meets the row one position before it by an equi-join on the
+    position -- the previous reading when the keys agree.  A key holding a third
+    of all readings is spread over many tasks like any other."""
+    from reclaim.operators.order import global_row_number
     keys = _keys(keys)
-    w = Window.partitionBy(*keys).orderBy(seq) if keys else Window.orderBy(seq)
-    diff = F.col(reading) - F.lag(reading).over(w)
-    return readings.withColumn(out, F.greatest(F.coalesce(diff, F.lit(0)), F.lit(0)))
+    ranked = global_row_number(readings, [F.col(k) for k in keys] + [F.col(seq)], out="_pos")
+    prev = ranked.select((F.col("_pos") + 1).alias("_pos"),
+                         *[F.col(k).alias(f"_pk_{k}") for k in keys],
+                         F.col(reading).alias("_prev"))
+    j = ranked.join(prev, ["_pos"], "left")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_pk_{k}"))
+    diff = F.when(same, F.col(reading) - F.col("_prev"))
+    return (j.withColumn(out, F.greatest(F.coalesce(diff, F.lit(0)), F.lit(0)))
+            .drop("_pos", "_prev", *[f"_pk_{k}" for k in keys]))

@@ -62,7 +62,7 @@ class RuleBook:
 
     def names(self) -> list[str]:
         """names in byte order (Python orders str by code point, which is
-        UTF-8 byte order, as Go's sort.Strings and Spark's string order)."""
+        UTF-8 byte order, the order Spark compares strings in)."""
         return sorted(self._rules)
 
     def rules(self, names: Iterable[str]) -> list[Rule]:

@@ -223,3 +223,13 @@ def test_global_row_number_matches_sort(spark):
     got = {r.id: r.pos for r in global_row_number(df, [F.col("v"), F.col("id")], partitions=7).collect()}
     want = {i: p for p, (v, i) in enumerate(sorted((v, i) for i, v in rows), start=1)}
     assert got == want
+
+
+def test_freed_between_per_key_and_global(spark):
+    from reclaim.operators import freed_between
+    rows = [("a", 1, 100), ("a", 2, 150), ("a", 3, 120), ("b", 1, 10), ("b", 5, 40), ("b", 9, 45)]
+    df = spark.createDataFrame(rows, "host string, seq long, free long")
+    got = {(r.host, r.seq): r.freed for r in freed_between(df, "host", "seq", "free").collect()}
+    assert got == {("a", 1): 0, ("a", 2): 50, ("a", 3): 0, ("b", 1): 0, ("b", 5): 30, ("b", 9): 5}
+    one = spark.createDataFrame([(1, 5), (2, 3), (4, 9)], "seq long, free long")
+    assert {r.seq: r.freed for r in freed_between(one, None, "seq", "free").collect()} == {1: 0, 2: 0, 4: 6}
