@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclaim.functions.paths import _c
+from reclaim.session import checkpoint_dir
 
 DEFAULT_BIN_SECONDS = 3600
 _NULL_BIN = -(2 ** 62)
@@ -50,16 +51,25 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str,
     return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
+EDGE_ROWS_LIMIT = 2_000_000
+
+
 def over_budget(df: DataFrame, keys: Sequence[str] | str | None, ts: str, budget: int,
                 weight: str | Column | None = None, tiebreak: str = "id",
                 bin_seconds: int = DEFAULT_BIN_SECONDS, out: str = "drop",
-                running: str | None = None) -> DataFrame:
+                running: str | None = None, edge_rows_limit: int = EDGE_ROWS_LIMIT) -> DataFrame:
     """Add boolean ``out``: the row's running weight (newest first by ``ts``
     then ``tiebreak``, both descending, nulls oldest) is greater than ``budget``.
 
     ``weight`` None counts rows (keep newest ``budget``).  Null weights count 0.
     ``running`` names an optional output column with the running weight (only
     filled for rows of boundary bins; use the plain window for all of them).
+
+    The cut table (one row per group) is computed once and checkpointed; its
+    largest boundary bin decides how the exact part runs: a window per
+    (group, bin) when every boundary bin has at most ``edge_rows_limit`` rows,
+    else a distributed prefix sum, so even a bin holding a third of all rows
+    is spread over many tasks.
     """
     keys = _keys(keys)
     g = keys if keys else ["_g"]
@@ -70,13 +80,19 @@ def over_budget(df: DataFrame, keys: Sequence[str] | str | None, ts: str, budget
     if not keys:
         base = base.withColumn("_g", F.lit(0))
 
-    per_bin = base.groupBy(*g, "_bin").agg(F.sum("_w").alias("_bw"))
+    per_bin = base.groupBy(*g, "_bin").agg(F.sum("_w").alias("_bw"), F.count(F.lit(1)).alias("_rows"))
     wb = Window.partitionBy(*g).orderBy(F.col("_bin").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     cut = (per_bin.withColumn("_after", F.sum("_bw").over(wb))
            .withColumn("_before", F.col("_after") - F.col("_bw"))
            .filter((F.col("_after") > F.lit(budget)) & (F.col("_before") <= F.lit(budget)))
-           .select(*g, F.col("_bin").alias("_cut_bin"), F.col("_before").alias("_cut_before")))
+           .select(*g, F.col("_bin").alias("_cut_bin"), F.col("_before").alias("_cut_before"),
+                   F.col("_rows").alias("_cut_rows")))
+    checkpoint_dir(df.sparkSession, fallback="/tmp/reclaim-checkpoints")
+    cut = cut.checkpoint(eager=True)  # one row per group; reused by both branches below
+    largest = cut.agg(F.max("_cut_rows")).first()[0] or 0
+    cut = cut.drop("_cut_rows")
+
     # Without keys the cut table has at most one row (the boundary bin of the
     # single group): a proven bound, so it is broadcast.  With keys it has one
     # row per key; AQE broadcasts it when small, else shuffles and splits skew.
@@ -85,12 +101,15 @@ def over_budget(df: DataFrame, keys: Sequence[str] | str | None, ts: str, budget
                .withColumn(out, F.coalesce(F.col("_bin") < F.col("_cut_bin"), F.lit(False))))
     if running:
         decided = decided.withColumn(running, F.lit(None).cast("long"))
-    we = Window.partitionBy(*g, "_bin").orderBy(
-        F.col(ts).desc_nulls_last(), F.col(tiebreak).desc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    edge = (j.filter(F.col("_bin") == F.col("_cut_bin"))
-            .withColumn("_run", F.col("_cut_before") + F.sum("_w").over(we))
-            .withColumn(out, F.col("_run") > F.lit(budget)))
+    edge_rows = j.filter(F.col("_bin") == F.col("_cut_bin"))
+    if largest <= edge_rows_limit:
+        we = Window.partitionBy(*g, "_bin").orderBy(
+            F.col(ts).desc_nulls_last(), F.col(tiebreak).desc_nulls_last()).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        edge = edge_rows.withColumn("_run", F.col("_cut_before") + F.sum("_w").over(we))
+    else:
+        edge = _edge_prefix_sum(edge_rows, g, ts, tiebreak)
+    edge = edge.withColumn(out, F.col("_run") > F.lit(budget))
     if running:
         edge = edge.withColumn(running, F.col("_run"))
     edge = edge.drop("_run")
@@ -98,6 +117,28 @@ def over_budget(df: DataFrame, keys: Sequence[str] | str | None, ts: str, budget
     return decided.unionByName(edge).drop(*drop_cols)
 
 
+def _edge_prefix_sum(edge: DataFrame, g: list[str], ts: str, tiebreak: str) -> DataFrame:
+    """Running weight over boundary-bin rows without a per-bin task: range
+    partition on (group, bin, ts desc, tiebreak desc), fix the partitions with a
+    checkpoint, add each partition's offset within its (group, bin) (a table of
+    one row per partition and group), and finish with a window per
+    (partition, group, bin)."""
+    n = int(edge.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(k) for k in g] + [F.col("_bin"), F.col(ts).desc_nulls_last(),
+                                     F.col(tiebreak).desc_nulls_last()]
+    s = edge.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    s = s.withColumn("_pid", F.spark_partition_id())
+    tot = s.groupBy("_pid", *g, "_bin").agg(F.sum("_w").alias("_pw"))
+    wo = Window.partitionBy(*g, "_bin").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("_pid", *g, "_bin", F.coalesce(F.sum("_pw").over(wo), F.lit(0)).alias("_off"))
+    j = join_on_keys(s, offs, ["_pid", *g, "_bin"], "inner")
+    wr = Window.partitionBy("_pid", *g, "_bin").orderBy(
+        F.col(ts).desc_nulls_last(), F.col(tiebreak).desc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return j.withColumn("_run", F.col("_cut_before") + F.col("_off") + F.sum("_w").over(wr)) \
+        .drop("_pid", "_off")
+
+
 def _order_seconds(df: DataFrame, ts: str) -> Column:
     """Seconds on a line that never runs backwards as ``ts`` grows: numbers as
     they are, timestamps (zoned or not) as epoch seconds."""

@@ -160,8 +160,9 @@ def test_budget_equal_is_kept_and_first_over_dropped(spark):
     assert got == {1: False, 2: False, 3: True, 4: True}
 
 
-@pytest.mark.parametrize("keys,bin_seconds", [(["k"], 60), (None, 60), (["k"], 3600), (None, 7)])
-def test_over_budget_equals_plain_window(spark, keys, bin_seconds):
+@pytest.mark.parametrize("keys,bin_seconds,edge_limit", [(["k"], 60, None), (None, 60, None), (["k"], 3600, None),
+                                                         (None, 7, None), (["k"], 3600, 0), (None, 100000, 0)])
+def test_over_budget_equals_plain_window(spark, keys, bin_seconds, edge_limit):
     rnd = random.Random(7)
     t0 = dt.datetime(2024, 1, 1)
     rows = []
@@ -172,7 +173,8 @@ def test_over_budget_equals_plain_window(spark, keys, bin_seconds):
         rows.append((i, k, ts, size))
     df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, size long")
     budget = 20_000
-    got = {r.id: r.drop for r in over_budget(df, keys, "ts", budget, "size", bin_seconds=bin_seconds).collect()}
+    kw = {} if edge_limit is None else {"edge_rows_limit": edge_limit}  # 0: force the distributed edge
+    got = {r.id: r.drop for r in over_budget(df, keys, "ts", budget, "size", bin_seconds=bin_seconds, **kw).collect()}
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(
         F.col("ts").desc_nulls_last(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ref = df.withColumn("run", F.sum(F.coalesce("size", F.lit(0))).over(w))
