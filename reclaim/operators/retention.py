@@ -193,9 +193,13 @@ def before_current(df: DataFrame, keys, version: Column, is_current: Column) ->
 
 def unreferenced(items: DataFrame, refs: DataFrame, keys) -> DataFrame:
     """C4: items nothing refers to.  A null key is never referenced; a key
-    referenced twice does not duplicate rows (anti-join)."""
+    referenced twice does not duplicate rows (anti-join).
+
+    The reference keys are deduplicated first (a map-side partial aggregate),
+    so a key referenced by a third of all rows is one row per task on the
+    build side; skew on the item side is split by AQE."""
     keys = _keys(keys)
-    return items.join(refs.select(*keys), keys, "left_anti")
+    return items.join(refs.select(*keys).distinct(), keys, "left_anti")
 
 
 def freed_between(readings: DataFrame, keys, seq: str, reading: str, out: str = "freed") -> DataFrame:
