@@ -25,10 +25,10 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "pos",
     """1-based position of each row in ``order`` (make it total: end with a key)."""
     spark = df.sparkSession
     checkpoint_dir(spark, fallback="/tmp/reclaim-checkpoints")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    s = ranged.sortWithinPartitions(*order).checkpoint(eager=True)
     s = s.withColumn("_mid", F.monotonically_increasing_id())
-    pid = (F.col("_mid") / F.lit(2 ** _LOW_BITS)).cast("long")
+    pid = F.shiftright("_mid", _LOW_BITS)
     counts = s.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

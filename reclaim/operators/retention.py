@@ -123,10 +123,9 @@ def _edge_prefix_sum(edge: DataFrame, g: list[str], ts: str, tiebreak: str) -> D
     checkpoint, add each partition's offset within its (group, bin) (a table of
     one row per partition and group), and finish with a window per
     (partition, group, bin)."""
-    n = int(edge.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col(k) for k in g] + [F.col("_bin"), F.col(ts).desc_nulls_last(),
                                      F.col(tiebreak).desc_nulls_last()]
-    s = edge.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    s = edge.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint(eager=True)
     s = s.withColumn("_pid", F.spark_partition_id())
     tot = s.groupBy("_pid", *g, "_bin").agg(F.sum("_w").alias("_pw"))
     wo = Window.partitionBy(*g, "_bin").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

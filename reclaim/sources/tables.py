@@ -80,9 +80,9 @@ def materialized_inventory_path(spark: SparkSession, sf_dir: str) -> str:
     if key not in _MATERIALIZED:
         base = checkpoint_dir(spark, fallback="/tmp/reclaim-checkpoints")
         out = f"{base.rstrip('/')}/reclaim-inventory-{uuid.uuid4().hex}"
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # no fixed count: AQE sizes the range partitions from the data
         (inventory_from_events(read_table(spark, sf_dir, "events"))
-         .repartitionByRange(n, "host", "path")
+         .repartitionByRange("host", "path")
          .write.mode("overwrite").partitionBy("host").parquet(out))
         _MATERIALIZED[key] = out
     return _MATERIALIZED[key]
