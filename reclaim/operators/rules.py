@@ -140,10 +140,22 @@ def first_match(df: DataFrame, rules: Sequence[Rule], out: str = "rule",
     """E7 applied: each row gets the first matching rule; rows no rule hits are
     removed unless ``only_hits`` is False."""
     df = prepare_all(df, rules)
-    df = df.withColumn(out, first_match_name(rules))
+    if not rules:
+        df = df.withColumn(out, F.lit(None).cast("string"))
+        if seq:
+            df = df.withColumn(seq, F.lit(None).cast("int"))
+        return df.filter(F.lit(False)) if only_hits else df
+    # name and position come out of one evaluation of the rules; the row goes
+    # through a generator, so the "hits only" filter cannot be pushed below it
+    # and re-evaluate every predicate (as it would through a plain projection)
+    hit = _dispatch(rules, lambda i, r: F.struct(F.lit(r.name).alias("n"), F.lit(i + 1).alias("s")))
+    df = df.select("*", F.explode(F.array(hit)).alias("_hit"))
+    if only_hits:
+        df = df.filter(F.col("_hit").isNotNull())
+    df = df.withColumn(out, F.col("_hit.n"))
     if seq:
-        df = df.withColumn(seq, first_match_seq(rules))
-    return df.filter(F.col(out).isNotNull()) if only_hits else df
+        df = df.withColumn(seq, F.col("_hit.s"))
+    return df.drop("_hit")
 
 
 def union_steps(df: DataFrame, steps: Sequence[Column]) -> DataFrame:
