@@ -11,3 +11,4 @@ from reclaim.operators.selection import (SelectionError, check_mode, requested,
 from reclaim.operators.report import (reclaim_by_rule, with_grand_total, run_report, max_over_run,
                                       capped_share, TOTAL_LABEL)
 from reclaim.operators.order import global_row_number
+from reclaim.operators.tree import DirFlag, mark_dirs

@@ -29,6 +29,7 @@ class Rule:
     prepare: Optional[Callable[[DataFrame], DataFrame]] = None  # adds columns the predicate reads
     description: str = ""
     roots: tuple = ()                   # the rule can only match rows at or below these paths
+    flags: tuple = ()                   # DirFlag specs: directory-row tests the predicate reads
 
 
 class RuleBook:
@@ -79,6 +80,17 @@ class RuleBook:
 
 
 def prepare_all(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
+    """Add the columns the rules' predicates read: every directory flag of every
+    rule in one split of the inventory, then any custom ``prepare`` step."""
+    from reclaim.operators.tree import mark_dirs
+    rules = list(rules)
+    flags, names = [], set()
+    for r in rules:
+        for fl in r.flags:
+            if fl.flag not in names:
+                names.add(fl.flag)
+                flags.append(fl)
+    df = mark_dirs(df, flags)
     seen = set()
     for r in rules:
         if r.prepare is not None and id(r.prepare) not in seen:

@@ -173,27 +173,60 @@ def dir_contents(inventory: DataFrame, root: str, test: DirTest, contents_only:
             .agg(F.count(F.lit(1)).alias("files"), F.sum(size).cast("long").alias("bytes")))
 
 
+@dataclass(frozen=True)
+class DirFlag:
+    """A flag "the row is in a directory that passes a test on the directory's
+    own row": ``dirs(inventory) -> DataFrame(host, dir)`` lists the passing
+    directories; ``candidate`` is the row-local part of the test (its name or
+    path), so only rows with a candidate ancestor take part in the join."""
+    flag: str
+    root: str
+    candidate: DirTest
+    dirs: Callable[[DataFrame], DataFrame]
+    contents_only: bool = True
+
+
+def mark_dirs(inventory: DataFrame, flags: Iterable[DirFlag], key: str = "id",
+              path: str = "path") -> DataFrame:
+    """C2/C3 when the directory test needs the directory's own row (its mtime,
+    a marker inside it).  Adds one boolean column per flag.
+
+    The inventory is split once: rows with no candidate ancestor for any flag
+    pass straight through (all flags false); only the candidate rows are
+    exploded into their candidate directories and joined with the passing
+    directories (equi-join on ``(host, dir)``: AQE broadcasts the directory
+    set when small and splits a hot directory otherwise), then joined back on
+    ``(host, key)``, which is unique, so balanced.  However many flags there
+    are, the inventory is read in two branches."""
+    flags = list(flags)
+    if not flags:
+        return inventory
+    staged = inventory
+    for i, fl in enumerate(flags):
+        staged = staged.withColumn(f"_anc{i}", matching_ancestors(fl.root, fl.candidate, fl.contents_only,
+                                                                  path=path))
+    any_cand = any_of(F.size(f"_anc{i}") > 0 for i in range(len(flags)))
+    anc_cols = [f"_anc{i}" for i in range(len(flags))]
+    rest = staged.filter(~any_cand).drop(*anc_cols)
+    for fl in flags:
+        rest = rest.withColumn(fl.flag, F.lit(False))
+    cand = staged.filter(any_cand)
+    marked = cand.drop(*anc_cols)
+    for i, fl in enumerate(flags):
+        hits = (cand.select("host", key, F.explode(f"_anc{i}").alias("dir"))
+                .join(fl.dirs(inventory).select("host", "dir").distinct(), ["host", "dir"], "left_semi")
+                .select("host", key).distinct()
+                .withColumn(fl.flag, F.lit(True)))
+        marked = (marked.join(hits, ["host", key], "left")
+                  .withColumn(fl.flag, F.coalesce(F.col(fl.flag), F.lit(False))))
+    return rest.unionByName(marked)
+
+
 def mark_under_dirs(inventory: DataFrame, root: str, candidate: DirTest, dirs: DataFrame,
                     flag: str, contents_only: bool = True, key: str = "id",
                     path: str = "path") -> DataFrame:
-    """C2/C3 when the directory test needs the directory's own row (its mtime,
-    a marker inside it): ``dirs(host, dir)`` lists the directories that pass.
-
-    Adds boolean ``flag``.  Only rows with an ancestor passing the row-local
-    ``candidate`` test are exploded and joined (equi-join on ``(host, dir)``;
-    AQE broadcasts ``dirs`` when it is small and splits a hot directory
-    otherwise); all other rows pass straight through with ``flag = false``."""
-    anc = matching_ancestors(root, candidate, contents_only, path=path)
-    staged = inventory.withColumn("_anc", anc)
-    rest = staged.filter(F.size("_anc") == 0).drop("_anc").withColumn(flag, F.lit(False))
-    cand = staged.filter(F.size("_anc") > 0)
-    hits = (cand.select("host", key, F.explode("_anc").alias("dir"))
-            .join(dirs.select("host", "dir").distinct(), ["host", "dir"], "left_semi")
-            .select("host", key).distinct()
-            .withColumn(flag, F.lit(True)))
-    marked = (cand.drop("_anc").join(hits, ["host", key], "left")
-              .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
-    return rest.unionByName(marked)
+    """One flag of :func:`mark_dirs`, with the passing directories given."""
+    return mark_dirs(inventory, [DirFlag(flag, root, candidate, lambda _: dirs, contents_only)], key, path)
 
 
 def marked_dirs(inventory: DataFrame, dir_name: str, marker: str, path: str = "path") -> DataFrame:

@@ -22,8 +22,8 @@ from reclaim.functions.paths import below
 from reclaim.functions.predicates import (MIB, age_days_over, kind_in, name_glob_any,
                                          name_in, path_glob, size_over)
 from reclaim.operators.rules import Rule, RuleBook
-from reclaim.operators.tree import (contents_of, dir_path_glob, dir_path_regex, mark_under_dirs,
-                                    marked_dirs, named, subtree_of, under_dir)
+from reclaim.operators.tree import (DirFlag, contents_of, dir_path_glob, dir_path_regex, marked_dirs,
+                                    named, subtree_of, under_dir)
 
 # Fixed values that must equal the reference's: names, globs, paths and day
 # counts of the rules.
@@ -41,33 +41,28 @@ LOG_DAYS, TEMP_ATIME_DAYS, OLD_DAYS = 30, 10, 90
 USER_LOG_MIB = 10
 
 
-def cmake_prepare(flag: str = "_cmake_marked", key: str = "id"):
-    """Adds ``flag``: the row is in (or is) a ``build`` directory under /home
-    that directly holds ``CMakeCache.txt`` (C3)."""
-    def prep(inv: DataFrame) -> DataFrame:
-        mk = marked_dirs(inv, "build", "CMakeCache.txt")
-        return mark_under_dirs(inv, "/home", named("build"), mk, flag, contents_only=False, key=key)
-    return prep
+def cmake_flag(flag: str = "_cmake_marked") -> DirFlag:
+    """The row is in (or is) a ``build`` directory under /home that directly
+    holds ``CMakeCache.txt`` (C3)."""
+    return DirFlag(flag, "/home", named("build"), lambda inv: marked_dirs(inv, "build", "CMakeCache.txt"),
+                   contents_only=False)
 
 
-def wine_prepare(home: str, as_of, days: int, flag: str = "_wine_old", key: str = "id"):
-    """Adds ``flag``: the row is in (or is) a directory ``$HOME/.wine*`` (depth 1)
-    whose own mtime is more than ``days`` days old.  The directory rows (with
-    the newest mtime below them) come from the inventory itself."""
+def wine_flag(home: str, as_of, days: int, flag: str = "_wine_old") -> DirFlag:
+    """The row is in (or is) a directory ``$HOME/.wine*`` (depth 1) whose own
+    mtime is more than ``days`` days old.  The directory rows (with the newest
+    mtime below them) come from the inventory itself, from the rows inside such
+    directories only."""
     from reclaim.sources.tables import directories
+    h = home.rstrip("/")
+    rx = "^" + re.escape(h) + r"/\.wine[^/]*$"
 
-    def prep(inv: DataFrame) -> DataFrame:
-        h = home.rstrip("/")
-        rx = "^" + re.escape(h) + r"/\.wine[^/]*$"
-        cand = dir_path_regex(rx)
-        # only rows inside a $HOME/.wine* directory can make or be under one
+    def dirs(inv: DataFrame) -> DataFrame:
         inside = inv.filter(below(h) & F.col("path").rlike("^" + re.escape(h) + r"/\.wine[^/]*/"))
-        dirs = (directories(inside)
-                .filter(F.col("path").rlike(rx)
-                        & age_days_over(days, as_of, "mtime"))
+        return (directories(inside)
+                .filter(F.col("path").rlike(rx) & age_days_over(days, as_of, "mtime"))
                 .select("host", F.col("path").alias("dir")))
-        return mark_under_dirs(inv, h, cand, dirs, flag, contents_only=False, key=key)
-    return prep
+    return DirFlag(flag, h, dir_path_regex(rx), dirs, contents_only=False)
 
 
 def rule_roots(home: str = "/root") -> dict:
@@ -132,7 +127,7 @@ def _file_rules(as_of, home, log_days, temp_days, old_days) -> list[Rule]:
         R("pipenv", contents_of(f"{h}/.cache/pipenv")),
         R("gradle", subtree_of(f"{h}/.gradle/caches")),
         R("wine", F.coalesce(F.col("_wine_old"), F.lit(False)), required_tools=("wine",),
-          prepare=wine_prepare(h, as_of, old_days)),
+          flags=(wine_flag(h, as_of, old_days),)),
         R("electron", under_dir("/home", dir_path_glob(ELECTRON_GLOB))),
         R("kdenlive", below(h) & f & path_glob(KDENLIVE_GLOB), requires_approval=True,
           required_tools=("kdenlive",)),
@@ -152,7 +147,7 @@ def _file_rules(as_of, home, log_days, temp_days, old_days) -> list[Rule]:
           | contents_of(f"{h}/.hg/bundle-backup"), requires_approval=True, required_tools=("hg",)),
         R("cmake", F.coalesce(F.col("_cmake_marked"), F.lit(False))
           | under_dir("/home", named("CMakeFiles"), contents_only=False),
-          requires_approval=True, prepare=cmake_prepare()),
+          requires_approval=True, flags=(cmake_flag(),)),
         R("autotools", below("/home") & (kind_in("d", "f") & name_in(AUTOTOOLS_NAMES)
                                          | under_dir("/home", named(*AUTOTOOLS_NAMES))),
           requires_approval=True),

@@ -60,7 +60,7 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
             pred = rule.predicate
             if host_tools is not None:
                 pred = pred & tool_gate(rule.required_tools)
-            active.append(Rule(str(s["seq"]), pred, prepare=rule.prepare, roots=rule.roots))
+            active.append(Rule(str(s["seq"]), pred, prepare=rule.prepare, roots=rule.roots, flags=rule.flags))
     inv = prepare_all(inv, active)
     plan = first_match(inv, active, out="_step") if active else inv.limit(0).withColumn("_step", F.lit(None))
     plan = plan.withColumn("seq", F.col("_step").cast("long")).drop("_step")

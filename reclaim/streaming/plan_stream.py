@@ -22,7 +22,7 @@ from reclaim.operators.rules import Rule, first_match_name, first_match_seq
 
 def plan_stream(stream: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Streaming plan rows: the input rows some rule hits, with ``rule`` and ``seq``."""
-    bad = [r.name for r in rules if r.prepare is not None]
+    bad = [r.name for r in rules if r.prepare is not None or r.flags]
     if bad:
         raise ValueError(f"rules needing directory rows cannot run on a stream: {bad}")
     return (stream.withColumn("rule", first_match_name(rules))
