@@ -4,6 +4,7 @@ from reclaim.functions.predicates import (kind_in, name_in, name_glob_any, path_
                                          age_days_over, size_over, depth_is, contains_any,
                                          older_than, before_day_boundary, protect, line_matches,
                                          ts_ntz, any_of, all_of, MIB)
-from reclaim.functions.format import format_bytes, format_duration, status_label, size_label
+from reclaim.functions.format import (format_bytes, format_duration, status_label, size_label,
+                                     result_message)
 from reclaim.functions.version import version_key
 from reclaim.functions.text import lines, field, trim_chars, lower, is_yes

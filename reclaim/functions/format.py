@@ -12,6 +12,8 @@ from reclaim.functions.paths import _c
 UNIT_LETTERS = "KMGTPE"
 LABEL_INSIGNIFICANT = "Insignificant"
 STATUS_SKIPPED, STATUS_ERROR, STATUS_SUCCESS = "Skipped", "Error", "Success"
+MESSAGE_SUCCESS = "Cleanup completed successfully"
+MESSAGE_ERROR_PREFIX = "Error during cleanup: "
 
 
 def format_bytes(n="bytes") -> Column:
@@ -52,6 +54,13 @@ def status_label(skipped="skipped", error="error") -> Column:
             .otherwise(F.lit(STATUS_SUCCESS)))
 
 
+def result_message(skipped="skipped", error="error") -> Column:
+    """The run result text of a step: skipped, failed with its error, or done."""
+    return (F.when(F.coalesce(_c(skipped), F.lit(False)), F.lit(STATUS_SKIPPED))
+            .when(_c(error).isNotNull(), F.concat(F.lit(MESSAGE_ERROR_PREFIX), _c(error)))
+            .otherwise(F.lit(MESSAGE_SUCCESS)))
+
+
 def size_label(n="bytes") -> Column:
     """H6: ``Insignificant`` for 0, else :func:`format_bytes`."""
     return F.when(_c(n) == 0, F.lit(LABEL_INSIGNIFICANT)).otherwise(format_bytes(n))

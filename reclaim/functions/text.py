@@ -20,7 +20,7 @@ def field(col, sep: str, i: int) -> Column:
 
 
 def trim_chars(col, chars: str) -> Column:
-    """Strip every character of ``chars`` from both ends (Go ``strings.Trim``)."""
+    """Strip every character of ``chars`` from both ends."""
     return F.trim(_c(col), F.lit(chars))
 
 

@@ -13,7 +13,7 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reclaim.functions.format import status_label
+from reclaim.functions.format import result_message, status_label
 
 TOTAL_LABEL = "Total"
 
@@ -49,7 +49,8 @@ def run_report(statuses: DataFrame, per_seq: DataFrame, timings: Optional[DataFr
         r = r.withColumn("duration_s", F.lit(0.0))
     ran = ~F.col("skipped") & F.col("error").isNull()
     return r.select(
-        "seq", "name", status_label("skipped", "error").alias("status"), "error",
+        "seq", "name", status_label("skipped", "error").alias("status"),
+        result_message("skipped", "error").alias("message"), "error",
         F.when(ran, F.coalesce(F.col("files"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("files"),
         F.when(ran, F.coalesce(F.col("bytes"), F.lit(0))).otherwise(F.lit(0)).cast("long").alias("bytes"),
         F.coalesce(F.col("duration_s"), F.lit(0.0)).alias("duration_s"))

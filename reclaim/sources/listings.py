@@ -26,14 +26,14 @@ def csv_field(line, idx: int, sep: str = ",") -> Column:
 
 def ws_field(line, idx: int) -> Column:
     """A3: ``idx``-th whitespace-separated field; leading blanks ignored
-    (Go ``strings.Fields``, awk ``$n``)."""
+    (as a whitespace field split or awk ``$n`` does)."""
     return F.get(F.split(F.regexp_replace(_c(line), r"^\s+", ""), r"\s+"), idx)
 
 
 def explode_lines(df: DataFrame, text: str, out: str = "line") -> DataFrame:
-    """One row per line of a text block column."""
-    return df.withColumn(out, F.explode(lines(text))).drop(text) if text != out else \
-        df.withColumn(out, F.explode(lines(text)))
+    """One row per line of a text block column (the block column is replaced)."""
+    exploded = df.withColumn(out, F.explode(lines(text)))
+    return exploded if text == out else exploded.drop(text)
 
 
 def json_env_names(doc) -> Column:

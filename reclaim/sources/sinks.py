@@ -24,6 +24,13 @@ def write_plan(plan: DataFrame, path: str, partition_by: str | None = "rule",
     return path
 
 
+def write_report(report: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> str:
+    """The report (one row per rule or step, plus totals) as one small file set;
+    it is bounded by the rule table, so one partition is right."""
+    report.coalesce(1).write.mode(mode).format(fmt).save(path)
+    return path
+
+
 def read_plan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -235,3 +235,21 @@ def test_freed_between_per_key_and_global(spark):
     assert got == {("a", 1): 0, ("a", 2): 50, ("a", 3): 0, ("b", 1): 0, ("b", 5): 30, ("b", 9): 5}
     one = spark.createDataFrame([(1, 5), (2, 3), (4, 9)], "seq long, free long")
     assert {r.seq: r.freed for r in freed_between(one, None, "seq", "free").collect()} == {1: 0, 2: 0, 4: 6}
+
+
+def test_run_report_messages_and_report_sink(spark, tmp_path):
+    from reclaim.sources import write_report
+    st = spark.createDataFrame([(1, "a", True, None), (2, "b", False, "boom"), (3, "c", False, None)],
+                               "seq long, name string, skipped boolean, error string")
+    per = spark.createDataFrame([(3, 1, 10)], "seq long, files long, bytes long")
+    rep = run_report(st, per)
+    got = {r.name: r.message for r in rep.collect()}
+    assert got == {"a": "Skipped", "b": "Error during cleanup: boom", "c": "Cleanup completed successfully"}
+    out = write_report(rep, str(tmp_path / "report"))
+    assert spark.read.json(out).count() == 3
+
+
+def test_explode_lines(spark):
+    from reclaim.sources import explode_lines
+    df = spark.createDataFrame([(1, "a\nb\r\nc")], "id long, text string")
+    assert [r.line for r in explode_lines(df, "text").collect()] == ["a", "b", "c"]
