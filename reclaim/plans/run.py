@@ -49,12 +49,19 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
         raise ValueError("too many steps in one run")
 
     inv = inventory
+    present = None
     if host_tools is not None:
         inv = with_host_tools(inv, host_tools)
+        # rules whose tools are on no host are left out before the rule
+        # expression is built (the tool names are bounded by the tool catalogue)
+        present = {r["tool"] for r in host_tools.select("tool").distinct().limit(MAX_STEPS + 1).collect()}
     seen, active = set(), []
     for s in steps:
         rule = book[s["name"]]
         runs = not s["skipped"] and s["error"] is None and s["name"] not in seen
+        if runs and present is not None and rule.required_tools and not set(rule.required_tools) & present:
+            seen.add(s["name"])
+            continue
         if runs:
             seen.add(s["name"])
             pred = rule.predicate

@@ -19,6 +19,18 @@ from reclaim.functions.text import lines
 ENVS_SCHEMA = T.StructType([T.StructField("envs", T.ArrayType(T.StringType()))])
 
 
+def read_lines(spark, path: str, out: str = "line") -> DataFrame:
+    """A listing stored as text files: one row per line, with the file it came
+    from (``spark.read.text`` splits large files across tasks)."""
+    return spark.read.text(path).select(F.col("value").alias(out), F.input_file_name().alias("source"))
+
+
+def read_documents(spark, path: str, out: str = "doc") -> DataFrame:
+    """Listings stored one document per file (e.g. JSON output): one row per file."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias(out),
+                                                        F.input_file_name().alias("source"))
+
+
 def csv_field(line, idx: int, sep: str = ",") -> Column:
     """A2: ``idx``-th (0-based) field of a delimited line (``cut -d, -f idx+1``)."""
     return F.get(F.split(_c(line), re.escape(sep)), idx)

@@ -57,3 +57,13 @@ def test_lxc_and_gems(spark):
     gems = spark.createDataFrame([(1, "rake", "13.0.1"), (2, "rake", "13.0.10"), (3, "json", "2.1")],
                                  "id long, gem string, version string")
     assert [r.version for r in L.old_gems(gems).collect()] == ["13.0.1"]
+
+
+def test_read_listing_files(spark, tmp_path):
+    from reclaim.sources import read_documents, read_lines
+    (tmp_path / "snap.txt").write_text("Name  Version  Rev  Notes\ncore  16  100  disabled\ncore  16  101  -\n")
+    (tmp_path / "envs.json").write_text('{"envs": ["/c/envs/base",\n "/c/envs/env1"]}')
+    lines = read_lines(spark, str(tmp_path / "snap.txt"))
+    assert [(r.snap, r.revision) for r in L.snap_revisions(lines).collect()] == [("core", "100")]
+    docs = read_documents(spark, str(tmp_path / "envs.json")).withColumn("host", F.lit("h"))
+    assert [r.env for r in L.conda_envs(docs).collect()] == ["env1"]
