@@ -50,16 +50,16 @@ def cmake_flag(flag: str = "_cmake_marked") -> DirFlag:
 
 def wine_flag(home: str, as_of, days: int, flag: str = "_wine_old") -> DirFlag:
     """The row is in (or is) a directory ``$HOME/.wine*`` (depth 1) whose own
-    mtime is more than ``days`` days old.  The directory rows (with the newest
-    mtime below them) come from the inventory itself, from the rows inside such
-    directories only."""
-    from reclaim.sources.tables import directories
+    mtime is more than ``days`` days old.  The directory's row comes from the
+    inventory (its own mtime) or, when the inventory lists files only, is derived
+    from the rows inside it (newest mtime below)."""
+    from reclaim.sources.tables import directory_rows
     h = home.rstrip("/")
     rx = "^" + re.escape(h) + r"/\.wine[^/]*$"
 
     def dirs(inv: DataFrame) -> DataFrame:
-        inside = inv.filter(below(h) & F.col("path").rlike("^" + re.escape(h) + r"/\.wine[^/]*/"))
-        return (directories(inside)
+        inside = inv.filter(below(h) & F.col("path").rlike("^" + re.escape(h) + r"/\.wine[^/]*(/|$)"))
+        return (directory_rows(inside)
                 .filter(F.col("path").rlike(rx) & age_days_over(days, as_of, "mtime"))
                 .select("host", F.col("path").alias("dir")))
     return DirFlag(flag, h, dir_path_regex(rx), dirs, contents_only=False)

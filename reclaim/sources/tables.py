@@ -109,9 +109,21 @@ def directories(inventory: DataFrame) -> DataFrame:
             .select("host", "path", F.lit("d").alias("kind"), "mtime"))
 
 
+def directory_rows(inventory: DataFrame, kind: str = "kind") -> DataFrame:
+    """``(host, path, mtime)`` of every directory: the inventory's own directory
+    rows where it has them (a directory's own mtime, as ``find -mtime`` reads
+    it), derived ones (newest mtime below) for the rest."""
+    own = inventory.filter(F.col(kind) == "d").select("host", "path", "mtime")
+    derived = directories(inventory).select("host", "path", "mtime").join(own.select("host", "path"),
+                                                                          ["host", "path"], "left_anti")
+    return own.unionByName(derived)
+
+
 def with_directories(inventory: DataFrame) -> DataFrame:
-    """Files plus directory rows, same columns (dirs have null size/atime/id)."""
-    dirs = directories(inventory).select(
+    """Files plus directory rows, same columns (derived dirs have null
+    size/atime/id); directory rows already in the inventory are kept as they are."""
+    dirs = directories(inventory).join(inventory.filter(F.col("kind") == "d").select("host", "path"),
+                                       ["host", "path"], "left_anti").select(
         "host", "path", "kind", F.lit(None).cast("long").alias("size_bytes"), "mtime",
         F.lit(None).cast(inventory.schema["atime"].dataType).alias("atime"),
         F.lit(None).cast("long").alias("id"))

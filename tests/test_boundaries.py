@@ -253,3 +253,27 @@ def test_explode_lines(spark):
     from reclaim.sources import explode_lines
     df = spark.createDataFrame([(1, "a\nb\r\nc")], "id long, text string")
     assert [r.line for r in explode_lines(df, "text").collect()] == ["a", "b", "c"]
+
+
+def test_directory_rows_prefer_own_mtime(spark):
+    from reclaim.sources.tables import directory_rows, with_directories
+    t = dt.datetime(2024, 1, 1)
+    rows = [("h", "/home/u/d", "d", None, t, None, None),
+            ("h", "/home/u/d/f", "f", 1, t + dt.timedelta(days=5), None, 1)]
+    df = spark.createDataFrame(rows, "host string, path string, kind string, size_bytes long, "
+                                     "mtime timestamp_ntz, atime timestamp_ntz, id long")
+    got = {r.path: r.mtime for r in directory_rows(df).collect()}
+    assert got["/home/u/d"] == t and got["/home/u"] == t + dt.timedelta(days=5)
+    paths = [r.path for r in with_directories(df).filter("kind = 'd'").collect()]
+    assert sorted(paths) == ["/home", "/home/u", "/home/u/d"]
+
+
+def test_wine_flag_uses_directory_mtime(spark):
+    from reclaim.plans.catalogue import file_rulebook
+    old, new = dt.datetime(2023, 1, 1), dt.datetime(2024, 1, 30)
+    rows = [("h", "/root/.wine", "d", None, old, 1), ("h", "/root/.wine/drive_c/x", "f", 5, new, 2),
+            ("h", "/root/.wine2/y", "f", 5, new, 3), ("h", "/root/.winex/z", "f", 5, old, 4)]
+    df = spark.createDataFrame(rows, "host string, path string, kind string, size_bytes long, "
+                                     "mtime timestamp_ntz, id long").withColumn("atime", F.col("mtime"))
+    hits = first_match(df, file_rulebook(AS_OF).rules(["wine"]))
+    assert sorted(r.id for r in hits.collect()) == [1, 2, 4]
