@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclaim.functions.format import format_bytes, size_label
+from reclaim.functions.predicates import not_under
 from reclaim.operators.report import max_over_run, reclaim_by_rule, run_report
 from reclaim.operators.rules import Rule, RuleBook, first_match, prepare_all
 from reclaim.operators.selection import approval_gate, select_rules, tool_gate, with_host_tools
 
 MAX_STEPS = 10_000  # the rule table is configuration; a run never has more steps
+PROTECTED = ("/snap",)  # fixed value: the prefix the reference never walks into
 
 
 @dataclass
@@ -35,9 +37,13 @@ class RunResult:
 def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str = "", exclude: str = "",
         all_rules: bool = False, approvals: Optional[Iterable[tuple]] = None,
         host_tools: Optional[DataFrame] = None, errors: Optional[Iterable[tuple]] = None,
-        start_free_bytes: Optional[int] = None) -> RunResult:
+        start_free_bytes: Optional[int] = None, timings: Optional[DataFrame] = None,
+        protected: Iterable[str] = PROTECTED) -> RunResult:
     """``start_free_bytes`` (the free space before the run) caps the bytes share
-    at half of it, as the reference's report does; the shares may exceed 1."""
+    at half of it, as the reference's report does; the shares may exceed 1.
+    ``timings`` (``seq, duration_s``) fills the report's durations.  Rows below
+    a ``protected`` prefix are removed before any rule is evaluated (a
+    ``NOT StartsWith`` filter, which reaches the Parquet scan)."""
     cat = book.catalogue(spark)
     sel = select_rules(spark, cat, include=include, exclude=exclude, all_rules=all_rules)
     ap = spark.createDataFrame(list(approvals or []) or [("", "")], "name string, ans string")
@@ -49,6 +55,8 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
         raise ValueError("too many steps in one run")
 
     inv = inventory
+    for prefix in protected:
+        inv = inv.filter(not_under(prefix))
     present = None
     if host_tools is not None:
         inv = with_host_tools(inv, host_tools)
@@ -73,7 +81,7 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
     plan = plan.withColumn("seq", F.col("_step").cast("long")).drop("_step")
     plan = plan.join(F.broadcast(st.select("seq", F.col("name").alias("rule"))), ["seq"], "left")
     per = reclaim_by_rule(plan, rule="seq")
-    report = run_report(st, per).withColumn("freed", size_label("bytes"))
+    report = run_report(st, per, timings).withColumn("freed", size_label("bytes"))
     # D4 + E6 over the report (one row per step, so a window is right here)
     report = max_over_run(report, "bytes", out="max_bytes")
     report = max_over_run(report, "duration_s", out="max_duration_s")

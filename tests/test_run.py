@@ -49,3 +49,14 @@ def test_cli(spark, capsys):
     assert "cache" in out and "trash" in out
     assert main(["--inventory", path, "-i", "nope", "--approve-all"]) == 1
     assert main(["--inventory", path]) == 1
+
+
+def test_run_protects_snap_and_reports_durations(spark):
+    rows = [("h", "/snap/core/x.log", "f", 5, 1), ("h", "/home/u/a.log", "f", 7, 2)]
+    inv = spark.createDataFrame(rows, "host string, path string, kind string, size_bytes long, id long")
+    book = RuleBook([Rule("logs", F.col("path").endswith(".log"))])
+    t = spark.createDataFrame([(1, 2.5)], "seq long, duration_s double")
+    res = run(spark, inv, book, all_rules=True, timings=t)
+    assert [r.id for r in res.plan.collect()] == [2]
+    rep = res.report.collect()[0]
+    assert (rep.bytes, rep.duration_s, rep.duration_share) == (7, 2.5, 1.0)
