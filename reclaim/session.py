@@ -55,3 +55,25 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
+
+
+def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Settings for a run over ``input_bytes`` of inventory on a cluster.
+
+    Scan splits and shuffle partitions are sized so one task handles about
+    ``partition_bytes`` (fits executor memory with room to spill), AQE
+    coalesces small shuffle partitions towards the same size and splits skewed
+    ones (a partition five times the median and over 1 GiB).  At 100 TB this
+    gives ~400k shuffle partitions, capped at 100k (AQE coalesces further)."""
+    parts = max(200, min(100_000, input_bytes // partition_bytes + 1))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 ** 3),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
