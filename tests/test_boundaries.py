@@ -277,3 +277,20 @@ def test_wine_flag_uses_directory_mtime(spark):
                                      "mtime timestamp_ntz, id long").withColumn("atime", F.col("mtime"))
     hits = first_match(df, file_rulebook(AS_OF).rules(["wine"]))
     assert sorted(r.id for r in hits.collect()) == [1, 2, 4]
+
+
+def test_dir_glob_above_root_is_not_a_match(spark):
+    from reclaim.operators import dir_path_glob, under_dir
+    df = spark.createDataFrame([("/home/u1/a/f", "f"), ("/home/u2/f", "f")], "path string, kind string")
+    # "/home" is above the root: no directory at or below /home/u1 is called that
+    assert df.filter(under_dir("/home/u1", dir_path_glob("/home"))).count() == 0
+    got = [r.path for r in df.filter(under_dir("/home/u1", dir_path_glob("*/a"))).collect()]
+    assert got == ["/home/u1/a/f"]
+
+
+def test_dir_contents_nested_matches_count_in_each(spark):
+    from reclaim.operators import dir_contents, named
+    rows = [("h", "/home/u/.cache/x/.cache/f", 10), ("h", "/home/u/.cache/g", 5)]
+    df = spark.createDataFrame(rows, "host string, path string, size_bytes long")
+    got = {(r.dir, r.files, r.bytes) for r in dir_contents(df, "/home", named(".cache")).collect()}
+    assert got == {("/home/u/.cache", 2, 15), ("/home/u/.cache/x/.cache", 1, 10)}
