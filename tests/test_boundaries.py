@@ -294,3 +294,24 @@ def test_dir_contents_nested_matches_count_in_each(spark):
     df = spark.createDataFrame(rows, "host string, path string, size_bytes long")
     got = {(r.dir, r.files, r.bytes) for r in dir_contents(df, "/home", named(".cache")).collect()}
     assert got == {("/home/u/.cache", 2, 15), ("/home/u/.cache/x/.cache", 1, 10)}
+
+
+def test_autotools_names_files_dirs_and_subtrees(spark):
+    from reclaim.plans.catalogue import AUTOTOOLS_NAMES, file_rulebook
+    rows = [(i, f"/home/u/p/{n}", "f" if i % 2 else "d") for i, n in enumerate(AUTOTOOLS_NAMES)]
+    rows += [(100, "/home/u/p/.deps/x.Po", "f"), (101, "/home/u/p/configure", "f"), (102, "/opt/p/config.log", "f")]
+    df = spark.createDataFrame(rows, "id long, path string, kind string")
+    got = sorted(r.id for r in first_match(df, file_rulebook(AS_OF).rules(["autotools"])).collect())
+    assert got == list(range(len(AUTOTOOLS_NAMES))) + [100]
+
+
+def test_tool_gate_modes(spark):
+    from reclaim.operators import tool_gate, with_host_tools
+    inv = spark.createDataFrame([("h0", 1), ("h1", 2), ("h2", 3), ("h3", 4)], "host string, id long")
+    ht = spark.createDataFrame([("h0", "mysql"), ("h1", "mariadb"), ("h2", "docker")], "host string, tool string")
+    i = with_host_tools(inv, ht)
+    pick = lambda c: sorted(r.id for r in i.filter(c).collect())
+    assert pick(tool_gate(["mysql", "mariadb"])) == [1, 2]      # either of two
+    assert pick(tool_gate(["docker"])) == [3]                   # one
+    assert pick(tool_gate(["vagrant"])) == []                   # none
+    assert pick(tool_gate([])) == [1, 2, 3, 4]                  # no requirement
