@@ -84,7 +84,7 @@ def prepare_all(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     rule in one split of the inventory, then any custom ``prepare`` step."""
     from reclaim.operators.tree import mark_dirs
     rules = list(rules)
-    flags, names = [], set()
+    flags, names = [], set(df.columns)  # a flag already on the frame is not added twice
     for r in rules:
         for fl in r.flags:
             if fl.flag not in names:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from reclaim.functions.format import format_bytes, size_label
 from reclaim.functions.predicates import not_under
 from reclaim.operators.report import max_over_run, reclaim_by_rule, run_report
-from reclaim.operators.rules import Rule, RuleBook, first_match, prepare_all
+from reclaim.operators.rules import Rule, RuleBook, first_match
 from reclaim.operators.selection import approval_gate, select_rules, tool_gate, with_host_tools
 
 MAX_STEPS = 10_000  # the rule table is configuration; a run never has more steps
@@ -76,7 +76,6 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
             if host_tools is not None:
                 pred = pred & tool_gate(rule.required_tools)
             active.append(Rule(str(s["seq"]), pred, prepare=rule.prepare, roots=rule.roots, flags=rule.flags))
-    inv = prepare_all(inv, active)
     plan = first_match(inv, active, out="_step") if active else inv.limit(0).withColumn("_step", F.lit(None))
     plan = plan.withColumn("seq", F.col("_step").cast("long")).drop("_step")
     plan = plan.join(F.broadcast(st.select("seq", F.col("name").alias("rule"))), ["seq"], "left")

@@ -60,3 +60,13 @@ def test_run_protects_snap_and_reports_durations(spark):
     assert [r.id for r in res.plan.collect()] == [2]
     rep = res.report.collect()[0]
     assert (rep.bytes, rep.duration_s, rep.duration_share) == (7, 2.5, 1.0)
+
+
+def test_run_all_rules_matches_catalogue_run(spark):
+    from reclaim.plans.catalogue import file_rulebook
+    from reclaim.plans.queries import q_catalogue_run
+    book = file_rulebook(AS_OF)
+    res = run(spark, load_inventory(spark, SF), book, all_rules=True, approvals=[(n, "y") for n in book.names()])
+    got = {(r.name, r.files, r.bytes) for r in res.report.collect() if r.files}
+    want = {(r.rule, r.files, r.bytes) for r in q_catalogue_run(spark, SF).collect() if r.rule != "Total"}
+    assert got == want and got
