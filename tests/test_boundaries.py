@@ -315,3 +315,31 @@ def test_tool_gate_modes(spark):
     assert pick(tool_gate(["docker"])) == [3]                   # one
     assert pick(tool_gate(["vagrant"])) == []                   # none
     assert pick(tool_gate([])) == [1, 2, 3, 4]                  # no requirement
+
+
+def test_union_step_frames_dedupes_on_key(spark):
+    from reclaim.operators import union_step_frames
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, path string")
+    b = spark.createDataFrame([(2, "y"), (3, "z")], "id long, path string")
+    assert sorted(r.id for r in union_step_frames([a, b], "id").collect()) == [1, 2, 3]
+
+
+def test_dir_name_glob_and_depth(spark):
+    from reclaim.functions import depth_is
+    from reclaim.operators import dir_name_glob, under_dir
+    rows = [("/root/.wine/drive_c/f", "f"), ("/root/.wine", "d"), ("/root/x/.wine2/f", "f"), ("/root/.winex", "f")]
+    df = spark.createDataFrame(rows, "path string, kind string")
+    sub = sorted(r.path for r in df.filter(under_dir("/root", dir_name_glob(".wine*"), contents_only=False)).collect())
+    assert sub == ["/root/.wine", "/root/.wine/drive_c/f", "/root/x/.wine2/f"]
+    assert sorted(r.path for r in df.filter(depth_is("/root", 1)).collect()) == ["/root/.wine", "/root/.winex"]
+
+
+def test_over_budget_running_and_first_match_seq(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, t + dt.timedelta(minutes=2), 5), (2, t + dt.timedelta(minutes=1), 5),
+                                (3, t, 5)], "id long, ts timestamp_ntz, size long")
+    got = {r.id: (r.drop, r.run) for r in over_budget(df, None, "ts", 7, "size", running="run").collect()}
+    assert got == {1: (False, 5), 2: (True, 10), 3: (True, 15)}
+    rules = [Rule("a", F.col("id") > 2), Rule("b", F.col("id") > 1), Rule("c", F.lit(True))]
+    hits = {r.id: (r.rule, r.seq) for r in first_match(df, rules, seq="seq").collect()}
+    assert hits == {1: ("c", 3), 2: ("b", 2), 3: ("a", 1)}

@@ -38,3 +38,12 @@ def test_stream_plan_equals_batch(spark):
     got_t = {(r.rule, r.files, r.bytes) for r in spark.sql(f"SELECT * FROM {name}").collect()}
     want_t = {(r.rule, r.files, r.bytes) for r in reclaim_by_rule(first_match(batch, five_rules())).collect()}
     assert got_t == want_t
+
+
+def test_stream_refuses_rules_needing_directory_rows(spark):
+    from reclaim.plans.catalogue import file_rulebook
+    from reclaim.plans.queries import AS_OF
+    src = materialized_inventory_path(spark, SF)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    with pytest.raises(ValueError):
+        plan_stream(stream, file_rulebook(AS_OF).rules(["cmake"]))
