@@ -343,3 +343,26 @@ def test_over_budget_running_and_first_match_seq(spark):
     rules = [Rule("a", F.col("id") > 2), Rule("b", F.col("id") > 1), Rule("c", F.lit(True))]
     hits = {r.id: (r.rule, r.seq) for r in first_match(df, rules, seq="seq").collect()}
     assert hits == {1: ("c", 3), 2: ("b", 2), 3: ("a", 1)}
+
+
+def test_capped_share_global_and_max_over_run(spark):
+    from reclaim.operators import max_over_run
+    df = spark.createDataFrame([("r1", 2.0), ("r1", 8.0), ("r2", 4.0)], "run string, v double")
+    got = sorted((r.v, r.share) for r in capped_share(df, "v", 100.0).collect())
+    assert got == [(2.0, 0.25), (4.0, 0.5), (8.0, 1.0)]
+    per = {(r.run, r.v): r.max_v for r in max_over_run(df, "v", run="run").collect()}
+    assert per == {("r1", 2.0): 8.0, ("r1", 8.0): 8.0, ("r2", 4.0): 4.0}
+
+
+def test_named_dir_contents_skip_hidden(spark):
+    from reclaim.operators import named, under_dir
+    rows = [("/home/u/box/a", "f"), ("/home/u/box/.h/b", "f"), ("/home/u/box/sub/.h", "f"), ("/home/u/box", "d")]
+    df = spark.createDataFrame(rows, "path string, kind string")
+    got = sorted(r.path for r in df.filter(under_dir("/home", named("box"), skip_hidden=True)).collect())
+    assert got == ["/home/u/box/a", "/home/u/box/sub/.h"]
+
+
+def test_exclude_unknown_name_is_an_error(spark):
+    cat = _book().catalogue(spark)
+    with pytest.raises(SelectionError, match="invalid cleanup type: zz"):
+        select_rules(spark, cat, exclude="b,zz")

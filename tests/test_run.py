@@ -70,3 +70,15 @@ def test_run_all_rules_matches_catalogue_run(spark):
     got = {(r.name, r.files, r.bytes) for r in res.report.collect() if r.files}
     want = {(r.rule, r.files, r.bytes) for r in q_catalogue_run(spark, SF).collect() if r.rule != "Total"}
     assert got == want and got
+
+
+def test_cli_exclude_with_answers(spark, capsys):
+    from reclaim.__main__ import main
+    path = materialized_inventory_path(spark, SF)
+    rc = main(["--inventory", path, "-x", "home,python", "--approve", "cache=y", "--approve", "trash=n",
+               "--as-of", AS_OF.isoformat()])
+    out = capsys.readouterr().out
+    assert rc == 0
+    lines = {ln.split("|")[2].strip(): ln.split("|")[3].strip() for ln in out.splitlines() if ln.count("|") >= 5}
+    assert lines["cache"] == "Success" and lines["trash"] == "Skipped" and lines["user_logs"] == "Skipped"
+    assert "home" not in lines and "python" not in lines
