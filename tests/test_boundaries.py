@@ -366,3 +366,29 @@ def test_exclude_unknown_name_is_an_error(spark):
     cat = _book().catalogue(spark)
     with pytest.raises(SelectionError, match="invalid cleanup type: zz"):
         select_rules(spark, cat, exclude="b,zz")
+
+
+def test_glob_classes_and_escapes(spark):
+    from reclaim.functions import glob_to_regex
+    rows = [("/a/f1.log",), ("/a/fx.log",), ("/a/xb",), ("/a/xa",), ("/a/q*z",), ("/a/qyz",)]
+    df = spark.createDataFrame(rows, "path string")
+    pick = lambda globs: sorted(r.path for r in df.filter(name_glob_any(globs)).collect())
+    assert pick(["f[0-9].log"]) == ["/a/f1.log"]
+    assert pick(["x[!a]"]) == ["/a/xb"]
+    assert pick(["q\\*z"]) == ["/a/q*z"]
+    assert glob_to_regex("*.tmp") == r"^.*\.tmp$"
+
+
+def test_dir_contents_skip_hidden_counts(spark):
+    from reclaim.operators import dir_contents, named
+    rows = [("h", "/home/u/box/a", 1), ("h", "/home/u/box/.h/b", 2), ("h", "/home/u/box/s/c", 4)]
+    df = spark.createDataFrame(rows, "host string, path string, size_bytes long")
+    got = [(r.dir, r.files, r.bytes) for r in dir_contents(df, "/home", named("box"), skip_hidden=True).collect()]
+    assert got == [("/home/u/box", 2, 5)]
+
+
+def test_scale_conf_sizes():
+    from reclaim.session import scale_conf
+    assert scale_conf(10 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "200"
+    assert scale_conf(100 * 1024 ** 4)["spark.sql.shuffle.partitions"] == "100000"
+    assert scale_conf(1024 ** 4)["spark.sql.shuffle.partitions"] == str(1024 ** 4 // (256 * 1024 ** 2) + 1)
