@@ -347,3 +347,33 @@ hits AS (SELECT CASE """ + " ".join(f"WHEN {R_ALL[n]} THEN '{n}'" for n in sorte
                 size_bytes FROM inv_p)""",
     """SELECT CASE WHEN grouping(rule) = 1 THEN 'Total' ELSE rule END AS rule, count(*) AS files,
        CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM hits WHERE rule IS NOT NULL GROUP BY ROLLUP (rule)""")
+
+
+# -- §2.10 listing and log cleaners --------------------------------------------
+SQL["kernels"] = """SELECT p_type AS host, 'linux-image-5.4.0-' || CAST(p_size AS VARCHAR) || '-generic' AS package,
+       'kernels' AS rule
+FROM part p
+WHERE p_size < 25 AND EXISTS (SELECT 1 FROM part q WHERE q.p_type IS NOT DISTINCT FROM p.p_type AND q.p_size = 25)"""
+
+SQL["snap_revisions"] = """SELECT 'snap' || CAST(o_custkey % 10 AS VARCHAR) AS snap, CAST(o_orderkey AS VARCHAR) AS revision,
+       'snap' AS rule
+FROM orders WHERE o_orderstatus = 'F' AND o_custkey IS NOT NULL AND o_orderkey IS NOT NULL"""
+
+SQL["journal"] = f"""WITH j AS (SELECT event_id AS id, 'h' || CAST(user_id % 4 AS VARCHAR) AS host, ts,
+                  CAST(floor(value * 104857) AS BIGINT) AS size_bytes FROM events)
+SELECT 'logs' AS rule, id FROM j WHERE ts < {AS_OF} - INTERVAL 3 DAY
+UNION ALL
+SELECT 'journal' AS rule, id FROM (
+  SELECT id, sum(size_bytes) OVER (PARTITION BY host ORDER BY ts DESC NULLS LAST, id DESC
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM j)
+WHERE run > 104857600"""
+
+SQL["ruby_gems"] = """SELECT gem, version, id, 'ruby' AS rule FROM (
+  SELECT source AS gem, CAST(n_chars % 50 AS VARCHAR) || '.' || CAST(doc_id % 7 AS VARCHAR) AS version, doc_id AS id,
+         row_number() OVER (PARTITION BY source ORDER BY n_chars % 50 DESC, doc_id % 7 DESC, doc_id DESC) AS rn
+  FROM documents)
+WHERE rn > 1"""
+
+SQL["lxc_images"] = """SELECT 'img' || CAST(p_partkey AS VARCHAR) AS image, 'lxc_lxd' AS rule FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_returnflag = 'R' AND l.l_linenumber = 1
+                                             AND l.l_partkey = p.p_partkey)"""

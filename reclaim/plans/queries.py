@@ -433,6 +433,59 @@ def q_catalogue_run(spark, sf):
     return with_grand_total(first_match(inv(spark, sf), book.rules(book.names())))
 
 
+# -- §2.10 listing and log cleaners, over listings derived from the given tables --
+KERNEL_CURRENT = "5.4.0-25-generic"
+JOURNAL_SIZE_FACTOR = 104857  # entry bytes = value * this (about value / 10 MiB)
+
+
+def q_kernels(spark, sf):
+    from reclaim.plans import listing_rules as L
+    p = read_table(spark, sf, "part", ["p_type", "p_size"])
+    listing = p.select(F.col("p_type").alias("host"),
+                       F.concat(F.lit("ii  linux-image-5.4.0-"), F.col("p_size").cast("string"),
+                                F.lit("-generic  5.4.0  amd64  Linux kernel image")).alias("line"))
+    return L.kernels(listing, KERNEL_CURRENT).select("host", "package", "rule")
+
+
+def q_snap_revisions(spark, sf):
+    from reclaim.plans import listing_rules as L
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+    line = F.concat(F.lit("snap"), (F.col("o_custkey") % 10).cast("string"), F.lit("  1.0  "),
+                    F.col("o_orderkey").cast("string"), F.lit("  "),
+                    F.when(F.col("o_orderstatus") == "F", F.lit("disabled")).otherwise(F.lit("-")))
+    return L.snap_revisions(o.select(line.alias("line"))).select("snap", "revision", "rule")
+
+
+def q_journal(spark, sf):
+    from reclaim.plans import listing_rules as L
+    e = read_table(spark, sf, "events", ["event_id", "user_id", "ts", "value"])
+    entries = e.select(F.col("event_id").alias("id"),
+                       F.concat(F.lit("h"), (F.col("user_id") % 4).cast("string")).alias("host"), "ts",
+                       F.floor(F.col("value") * JOURNAL_SIZE_FACTOR).cast("long").alias("size_bytes"))
+    return L.journal(entries, AS_OF).select("rule", "id")
+
+
+def q_ruby_gems(spark, sf):
+    from reclaim.plans import listing_rules as L
+    d = read_table(spark, sf, "documents", ["doc_id", "source", "n_chars"])
+    gems = d.select(F.col("doc_id").alias("id"), F.col("source").alias("gem"),
+                    F.concat((F.col("n_chars") % 50).cast("string"), F.lit("."),
+                             (F.col("doc_id") % 7).cast("string")).alias("version"))
+    return L.old_gems(gems).select("gem", "version", "id", "rule")
+
+
+def q_lxc_images(spark, sf):
+    from reclaim.plans import listing_rules as L
+    p = read_table(spark, sf, "part", ["p_partkey", "p_brand"])
+    image_csv = p.select(F.concat(F.lit("img"), F.col("p_partkey").cast("string"), F.lit(","),
+                                  F.col("p_brand"), F.lit(",x")).alias("line"))
+    # containers: the first line of returned orders refers to an image by part key
+    used = (read_table(spark, sf, "lineitem", ["l_partkey", "l_returnflag", "l_linenumber"])
+            .filter((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1))
+            .select(F.concat(F.lit("img"), F.col("l_partkey").cast("string")).alias("image")))
+    return L.lxc_images(image_csv, used).select("image", "rule")
+
+
 QUERIES: dict[str, Q] = {
     "scan_roots": q_scan_roots,
     "listing_csv_first": q_listing_csv_first,
@@ -488,4 +541,9 @@ QUERIES: dict[str, Q] = {
     "custom_rule": q_custom_rule,
     "user_logs": q_user_logs,
     "catalogue_run": q_catalogue_run,
+    "kernels": q_kernels,
+    "snap_revisions": q_snap_revisions,
+    "journal": q_journal,
+    "ruby_gems": q_ruby_gems,
+    "lxc_images": q_lxc_images,
 }
