@@ -153,11 +153,28 @@ def matching_ancestors(root: str, test: DirTest, contents_only: bool = True,
         return t
 
     scope = below(root, path) if contents_only else at_or_below(root, path)
-    return F.when(scope, F.transform(F.filter(ks, keep),
-                                     lambda k: F.array_join(F.slice(parts, 1, k), "/"))) \
+    return F.when(scope & _may_match(root, test, contents_only, path),
+                  F.transform(F.filter(ks, keep), lambda k: F.array_join(F.slice(parts, 1, k), "/"))) \
         .otherwise(F.array().cast("array<string>"))
 
 
+def _may_match(root: str, test: DirTest, contents_only: bool, path: str) -> Column:
+    """A cheap, generated-code test that is true for every row with a matching
+    directory (it may be true for others): most rows of an inventory have none,
+    and they skip the per-ancestor evaluation."""
+    if test.names is not None:
+        parts = path_parts(path)
+        n = F.size(parts)
+        r = root_len(root)
+        names = F.array(*[F.lit(x) for x in test.names])
+        # parts r .. n (the row's own name too, for directory rows in subtree mode)
+        return F.coalesce(F.arrays_overlap(F.slice(parts, r, F.greatest(n - r + 1, F.lit(0))), names),
+                          F.lit(False))
+    if test.regex is not None and _regex_exact_below(root, test.regex):
+        return _c(path).rlike("^(?:" + test.regex + ")(?:/.*)?$")
+    return F.lit(True)
+
+
 def dir_contents(inventory: DataFrame, root: str, test: DirTest, contents_only: bool = True,
                  skip_hidden: bool = False, by_host: bool = True, size: str = "size_bytes") -> DataFrame:
     """C2 per directory: files and bytes held by each matching directory.
