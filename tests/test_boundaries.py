@@ -392,3 +392,14 @@ def test_scale_conf_sizes():
     assert scale_conf(10 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "200"
     assert scale_conf(100 * 1024 ** 4)["spark.sql.shuffle.partitions"] == "100000"
     assert scale_conf(1024 ** 4)["spark.sql.shuffle.partitions"] == str(1024 ** 4 // (256 * 1024 ** 2) + 1)
+
+
+def test_empty_inputs(spark):
+    from reclaim.operators import freed_between, global_row_number
+    empty = spark.createDataFrame([], "id long, k string, ts timestamp_ntz, size long")
+    assert over_budget(empty, "k", "ts", 10, "size").count() == 0
+    assert over_budget(empty, None, "ts", 10, "size", edge_rows_limit=0).count() == 0
+    assert drop_all_but_latest(empty, "k", "ts", 3).count() == 0
+    assert global_row_number(empty, [F.col("id")]).count() == 0
+    readings = spark.createDataFrame([], "seq long, free long")
+    assert freed_between(readings, None, "seq", "free").count() == 0
