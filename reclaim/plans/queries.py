@@ -22,7 +22,7 @@ from reclaim.functions.text import field
 from reclaim.operators import (Rule, RuleBook, all_hits, before_current, capped_share,
                                dir_contents, dir_path_regex, drop_all_but_latest, drop_last_n,
                                first_match, freed_between, named, ordered_catalogue,
-                               over_budget, reclaim_by_rule, scan_roots, select_rules,
+                               over_budget, reclaim_by_rule, scan_roots,
                                superseded, tool_gate, under_dir, under_marked_dirs, union_steps,
                                unreferenced, with_grand_total, with_host_tools)
 from reclaim.operators.order import global_row_number
@@ -262,16 +262,10 @@ def q_select_include(spark, sf):
 
 
 def q_select_exclude(spark, sf):
+    from reclaim.plans.run import run
     book = six_rules()
-    cat = book.catalogue(spark)
-    sel = select_rules(spark, cat, exclude=SELECT_EXCLUDE)
-    names = [r["name"] for r in sel.orderBy("seq").collect()]
-    rules = [Rule(str(i), book[n].predicate) for i, n in enumerate(names, 1)]
-    hits = first_match(inv(spark, sf), rules, out="_step")
-    per = reclaim_by_rule(hits, rule="_step").select(F.col("_step").cast("long").alias("seq"), "files", "bytes")
-    return sel.join(per, ["seq"], "left").select(
-        "seq", "name", F.coalesce("files", F.lit(0)).cast("long").alias("files"),
-        F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+    res = run(spark, inv(spark, sf), book, exclude=SELECT_EXCLUDE, approvals=[(n, "y") for n in book.names()])
+    return res.report.select("seq", "name", "files", "bytes")
 
 
 # -- 2.4 aggregations -------------------------------------------------------------
