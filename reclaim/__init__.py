@@ -5,6 +5,6 @@ Inventories, listings and logs arrive as DataFrames; retention rules are Spark
 and a report of files and bytes per rule.  Nothing is deleted anywhere.
 """
 
-from reclaim.session import get_spark, checkpoint_dir
+from reclaim.session import get_spark, checkpoint_dir, scale_conf
 
-__all__ = ["get_spark", "checkpoint_dir"]
+__all__ = ["get_spark", "checkpoint_dir", "scale_conf"]
