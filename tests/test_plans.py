@@ -60,3 +60,11 @@ def test_dir_contents_has_no_join(spark):
 def test_capped_share_has_no_window(spark):
     p = plan_of(spark, "capped_share")
     assert "Window" not in p
+
+
+def test_catalogue_run_scans_stay_few(spark):
+    # pass-through branch, candidate branch, marker lookups, wine directory rows: a fixed
+    # number of column-pruned scans whatever the number of rules
+    p = plan_of(spark, "catalogue_run")
+    assert p.count("FileScan") <= 8
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
