@@ -33,16 +33,18 @@ def normalised(text_col: str) -> Column:
     return F.regexp_replace(text_of(text_col), SPACE, " ")
 
 
-def _sorted_names(distinct: DataFrame, order: list[str], label: str) -> DataFrame:
+def _sorted_names(distinct: DataFrame, order: list[str], split: list[str], label: str) -> DataFrame:
     """Give each row of ``distinct`` an integer name in sort order.  The name is
-    the row's place in its range partition; writing the table fixes it."""
-    ranged = distinct.repartitionByRange(*order).sortWithinPartitions(*order)
+    the row's place in its range partition; writing the table fixes it.  The
+    ranges are found from ``split``, the leading columns, so that their sample
+    holds no block texts."""
+    ranged = distinct.repartitionByRange(*split).sortWithinPartitions(*order)
     return stage(ranged.withColumn("name", F.monotonically_increasing_id()), label)
 
 
 def _block_names(blocks: DataFrame) -> DataFrame:
     """(row, idx, h, block) -> (row, idx, name), equal names for equal blocks."""
-    names = _sorted_names(blocks.select("h", "block").distinct(), ["h", "block"], "names")
+    names = _sorted_names(blocks.select("h", "block").distinct(), ["h", "block"], ["h"], "names")
     alone = stage(names.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("name")), "hashes")
     # one block to a hash, as good as always: the hash stands for it
     named = blocks.select("row", "idx", "h").join(alone.filter("n = 1").drop("n"), "h").select("row", "idx", "name")
@@ -75,7 +77,7 @@ def name_documents(rows: DataFrame) -> DataFrame:
             F.max(F.when(F.col("idx") % 2 == 1, F.col("name"))).alias("r"))
             .withColumn("n_blocks", F.shiftright(F.col("n_blocks") + 1, 1))
             .withColumn("r", F.coalesce("r", F.lit(-1))), "pairs")
-        new = _sorted_names(pairs.select("l", "r").distinct(), ["l", "r"], "names")
+        new = _sorted_names(pairs.select("l", "r").distinct(), ["l", "r"], ["l", "r"], "names")
         names = stage(pairs.join(new, ["l", "r"]).select("row", "idx", "n_blocks", "name"), "level")
         level, longest = level + 1, (longest + 1) // 2
     out = names.select("row", F.lit(level).alias("level"), "name")

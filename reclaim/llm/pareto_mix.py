@@ -8,9 +8,9 @@ their id and are ranked by random odds over inclusion odds,
 source's words last: a sample of fixed size (in words) with unequal
 probabilities, the same at every run.
 
-The last document that fits leaves a gap smaller than the next one.  It is
-filled in ``FILLS`` steps, each by the largest document left that fits, the
-first in rank of equals.
+The last document that fits leaves a gap smaller than the next one.  In up to
+``FILLS`` steps the document left whose size is nearest to the gap is taken too,
+if that brings the words nearer to the target, the first in rank of equals.
 
 No source is ranked in one task: ranks fall into ``BINS`` bins, sizes are
 summed by bin before the shuffle, and only the one bin of each source in which
@@ -108,9 +108,10 @@ def cuts(rows: DataFrame, want: DataFrame, bins: int = BINS, fills: int = FILLS)
         F.array().cast("array<struct<q:double,k:string>>").alias("fills"))
     state = stage(state, "cuts")
     for _ in range(fills):
-        best = (units.drop("bin").join(state, "g").filter(~is_taken() & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
-                .groupBy("g").agg(F.max(F.struct("size", (-F.col("q")).alias("nq"), "k")).alias("best")))
-        more = F.array(F.struct((-F.col("best.nq")).alias("q"), F.col("best.k").alias("k")))
+        off = F.abs(F.col("gap") - F.col("size"))
+        best = (units.drop("bin").join(state, "g").filter(~is_taken(bins) & (F.col("size") > 0) & (off < F.col("gap")))
+                .groupBy("g").agg(F.min(F.struct(off.alias("off"), "q", "k", "size")).alias("best")))
+        more = F.array(F.struct("best.q", "best.k"))
         state = stage(state.join(best, "g", "left").select(
             "g", "bin", "cut_q", "cut_k", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
             F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.concat("fills", more)).alias("fills")), "cuts")
