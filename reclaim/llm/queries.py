@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclaim.llm import (block_naming, language_id, line_windows, ordinal_quality, packing, pareto_mix, secret_scan,
-                         simhash_ring, toxicity)
+from reclaim.llm import (block_naming, collision_counting, language_id, line_windows, ordinal_quality, packing, pareto_mix,
+                         secret_scan, simhash_ring, toxicity)
 from reclaim.llm.common import held_out
 
 
@@ -54,6 +54,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_counting.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_ring.near_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -71,6 +75,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_secret_scan, op3_language_id, op4_ordinal_quality, op5_pareto_mix,
-    op6_block_naming, op7_packing, op9_simhash, op10_line_windows, pipeline)}
+    op6_block_naming, op7_packing, op8_collision_counting, op9_simhash, op10_line_windows, pipeline)}
 
 ORACLE: dict[str, str] = {}
