@@ -1,0 +1,344 @@
+"""Language ID, mixing, packing, secrets, toxicity and quality."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from reclaim.llm import language_id, ordinal_quality, packing, pareto_mix, secret_scan, toxicity
+from tests.llm.fixtures import SF, documents, held_out, invented, sha, words
+
+
+# ----------------------------------------------------------------- language
+def test_language_id_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(docs, language_id.learn(docs)).filter(language_id.held_out("doc_id")).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+    assert sum(r.rejected for r in got) <= 0.02 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_id_never_learns_from_held_out_rows(spark):
+    rows = [(i, "nothing but this language here", "xx", "s") for i in range(200) if held_out(i)]
+    rows += [(i, "altogether different words there", "yy", "s") for i in range(200) if not held_out(i)]
+    assert set(language_id.learn(documents(spark, rows))) == {"yy"}
+
+
+def test_language_id_edge_cases(spark):
+    docs = documents(spark)
+    content = {"a": b"one two three four five", "b": "日本語 の 言葉".encode()}
+    got = language_id.identify(docs, content)
+    assert got.columns == docs.columns  # its three names were there, and are replaced
+    for r in got.collect():
+        letters = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred == "und") == (not letters) and (letters or (r.rejected and r.score == 0))
+    assert {r.lang_pred for r in language_id.identify(docs, {}).collect()} == {"und"}
+    kept = language_id.keep_identified(docs, content)
+    assert kept.columns == docs.columns and {r.lang_pred for r in kept.collect()} == {"x"}
+    assert language_id.learn(documents(spark, [])) == {}
+
+
+# ------------------------------------------------------------------- mixing
+def brute_targets(sizes, weights=(1, 2, 3), top=3):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    capped, total = {}, sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in capped]
+        share = (total - sum(capped.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if weight[s] * share > top * sizes[s]]
+        if not over:
+            return {s: capped.get(s, weight[s] * share) for s in names}
+        capped |= {s: top * sizes[s] for s in over}
+
+
+def mixed(spark, rows):
+    return {(r.doc_id, r.size): r for r in pareto_mix.Mix(documents(spark, rows)).decisions().collect()}
+
+
+@pytest.mark.parametrize("skew", [1, 12])
+def test_mix_meets_its_targets(spark, skew):
+    rng = random.Random(skew)
+    rows = [(i, "w " * rng.randint(0, 60), "en", None if i % 29 == 0 else f"s{min(int(rng.expovariate(0.3) * skew) % 9, 7)}")
+            for i in range(1500)]
+    got = mixed(spark, rows)
+    assert len(got) == len({(i, len(words(t))) for i, t, *_ in rows})
+    source = {i: s for i, _, _, s in rows}
+    sizes = {}
+    for i, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(words(t))
+    want, taken = brute_targets(sizes), {}
+    for r in got.values():
+        assert r.source_size == sizes[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6
+        assert r.taken == r.n_copies * r.size <= 3 * r.size
+        # certain whole copies, then at most one drawn
+        assert int(r.target / r.source_size) <= r.n_copies <= -(-r.target // r.source_size)
+        taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= 0.01 * t + 2, (s, taken[s], t)
+    again = mixed(spark, rows)
+    assert {k: r.taken for k, r in got.items()} == {k: r.taken for k, r in again.items()}
+
+
+def test_pareto_ranks_by_random_odds_over_inclusion_odds(spark):
+    """Unequal probabilities: over many draws each document comes as often as its p."""
+    p = {0: 0.1, 1: 0.3, 2: 0.5, 3: 0.7, 4: 0.9, 5: 0.5}
+    rows = [(f"g{draw}", f"{draw}-{i}", p[i], 10) for draw in range(400) for i in p]
+    frame = spark.createDataFrame(rows, "g string, k string, copies double, size bigint")
+    drawn = pareto_mix.with_odds(frame)
+    want = frame.groupBy("g").agg((F.sum(F.col("copies") * F.col("size")) + 0.01).alias("words"))
+    cut = pareto_mix.cuts(drawn, want, bins=16)
+    got = drawn.join(cut, "g").filter(pareto_mix.is_taken(16)).collect()
+    assert all(n == 3 for n in pd.Series([r.g for r in got]).value_counts())  # fixed size: sum of p
+    rate = pd.Series([r.k.split("-")[1] for r in got]).value_counts() / 400
+    assert all(abs(rate[str(i)] - v) < 0.08 for i, v in p.items())
+
+
+def test_mix_edge_cases(spark):
+    docs = documents(spark)
+    mix = pareto_mix.Mix(docs)
+    got = mix.decisions().collect()
+    assert len(got) == docs.count()
+    out = mix.apply(docs)
+    assert out.columns == docs.columns and out.count() == sum(r.n_copies for r in got)
+    assert pareto_mix.Mix(documents(spark, [])).decisions().count() == 0
+    nothing = pareto_mix.Mix(documents(spark, [(1, None, "en", "a"), (2, "", "en", None)])).decisions().collect()
+    assert [(r.target, r.taken) for r in nothing] == [(0.0, 0)] * 2
+
+
+# ------------------------------------------------------------------ packing
+def check_packing(rows, got, capacity, ids_of):
+    by_doc, by_sequence = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for s in by_sequence.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == np.cumsum([0] + [r.length for r in s[:-1]]).tolist()
+        assert sum(r.length for r in s) <= capacity
+    want = {}
+    for i, t, *_ in rows:
+        ids, a = ids_of(t), 0
+        for p in range(-(-len(ids) // capacity)):
+            z = len(ids) - (-(-len(ids) // capacity) - 1 - p) * capacity
+            want.setdefault(i, []).append((p, a, z - a, zlib.crc32(np.array(ids[a:z], "<u4").tobytes())))
+            a = z
+    assert {i: sorted(v) for i, v in want.items()} == {
+        i: sorted((r.piece, r.start, r.length, r.ids_crc32) for r in v) for i, v in by_doc.items()}
+    return len(by_sequence)
+
+
+def reference_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+@pytest.mark.parametrize("capacity", [1024, 64])
+def test_packing_round_trip(spark, capacity):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(10 ** 6 + n, r[1]) for n, r in enumerate(documents(spark).collect())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("bucket", F.lit("x")).withColumn("length", F.lit("x"))
+    got = packing.pack(docs, capacity=capacity).collect()
+    n = check_packing(rows, got, capacity, reference_ids())
+    least = -(-sum(r.length for r in got) // capacity)
+    assert n <= 1.02 * least + 2
+
+
+def test_same_ids_as_the_tokenizers_file():
+    enc, want = packing.encoder(packing.ranks_path()), reference_ids()
+    rng = random.Random(5)
+    texts = ["", " ", "\n\n  x", "don't <|endoftext|>we'll", "日本語　\U0001f600‍", "a" * 5000, " " * 3000 + "x", "\x00\x1f\x85é"]
+    texts += ["".join(rng.choices("ab é\n\t'’s1234.,!<|>  日", k=200)) for _ in range(200)]
+    for t in texts:
+        assert packing.encode(enc, t).tolist() == want(t), t[:40]
+        parts = list(packing.stretches(t, 20))
+        assert "".join(parts) == t and [i for p in parts for i in want(p)[:-1]] == want(t)[:-1]
+
+
+def test_plan_is_best_fit_after_matching():
+    rng = random.Random(3)
+    for capacity in (10, 100, 1024):
+        for _ in range(30):
+            counts = {rng.randint(1, capacity): rng.choice([1, 2, 7, 1000]) for _ in range(rng.randint(1, 40))}
+            bins, done = {}, dict.fromkeys(counts, 0)
+            for length, lo, hi, sequence, per, offset in packing.plan(counts, capacity):
+                assert lo == done[length] and per > 0
+                done[length] = hi
+                for r in range(hi - lo):
+                    b = bins.setdefault(sequence + r // per, [])
+                    assert sum(b) == offset + r % per * length
+                    b.append(length)
+                    assert sum(b) <= capacity
+            assert done == counts and sorted(bins) == list(range(len(bins)))
+            assert all(sum(3 * x > capacity for x in b) <= 2 for b in bins.values())
+            assert len(bins) == len(one_by_one(counts, capacity))
+
+
+def one_by_one(counts, capacity):
+    """The same matching and best fit, an item at a time."""
+    items = sorted((k for k, v in counts.items() for _ in range(v)), reverse=True)
+    large, bins = [x for x in items if 3 * x > capacity], []
+    while large:
+        x = large.pop(0)
+        fits = next((i for i, y in enumerate(large) if x + y <= capacity), None)
+        bins.append([x] if fits is None else [x, large.pop(fits)])
+    left = [capacity - sum(b) for b in bins]
+    for x in (x for x in items if 3 * x <= capacity):
+        fits = min((g, i) for i, g in enumerate(left + [capacity]) if g >= x)[1]
+        if fits == len(left):
+            left.append(capacity)
+        left[fits] -= x
+    return left
+
+
+def test_packing_edge_cases(spark):
+    assert packing.pack(documents(spark, [])).count() == 0
+    got = packing.pack(documents(spark), keep_ids=True).collect()
+    assert all(r.length == len(r.ids) for r in got)
+    assert sum(r.doc_id is None for r in got) == 2 and {(r.length, tuple(r.ids)) for r in got if r.doc_id in (1, 2)} == {(1, (2,))}
+
+
+# ------------------------------------------------------------------ secrets
+BASE = [("assign", re.compile(r"""((?:(?i:password|passwd|secret|token|api_?key)))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
+        ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24)]
+WEAK = [(k, re.compile(p.replace(r"\b", r"(?<![A-Za-z0-9_])")), g, n) for k, (p, g, n) in secret_scan.WEAK.items()]
+KINDS = ["assign", "access", "hex", "id", "value", "endpoint"]
+
+
+def brute_secrets(text, reach=200):
+    spans = [(m.start(), KINDS.index(k), m.end()) for k, p, g, n in BASE + WEAK for m in p.finditer(text or "") if len(m[g]) >= n]
+    def beside(s, kinds):
+        return any(t[1] in kinds and t[0] < s[2] + reach and t[2] > s[0] - reach for t in spans)
+    secret, party = (0, 1, 2, 4), (3, 5)
+    every = sorted(s for s in spans if s[1] < 3 or beside(s, secret if s[1] in party else party))
+    write = lambda x: ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in x)
+    base = [s for s in every if s[1] < 3]
+    return (*[sum(s[1] == k for s in base) for k in range(3)], sha(write(base)), write(every))
+
+
+SECRETS = ["secret=token: abcdefgh", "token=token=abcdef1 password='x'", "AKIAAKIA" + "B" * 12, "AKIA1234 AKIA" + "Z9" * 9, "é😀 API_KEY : \"Ab/9+=_-.\"",
+           "deadbeef" * 3 + "g" + "0" * 23 + " " + "f" * 40, "user: alice host=db.example.org pass: s3cretvalue", "user: alice " + "x" * 250 + " pass=abcdefgh",
+           "https://api.example.org/v1 key=abcdefgh1", "https://lonely.example.org only", "pwd=abcdefgh", "PassWord==abc", "password=" + "a" * 5,
+           "client_id=abc123 secret: zzzzzzz https://x.yz/a", "token = " + "ab" * 300 + " login=bob", "İ password=ıııııı key=abcdef user=abc"]
+
+
+def test_secrets_equal_brute_force(spark):
+    rng = random.Random(7)
+    bits = SECRETS + ["filler text ", "x" * 120, "\n", " "]
+    texts = [None, ""] + SECRETS + [" ".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(150)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = secret_scan.report(secret_scan.scan(documents(spark, rows))).collect()
+    found = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in got}
+    assert found == {i: brute_secrets(t) for i, t, *_ in rows}
+    # weak parts alone are not reported, together they are
+    assert found[texts.index("pwd=abcdefgh")][4] == "" and "endpoint" in found[texts.index("https://api.example.org/v1 key=abcdefgh1")][4]
+
+
+def test_secrets_on_the_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in secret_scan.report(secret_scan.scan(docs)).collect()}
+    assert got == {r.doc_id: brute_secrets(r.text) for r in docs.collect()}
+    assert secret_scan.scan(documents(spark, [])).count() == 0 and secret_scan.scan(documents(spark)).count() == len(documents(spark).collect())
+
+
+# ----------------------------------------------------------------- toxicity
+def test_segments_are_the_maximal_ones():
+    def slow(s, base=0):
+        """The best segment, then those of what is left on both sides."""
+        best = max(((sum(s[a:z]), -(z - a), -a) for a in range(len(s)) for z in range(a + 1, len(s) + 1)), default=(0, 0, 0))
+        if best[0] <= 0:
+            return []
+        a, z = -best[2], -best[2] - best[1]
+        return slow(s[:a], base) + [(best[0], base + a, base + z)] + slow(s[z:], base + z)
+    rng = random.Random(1)
+    for _ in range(300):
+        # sums of distinct powers of two in no order: no ties between segments
+        s = [rng.choice([-1, 1]) * rng.random() for _ in range(rng.randint(0, 14))]
+        assert [(round(v, 9), a, z) for v, a, z in toxicity.segments(np.array(s))] == [(round(v, 9), a, z) for v, a, z in slow(s)]
+
+
+def auc(score, y):
+    r = pd.Series(score).rank().to_numpy()
+    y = np.asarray(y)
+    n = y.sum()
+    return (r[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    sf = "/root/testdata/sf0.1"
+    return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+def test_toxicity_held_out(labelled):
+    docs, labels = labelled
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter(toxicity.held_out("doc_id")).toPandas()
+    hit = got["score"] >= 0.3
+    print("toxicity AUC", auc(got["score"], got["toxic"]), "recall", hit[got["toxic"] == 1].mean(), "precision", got["toxic"][hit].mean())
+    assert auc(got["score"], got["toxic"]) > 0.9 and hit[got["toxic"] == 1].mean() > 0.75 and got["toxic"][hit].mean() > 0.75
+
+
+def test_toxicity_edge_cases(spark):
+    docs = documents(spark)
+    labels = spark.createDataFrame([(4, 1), (5, 0), (6, 0), (9, None), (None, 1), (10, 1), (11, 0)], "doc_id bigint, toxic int")
+    for some in (labels, labels.filter("toxic = 1"), labels.limit(0)):
+        got = toxicity.score(docs, toxicity.fit(docs, some)).collect()
+        assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score(documents(spark, []), toxicity.fit(documents(spark, []), labels)).count() == 0
+
+
+def test_toxic_passages_are_places(labelled):
+    text = "calm words here. You IDIOT and\nclown scum worthless, then calm again"
+    found = toxicity.places(text, [(4, 9, 0.1)])
+    assert text[found[0]["start"]:found[0]["end"]] == "IDIOT and\nclown scum worthless"
+
+
+# ------------------------------------------------------------------ quality
+def test_quality_held_out(labelled):
+    docs, labels = labelled
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    model = ordinal_quality.fit(docs, ratings)
+    assert (np.diff(model.thresholds) > 0).all()
+    got = ordinal_quality.grade(docs, model).join(labels, "doc_id").filter(ordinal_quality.held_out("doc_id")).toPandas()
+    good = got["quality"] == 1
+    print("quality AUC", auc(got["tail"], got["quality"]), "kept good", got["selected"][good].mean(), "kept bad", got["selected"][~good].mean(),
+          "toxic AUC among good", auc(-got["expected_grade"][good], got["toxic"][good]))
+    assert auc(got["tail"], got["quality"]) > 0.9 and got["selected"][good].mean() > 0.95
+    assert all(np.diff(t) <= 1e-12 for t in got["tails"])
+
+
+def test_ordinal_fit_recovers_order():
+    rng = np.random.default_rng(0)
+    rows, grades = [], []
+    for _ in range(1500):
+        n = rng.integers(0, 4)
+        grades.append(n)
+        at = np.unique(np.concatenate([rng.integers(0, 50, 5), 100 + n * 10 + rng.integers(0, 12, 3)]))
+        rows.append((at, np.full(len(at), len(at) ** -0.5)))
+    model = ordinal_quality.fit_ordinal(rows, np.array(grades), 4)
+    expected = np.array([model.tails(r).sum() for r in rows])
+    assert (np.diff(model.thresholds) > 0).all() and np.corrcoef(expected, grades)[0, 1] > 0.8
+
+
+def test_quality_edge_cases(spark):
+    docs = documents(spark)
+    ratings = spark.createDataFrame([(4, 2), (5, 0), (6, 1), (9, None), (None, 1), (10, 1), (11, 0)], "doc_id bigint, grade int")
+    for some in (ratings, ratings.filter("grade = 1"), ratings.limit(0)):
+        got = ordinal_quality.grade(docs, ordinal_quality.fit(docs, some)).collect()
+        assert len(got) == docs.count() and all(0 <= r.tail <= 1 for r in got)
+    assert ordinal_quality.grade(documents(spark, []), ordinal_quality.fit(documents(spark, []), ratings)).count() == 0
+
+
+def test_features_do_not_depend_on_the_cut_of_long_texts():
+    text = " ".join(r[1] for r in invented(400, seed=8, words=200))
+    assert len(text) > 1 << 20
+    at, value = ordinal_quality.features(text, ordinal_quality.Words())
+    assert abs((value ** 2).sum() - 1) < 1e-9
+    t = toxicity.tokens(text, toxicity.Buckets())
+    assert len(t) == len(re.findall(r"[^\W\d_]+", text))
