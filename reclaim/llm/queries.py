@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reclaim.llm import (block_naming, collision_counting, language_id, line_windows, ordinal_quality, packing, pareto_mix,
                          secret_scan, simhash_ring, toxicity)
 from reclaim.llm.common import held_out
+from reclaim.llm.oracle import SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,4 +78,4 @@ QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_secret_scan, op3_language_id, op4_ordinal_quality, op5_pareto_mix,
     op6_block_naming, op7_packing, op8_collision_counting, op9_simhash, op10_line_windows, pipeline)}
 
-ORACLE: dict[str, str] = {}
+ORACLE = dict(SQL)
