@@ -1,5 +1,5 @@
 from reclaim.functions.paths import (base_name, parent_dir, path_parts, depth_below, below,
-                                    at_or_below, glob_to_regex, glob_to_like, glob_match)
+                                    at_or_below, glob_body, glob_to_regex, glob_to_like, glob_match)
 from reclaim.functions.predicates import (kind_in, name_in, name_glob_any, path_glob, not_under,
                                          age_days_over, size_over, depth_is, contains_any,
                                          older_than, before_day_boundary, protect, line_matches,

@@ -20,23 +20,27 @@ def format_bytes(n="bytes") -> Column:
     """H1: ``< 1024`` -> ``"%d B"``; else one decimal and KiB..EiB.
 
     The unit is the largest power of 1024 not above ``n`` (no promotion after
-    rounding: 1048575 -> ``1024.0 KiB``).  The value is rounded half-to-even
-    (1280 -> ``1.2 KiB``), which is what a float ``%.1f`` does for exact ties;
-    ``bround`` gives that, plain ``%.1f`` in Java rounds ties up.
+    rounding: 1048575 -> ``1024.0 KiB``).  The value is the number as a double,
+    divided by the unit (exact, a power of two) and rounded to tenths, exact
+    ties to even (1280 -> ``1.2 KiB``), in whole-number arithmetic.
     """
     v = _c(n).cast("long")
     d = v.cast("double")
+    tenfold = d.cast("decimal(20,0)") * 10
+
+    def text(exp: int) -> Column:
+        unit = F.lit(1024 ** exp).cast("decimal(20,0)")
+        rest = F.pmod(tenfold, unit)
+        q = ((tenfold - rest) / unit).cast("long")
+        up = (rest * 2 > unit) | ((rest * 2 == unit) & (q % 2 == 1))
+        tenths = q + up.cast("long")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"),
+                        F.lit(f" {UNIT_LETTERS[exp - 1]}iB"))
+
     ladder = F.when(v < 1024, F.concat(v.cast("string"), F.lit(" B")))
-    for exp in range(1, len(UNIT_LETTERS) + 1):
-        txt = F.concat(
-            F.format_string("%.1f", F.bround(d / F.lit(float(1024 ** exp)), 1)),
-            F.lit(f" {UNIT_LETTERS[exp - 1]}iB"),
-        )
-        if exp < len(UNIT_LETTERS):
-            ladder = ladder.when(d < F.lit(float(1024 ** (exp + 1))), txt)
-        else:
-            ladder = ladder.otherwise(txt)
-    return ladder
+    for exp in range(1, len(UNIT_LETTERS)):
+        ladder = ladder.when(d < F.lit(float(1024 ** (exp + 1))), text(exp))
+    return ladder.otherwise(text(len(UNIT_LETTERS)))
 
 
 def format_duration(seconds="duration_s") -> tuple[Column, Column]:

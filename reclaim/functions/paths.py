@@ -60,8 +60,9 @@ def at_or_below(root: str, path="path") -> Column:
 _WILD = re.compile(r"[*?\[\\]")
 
 
-def glob_to_regex(glob: str) -> str:
-    """Anchored regex (Java and RE2 compatible) for one glob."""
+def glob_body(glob: str) -> str:
+    """Regex body (Java and RE2) for one glob; needs ``(?s)``, as names may
+    hold newlines."""
     out, i, n = [], 0, len(glob)
     while i < n:
         ch = glob[i]
@@ -85,7 +86,17 @@ def glob_to_regex(glob: str) -> str:
         else:
             out.append(re.escape(ch) if not ch.isalnum() else ch)
         i += 1
-    return "^" + "".join(out) + "$"
+    return "".join(out)
+
+
+def whole(body: str) -> str:
+    """The pattern for a whole value: ``.`` takes newlines too, and the end is
+    the end of the value, not a newline before it."""
+    return r"(?s)\A(?:" + body + r")\z"
+
+
+def glob_to_regex(glob: str) -> str:
+    return whole(glob_body(glob))
 
 
 def glob_to_like(glob: str) -> str | None:

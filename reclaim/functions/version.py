@@ -1,10 +1,10 @@
 """F2: a version sort key in which ``v1.9`` < ``v1.10``.
 
-The key splits the text into runs of digits and non-digits and left-pads every
-digit run with zeros to a fixed width, so plain string order (UTF-8 bytes, as
-Spark compares) equals numeric order on each run.  Limits, stated: digit runs
-longer than ``WIDTH`` are not ordered numerically, and leading zeros make equal
-keys (``v1.02`` == ``v1.2``); GNU ``sort -V`` also has ``~`` rules we skip.
+The key splits the text into runs of digits and non-digits.  A run of digits
+loses its leading zeros and gets its length, in ten digits, in front: plain
+string order (UTF-8 bytes, as Spark compares) is then numeric order for runs
+of any length.  Texts whose runs are equal in value (``1.02`` and ``1.2``)
+are ordered by the text itself, which closes the key.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from reclaim.functions.paths import _c
 
-WIDTH = 20
-
 
 def version_key(col) -> Column:
-    runs = F.regexp_extract_all(_c(col), F.lit(r"(\d+|\D+)"), 1)
-    padded = F.transform(
-        runs,
-        lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, WIDTH, "0")).otherwise(x),
-    )
-    return F.array_join(padded, "")
+    def sortable(run: Column) -> Column:
+        digits = F.regexp_replace(run, r"^0+(?=\d)", "")
+        return F.when(run.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
+
+    text = _c(col)
+    runs = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
+    return F.concat(F.array_join(F.transform(runs, sortable), ""), F.lit("\u0000"), text)

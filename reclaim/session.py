@@ -2,14 +2,11 @@
 
 The library never creates a session behind the caller's back; these helpers are
 for scripts, tests and the bench.  The checkpoint folder is taken from the
-session (``spark.checkpoint.dir``, which a cluster points at shared storage);
-a fallback is set only when the session has none, as in tests.
+session (``spark.checkpoint.dir``, which a cluster points at shared storage).
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -38,42 +35,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by the session.
-
-    ``fallback`` is used (and set on the SparkContext) only when the session
-    names none -- local runs and tests.  On a cluster the setting points at
-    shared storage and is never overridden here.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder: ``spark.checkpoint.dir`` or a folder set on
+    the context; where a session names neither, one in its warehouse, which
+    executors share too.  Never a temp folder of one machine."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        if fallback is None:
-            raise RuntimeError("spark.checkpoint.dir is not set and no fallback was given")
-        os.makedirs(fallback, exist_ok=True)
-        d = fallback
+        d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/reclaim-checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
-
-
-def scale_conf(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict:
-    """Settings for a run over ``input_bytes`` of inventory on a cluster.
-
-    Scan splits and shuffle partitions are sized so one task handles about
-    ``partition_bytes`` (fits executor memory with room to spill), AQE
-    coalesces small shuffle partitions towards the same size and splits skewed
-    ones (a partition five times the median and over 1 GiB).  At 100 TB this
-    gives ~400k shuffle partitions, capped at 100k (AQE coalesces further)."""
-    parts = max(200, min(100_000, input_bytes // partition_bytes + 1))
-    return {
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 ** 3),
-        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-    }

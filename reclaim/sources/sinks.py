@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from reclaim.session import checkpoint_dir
 
@@ -31,10 +32,14 @@ def write_report(report: DataFrame, path: str, fmt: str = "json", mode: str = "o
     return path
 
 
-def read_plan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_plan(spark: SparkSession, path: str, partition_by: str | None = "rule") -> DataFrame:
+    """The plan as written.  The partition column is read as a string, never
+    inferred: a rule called ``007`` keeps its name."""
+    written = spark.read.parquet(path).schema
+    declared = T.StructType([T.StructField(f.name, T.StringType()) if f.name == partition_by else f for f in written])
+    return spark.read.schema(declared).parquet(path)
 
 
-def scratch_path(spark: SparkSession, name: str, fallback: str | None = None) -> str:
-    base = checkpoint_dir(spark, fallback)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    base = checkpoint_dir(spark)
     return f"{base.rstrip('/')}/reclaim-{name}-{uuid.uuid4().hex}"

@@ -29,6 +29,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
     return df.select(*columns) if columns else df
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """The same rows, from a generator of one row each: filters above it use the
+    computed columns and do not compute them again, once for each predicate."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
+
+
 def inventory_from_events(events: DataFrame) -> DataFrame:
     e = events.select("event_id", "ts", "user_id", "event_type", "value")
     eid, et = F.col("event_id"), F.col("event_type")
@@ -42,7 +48,7 @@ def inventory_from_events(events: DataFrame) -> DataFrame:
         suffix = suffix.when(eid % 8 == i, F.lit(sfx))
     name = (F.when((et == "view") & (eid % 5 == 0), F.lit(MARKER_NAME))
             .otherwise(F.concat(F.lit("f"), s(eid), suffix)))
-    return e.select(
+    return computed_once(e.select(
         F.concat(F.lit("h"), s(F.col("user_id") % 4)).alias("host"),
         F.concat(F.lit("/home/u"), s(F.col("user_id")), F.lit("/"), d, F.lit("/"), name).alias("path"),
         F.lit("f").alias("kind"),
@@ -50,42 +56,82 @@ def inventory_from_events(events: DataFrame) -> DataFrame:
         F.col("ts").alias("mtime"),
         (F.col("ts") + F.make_dt_interval(days=(eid % 5).cast("int"))).alias("atime"),
         eid.alias("id"),
-    )
-
-
-def load_inventory(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    """The inventory as a stored table, the way a fleet inventory arrives.
-
-    With ``materialize`` the derived rows are written once per session to the
-    shared checkpoint folder (``spark.checkpoint.dir``), range-partitioned by
-    ``(host, path)`` and laid out by host, then read back: ``path`` is then a
-    real column, so rule filters reach the Parquet scan instead of rebuilding
-    the path from ``events`` once per predicate."""
-    if not materialize:
-        return inventory_from_events(read_table(spark, sf_dir, "events"))
-    return spark.read.parquet(materialized_inventory_path(spark, sf_dir)).select(*INVENTORY_COLUMNS)
-
-
-_MATERIALIZED: dict = {}
-
-
-def materialized_inventory_path(spark: SparkSession, sf_dir: str) -> str:
-    import os
-    import uuid
-
-    from reclaim.session import checkpoint_dir
-    src = f"{sf_dir.rstrip('/')}/events.parquet"
-    st = os.stat(src) if os.path.exists(src) else None
-    key = (spark.sparkContext.applicationId, src, st.st_mtime_ns if st else None, st.st_size if st else None)
-    if key not in _MATERIALIZED:
-        base = checkpoint_dir(spark, fallback="/tmp/reclaim-checkpoints")
-        out = f"{base.rstrip('/')}/reclaim-inventory-{uuid.uuid4().hex}"
-        # no fixed count: AQE sizes the range partitions from the data
-        (inventory_from_events(read_table(spark, sf_dir, "events"))
-         .repartitionByRange("host", "path")
-         .write.mode("overwrite").partitionBy("host").parquet(out))
-        _MATERIALIZED[key] = out
-    return _MATERIALIZED[key]
+    ))
+
+
+#: Declared, so that no partition value is inferred (a host ``007`` stays one).
+INVENTORY_SCHEMA = ("host string, path string, kind string, size_bytes bigint, mtime timestamp_ntz, "
+                    "atime timestamp_ntz, id bigint")
+_STORED: dict = {}
+
+
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """A stored inventory (Parquet), with its declared columns."""
+    return spark.read.schema(INVENTORY_SCHEMA).parquet(path).select(*INVENTORY_COLUMNS)
+
+
+def store_inventory(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Store the derived inventory of ``sf_dir`` at ``path``, the way a fleet
+    inventory arrives: laid out by host, range-partitioned by (host, path), so
+    that root filters skip row groups.  From then on ``load_inventory`` reads it
+    in this session; storing again replaces it."""
+    (inventory_from_events(read_table(spark, sf_dir, "events"))
+     .repartitionByRange("host", "path")  # AQE sizes the ranges from the data
+     .write.mode("overwrite").partitionBy("host").parquet(path))
+    _STORED[spark.sparkContext.applicationId, sf_dir.rstrip("/")] = path
+    return path
+
+
+def load_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory: as stored by ``store_inventory`` in this session, else
+    derived from ``events`` on the fly."""
+    path = _STORED.get((spark.sparkContext.applicationId, sf_dir.rstrip("/")))
+    if path:
+        return read_inventory(spark, path)
+    return inventory_from_events(read_table(spark, sf_dir, "events"))
+
+
+# Fixed values of the second derived inventory: paths ({id} is the row's id) and
+# kinds, the row's by id modulo their number.  Every rule that the first
+# inventory does not reach has rows here, beside near misses.
+SYSTEM_PATHS = [
+    ("/var/log/app/s{id}.log", "f"), ("/var/log/app/s{id}.txt", "f"), ("/var/crash/c{id}", "f"),
+    ("/var/crash/.c{id}", "f"), ("/var/lib/systemd/coredump/core.{id}", "f"), ("/tmp/t{id}", "f"), ("/var/tmp/t{id}", "f"),
+    ("/root/VirtualBox VMs/vm/d{id}.vdi", "f"), ("/root/.vagrant.d/boxes/b{id}", "f"), ("/root/.vagrant.d/boxes/.b{id}", "f"),
+    ("/var/lib/snapd/cache/s{id}", "f"), ("/home/u/.config/libreoffice/4/user/uno_packages/cache/l{id}", "f"),
+    ("/home/u/.cache/google-chrome/Default/Cache/g{id}", "f"), ("/home/u/.mozilla/firefox/p{id}/Cache/f", "f"),
+    ("/home/u/.mozilla/firefox/p{id}/Cache/.f", "f"), ("/root/.cache/deno/d{id}", "f"), ("/root/.bun/install/cache/b{id}", "f"),
+    ("/root/.cache/pipenv/p{id}", "f"), ("/root/.gradle/caches/.g{id}", "f"), ("/root/.wine{id}", "d"), ("/root/.wine-old/w{id}", "f"),
+    ("/root/v/kdenlive/render/k{id}.mp4", "f"), ("/root/b/blender_{id}_autosave.blend", "f"),
+    ("/root/.steam/steam/steamapps/downloading/s{id}", "f"), ("/root/.thunderbird/p{id}/Cache/t", "f"), ("/root/.thunderbird/p{id}/Cache/.t", "f"),
+    ("/root/.dropbox/cache/d{id}", "f"), ("/root/.m2/repository/m{id}.jar", "f"), ("/root/.cargo/registry/r{id}", "f"), ("/root/.cargo/git/g{id}", "f"),
+    ("/root/.local/share/JetBrains/i/.caches/j{id}", "f"), ("/home/u/r/x{id}.hg0.bak", "f"), ("/root/.hg/bundle-backup/h{id}", "f"),
+    ("/home/u/c/CMakeFiles/m{id}", "f"), ("/home/u/c/p{id}/build", "d"), ("/home/u/c/p{id}/build/CMakeCache.txt", "f"),
+    ("/home/u/c/q{id}/build/CMakeCache.txt", "d"), ("/home/u/a/d{id}/config.log", "f"), ("/home/u/a/d{id}/.deps/x.Po", "f"),
+    ("/root/.kube/cache/k{id}", "f"), ("/root/.kube/http-cache/k{id}", "f"), ("/root/.cache/helm/h{id}", "f"), ("/root/.local/share/helm/h{id}", "f"),
+    ("/root/.minikube/cache/m{id}", "f"), ("/root/.terraform.d/plugin-cache/t{id}", "f"), ("/root/.ansible/tmp/a{id}", "f"),
+    ("/var/lib/containerd/io.containerd.snapshotter.v1.overlayfs/o{id}", "f"), ("/home/u/.cache/thumbnails/t{id}", "f"),
+    ("/root/.local/share/Trash/t{id}", "f"), ("/home/u/.cache/.k{id}", "f"), ("/snap/core/s{id}.log", "f"),
+]
+
+
+def system_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second inventory, of system and root paths, derived from ``orders``: the
+    row's path by its key, size by its customer, times by its date (a quarter is
+    of the last day).  Rows that come in pairs in ``SYSTEM_PATHS`` share a
+    number, so a directory's row and its marker meet."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    n, key = len(SYSTEM_PATHS), F.col("o_orderkey")
+    at = (key % n).cast("int")
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in SYSTEM_PATHS]), at + 1)
+    number = F.floor(key / n).cast("bigint")
+    recent = F.col("o_custkey") % 4 == 0
+    time = F.when(recent, F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).otherwise(F.col("o_orderdate").cast("timestamp_ntz"))
+    return computed_once(o.select(
+        F.concat(F.lit("h"), (number % 4).cast("string")).alias("host"),
+        F.replace(pick(0), F.lit("{id}"), number.cast("string")).alias("path"), pick(1).alias("kind"),
+        (F.col("o_custkey") * 100).cast("bigint").alias("size_bytes"), time.alias("mtime"), time.alias("atime"),
+        key.cast("bigint").alias("id")))
 
 
 def ancestors(path="path", first: int = 2) -> F.Column:
@@ -110,13 +156,17 @@ def directories(inventory: DataFrame) -> DataFrame:
 
 
 def directory_rows(inventory: DataFrame, kind: str = "kind") -> DataFrame:
-    """``(host, path, mtime)`` of every directory: the inventory's own directory
-    rows where it has them (a directory's own mtime, as ``find -mtime`` reads
-    it), derived ones (newest mtime below) for the rest."""
-    own = inventory.filter(F.col(kind) == "d").select("host", "path", "mtime")
-    derived = directories(inventory).select("host", "path", "mtime").join(own.select("host", "path"),
-                                                                          ["host", "path"], "left_anti")
-    return own.unionByName(derived)
+    """``(host, path, mtime)`` of every directory: the directory's own mtime where
+    the inventory has its row (as ``find -mtime`` reads it), else the newest
+    mtime below.  One pass: rows give their time to their ancestors, and a
+    directory's row its own to itself."""
+    above = F.transform(ancestors("path"), lambda p: F.struct(p.alias("path"), F.lit(False).alias("own")))
+    itself = F.when(F.col(kind) == "d", F.array(F.struct(F.col("path"), F.lit(True).alias("own"))))
+    given = F.explode(F.concat(above, F.coalesce(itself, F.array().cast("array<struct<path:string,own:boolean>>"))))
+    rows = inventory.select("host", "mtime", given.alias("_d")).select("host", "mtime", "_d.*")
+    own, below_ = F.max(F.when(F.col("own"), F.col("mtime"))), F.max(F.when(~F.col("own"), F.col("mtime")))
+    return rows.groupBy("host", "path").agg(
+        F.when(F.bool_or("own"), own).otherwise(below_).alias("mtime"))
 
 
 def with_directories(inventory: DataFrame) -> DataFrame:
