@@ -24,7 +24,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "pos",
                       partitions: int | None = None) -> DataFrame:
     """1-based position of each row in ``order`` (make it total: end with a key)."""
     spark = df.sparkSession
-    checkpoint_dir(spark, fallback="/tmp/reclaim-checkpoints")
+    checkpoint_dir(spark)
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     s = ranged.sortWithinPartitions(*order).checkpoint(eager=True)
     s = s.withColumn("_mid", F.monotonically_increasing_id())

@@ -63,6 +63,11 @@ def max_over_run(report: DataFrame, col: str, run: Optional[str] = None, out: Op
     return report.withColumn(out or f"max_{col}", F.max(col).over(w))
 
 
+def share_of(value: str, whole: Column) -> Column:
+    """``value`` / ``whole``; 0 where that is 0 or null."""
+    return F.coalesce(F.try_divide(F.col(value).cast("double"), whole.cast("double")), F.lit(0.0))
+
+
 def capped_share(df: DataFrame, value: str, cap, keys: Sequence[str] = (), out: str = "share",
                  max_out: Optional[str] = None) -> DataFrame:
     """``value / min(max over the run, cap)``; 0 when the divisor is 0 or
@@ -78,7 +83,5 @@ def capped_share(df: DataFrame, value: str, cap, keys: Sequence[str] = (), out:
     else:
         mx = df.agg(F.max(value).alias("_max")).withColumn("_k", F.lit(1))
         j = df.withColumn("_k", F.lit(1)).join(F.broadcast(mx), ["_k"], "left").drop("_k")
-    share = F.coalesce(F.try_divide(F.col(value).cast("double"),
-                                    F.least(F.col("_max"), cap_c).cast("double")), F.lit(0.0))
-    j = j.withColumn(out, share)
+    j = j.withColumn(out, share_of(value, F.least(F.col("_max"), cap_c)))
     return j.withColumnRenamed("_max", max_out) if max_out else j.drop("_max")

@@ -1,22 +1,22 @@
 """Retention operators E1-E5, F3, C4.
 
 "Keep the newest N" (E1, F3) and "keep the newest until a byte budget is spent"
-(E4) are one operator, :func:`over_budget`: each row has a weight (1 for a
-count, its bytes for a budget) and is dropped when the running weight of the
-rows at least as new, itself included, passes the budget.
-
-A plain running-sum window puts a whole group in one task, and a group may hold
-a third of all rows.  So the running sum is found in two phases:
-
-1. weights per (group, time bin) -- a map-side partial aggregate, one row per
-   bin; then a running sum over bins per group (one row per bin, small);
-2. this gives, per group, the single *boundary bin* in which the budget is
-   passed.  Rows in newer bins are kept, rows in older bins are dropped, with no
-   window at all; only the boundary bin's rows get an exact window, partitioned
-   by (group, bin).
-
-Results equal the plain window (ties broken by the tiebreak column, higher
-first).  "Newest per key" by a version (E2, E3) is a max per key, also partial.
+(E4) come down to one cut per group: a place in the order (time, tiebreak).  A
+row is dropped by comparing its own place with the cut, so the rows themselves
+are never gathered by group.  How the cut is found:
+
+* E1: the newest n of each group by ``row_number() <= n``.  Spark turns this into
+  a limit of n rows a group in every map task, so a group that holds a third of
+  all rows sends n rows a task.
+* F3: the newest n of all by a top-n, read back as a scalar.
+* E4: running sums over ever finer bins of the order: sums by bin of 2^40, then
+  of 2^20 microseconds (or units, for numbers) within the coarse bin where the
+  budget is passed, then by single value and 2^16 tiebreaks, and at last by row.
+  No window holds more than the bins of one level.
+
+All of it is one lazy plan for inputs of any size: no job runs before an action.
+Rows that tie with the last kept row in time and tiebreak are kept with it.
+"Newest per key" by a version (E2, E3) is a max per key, also partial.
 """
 
 from __future__ import annotations
@@ -27,10 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclaim.functions.paths import _c
-from reclaim.session import checkpoint_dir
 
-DEFAULT_BIN_SECONDS = 3600
-_NULL_BIN = -(2 ** 62)
+_LOWEST = -(2 ** 62)
 
 
 def _keys(keys) -> list[str]:
@@ -39,131 +37,107 @@ def _keys(keys) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str,
-                 broadcast: bool = False) -> DataFrame:
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join on ``keys`` where null equals null (a null key is a group of
     its own, as in a window ``PARTITION BY``); the right side's keys are dropped."""
     r = right.select(*[F.col(k).alias(f"_rk_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
-    if broadcast:
-        r = F.broadcast(r)
     cond = [left[k].eqNullSafe(r[f"_rk_{k}"]) for k in keys]
     return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
-EDGE_ROWS_LIMIT = 2_000_000
+def _place(ts: str, tiebreak: str) -> Column:
+    """A row's place in the order, to be compared as a whole; null is oldest."""
+    return F.struct(F.col(ts).alias("ts"), F.col(tiebreak).alias("tie"))
 
 
-def over_budget(df: DataFrame, keys: Sequence[str] | str | None, ts: str, budget: int,
-                weight: str | Column | None = None, tiebreak: str = "id",
-                bin_seconds: int = DEFAULT_BIN_SECONDS, out: str = "drop",
-                running: str | None = None, edge_rows_limit: int = EDGE_ROWS_LIMIT) -> DataFrame:
-    """Add boolean ``out``: the row's running weight (newest first by ``ts``
-    then ``tiebreak``, both descending, nulls oldest) is greater than ``budget``.
-
-    ``weight`` None counts rows (keep newest ``budget``).  Null weights count 0.
-    ``running`` names an optional output column with the running weight (only
-    filled for rows of boundary bins; use the plain window for all of them).
-
-    The cut table (one row per group) is computed once and checkpointed; its
-    largest boundary bin decides how the exact part runs: a window per
-    (group, bin) when every boundary bin has at most ``edge_rows_limit`` rows,
-    else a distributed prefix sum, so even a bin holding a third of all rows
-    is spread over many tasks.
-    """
-    keys = _keys(keys)
-    g = keys if keys else ["_g"]
-    w = F.lit(1).cast("long") if weight is None else F.coalesce(_c(weight), F.lit(0)).cast("long")
-    secs = _order_seconds(df, ts)
-    bin_col = F.coalesce(F.floor(secs / F.lit(float(bin_seconds))), F.lit(_NULL_BIN)).cast("long")
-    base = df.withColumn("_w", w).withColumn("_bin", bin_col)
-    if not keys:
-        base = base.withColumn("_g", F.lit(0))
-
-    per_bin = base.groupBy(*g, "_bin").agg(F.sum("_w").alias("_bw"), F.count(F.lit(1)).alias("_rows"))
-    wb = Window.partitionBy(*g).orderBy(F.col("_bin").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    cut = (per_bin.withColumn("_after", F.sum("_bw").over(wb))
-           .withColumn("_before", F.col("_after") - F.col("_bw"))
-           .filter((F.col("_after") > F.lit(budget)) & (F.col("_before") <= F.lit(budget)))
-           .select(*g, F.col("_bin").alias("_cut_bin"), F.col("_before").alias("_cut_before"),
-                   F.col("_rows").alias("_cut_rows")))
-    checkpoint_dir(df.sparkSession, fallback="/tmp/reclaim-checkpoints")
-    cut = cut.checkpoint(eager=True)  # one row per group; reused by both branches below
-    largest = cut.agg(F.max("_cut_rows")).first()[0] or 0
-    cut = cut.drop("_cut_rows")
-
-    # Without keys the cut table has at most one row (the boundary bin of the
-    # single group): a proven bound, so it is broadcast.  With keys it has one
-    # row per key; AQE broadcasts it when small, else shuffles and splits skew.
-    j = join_on_keys(base, cut, g, "left", broadcast=not keys)
-    decided = (j.filter(F.col("_cut_bin").isNull() | (F.col("_bin") != F.col("_cut_bin")))
-               .withColumn(out, F.coalesce(F.col("_bin") < F.col("_cut_bin"), F.lit(False))))
-    if running:
-        decided = decided.withColumn(running, F.lit(None).cast("long"))
-    edge_rows = j.filter(F.col("_bin") == F.col("_cut_bin"))
-    if largest <= edge_rows_limit:
-        we = Window.partitionBy(*g, "_bin").orderBy(
-            F.col(ts).desc_nulls_last(), F.col(tiebreak).desc_nulls_last()).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        edge = edge_rows.withColumn("_run", F.col("_cut_before") + F.sum("_w").over(we))
+def _order_value(df: DataFrame, ts: str) -> Column:
+    """A whole number that never falls as ``ts`` grows: microseconds of times,
+    whole numbers as they are, others in units of 2^-20; null lowest."""
+    kind = df.schema[ts].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        v = F.unix_micros(F.col(ts).cast("timestamp"))
+    elif kind in ("byte", "short", "integer", "long"):
+        v = F.col(ts).cast("long")
     else:
-        edge = _edge_prefix_sum(edge_rows, g, ts, tiebreak)
-    edge = edge.withColumn(out, F.col("_run") > F.lit(budget))
-    if running:
-        edge = edge.withColumn(running, F.col("_run"))
-    edge = edge.drop("_run")
-    drop_cols = ["_w", "_bin", "_cut_bin", "_cut_before"] + ([] if keys else ["_g"])
-    return decided.unionByName(edge).drop(*drop_cols)
-
-
-def _edge_prefix_sum(edge: DataFrame, g: list[str], ts: str, tiebreak: str) -> DataFrame:
-    """Running weight over boundary-bin rows without a per-bin task: range
-    partition on (group, bin, ts desc, tiebreak desc), fix the partitions with a
-    checkpoint, add each partition's offset within its (group, bin) (a table of
-    one row per partition and group), and finish with a window per
-    (partition, group, bin)."""
-    order = [F.col(k) for k in g] + [F.col("_bin"), F.col(ts).desc_nulls_last(),
-                                     F.col(tiebreak).desc_nulls_last()]
-    s = edge.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint(eager=True)
-    s = s.withColumn("_pid", F.spark_partition_id())
-    tot = s.groupBy("_pid", *g, "_bin").agg(F.sum("_w").alias("_pw"))
-    wo = Window.partitionBy(*g, "_bin").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_pid", *g, "_bin", F.coalesce(F.sum("_pw").over(wo), F.lit(0)).alias("_off"))
-    j = join_on_keys(s, offs, ["_pid", *g, "_bin"], "inner")
-    wr = Window.partitionBy("_pid", *g, "_bin").orderBy(
-        F.col(ts).desc_nulls_last(), F.col(tiebreak).desc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    return j.withColumn("_run", F.col("_cut_before") + F.col("_off") + F.sum("_w").over(wr)) \
-        .drop("_pid", "_off")
+        v = F.floor(F.col(ts).cast("double") * 2 ** 20).cast("long")
+    return F.coalesce(v, F.lit(_LOWEST))
 
 
-def _order_seconds(df: DataFrame, ts: str) -> Column:
-    """Seconds on a line that never runs backwards as ``ts`` grows: numbers as
-    they are, timestamps (zoned or not) as epoch seconds."""
-    dt = df.schema[ts].dataType.typeName()
-    if dt in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
-    return F.col(ts).cast("double")
+def _passed(sums: DataFrame, keys: list[str], bins: list[str], budget: int) -> DataFrame:
+    """sums (keys, bins, _bw, _start: weight of newer bins of the level above) ->
+    per group the bin in which the budget is passed and the weight before it."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(b).desc() for b in bins]).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    after = F.col("_start") + F.sum("_bw").over(w)
+    return (sums.withColumn("_after", after)
+            .withColumn("_start", F.col("_after") - F.col("_bw"))
+            .filter((F.col("_after") > F.lit(budget)) & (F.col("_start") <= F.lit(budget)))
+            .select(*keys, *bins, "_start"))
+
 
+def over_budget(df: DataFrame, keys: Sequence[str] | str | None, ts: str, budget: int,
+                weight: str | Column | None = None, tiebreak: str = "id", out: str = "drop") -> DataFrame:
+    """Add boolean ``out``: the row's running weight (newest first by ``ts``
+    then ``tiebreak``, nulls oldest, itself included) is greater than ``budget``.
 
-def drop_all_but_latest(df: DataFrame, keys, ts: str, n: int, tiebreak: str = "id",
-                        bin_seconds: int = DEFAULT_BIN_SECONDS) -> DataFrame:
+    ``weight`` None counts rows; null weights count 0, none may be negative.
+    Rows equal in ``ts`` and ``tiebreak`` are kept together if one of them is."""
+    keys = _keys(keys)
+    g = keys or ["_g"]
+    w = F.lit(1).cast("long") if weight is None else F.coalesce(_c(weight), F.lit(0)).cast("long")
+    whole = df.schema[tiebreak].dataType.typeName() in ("byte", "short", "integer", "long")
+    tie_bin = F.coalesce(F.shiftright(F.col(tiebreak).cast("long"), 16), F.lit(_LOWEST)) if whole else F.lit(0)
+    rows = df if keys else df.withColumn("_g", F.lit(0))
+    rows = rows.select(*g, _place(ts, tiebreak).alias("_p"), w.alias("_w"), _order_value(df, ts).alias("_v"),
+                       tie_bin.cast("long").alias("_t"))
+    fine, coarse = F.shiftright("_v", 20), F.shiftright("_v", 40)
+    start = F.lit(0).cast("long").alias("_start")
+
+    by_fine = rows.groupBy(*g, coarse.alias("_c"), fine.alias("_f")).agg(F.sum("_w").alias("_bw"))
+    by_coarse = by_fine.groupBy(*g, "_c").agg(F.sum("_bw").alias("_bw")).select("*", start)
+    cut_c = _passed(by_coarse, g, ["_c"], budget)
+    cut_f = _passed(join_on_keys(by_fine, cut_c, [*g, "_c"], "inner"), g, ["_c", "_f"], budget).drop("_c")
+    inside = join_on_keys(rows.withColumn("_f", fine), cut_f, [*g, "_f"], "inner")
+    by_value = inside.groupBy(*g, "_v", "_t").agg(F.sum("_w").alias("_bw"), F.min("_start").alias("_start"))
+    cut_v = _passed(by_value, g, ["_v", "_t"], budget)
+    edge = join_on_keys(inside.drop("_start"), cut_v, [*g, "_v", "_t"], "inner")
+    run = F.col("_start") + F.sum("_w").over(Window.partitionBy(*g).orderBy(F.col("_p").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    edge = edge.withColumn("_run", run)
+    over = F.col("_run") > F.lit(budget)
+    cut = edge.groupBy(*g).agg(F.max(F.when(over, F.col("_p"))).alias("_first"),
+                               F.min(F.when(~over, F.col("_p"))).alias("_last"))
+
+    cut = cut.select(*g, F.struct("_first", "_last").alias("_cut"))
+    # without keys there is at most one row: read as a scalar, no join
+    marked = join_on_keys(df, cut, keys, "left") if keys else df.withColumn("_cut", cut.select("_cut").scalar())
+    place, first, last = _place(ts, tiebreak), F.col("_cut._first"), F.col("_cut._last")
+    dropped = (place < first) | ((place == first) & ~first.eqNullSafe(last))
+    return marked.withColumn(out, F.coalesce(dropped, F.lit(False))).drop("_cut")
+
+
+def drop_all_but_latest(df: DataFrame, keys, ts: str, n: int, tiebreak: str = "id") -> DataFrame:
     """Rows beyond the newest ``n`` in each group (``sort | head -n -n``)."""
-    return (over_budget(df, keys, ts, n, None, tiebreak, bin_seconds, out="_drop")
-            .filter("_drop").drop("_drop"))
+    keys = _keys(keys)
+    if not keys:
+        return drop_last_n(df, ts, n, tiebreak)
+    if n <= 0:
+        return df
+    p = _place(ts, tiebreak)
+    newest = df.select(*keys, p.alias("_p")).withColumn("_nth", F.row_number().over(
+        Window.partitionBy(*keys).orderBy(F.col("_p").desc()))).filter(F.col("_nth") <= n)
+    last = newest.groupBy(*keys).agg(F.min("_p").alias("_last"))
+    return join_on_keys(df, last, keys, "inner").filter(_place(ts, tiebreak) < F.col("_last")).drop("_last")
 
 
 def drop_last_n(df: DataFrame, ts: str, n: int, tiebreak: str = "id") -> DataFrame:
-    """global "all but the newest n".  The newest n come from a top-n
-    (``TakeOrderedAndProject``: a top-n per partition, n rows merged), so the
-    anti-join side is proven to hold at most n rows and is broadcast."""
-    if n > 1_000_000:
-        return drop_all_but_latest(df, None, ts, n, tiebreak)
-    newest = (df.select(tiebreak, ts)
-              .orderBy(F.col(ts).desc_nulls_last(), F.col(tiebreak).desc_nulls_last())
-              .limit(n).select(tiebreak))
-    return df.join(F.broadcast(newest), [tiebreak], "left_anti")
+    """global "all but the newest n": a top-n (``TakeOrderedAndProject``),
+    whose oldest place is the cut, read as a scalar."""
+    if n <= 0:
+        return df
+    newest = df.select(_place(ts, tiebreak).alias("_p")).orderBy(F.col("_p").desc()).limit(n)
+    return df.filter(_place(ts, tiebreak) < newest.agg(F.min("_p")).scalar())
 
 
 def superseded(df: DataFrame, keys, version: Column, tiebreak: str = "id") -> DataFrame:
@@ -205,21 +179,25 @@ def freed_between(readings: DataFrame, keys, seq: str, reading: str, out: str =
     """E5: amount freed between consecutive readings of free space, floored at 0
     (the first reading of a key frees 0).
 
-    No window: readings get a global position in (keys, seq) order (range
-    partitioned, see :func:`reclaim.operators.order.global_row_number`), and
-    each row meets the row one position before it by an equi-join on the
-    position -- the previous reading when the keys agree.  A key holding a third
-    of all readings is spread over many tasks like any other."""
-    from reclaim.operators.order import global_row_number
+    The reading before is the one before in the row's fine bin of the order (as
+    in E4), else the last of the nearest earlier fine bin in its coarse bin, else
+    the last of the nearest earlier coarse bin.  So no window holds more than
+    one fine bin's rows or one level's bins, however large a key is."""
     keys = _keys(keys)
-    ranked = global_row_number(readings, [F.col(k) for k in keys] + [F.col(seq)], out="_pos")
-    prev = ranked.select((F.col("_pos") + 1).alias("_pos"),
-                         *[F.col(k).alias(f"_pk_{k}") for k in keys],
-                         F.col(reading).alias("_prev"))
-    j = ranked.join(prev, ["_pos"], "left")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_pk_{k}"))
-    diff = F.when(same, F.col(reading) - F.col("_prev"))
-    return (j.withColumn(out, F.greatest(F.coalesce(diff, F.lit(0)), F.lit(0)))
-            .drop("_pos", "_prev", *[f"_pk_{k}" for k in keys]))
+    g = keys or ["_g"]
+    rows = readings if keys else readings.withColumn("_g", F.lit(0))
+    v = _order_value(readings, seq)
+    rows = rows.withColumn("_f", F.shiftright(v, 20)).withColumn("_c", F.shiftright(v, 40))
+    here = F.struct(F.col(seq).alias("at"), F.col(reading).alias("value"))
+    last_f = rows.groupBy(*g, "_c", "_f").agg(F.max(here).alias("_last"))
+    last_c = last_f.groupBy(*g, "_c").agg(F.max("_last").alias("_last"))
+    before_c = last_c.select(*g, "_c", F.lag("_last").over(Window.partitionBy(*g).orderBy("_c")).alias("_prev_c"))
+    before_f = last_f.select(*g, "_c", "_f", F.lag("_last").over(
+        Window.partitionBy(*g, "_c").orderBy("_f")).alias("_prev_f"))
+    before = join_on_keys(before_f, before_c, [*g, "_c"], "inner").select(
+        *g, "_c", "_f", F.coalesce("_prev_f", "_prev_c").alias("_prev_bin"))
+    own = F.lag(here).over(Window.partitionBy(*g, "_c", "_f").orderBy(seq))
+    rows = join_on_keys(rows.withColumn("_prev", own), before, [*g, "_c", "_f"], "inner")
+    prev = F.coalesce("_prev", "_prev_bin")["value"]
+    freed = F.greatest(F.coalesce(F.col(reading) - prev, F.lit(0)), F.lit(0))
+    return rows.withColumn(out, freed).drop("_g", "_f", "_c", "_prev", "_prev_bin")

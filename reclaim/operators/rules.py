@@ -17,19 +17,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reclaim.functions.paths import at_or_below
 from reclaim.functions.predicates import any_of
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    predicate: Column
+    predicate: Optional[Column]
     requires_approval: bool = False
     required_tools: tuple = ()          # any one of them must exist on the host
     prepare: Optional[Callable[[DataFrame], DataFrame]] = None  # adds columns the predicate reads
     description: str = ""
     roots: tuple = ()                   # the rule can only match rows at or below these paths
     flags: tuple = ()                   # DirFlag specs: directory-row tests the predicate reads
+    steps: tuple = ()                   # ListingStep: what the rule drops from other inputs
+
+    @property
+    def test(self) -> Column:
+        """The predicate within the rule's roots.  A rule without an inventory
+        part has no predicate and matches no row."""
+        if self.predicate is None:
+            return F.lit(False)
+        return self.predicate & any_of(at_or_below(r) for r in self.roots) if self.roots else self.predicate
+
+
+@dataclass(frozen=True)
+class ListingStep:
+    """A step of a rule over inputs other than the file inventory.
+
+    ``drop(inputs)`` gets the frames by name and returns the dropped rows as
+    (host, item, size_bytes); ``input`` is the one they are rows of, ``needs``
+    all it reads; ``tools``: any one must be on the host."""
+    input: str
+    drop: Callable[[dict], DataFrame]
+    needs: tuple = ()
+    tools: tuple = ()
 
 
 class RuleBook:
@@ -48,7 +71,7 @@ class RuleBook:
                  required_tools: Sequence[str] = (), prepare=None, description: str = "",
                  roots: Sequence[str] = ()) -> "RuleBook":
         """Register a user rule (a Column, not a Python UDF).  ``roots``, if
-        given, promises the rule only matches rows at or below those paths."""
+        given, bounds the rule: it matches only rows at or below those paths."""
         return self.add(Rule(name, predicate, requires_approval, tuple(required_tools), prepare, description,
                              tuple(roots)))
 
@@ -101,7 +124,7 @@ def prepare_all(df: DataFrame, rules: Iterable[Rule]) -> DataFrame:
 
 def all_hits(rules: Sequence[Rule]) -> Column:
     """Array of the names of every rule that matches the row, in run order."""
-    arr = F.array(*[F.when(r.predicate, F.lit(r.name)) for r in rules]) if rules \
+    arr = F.array(*[F.when(r.test, F.lit(r.name)) for r in rules]) if rules \
         else F.array().cast("array<string>")
     return F.filter(arr, lambda x: x.isNotNull())
 
@@ -111,25 +134,37 @@ def _top(root: str) -> str:
     return "/".join(parts[:2]) if len(parts) > 1 else ""
 
 
+def reachable(df: DataFrame, rules: Sequence[Rule], path: str = "path") -> DataFrame:
+    """The rows that some rule can reach.  Where every rule declares its roots
+    this is an OR of prefix tests, which goes down to the Parquet scan and
+    skips the row groups outside them."""
+    roots = sorted({x.rstrip("/") for r in rules for x in r.roots})
+    if not rules or any(not r.roots for r in rules if r.predicate is not None):
+        return df
+    return df.filter(any_of(at_or_below(x, path) for x in roots))
+
+
 def _dispatch(rules: Sequence[Rule], value, path: str = "path") -> Column:
-    """``coalesce(when(p_i, v_i) ...)`` in run order.  When every rule declares
-    its roots, rows are first routed by their top-level directory, so a row is
-    tested only against the rules that can reach it (and a row outside every
-    root against none); the order within a route is the run order."""
+    """``coalesce(when(p_i, v_i) ...)`` in run order.  Rows are first routed by
+    their top-level directory, so a row is tested only against the rules that
+    can reach it; a rule without roots is on every route.  The order within a
+    route is the run order, and every rule tests its own roots, so routing
+    never changes an answer."""
     tagged = [(r, value(i, r)) for i, r in enumerate(rules)]
-    plain = F.coalesce(*[F.when(r.predicate, v) for r, v in tagged])
-    if len(rules) < 4 or any(not r.roots for r in rules) or any(_top(x) == "" for r in rules for x in r.roots):
-        return plain
-    tops = sorted({_top(x) for r in rules for x in r.roots})
-    p = F.col(path)
-    out = None
+    nowhere = value(0, rules[0])
+
+    def branch(group):
+        return F.coalesce(*[F.when(r.test, v) for r, v in group]) if group else F.when(F.lit(False), nowhere)
+
+    on = lambda r, t: not r.roots or any(_top(x) in ("", t) for x in r.roots)
+    free = [(r, v) for r, v in tagged if on(r, "")]
+    tops = sorted({_top(x) for r in rules for x in r.roots} - {""})
+    p, out = F.col(path), None
     for t in tops:
-        group = [(r, v) for r, v in tagged if any(_top(x) == t for x in r.roots)]
-        branch = F.coalesce(*[F.when(r.predicate, v) for r, v in group]) if len(group) > 1 \
-            else F.when(group[0][0].predicate, group[0][1])
         cond = p.startswith(t + "/") | (p == F.lit(t))
-        out = F.when(cond, branch) if out is None else out.when(cond, branch)
-    return out
+        here = branch([(r, v) for r, v in tagged if on(r, t)])
+        out = F.when(cond, here) if out is None else out.when(cond, here)
+    return branch(free) if out is None else out.otherwise(branch(free))
 
 
 def first_match_name(rules: Sequence[Rule], path: str = "path") -> Column:
@@ -151,6 +186,8 @@ def first_match(df: DataFrame, rules: Sequence[Rule], out: str = "rule",
                 seq: Optional[str] = None, only_hits: bool = True) -> DataFrame:
     """E7 applied: each row gets the first matching rule; rows no rule hits are
     removed unless ``only_hits`` is False."""
+    if only_hits:
+        df = reachable(df, rules)
     df = prepare_all(df, rules)
     if not rules:
         df = df.withColumn(out, F.lit(None).cast("string"))

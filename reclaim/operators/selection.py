@@ -8,7 +8,7 @@ a per-host capability row.
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterable, Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,16 +21,51 @@ class SelectionError(ValueError):
 
 
 def check_mode(include: str = "", exclude: str = "", all_rules: bool = False) -> str:
-    """Exactly one of the three modes (same checks, same order as the CLI flags)."""
+    """Exactly one of the three ways to select rules."""
     if exclude and include:
-        raise SelectionError("-i and -x options cannot be used together")
+        raise SelectionError("choose rules by inclusion or by exclusion, not by both")
     if all_rules and (exclude or include):
-        raise SelectionError("--all option cannot be used with -i or -x")
+        raise SelectionError("a run of all rules takes no list of names")
     if not all_rules and not exclude and not include:
-        raise SelectionError("no cleanup types specified")
+        raise SelectionError("no rules were chosen")
     return "all" if all_rules else ("include" if include else "exclude")
 
 
+def selected_names(names: Sequence[str], include: str = "", exclude: str = "", all_rules: bool = False) -> list[str]:
+    """C5 on the driver, where the rule book is: the names to run, in run order
+    (a name given twice is twice there)."""
+    mode = check_mode(include, exclude, all_rules)
+    asked = [] if mode == "all" else (include or exclude).split(",")
+    for name in asked:
+        if name not in names:
+            raise SelectionError(f"no rule is called {name}")
+    return asked if mode == "include" else [n for n in sorted(names) if n not in asked]
+
+
+def answers(names: Sequence[str], given: Iterable[tuple]) -> list[Optional[str]]:
+    """The answer for each step of a run.  ``given`` are pairs (name, answer): one
+    answer for a name holds for all its steps, as many as steps go to them in
+    order, any other number is an error.  (position from 1, answer) answers one
+    step."""
+    by_name: dict[str, list] = {}
+    by_step: dict[int, str] = {}
+    for who, what in given:
+        if isinstance(who, int):
+            if who in by_step:
+                raise SelectionError(f"step {who} was answered twice")
+            by_step[who] = what
+        else:
+            by_name.setdefault(who, []).append(what)
+    out = []
+    for i, name in enumerate(names):
+        mine = by_name.get(name, [None])
+        if len(mine) not in (1, list(names).count(name)):
+            raise SelectionError(f"{len(mine)} answers for the steps of {name}")
+        nth = list(names[:i]).count(name)
+        out.append(by_step.get(i + 1, mine[nth] if len(mine) > 1 else mine[0]))
+    return out
+
+
 def requested(spark: SparkSession, arg: str) -> DataFrame:
     """``(pos, name)`` of a comma-separated argument; names are not trimmed."""
     return (spark.createDataFrame([(arg,)], "arg string")
@@ -45,7 +80,7 @@ def unknown_names(req: DataFrame, catalogue: DataFrame) -> DataFrame:
 def _fail_on_unknown(req: DataFrame, catalogue: DataFrame) -> None:
     first = unknown_names(req, catalogue).orderBy("pos").limit(1).collect()
     if first:
-        raise SelectionError(f"invalid cleanup type: {first[0]['name']}")
+        raise SelectionError(f"no rule is called {first[0]['name']}")
 
 
 def ordered_catalogue(catalogue: DataFrame) -> DataFrame:
@@ -75,8 +110,11 @@ def select_rules(spark: SparkSession, catalogue: DataFrame, include: str = "", e
 def approval_gate(selected: DataFrame, catalogue: DataFrame, approvals: DataFrame,
                   on: Sequence[str] = ("name",)) -> DataFrame:
     """Rules needing consent are skipped unless the answer lower-cases to
-    ``y``; rules that need none run.  Adds ``skipped`` (boolean)."""
-    a = approvals.select(*on, F.col("ans"))
+    ``y``; rules that need none run.  Adds ``skipped`` (boolean).  Two answers
+    for one key are an error when the result is computed: rows never multiply."""
+    twice = F.raise_error(F.concat(F.lit("more than one answer for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in on])))
+    a = approvals.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.first("ans").alias("ans")).select(
+        *on, F.when(F.col("_n") > 1, twice.cast("string")).otherwise(F.col("ans")).alias("ans"))
     return (selected.join(catalogue.select("name", "requires_approval"), ["name"], "left")
             .join(a, list(on), "left")
             .withColumn("skipped", F.coalesce(F.col("requires_approval"), F.lit(False)) & ~is_yes("ans"))

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from typing import Callable, Iterable, Optional
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reclaim.functions.paths import (_c, at_or_below, base_name, below, glob_match, glob_to_regex,
-                                    parent_dir, path_parts, root_len)
+from reclaim.functions.paths import (_c, at_or_below, base_name, below, glob_body, glob_match, parent_dir,
+                                    path_parts, root_len, whole)
 from reclaim.functions.predicates import any_of
 
 
@@ -42,7 +43,7 @@ class DirTest:
         if self.names is not None:
             return dname.isin(list(self.names))
         if self.regex is not None:
-            return dpath.rlike("^(?:" + self.regex + ")$")
+            return dpath.rlike(whole(self.regex))
         return self.fn(dpath, dname)
 
 
@@ -52,8 +53,7 @@ def named(*names: str) -> DirTest:
 
 def dir_path_glob(*globs: str) -> DirTest:
     """``find -type d -path G`` (``*`` crosses ``/``), any of several globs."""
-    body = "|".join(glob_to_regex(g)[1:-1] for g in globs)
-    return DirTest(regex=body)
+    return DirTest(regex="|".join(f"(?:{glob_body(g)})" for g in globs))
 
 
 def dir_name_glob(*globs: str) -> DirTest:
@@ -72,7 +72,7 @@ def _regex_exact_below(root: str, body: str) -> bool:
     match the directory pattern (then every match is at or below the root)."""
     parts = root.rstrip("/").split("/")
     prefixes = ["/".join(parts[:i]) for i in range(1, len(parts))]
-    rx = re.compile("(?:" + body + ")")
+    rx = re.compile("(?s:" + body + ")")
     return not any(rx.fullmatch(p) for p in prefixes)
 
 
@@ -90,6 +90,11 @@ def under_dir(root: str, test: DirTest, contents_only: bool = True, skip_hidden:
     n = F.size(parts)
     r = root_len(root)
     scope = below(root, path) if contents_only else at_or_below(root, path)
+    if test.names is not None and skip_hidden and contents_only:
+        # the same, with a first entry below the directory that has no leading dot
+        r0, words = re.escape(root.rstrip("/")), "|".join(re.escape(x) for x in test.names)
+        above = [f"{r0}(?:/.*)?/(?:{words})"] + [r0] * (root.rstrip("/").rsplit("/", 1)[-1] in test.names)
+        return scope & _c(path).rlike(whole("(?:" + "|".join(above) + ")/[^./].*"))
     if test.names is not None and not skip_hidden:
         names = F.array(*[F.lit(x) for x in test.names])
         anc = F.slice(parts, r, F.greatest(n - r, F.lit(0)))  # parts r .. n-1
@@ -99,10 +104,10 @@ def under_dir(root: str, test: DirTest, contents_only: bool = True, skip_hidden:
         return scope & F.coalesce(hit, F.lit(False))
     if test.regex is not None and _regex_exact_below(root, test.regex):
         body = "(?:" + test.regex + ")"
-        below_rx = body + ("/[^./][^/]*(?:/.*)?" if skip_hidden else "/.+")
-        hit = _c(path).rlike("^" + below_rx + "$")
+        below_rx = body + ("/[^./].*" if skip_hidden else "/.+")
+        hit = _c(path).rlike(whole(below_rx))
         if not contents_only:
-            hit = hit | ((_c(kind) == "d") & _c(path).rlike("^" + body + "$"))
+            hit = hit | ((_c(kind) == "d") & _c(path).rlike(whole(body)))
         return scope & hit
     top = n - 1 if contents_only else n
 
@@ -171,7 +176,7 @@ def _may_match(root: str, test: DirTest, contents_only: bool, path: str) -> Colu
         return F.coalesce(F.arrays_overlap(F.slice(parts, r, F.greatest(n - r + 1, F.lit(0))), names),
                           F.lit(False))
     if test.regex is not None and _regex_exact_below(root, test.regex):
-        return _c(path).rlike("^(?:" + test.regex + ")(?:/.*)?$")
+        return _c(path).rlike(whole("(?:" + test.regex + ")(?:/.*)?"))
     return F.lit(True)
 
 
@@ -203,62 +208,67 @@ class DirFlag:
     contents_only: bool = True
 
 
-def mark_dirs(inventory: DataFrame, flags: Iterable[DirFlag], key: str = "id",
-              path: str = "path") -> DataFrame:
+def mark_dirs(inventory: DataFrame, flags: Iterable[DirFlag], path: str = "path", kind: str = "kind") -> DataFrame:
     """C2/C3 when the directory test needs the directory's own row (its mtime,
     a marker inside it).  Adds one boolean column per flag.
 
-    The inventory is split once: rows with no candidate ancestor for any flag
-    pass straight through (all flags false); only the candidate rows are
-    exploded into their candidate directories and joined with the passing
-    directories (equi-join on ``(host, dir)``: AQE broadcasts the directory
-    set when small and splits a hot directory otherwise), then joined back on
-    ``(host, key)``, which is unique, so balanced.  However many flags there
-    are, the inventory is read in two branches."""
+    However many flags there are: rows without a candidate directory for any
+    flag pass straight through; the others are exploded once into (flag,
+    directory), met with one tagged set of passing directories by one equi-join
+    (AQE broadcasts the set when small and splits a hot directory otherwise),
+    put together by one ``bool_or`` per row key, and joined back.  A flag is a
+    function of (host, path, kind), so that is the key: rows without an id, as
+    derived directory rows, are found too."""
     flags = list(flags)
     if not flags:
         return inventory
-    staged = inventory
-    for i, fl in enumerate(flags):
-        staged = staged.withColumn(f"_anc{i}", matching_ancestors(fl.root, fl.candidate, fl.contents_only,
-                                                                  path=path))
-    any_cand = any_of(F.size(f"_anc{i}") > 0 for i in range(len(flags)))
-    anc_cols = [f"_anc{i}" for i in range(len(flags))]
-    rest = staged.filter(~any_cand).drop(*anc_cols)
-    for fl in flags:
-        rest = rest.withColumn(fl.flag, F.lit(False))
-    cand = staged.filter(any_cand)
-    marked = cand.drop(*anc_cols)
-    for i, fl in enumerate(flags):
-        hits = (cand.select("host", key, F.explode(f"_anc{i}").alias("dir"))
-                .join(fl.dirs(inventory).select("host", "dir").distinct(), ["host", "dir"], "left_semi")
-                .select("host", key).distinct()
-                .withColumn(fl.flag, F.lit(True)))
-        marked = (marked.join(hits, ["host", key], "left")
-                  .withColumn(fl.flag, F.coalesce(F.col(fl.flag), F.lit(False))))
+
+    def candidates(i: int, f: DirFlag) -> Column:
+        found = matching_ancestors(f.root, f.candidate, f.contents_only, path=path, kind=kind)
+        return F.transform(found, lambda d: F.struct(F.lit(i).alias("flag"), d.alias("dir")))
+
+    tagged = F.concat(*[candidates(i, f) for i, f in enumerate(flags)])
+    some = any_of(_any_candidate(f, path) for f in flags)
+    rest = inventory.filter(~some).select("*", *[F.lit(False).alias(f.flag) for f in flags])
+    rows = inventory.filter(some)
+    passing = reduce(DataFrame.unionByName, [f.dirs(inventory).select("host", "dir", F.lit(i).alias("flag"))
+                                             for i, f in enumerate(flags)]).distinct()
+    keys = ["host", path, kind]
+    each = (rows.select(*keys, F.explode(F.array_distinct(tagged)).alias("_d")).select(*keys, "_d.*")
+            .join(passing, ["host", "dir", "flag"], "left_semi"))
+    hits = each.groupBy(*keys).agg(*[F.bool_or(F.col("flag") == i).alias(f.flag) for i, f in enumerate(flags)])
+    hits = hits.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[f.flag for f in flags])
+    same = [rows[k].eqNullSafe(hits[f"_k{n}"]) for n, k in enumerate(keys)]
+    marked = rows.join(hits, same, "left").select(
+        *[rows[c] for c in rows.columns], *[F.coalesce(f.flag, F.lit(False)).alias(f.flag) for f in flags])
     return rest.unionByName(marked)
 
 
+def _any_candidate(f: DirFlag, path: str) -> Column:
+    """True for every row with a candidate directory of the flag; never null."""
+    scope = below(f.root, path) if f.contents_only else at_or_below(f.root, path)
+    return F.coalesce(scope & _may_match(f.root, f.candidate, f.contents_only, path), F.lit(False))
+
+
 def mark_under_dirs(inventory: DataFrame, root: str, candidate: DirTest, dirs: DataFrame,
-                    flag: str, contents_only: bool = True, key: str = "id",
-                    path: str = "path") -> DataFrame:
+                    flag: str, contents_only: bool = True, path: str = "path") -> DataFrame:
     """One flag of :func:`mark_dirs`, with the passing directories given."""
-    return mark_dirs(inventory, [DirFlag(flag, root, candidate, lambda _: dirs, contents_only)], key, path)
+    return mark_dirs(inventory, [DirFlag(flag, root, candidate, lambda _: dirs, contents_only)], path)
 
 
-def marked_dirs(inventory: DataFrame, dir_name: str, marker: str, path: str = "path") -> DataFrame:
+def marked_dirs(inventory: DataFrame, dir_name: str, marker: str, path: str = "path", kind: str = "kind") -> DataFrame:
     """C3 helper: ``(host, dir)`` of directories called ``dir_name`` that directly
-    hold a file called ``marker``."""
+    hold a *file* called ``marker``."""
     # "/<dir_name>/<marker>" at the end: a suffix test, which Parquet can push down
     p = parent_dir(path)
     return (inventory
-            .filter(_c(path).endswith(f"/{dir_name}/{marker}"))
+            .filter(_c(path).endswith(f"/{dir_name}/{marker}") & (_c(kind) == "f"))
             .select("host", p.alias("dir")).distinct())
 
 
 def under_marked_dirs(inventory: DataFrame, root: str, dir_name: str, marker: str,
-                      flag: str = "_marked", key: str = "id") -> DataFrame:
-    """Rows in the subtree of directories called ``dir_name`` that directly
-    hold ``marker`` (``find root -type d -name build -exec test -f {}/marker``)."""
+                      flag: str = "_marked", contents_only: bool = False) -> DataFrame:
+    """Directories called ``dir_name`` that directly hold ``marker``, with
+    their subtree (``contents_only``: without their own rows)."""
     mk = marked_dirs(inventory, dir_name, marker)
-    return mark_under_dirs(inventory, root, named(dir_name), mk, flag, contents_only=True, key=key)
+    return mark_under_dirs(inventory, root, named(dir_name), mk, flag, contents_only)
