@@ -1,11 +1,16 @@
 """Command line: plan a run over an inventory table and print the report.
 
     python -m reclaim --inventory PATH (--all | -i a,b | -x a,b) [--as-of TS] [--home /root]
-                      [--approve-all | --approve name=ans ...] [--plan-out PATH]
+                      [--approve-all | --approve name=ans ...] [--error name=text ...]
+                      [--host-tools PATH] [--timings PATH] [--start-free BYTES]
+                      [--input name=PATH ...] [--plan-out PATH] [--items-out PATH]
 
-The inventory is Parquet with ``host, path, kind, size_bytes, mtime, atime, id``.
-The report (one row per selected rule) is small and printed; the plan table is
-written with ``--plan-out`` (partitioned by rule), never collected.
+The inventory is Parquet with ``host, path, kind, size_bytes, mtime, atime, id``;
+host tools (``host, tool``), timings (``seq, duration_s``) and further inputs
+(names and columns in ``reclaim.plans.listing_rules.INPUTS``) are Parquet too.
+A name run several times takes its answers in order, or one for all, or
+``position=answer``.  The report (one row per selected rule) is printed whole;
+plan tables are written (partitioned by rule), never collected.
 """
 
 from __future__ import annotations
@@ -25,7 +30,13 @@ def main(argv=None) -> int:
     ap.add_argument("--home", default="/root")
     ap.add_argument("--approve-all", action="store_true")
     ap.add_argument("--approve", action="append", default=[], help="name=answer")
+    ap.add_argument("--error", action="append", default=[], help="name=text of a rule that failed")
+    ap.add_argument("--host-tools", default=None)
+    ap.add_argument("--timings", default=None)
+    ap.add_argument("--start-free", type=int, default=None)
+    ap.add_argument("--input", action="append", default=[], help="name=path")
     ap.add_argument("--plan-out", default=None)
+    ap.add_argument("--items-out", default=None)
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
 
@@ -36,26 +47,40 @@ def main(argv=None) -> int:
         print(f"Error: {e}", file=sys.stderr)
         return 1
 
-    from reclaim.plans.catalogue import file_rulebook
+    from reclaim.plans.catalogue import rulebook
+    from reclaim.plans.listing_rules import INPUTS
     from reclaim.plans.run import run
     from reclaim.session import get_spark
     from reclaim.sources.sinks import write_plan
-    from reclaim.sources.tables import INVENTORY_COLUMNS
+    from reclaim.sources.tables import read_inventory
 
     spark = get_spark(a.master)
     as_of = dt.datetime.fromisoformat(a.as_of) if a.as_of else dt.datetime.now().replace(microsecond=0)
-    book = file_rulebook(as_of, a.home)
+    book = rulebook(as_of, a.home)
+    split = [x.split("=", 1) for x in a.approve]
     approvals = [(n, "y") for n in book.names()] if a.approve_all else \
-        [tuple(x.split("=", 1)) for x in a.approve]
-    inv = spark.read.parquet(a.inventory).select(*INVENTORY_COLUMNS)
+        [(int(k), v) if k.isdigit() else (k, v) for k, v in split]
+    named = dict(x.split("=", 1) for x in a.input)
+    if unknown := sorted(set(named) - set(INPUTS)):
+        print(f"Error: no rule reads an input called {unknown[0]}", file=sys.stderr)
+        return 1
+    inputs = {n: spark.read.schema(INPUTS[n]).parquet(p) for n, p in named.items()}
+    tools = spark.read.parquet(a.host_tools).select("host", "tool") if a.host_tools else None
+    timings = spark.read.parquet(a.timings) if a.timings else None
     try:
-        res = run(spark, inv, book, a.include, a.exclude, a.all_rules, approvals)
+        res = run(spark, read_inventory(spark, a.inventory), book, a.include, a.exclude, a.all_rules, approvals,
+                  host_tools=tools, errors=[tuple(x.split("=", 1)) for x in a.error],
+                  start_free_bytes=a.start_free, timings=timings, inputs=inputs)
     except SelectionError as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
     if a.plan_out:
         write_plan(res.plan, a.plan_out)
-    res.report.select("seq", "name", "status", "files", "freed").show(len(book) * 4, truncate=False)
+    if a.items_out:
+        write_plan(res.items, a.items_out)
+    shown = res.report.select("seq", "name", "status", "files", "freed")
+    rows = shown.collect()  # one row a step, as many as the arguments name
+    shown.sparkSession.createDataFrame(rows, shown.schema).show(max(len(rows), 1), truncate=False)
     res.total.show(truncate=False)
     return 0
 

@@ -1,9 +1,12 @@
 """The rule catalogue as data: every file-tree rule is a Column
 over the inventory, built from the predicates and tree operators.
 
-Rules that act on listings or logs rather than the file tree (kernels, snap
-revisions, conda environments, log stream cuts ...) are compositions over their
-own tables, in :mod:`reclaim.plans.listing_rules`.
+Rules or steps that act on listings or logs rather than the file tree (kernels,
+snap revisions, conda environments, log stream cuts ...) are in
+:mod:`reclaim.plans.listing_rules`; ``rulebook`` holds all 50 rules with both.
+
+First-level dot entries of a directory whose contents go (a shell ``*``) stay,
+in every rule.
 
 ``home`` stands for ``$HOME``/``~`` (the tool runs as root, so ``/root``).
 Ages are the reference's day counts; queries on the 30-day test data pass
@@ -18,10 +21,11 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclaim.functions.paths import below
+from reclaim.functions.paths import below, whole
 from reclaim.functions.predicates import (MIB, age_days_over, kind_in, name_glob_any,
                                          name_in, path_glob, size_over)
 from reclaim.operators.rules import Rule, RuleBook
+from reclaim.plans.listing_rules import LISTING_ONLY, listing_steps
 from reclaim.operators.tree import (DirFlag, contents_of, dir_path_glob, dir_path_regex, marked_dirs,
                                     named, subtree_of, under_dir)
 
@@ -55,18 +59,19 @@ def wine_flag(home: str, as_of, days: int, flag: str = "_wine_old") -> DirFlag:
     from the rows inside it (newest mtime below)."""
     from reclaim.sources.tables import directory_rows
     h = home.rstrip("/")
-    rx = "^" + re.escape(h) + r"/\.wine[^/]*$"
+    body = re.escape(h) + r"/\.wine[^/]*"
 
     def dirs(inv: DataFrame) -> DataFrame:
-        inside = inv.filter(below(h) & F.col("path").rlike("^" + re.escape(h) + r"/\.wine[^/]*(/|$)"))
+        inside = inv.filter(below(h) & F.col("path").rlike(whole(body + "(?:/.*)?")))
         return (directory_rows(inside)
-                .filter(F.col("path").rlike(rx) & age_days_over(days, as_of, "mtime"))
+                .filter(F.col("path").rlike(whole(body)) & age_days_over(days, as_of, "mtime"))
                 .select("host", F.col("path").alias("dir")))
-    return DirFlag(flag, h, dir_path_regex(rx), dirs, contents_only=False)
+    return DirFlag(flag, h, dir_path_regex(body), dirs, contents_only=False)
 
 
+# Fixed values that must equal the reference's: the roots of the rules.
 def rule_roots(home: str = "/root") -> dict:
-    """Where each rule can match: its predicate only holds at or below these."""
+    """Where each rule can match: it is tested only at or below these."""
     h = home.rstrip("/")
     return {
         "logs": ("/var/log",), "crash": ("/var/crash", "/var/lib/systemd/coredump"), "temp": ("/tmp", "/var/tmp"),
@@ -94,6 +99,7 @@ def file_rules(as_of, home: str = "/root", log_days: int = LOG_DAYS,
             for r in _file_rules(as_of, home, log_days, temp_days, old_days)]
 
 
+# Fixed values that must equal the reference's: paths, names and tools in the rules.
 def _file_rules(as_of, home, log_days, temp_days, old_days) -> list[Rule]:
     h = home.rstrip("/")
     f = kind_in("f")
@@ -107,8 +113,8 @@ def _file_rules(as_of, home, log_days, temp_days, old_days) -> list[Rule]:
         R("home", (below("/home") & f & name_glob_any(HOME_TEMP_GLOBS))
           | under_dir("/home", dir_path_regex(THUMBNAILS_DIR_REGEX), skip_hidden=True),
           requires_approval=True),
-        R("cache", under_dir("/home", named(".cache")), requires_approval=True),
-        R("trash", under_dir("/home", named("Trash")) | contents_of("/root/.local/share/Trash"),
+        R("cache", under_dir("/home", named(".cache"), skip_hidden=True), requires_approval=True),
+        R("trash", under_dir("/home", named("Trash"), skip_hidden=True) | contents_of("/root/.local/share/Trash"),
           requires_approval=True),
         R("user_logs", below("/home") & f & name_glob_any(["*.log"]) & size_over(USER_LOG_MIB, MIB),
           requires_approval=True),
@@ -120,22 +126,22 @@ def _file_rules(as_of, home, log_days, temp_days, old_days) -> list[Rule]:
           & (under_dir("/home", named("__pycache__"), contents_only=False)
              | under_dir("/tmp", named("__pycache__"), contents_only=False)
              | name_glob_any(["*.pyc"]))),
-        R("libreoffice", under_dir("/home", dir_path_glob(LIBREOFFICE_GLOB))),
-        R("browser", under_dir("/home", dir_path_glob(*BROWSER_CACHE_GLOBS))),
+        R("libreoffice", under_dir("/home", dir_path_glob(LIBREOFFICE_GLOB), skip_hidden=True)),
+        R("browser", under_dir("/home", dir_path_glob(*BROWSER_CACHE_GLOBS), skip_hidden=True)),
         R("deno", contents_of(f"{h}/.cache/deno")),
         R("bun", contents_of(f"{h}/.bun/install/cache")),
         R("pipenv", contents_of(f"{h}/.cache/pipenv")),
         R("gradle", subtree_of(f"{h}/.gradle/caches")),
         R("wine", F.coalesce(F.col("_wine_old"), F.lit(False)), required_tools=("wine",),
           flags=(wine_flag(h, as_of, old_days),)),
-        R("electron", under_dir("/home", dir_path_glob(ELECTRON_GLOB))),
+        R("electron", under_dir("/home", dir_path_glob(ELECTRON_GLOB), skip_hidden=True)),
         R("kdenlive", below(h) & f & path_glob(KDENLIVE_GLOB), requires_approval=True,
           required_tools=("kdenlive",)),
         R("blender", below(h) & f & path_glob(BLENDER_GLOB), requires_approval=True,
           required_tools=("blender",)),
         R("steam", contents_of(f"{h}/.steam/steam/steamapps/downloading"), requires_approval=True,
           required_tools=("steam",)),
-        R("thunderbird", under_dir(f"{h}/.thunderbird", named("Cache")), requires_approval=True,
+        R("thunderbird", under_dir(f"{h}/.thunderbird", named("Cache"), skip_hidden=True), requires_approval=True,
           required_tools=("thunderbird",)),
         R("dropbox", contents_of(f"{h}/.dropbox/cache"), requires_approval=True),
         R("maven", subtree_of(f"{h}/.m2/repository"), requires_approval=True, required_tools=("mvn",)),
@@ -163,3 +169,13 @@ def _file_rules(as_of, home, log_days, temp_days, old_days) -> list[Rule]:
 
 def file_rulebook(as_of, home: str = "/root", **ages) -> RuleBook:
     return RuleBook(file_rules(as_of, home, **ages))
+
+
+def rulebook(as_of, home: str = "/root", **ages) -> RuleBook:
+    """All rules: those over the file inventory, with their steps over listings
+    and logs, and those that have only such steps."""
+    steps = listing_steps(as_of)
+    book = RuleBook(dataclasses.replace(r, steps=steps.get(r.name, ())) for r in file_rules(as_of, home, **ages))
+    for name, approval in LISTING_ONLY.items():
+        book.add(Rule(name, None, requires_approval=approval, steps=steps[name]))
+    return book

@@ -1,6 +1,7 @@
-"""Catalogue rules that act on listings and logs rather than the file tree
-(SURVEY §2.10).  Each takes DataFrames and returns the rows the rule drops,
-with a ``rule`` column, so their output unions with the file-tree plan.
+"""Catalogue rules over listings and logs rather than the file tree (SURVEY
+§2.10).  Each takes DataFrames and returns the rows the rule drops, with their
+host and a ``rule`` column.  ``listing_steps`` binds them to the named inputs
+of a run (``INPUTS``).
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reclaim.functions.predicates import (MIB, before_day_boundary, contains_any, line_matches,
@@ -16,6 +17,7 @@ from reclaim.functions.predicates import (MIB, before_day_boundary, contains_any
 from reclaim.functions.version import version_key
 from reclaim.operators.retention import (before_current, drop_all_but_latest, over_budget, superseded,
                                          unreferenced)
+from reclaim.operators.rules import ListingStep
 from reclaim.sources.listings import STAMP_FORMAT, STAMP_PATTERN, csv_field, json_env_names, regex_all, ws_field
 
 # Fixed values that must equal the reference's.
@@ -28,76 +30,167 @@ JOURNAL_RETAIN = dt.timedelta(days=3)
 JOURNAL_BUDGET = 100 * MIB
 BINLOG_DAYS = 7
 TIMESHIFT_KEEP = 3
+ARTIFACT_RULES = ["buildah", "docker", "flatpak", "pnpm", "podman"]
+
+#: Inputs of a run besides the file inventory, by name.
+INPUTS = {
+    "log": "host string, id bigint, ts timestamp_ntz, size_bytes bigint",
+    "binlogs": "host string, id bigint, ts timestamp_ntz, size_bytes bigint",
+    "packages": "host string, line string",            # lines of the package listing
+    "running": "host string, current string",          # running kernel version of each host
+    "installed": "host string, package string",
+    "snaps": "host string, line string",
+    "snapshots": "host string, line string",
+    "envs": "host string, doc string",
+    "sdk": "host string, line string",
+    "gems": "host string, gem string, version string, id bigint",
+    "lxc_images": "host string, line string",          # CSV, image name first
+    "lxc_containers": "host string, line string",      # CSV, container name first, its image second
+    "lxc_running": "host string, container string",
+    **{f"{r}_{k}": f"host string, item string{s}" for r in ARTIFACT_RULES
+       for k, s in (("items", ", size_bytes bigint"), ("refs", ""))},
+}
 
 
 def _tag(df: DataFrame, rule: str) -> DataFrame:
     return df.withColumn("rule", F.lit(rule))
 
 
-def kernels(listing: DataFrame, current: str, host: str = "host", line: str = "line") -> DataFrame:
-    """``dpkg --list | grep linux-image | awk $2 | sort -V | sed '/cur/q;p'``:
-    kernel packages before the running one, per host; none if it is absent."""
-    pk = (listing.filter(line_matches(KERNEL_PATTERN, line))
-          .select(host, ws_field(line, 1).alias("package")))
-    return _tag(before_current(pk, host, version_key("package"), F.col("package").contains(current)), "kernels")
+def kernels(listing: DataFrame, running: DataFrame, line: str = "line") -> DataFrame:
+    """Kernel packages (second field of the package listing) in version order
+    before the running one of their host, which ``running`` (host, current)
+    names; none on hosts it does not name or whose kernel is not listed."""
+    pk = listing.filter(line_matches(KERNEL_PATTERN, line)).select("host", ws_field(line, 1).alias("package"))
+    now = running.groupBy("host").agg(F.collect_set("current").alias("_current"))  # a few versions a host
+    pk = pk.join(now, "host")
+    is_now = F.exists("_current", lambda v: F.col("package").contains(v))
+    return _tag(before_current(pk, "host", version_key("package"), is_now).drop("_current"), "kernels")
 
 
 def apt_packages(installed: DataFrame, name: str = "package") -> DataFrame:
-    """apt step 2: the non-critical packages that are installed."""
+    """The non-critical packages that are installed."""
     return _tag(installed.filter(F.col(name).isin(APT_PACKAGES)), "apt")
 
 
 def snap_revisions(listing: DataFrame, line: str = "line") -> DataFrame:
-    """``snap list --all | awk '/disabled/{print $1, $3}'``."""
+    """Disabled revisions: name and revision, first and third field."""
     return _tag(listing.filter(line_matches(SNAP_DISABLED, line))
-                .select(ws_field(line, 0).alias("snap"), ws_field(line, 2).alias("revision")), "snap")
+                .select("host", ws_field(line, 0).alias("snap"), ws_field(line, 2).alias("revision")), "snap")
 
 
-def timeshift_snapshots(listing: DataFrame, host: str = "host", line: str = "line") -> DataFrame:
-    """Snapshot stamps in the listing, all but the newest three per host."""
-    st = listing.select(host, F.explode(regex_all(line, STAMP_PATTERN)).alias("stamp"))
+def timeshift_snapshots(listing: DataFrame, line: str = "line") -> DataFrame:
+    """Snapshot stamps in the listing, all but the newest three per host; a stamp
+    listed twice is kept or dropped as one."""
+    st = listing.select("host", F.explode(regex_all(line, STAMP_PATTERN)).alias("stamp")).distinct()
     st = st.withColumn("stamp_ts", F.to_timestamp_ntz("stamp", F.lit(STAMP_FORMAT)))
-    return _tag(drop_all_but_latest(st, host, "stamp_ts", TIMESHIFT_KEEP, tiebreak="stamp").drop("stamp_ts"),
+    return _tag(drop_all_but_latest(st, "host", "stamp_ts", TIMESHIFT_KEEP, tiebreak="stamp").drop("stamp_ts"),
                 "timeshift")
 
 
-def conda_envs(docs: DataFrame, host: str = "host", doc: str = "doc") -> DataFrame:
-    """``conda env list --json``: every environment but ``base``."""
-    return _tag(docs.select(host, F.explode(json_env_names(doc)).alias("env"))
+def conda_envs(docs: DataFrame, doc: str = "doc") -> DataFrame:
+    """Every environment of the JSON listing but the protected one."""
+    return _tag(docs.select("host", F.explode(json_env_names(doc)).alias("env"))
                 .filter(protect(CONDA_PROTECTED, "env")), "conda")
 
 
 def android_packages(listing: DataFrame, line: str = "line") -> DataFrame:
-    """``sdkmanager --list_installed``: system images and emulators (first field)."""
-    return _tag(listing.filter(contains_any(SDK_NEEDLES, line)).select(ws_field(line, 0).alias("package")),
+    """System images and emulators (first field of the SDK listing)."""
+    return _tag(listing.filter(contains_any(SDK_NEEDLES, line)).select("host", ws_field(line, 0).alias("package")),
                 "android")
 
 
 def unused(items: DataFrame, refs: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
-    """docker / podman / buildah / flatpak / pnpm / lxc: artifacts nothing uses."""
+    """Artifacts nothing on their host uses (with ``host`` among the keys)."""
     return _tag(unreferenced(items, refs, list(keys)), rule)
 
 
 def lxc_images(image_csv: DataFrame, containers: DataFrame, line: str = "line") -> DataFrame:
-    """``lxc image list --format csv | cut -d, -f1`` minus images a container uses."""
-    imgs = image_csv.select(csv_field(line, 0).alias("image"))
-    return unused(imgs, containers.select("image"), ["image"], "lxc_lxd")
+    """Images (first CSV field) that no container (host, image) of the host uses."""
+    imgs = image_csv.select("host", csv_field(line, 0).alias("image"))
+    return unused(imgs, containers.select("host", "image"), ["host", "image"], "lxc_lxd")
 
 
-def journal(entries: DataFrame, as_of, host: str = "host", ts: str = "ts", size: str = "size_bytes") -> DataFrame:
-    """``journalctl --vacuum-time=3d`` (logs rule) and ``--vacuum-size=100M``
-    (journal rule) over a log store: entries older than 3 days, then per host
-    the oldest beyond a 100 MiB budget of the newest."""
-    old = _tag(entries.filter(older_than(JOURNAL_RETAIN, as_of, ts)), "logs")
-    big = over_budget(entries, host, ts, JOURNAL_BUDGET, weight=size)
-    return old.unionByName(_tag(big.filter("drop").drop("drop"), "journal"), allowMissingColumns=True)
+def lxc_containers(container_csv: DataFrame, running: DataFrame, line: str = "line") -> DataFrame:
+    """Containers (first CSV field) that are not running (host, container)."""
+    all_ = container_csv.select("host", csv_field(line, 0).alias("container"))
+    return unused(all_, running.select("host", "container"), ["host", "container"], "lxc_lxd")
+
+
+def old_logs(entries: DataFrame, as_of, ts: str = "ts") -> DataFrame:
+    """The log step of the ``logs`` rule: entries older than three days."""
+    return _tag(entries.filter(older_than(JOURNAL_RETAIN, as_of, ts)), "logs")
+
+
+def journal_excess(entries: DataFrame, ts: str = "ts", size: str = "size_bytes") -> DataFrame:
+    """The ``journal`` rule: per host the oldest beyond 100 MiB of the newest."""
+    return _tag(over_budget(entries, "host", ts, JOURNAL_BUDGET, weight=size).filter("drop").drop("drop"), "journal")
+
+
+def journal(entries: DataFrame, as_of, ts: str = "ts", size: str = "size_bytes") -> DataFrame:
+    """Both log rules in run order, ``journal`` then ``logs``: every entry comes
+    once, with the first rule that drops it.  (Entries that ``logs`` removes are
+    older than those a budget keeps, so the order changes no decision.)"""
+    marked = over_budget(entries, "host", ts, JOURNAL_BUDGET, weight=size)
+    rule = F.when(F.col("drop"), "journal").when(older_than(JOURNAL_RETAIN, as_of, ts), "logs")
+    return marked.withColumn("rule", rule).filter("rule is not null").drop("drop")
 
 
 def binlogs(logs: DataFrame, as_of, ts: str = "ts") -> DataFrame:
-    """``PURGE BINARY LOGS BEFORE DATE(NOW() - INTERVAL 7 DAY)``."""
+    """Binary logs before midnight of the day a week ago."""
     return _tag(logs.filter(before_day_boundary(BINLOG_DAYS, as_of, ts)), "mysql_mariadb")
 
 
 def old_gems(gems: DataFrame, name: str = "gem", version: str = "version", key: str = "id") -> DataFrame:
-    """``gem cleanup``: every installed version but the newest of each gem."""
-    return _tag(superseded(gems, name, version_key(version), tiebreak=key), "ruby")
+    """Every installed version but the newest of each gem of a host."""
+    return _tag(superseded(gems, ["host", name], version_key(version), tiebreak=key), "ruby")
+
+
+# ------------------------------------------------------------- steps of a run
+def _items(df: DataFrame, item: Column, size: bool = False) -> DataFrame:
+    bytes_ = F.coalesce("size_bytes", F.lit(0)) if size else F.lit(0)
+    return df.select("host", item.cast("string").alias("item"), bytes_.cast("bigint").alias("size_bytes"))
+
+
+def listing_steps(as_of) -> dict[str, tuple[ListingStep, ...]]:
+    """What each rule does over the inputs of a run, in the order of its steps."""
+    col, step = F.col, ListingStep
+
+    def containers(i: dict) -> DataFrame:
+        return i["lxc_containers"].select("host", csv_field("line", 1).alias("image"))
+
+    def artifacts(rule: str) -> tuple[ListingStep, ...]:
+        items, refs = f"{rule}_items", f"{rule}_refs"
+        return (step(items, lambda i: _items(unused(i[items], i[refs], ["host", "item"], rule), col("item"), True),
+                     (items, refs), (rule,)),)
+
+    return {
+        "kernels": (step("packages", lambda i: _items(kernels(i["packages"], i["running"]), col("package")),
+                         ("packages", "running")),),
+        "apt": (step("installed", lambda i: _items(apt_packages(i["installed"]), col("package")),
+                     ("installed",), ("apt-get",)),),
+        "logs": (step("log", lambda i: _items(old_logs(i["log"], as_of), col("id"), True), ("log",)),),
+        "journal": (step("log", lambda i: _items(journal_excess(i["log"]), col("id"), True), ("log",)),),
+        "snap": (step("snaps", lambda i: _items(snap_revisions(i["snaps"]), F.concat_ws(" ", "snap", "revision")),
+                      ("snaps",), ("snap",)),),
+        "timeshift": (step("snapshots", lambda i: _items(timeshift_snapshots(i["snapshots"]), col("stamp")),
+                           ("snapshots",), ("timeshift",)),),
+        "ruby": (step("gems", lambda i: _items(old_gems(i["gems"]), F.concat_ws(" ", "gem", "version")),
+                      ("gems",), ("gem",)),),
+        "android": (step("sdk", lambda i: _items(android_packages(i["sdk"]), col("package")),
+                         ("sdk",), ("sdkmanager",)),),
+        "conda": (step("envs", lambda i: _items(conda_envs(i["envs"]), col("env")), ("envs",), ("conda",)),),
+        "mysql_mariadb": (step("binlogs", lambda i: _items(binlogs(i["binlogs"], as_of), col("id"), True),
+                               ("binlogs",), ("mysql", "mariadb")),),
+        "lxc_lxd": (step("lxc_images", lambda i: _items(lxc_images(i["lxc_images"], containers(i)), col("image")),
+                         ("lxc_images", "lxc_containers"), ("lxc",)),
+                    step("lxc_containers", lambda i: _items(lxc_containers(i["lxc_containers"], i["lxc_running"]),
+                                                            col("container")),
+                         ("lxc_containers", "lxc_running"), ("lxc",))),
+        **{r: artifacts(r) for r in ARTIFACT_RULES},
+    }
+
+
+#: Rules with no part over the file inventory, and whether they need approval.
+LISTING_ONLY = {"android": True, "apt": False, "buildah": True, "conda": True, "docker": True, "flatpak": False,
+                "journal": True, "kernels": False, "lxc_lxd": True, "mysql_mariadb": True, "pnpm": False,
+                "podman": True, "ruby": False, "timeshift": True}

@@ -8,6 +8,8 @@ version order uses the brand number instead of the padded key.
 
 from __future__ import annotations
 
+from reclaim.sources.tables import SYSTEM_PATHS
+
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 INV = r"""inv AS (
@@ -36,13 +38,14 @@ inv_dirs AS (
   GROUP BY host, path),
 everything AS (SELECT host, path, kind, mtime FROM inv UNION ALL SELECT host, path, kind, mtime FROM inv_dirs)"""
 
+# Fixed values that must equal the reference's: names and paths in the rules.
 # Rule predicates over inv_p (path, parts, kind, size_bytes, mtime, atime).
 ANC = "parts[2:len(parts)-1]"
 R = {
-    "cache": f"(starts_with(path, '/home/') AND list_has_any({ANC}, ['.cache']))",
-    "trash": f"((starts_with(path, '/home/') AND list_has_any({ANC}, ['Trash'])) OR "
+    "cache": r"regexp_matches(path, '^/home/(.*/)?\.cache/[^./]')",
+    "trash": "(regexp_matches(path, '^/home/(.*/)?Trash/[^./]') OR "
              "(starts_with(path, '/root/.local/share/Trash/') AND NOT starts_with(path, '/root/.local/share/Trash/.')))",
-    "electron": r"(starts_with(path, '/home/') AND regexp_matches(path, '^.*/\.config/.*electron.*/.+$'))",
+    "electron": r"(starts_with(path, '/home/') AND regexp_matches(path, '^.*/\.config/.*electron.*/[^./]'))",
     "python": f"((starts_with(path, '/home/') OR starts_with(path, '/tmp/')) AND (list_has_any({ANC}, ['__pycache__']) "
               "OR (kind = 'd' AND parts[-1] = '__pycache__') OR ends_with(path, '.pyc')))",
     "user_logs": "(starts_with(path, '/home/') AND kind = 'f' AND ends_with(path, '.log') AND size_bytes > 10485760)",
@@ -197,7 +200,7 @@ FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)""",
 FROM (SELECT DISTINCT p_brand FROM part)""",
     "global_drop_last_n": """SELECT event_id, ts FROM events e WHERE NOT EXISTS (
   SELECT 1 FROM (SELECT event_id FROM events ORDER BY ts DESC NULLS LAST, event_id DESC LIMIT 3) k WHERE k.event_id = e.event_id)""",
-    "union_steps": w(f"SELECT id, path FROM inv_p WHERE ends_with(path, '.pyc') OR {R['cache']}"),
+    "union_steps": w(f"SELECT id, path FROM inv_p WHERE ends_with(path, '.pyc') OR (starts_with(path, '/home/') AND list_has_any({ANC}, ['.cache']))"),
     "format_duration": """SELECT event_id,
        CASE WHEN value < 1 THEN value * 1000 WHEN value < 60 THEN value ELSE value / 60 END AS dur_value,
        CASE WHEN value < 1 THEN 'ms' WHEN value < 60 THEN 's' ELSE 'm' END AS dur_unit FROM events""",
@@ -297,7 +300,7 @@ R_ALL = {
                  f"OR list_has_any({ANC}, {_AUTOTOOLS})))",
     "blender": r"(starts_with(path, '/root/') AND kind = 'f' AND regexp_matches(path, '^.*/blender_.*_autosave\.blend$'))",
     "browser": r"(starts_with(path, '/home/') AND regexp_matches(path, '^(.*/\.cache/google-chrome/Default/Cache|"
-               r".*/\.cache/chromium/Default/Cache|.*/\.mozilla/firefox/.*/Cache)/.+$'))",
+               r".*/\.cache/chromium/Default/Cache|.*/\.mozilla/firefox/.*/Cache)/[^./]'))",
     "bun": _contents("/root/.bun/install/cache"),
     "cache": R["cache"],
     "cmake": "(EXISTS (SELECT 1 FROM mk WHERE mk.host = inv_p.host AND (starts_with(inv_p.path, mk.d || '/') "
@@ -315,7 +318,7 @@ R_ALL = {
                  "(list_has_any(parts[5:len(parts)-1], ['.caches']) OR (kind = 'd' AND parts[-1] = '.caches')))",
     "kdenlive": "(starts_with(path, '/root/') AND kind = 'f' AND regexp_matches(path, '^.*/kdenlive/render/.*$'))",
     "kubectl": f"({_contents('/root/.kube/cache')} OR {_contents('/root/.kube/http-cache')})",
-    "libreoffice": r"(starts_with(path, '/home/') AND regexp_matches(path, '^.*/\.config/libreoffice/4/user/uno_packages/cache/.+$'))",
+    "libreoffice": r"(starts_with(path, '/home/') AND regexp_matches(path, '^.*/\.config/libreoffice/4/user/uno_packages/cache/[^./]'))",
     "logs": f"(starts_with(path, '/var/log/') AND kind = 'f' AND ends_with(path, '.log') AND {_older('mtime', 30)})",
     "maven": _subtree("/root/.m2/repository"),
     "mercurial": r"((starts_with(path, '/home/') AND kind = 'f' AND regexp_matches(parts[-1], '^.*\.hg.*\.bak$')) OR "
@@ -328,7 +331,7 @@ R_ALL = {
     "steam": _contents("/root/.steam/steam/steamapps/downloading"),
     "temp": f"((starts_with(path, '/tmp/') OR starts_with(path, '/var/tmp/')) AND kind = 'f' AND {_older('atime', 10)})",
     "terraform": _contents("/root/.terraform.d/plugin-cache"),
-    "thunderbird": "(starts_with(path, '/root/.thunderbird/') AND list_has_any(parts[3:len(parts)-1], ['Cache']))",
+    "thunderbird": r"regexp_matches(path, '^/root/\.thunderbird/(.*/)?Cache/[^./]')",
     "trash": R["trash"],
     "user_logs": R["user_logs"],
     "vagrant": _contents("/root/.vagrant.d/boxes"),
@@ -337,43 +340,136 @@ R_ALL = {
             "OR (inv_p.path = wd.d AND inv_p.kind = 'd')))",
 }
 
-SQL["catalogue_run"] = _with_ctes(
-    r"""mk AS (SELECT DISTINCT host, regexp_replace(path, '/[^/]*$', '') AS d FROM inv
-           WHERE starts_with(path, '/home/') AND string_split(path, '/')[-1] = 'CMakeCache.txt'
+_MK_WD = r"""mk AS (SELECT DISTINCT host, regexp_replace(path, '/[^/]*$', '') AS d FROM inv
+           WHERE starts_with(path, '/home/') AND kind = 'f' AND string_split(path, '/')[-1] = 'CMakeCache.txt'
              AND string_split(path, '/')[-2] = 'build'),
-wd AS (SELECT host, d FROM (SELECT host, mtime, regexp_extract(path, '^(/root/\.wine[^/]*)/', 1) AS d FROM inv)
-       WHERE d <> '' GROUP BY host, d HAVING max(mtime) <= """ + AS_OF + """ - INTERVAL 91 DAY),
-hits AS (SELECT CASE """ + " ".join(f"WHEN {R_ALL[n]} THEN '{n}'" for n in sorted(R_ALL)) + """ END AS rule,
-                size_bytes FROM inv_p)""",
-    """SELECT CASE WHEN grouping(rule) = 1 THEN 'Total' ELSE rule END AS rule, count(*) AS files,
-       CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM hits WHERE rule IS NOT NULL GROUP BY ROLLUP (rule)""")
+wd AS (SELECT host, d FROM (SELECT host, path, kind, mtime, regexp_extract(path, '^(/root/\.wine[^/]*)(/|$)', 1) AS d FROM inv)
+       WHERE d <> '' AND (path <> d OR kind = 'd') GROUP BY host, d
+       HAVING coalesce(max(mtime) FILTER (WHERE path = d), max(mtime)) <= """ + AS_OF + """ - INTERVAL 91 DAY)"""
+_FIRST = "CASE " + " ".join(f"WHEN {R_ALL[n]} THEN '{n}'" for n in sorted(R_ALL)) + " END"
+_ROLLUP = """SELECT CASE WHEN grouping(rule) = 1 THEN 'Total' ELSE rule END AS rule, count(*) AS files,
+       CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM hits WHERE rule IS NOT NULL GROUP BY ROLLUP (rule)"""
+
+SQL["catalogue_run"] = _with_ctes(
+    _MK_WD + f",\nhits AS (SELECT {_FIRST} AS rule, size_bytes FROM inv_p)", _ROLLUP)
+
+# -- the second inventory: the paths of sources.tables, by order key -----------
+_N = len(SYSTEM_PATHS)
+_SYS = ("SELECT 'h' || CAST((o_orderkey // {n}) % 4 AS VARCHAR) AS host, "
+        "replace(list_extract([{paths}], CAST(o_orderkey % {n} AS INT) + 1), '{{id}}', CAST(o_orderkey // {n} AS VARCHAR)) AS path, "
+        "list_extract([{kinds}], CAST(o_orderkey % {n} AS INT) + 1) AS kind, o_custkey * 100 AS size_bytes, "
+        "CASE WHEN o_custkey % 4 = 0 THEN TIMESTAMP '2024-01-30 00:00:00' ELSE CAST(o_orderdate AS TIMESTAMP) END AS mtime, "
+        "CASE WHEN o_custkey % 4 = 0 THEN TIMESTAMP '2024-01-30 00:00:00' ELSE CAST(o_orderdate AS TIMESTAMP) END AS atime, "
+        "o_orderkey AS id FROM orders").format(
+    n=_N, paths=", ".join(f"'{x}'" for x, _ in SYSTEM_PATHS), kinds=", ".join(f"'{k}'" for _, k in SYSTEM_PATHS))
+SQL["catalogue_run_system"] = (f"WITH inv AS ({_SYS}),\ninv_p AS (SELECT *, string_split(path, '/') AS parts FROM inv),\n"
+                               + _MK_WD + f",\nhits AS (SELECT {_FIRST} AS rule, size_bytes FROM inv_p)\n" + _ROLLUP)
+
+SQL["marker_dirs_with_dirs"] = _with_ctes(
+    """mk AS (SELECT DISTINCT host, regexp_replace(path, '/[^/]*$', '') AS d FROM inv
+           WHERE string_split(path, '/')[-1] = 'CMakeCache.txt' AND string_split(path, '/')[-2] = 'build')""",
+    """SELECT host, path, kind FROM everything i
+WHERE EXISTS (SELECT 1 FROM mk WHERE mk.host = i.host AND (starts_with(i.path, mk.d || '/') OR (i.path = mk.d AND i.kind = 'd')))""",
+    dirs=True)
+
+SQL["run_report_columns"] = _with_ctes(
+    _selected_run_sql(["cache", "trash", "user_logs", "electron"],
+                      [("cache", "y"), ("trash", "n"), ("user_logs", "Y")], [("electron", "permission denied")])
+    + """,
+tm AS (SELECT event_id % 4 + 1 AS seq, count(*) * (event_id % 4 + 1) / 1000.0::DOUBLE AS duration_s FROM events GROUP BY event_id % 4 + 1),
+rep AS (SELECT st.seq, st.name, st.skipped, st.error,
+               CAST(CASE WHEN st.runs THEN coalesce(per.bytes, 0) ELSE 0 END AS BIGINT) AS bytes,
+               coalesce(tm.duration_s, 0.0) AS duration_s
+        FROM st LEFT JOIN per ON per.seq = st.seq LEFT JOIN tm ON tm.seq = st.seq),
+top AS (SELECT *, max(bytes) OVER () AS max_bytes, max(duration_s) OVER () AS max_duration_s FROM rep)""",
+    f"""SELECT seq, name, CASE WHEN skipped THEN 'Skipped' WHEN error IS NOT NULL THEN 'Error during cleanup: ' || error
+            ELSE 'Cleanup completed successfully' END AS message, error, duration_s, max_bytes, max_duration_s,
+       coalesce(CAST(bytes AS DOUBLE) / nullif(CAST(least(max_bytes, 500000000) AS DOUBLE), 0), 0.0) AS bytes_share,
+       coalesce(duration_s / nullif(max_duration_s, 0), 0.0) AS duration_share,
+       CASE WHEN bytes = 0 THEN 'Insignificant' ELSE {format_bytes_sql('bytes')} END AS freed FROM top""")
 
 
 # -- §2.10 listing and log cleaners --------------------------------------------
-SQL["kernels"] = """SELECT p_type AS host, 'linux-image-5.4.0-' || CAST(p_size AS VARCHAR) || '-generic' AS package,
-       'kernels' AS rule
-FROM part p
-WHERE p_size < 25 AND EXISTS (SELECT 1 FROM part q WHERE q.p_type IS NOT DISTINCT FROM p.p_type AND q.p_size = 25)"""
-
-SQL["snap_revisions"] = """SELECT 'snap' || CAST(o_custkey % 10 AS VARCHAR) AS snap, CAST(o_orderkey AS VARCHAR) AS revision,
-       'snap' AS rule
-FROM orders WHERE o_orderstatus = 'F' AND o_custkey IS NOT NULL AND o_orderkey IS NOT NULL"""
-
-SQL["journal"] = f"""WITH j AS (SELECT event_id AS id, 'h' || CAST(user_id % 4 AS VARCHAR) AS host, ts,
-                  CAST(floor(value * 104857) AS BIGINT) AS size_bytes FROM events)
-SELECT 'logs' AS rule, id FROM j WHERE ts < {AS_OF} - INTERVAL 3 DAY
-UNION ALL
-SELECT 'journal' AS rule, id FROM (
-  SELECT id, sum(size_bytes) OVER (PARTITION BY host ORDER BY ts DESC NULLS LAST, id DESC
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM j)
-WHERE run > 104857600"""
-
-SQL["ruby_gems"] = """SELECT gem, version, id, 'ruby' AS rule FROM (
-  SELECT source AS gem, CAST(n_chars % 50 AS VARCHAR) || '.' || CAST(doc_id % 7 AS VARCHAR) AS version, doc_id AS id,
-         row_number() OVER (PARTITION BY source ORDER BY n_chars % 50 DESC, doc_id % 7 DESC, doc_id DESC) AS rn
-  FROM documents)
-WHERE rn > 1"""
-
-SQL["lxc_images"] = """SELECT 'img' || CAST(p_partkey AS VARCHAR) AS image, 'lxc_lxd' AS rule FROM part p
-WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_returnflag = 'R' AND l.l_linenumber = 1
-                                             AND l.l_partkey = p.p_partkey)"""
+_LOG = """j AS (SELECT event_id AS id, 'h' || CAST(user_id % 4 AS VARCHAR) AS host, ts,
+                  CAST(floor(value * 104857) AS BIGINT) AS size_bytes FROM events),
+jr AS (SELECT *, sum(size_bytes) OVER (PARTITION BY host ORDER BY ts DESC NULLS LAST, id DESC
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM j),
+jf AS (SELECT *, CASE WHEN run > 104857600 THEN 'journal' WHEN ts < """ + AS_OF + """ - INTERVAL 3 DAY THEN 'logs' END AS rule FROM jr)"""
+
+_LISTED = {
+    "kernels": """SELECT p.p_type AS host, 'linux-image-5.4.0-' || CAST(p_size AS VARCHAR) || '-generic' AS item
+FROM part p JOIN (SELECT p_type, min(p_partkey) % 60 + 1 AS cur FROM part GROUP BY p_type) c ON c.p_type = p.p_type
+WHERE p_size < c.cur AND EXISTS (SELECT 1 FROM part q WHERE q.p_type = p.p_type AND q.p_size = c.cur)""",
+    "snap": """SELECT 'h' || CAST(o_custkey % 4 AS VARCHAR) AS host, 'snap' || CAST(o_custkey % 10 AS VARCHAR) AS snap,
+       CAST(o_orderkey AS VARCHAR) AS revision
+FROM orders WHERE o_orderstatus = 'F' AND o_custkey IS NOT NULL AND o_orderkey IS NOT NULL""",
+    "ruby": """SELECT host, gem, version, id FROM (
+  SELECT 'h' || CAST(doc_id % 3 AS VARCHAR) AS host, source AS gem,
+         CAST(n_chars % 50 AS VARCHAR) || '.' || CAST(doc_id % 7 AS VARCHAR) AS version, doc_id AS id,
+         row_number() OVER (PARTITION BY doc_id % 3, source ORDER BY n_chars % 50 DESC, doc_id % 7 DESC, doc_id DESC) AS rn
+  FROM documents) WHERE rn > 1""",
+    "lxc_images": """SELECT 'h' || CAST(p_partkey % 7 AS VARCHAR) AS host, 'img' || CAST(p_partkey AS VARCHAR) AS image FROM part p
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_suppkey % 7 = p.p_partkey % 7)""",
+    "lxc_containers": """SELECT 'h' || CAST(l_suppkey % 7 AS VARCHAR) AS host,
+       'c' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS container
+FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag <> 'R' AND r.l_orderkey = l.l_orderkey
+  AND r.l_linenumber = l.l_linenumber AND r.l_suppkey % 7 = l.l_suppkey % 7)""",
+    "timeshift": """SELECT host, stamp FROM (
+  SELECT *, row_number() OVER (PARTITION BY host ORDER BY stamp DESC) AS rn FROM (
+    SELECT DISTINCT 'h' || CAST(user_id AS VARCHAR) AS host, strftime(ts, '%Y-%m-%d_%H-%M-%S') AS stamp FROM events))
+WHERE rn > 3""",
+    "conda": """SELECT 'h' || CAST(user_id % 4 AS VARCHAR) AS host, event_type || '_' || CAST(event_id % 50 AS VARCHAR) AS env, count(*) AS listed
+FROM events GROUP BY ALL""",
+    "android": """SELECT 'h' || CAST(p_partkey % 4 AS VARCHAR) AS host,
+       CASE p_size % 3 WHEN 0 THEN 'system-images;' ELSE 'emulator;' END || replace(p_name, ' ', '-') AS package
+FROM part WHERE p_size % 3 IN (0, 1)""",
+    "mysql_mariadb": f"SELECT 'h' || CAST(user_id % 4 AS VARCHAR) AS host, event_id AS id FROM events "
+                     f"WHERE ts < date_trunc('day', {AS_OF} - INTERVAL 7 DAY)",
+    "apt": """SELECT 'h' || CAST(s_suppkey AS VARCHAR) AS host, CASE s_suppkey % 3 WHEN 0 THEN 'nano' ELSE 'vim-tiny' END AS package
+FROM supplier WHERE s_suppkey % 3 IN (0, 1)""",
+    "unused": """SELECT 'h' || CAST(c_custkey % 4 AS VARCHAR) AS host, 'a' || CAST(c_custkey AS VARCHAR) AS item, c_custkey * 1000 AS size_bytes
+FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""",
+}
+
+
+def _ruled(name: str, rule: str, columns: str = "*") -> str:
+    return f"SELECT {columns}, '{rule}' AS rule FROM ({_LISTED[name]})"
+
+
+SQL["kernels"] = _ruled("kernels", "kernels", "host, item AS package")
+SQL["snap_revisions"] = _ruled("snap", "snap")
+SQL["ruby_gems"] = _ruled("ruby", "ruby")
+SQL["lxc_images"] = _ruled("lxc_images", "lxc_lxd")
+SQL["lxc_containers"] = _ruled("lxc_containers", "lxc_lxd")
+SQL["timeshift_snapshots"] = _ruled("timeshift", "timeshift")
+SQL["conda_envs"] = _ruled("conda", "conda")
+SQL["android_packages"] = _ruled("android", "android")
+SQL["mysql_binlogs"] = _ruled("mysql_mariadb", "mysql_mariadb")
+SQL["apt_packages"] = _ruled("apt", "apt")
+SQL["unused_artifacts"] = " UNION ALL ".join(_ruled("unused", r) for r in ["buildah", "docker", "flatpak", "pnpm", "podman"])
+SQL["journal"] = f"WITH {_LOG} SELECT rule, id FROM jf WHERE rule IS NOT NULL"
+SQL["journal_first_match"] = (f"WITH {_LOG} SELECT CAST(CASE rule WHEN 'journal' THEN 1 ELSE 2 END AS BIGINT) AS seq, rule, host, id, "
+                              "size_bytes FROM jf WHERE rule IS NOT NULL")
+
+# Of each rule, the distinct (host, item) of each input with their bytes.
+_ITEMS = {
+    "android": [("android", "package", "0")], "apt": [("apt", "package", "0")], "conda": [("conda", "env", "0")],
+    "kernels": [("kernels", "item", "0")], "ruby": [("ruby", "gem || ' ' || version", "0")],
+    "snap": [("snap", "snap || ' ' || revision", "0")], "timeshift": [("timeshift", "stamp", "0")],
+    "lxc_lxd": [("lxc_images", "image", "0"), ("lxc_containers", "container", "0")],
+    **{r: [("unused", "item", "size_bytes")] for r in ["buildah", "docker", "flatpak", "pnpm", "podman"]},
+}
+_ALL = sorted({*R_ALL, *_ITEMS, "journal", "logs", "mysql_mariadb"})
+_INV1 = INV[:INV.index("inv_p AS")].rstrip().rstrip(",").replace("inv AS (", "inv1 AS (", 1)
+SQL["full_run"] = f"""WITH {_INV1},
+inv AS (SELECT * FROM inv1 UNION ALL SELECT * FROM ({_SYS})),
+inv_p AS (SELECT *, string_split(path, '/') AS parts FROM inv WHERE NOT starts_with(path, '/snap/')),
+{_MK_WD}, {_LOG},
+hits AS (SELECT {_FIRST} AS rule, size_bytes FROM inv_p
+  UNION ALL SELECT rule, size_bytes FROM jf
+  UNION ALL SELECT 'mysql_mariadb', CAST(floor(value * 104857) AS BIGINT) FROM events WHERE ts < date_trunc('day', {AS_OF} - INTERVAL 7 DAY)
+  """ + "\n  ".join(f"UNION ALL SELECT '{rule}', CAST(b AS BIGINT) FROM (SELECT DISTINCT host, {item} AS item, {size} AS b FROM ({_LISTED[name]}))"
+                    for rule, parts in _ITEMS.items() for name, item, size in parts) + f"""),
+per AS (SELECT rule, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM hits WHERE rule IS NOT NULL GROUP BY rule)
+SELECT CAST(s.seq AS BIGINT) AS seq, s.name, 'Success' AS status, coalesce(per.files, 0) AS files, coalesce(per.bytes, 0) AS bytes
+FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(_ALL, 1))}) s(seq, name) LEFT JOIN per ON per.rule = s.name"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclaim.functions import (MIB, age_days_over, base_name, before_day_boundary, contains_any,
@@ -22,14 +22,14 @@ from reclaim.functions.text import field
 from reclaim.operators import (Rule, RuleBook, all_hits, before_current, capped_share,
                                dir_contents, dir_path_regex, drop_all_but_latest, drop_last_n,
                                first_match, freed_between, named, ordered_catalogue,
-                               over_budget, reclaim_by_rule, scan_roots,
+                               over_budget, reachable, reclaim_by_rule, scan_roots,
                                superseded, tool_gate, under_dir, under_marked_dirs, union_steps,
                                unreferenced, with_grand_total, with_host_tools)
 from reclaim.operators.order import global_row_number
 from reclaim.plans.catalogue import (ELECTRON_GLOB, HOME_TEMP_GLOBS,
                                      file_rulebook)
 from reclaim.sources import (csv_field, json_env_names, load_inventory, read_table, regex_all,
-                             with_directories, ws_field)
+                             system_inventory, with_directories, ws_field)
 from reclaim.sources.listings import STAMP_FORMAT, STAMP_PATTERN
 from reclaim.sources.sinks import read_plan, scratch_path, write_plan
 
@@ -120,7 +120,7 @@ def q_listing_regex_stamps(spark, sf):
 def q_write_plan_roundtrip(spark, sf):
     plan = (inv(spark, sf).filter(name_glob_any(["*.log"]))
             .select("id", "path", F.lit("logs_glob").alias("rule")))
-    path = scratch_path(spark, "plan", fallback="/tmp/reclaim-checkpoints")
+    path = scratch_path(spark, "plan")
     write_plan(plan, path)
     return read_plan(spark, path).select("id", "rule", "path")
 
@@ -187,7 +187,7 @@ def q_retain_day_boundary(spark, sf):
 # -- 2.3 joins ------------------------------------------------------------------
 def q_rule_overlap(spark, sf):
     rules = six_rules().rules(six_rules().names())
-    hits = inv(spark, sf).select("id", all_hits(rules).alias("_hits"))
+    hits = reachable(inv(spark, sf), rules).select("id", F.explode(F.array(all_hits(rules))).alias("_hits"))
     return (hits.filter(F.size("_hits") >= 2)
             .select("id", F.size("_hits").cast("long").alias("n_rules"),
                     F.array_join("_hits", ",").alias("rules")))
@@ -207,6 +207,12 @@ def q_marker_dirs(spark, sf):
     return m.filter("_m").select("id", "path", "size_bytes")
 
 
+def q_marker_dirs_with_dirs(spark, sf):
+    """C3 with directory rows: the marked directories themselves are in it."""
+    m = under_marked_dirs(with_directories(inv(spark, sf)), "/home", "build", "CMakeCache.txt", flag="_m")
+    return m.filter("_m").select("host", "path", "kind")
+
+
 def q_unreferenced(spark, sf):
     d = read_table(spark, sf, "documents", ["doc_id", "source"])
     lab = read_table(spark, sf, "labels", ["doc_id"])
@@ -291,6 +297,22 @@ def q_run_report(spark, sf):
         "seq", "name", "status", "files", "bytes")
 
 
+RUN_FREE = 1_000_000_000
+
+
+def q_run_report_columns(spark, sf):
+    """The rest of the report: texts, durations (one step a thousandth of the
+    events of its position) and shares."""
+    from reclaim.plans.run import run
+    e = read_table(spark, sf, "events", ["event_id"])
+    timings = e.groupBy((F.col("event_id") % 4 + 1).alias("seq")).agg(
+        (F.count(F.lit(1)) * F.col("seq") / F.lit(1000.0)).alias("duration_s"))
+    res = run(spark, inv(spark, sf), six_rules(), include=RUN_INCLUDE, approvals=RUN_APPROVALS, errors=RUN_ERRORS,
+              timings=timings, start_free_bytes=RUN_FREE)
+    return res.report.select("seq", "name", "message", "error", "duration_s", "max_bytes", "max_duration_s",
+                             "bytes_share", "duration_share", "freed")
+
+
 def q_capped_share(spark, sf):
     o = read_table(spark, sf, "orders", ["o_orderkey", "o_orderstatus", "o_totalprice"])
     r = capped_share(o, "o_totalprice", CAP_SHARE, keys=["o_orderstatus"], max_out="max_price")
@@ -413,7 +435,7 @@ def q_text_helpers(spark, sf):
 # -- J1 and the minimum slice --------------------------------------------------------
 def q_custom_rule(spark, sf):
     book = six_rules()
-    book.register("big_vdi", below("/home") & name_glob_any(["*.vdi"]) & size_over(100, MIB))
+    book.register("big_vdi", name_glob_any(["*.vdi"]) & size_over(100, MIB), roots=["/home"])
     return reclaim_by_rule(first_match(inv(spark, sf), book.rules(["big_vdi"])))
 
 
@@ -427,57 +449,208 @@ def q_catalogue_run(spark, sf):
     return with_grand_total(first_match(inv(spark, sf), book.rules(book.names())))
 
 
+# -- a second inventory, of system and root paths, derived from `orders` ---------------
+def q_catalogue_run_system(spark, sf):
+    """The whole catalogue over an inventory with rows for every rule that acts
+    outside /home or on names the first inventory lacks."""
+    book = file_rulebook(AS_OF)
+    return with_grand_total(first_match(system_inventory(spark, sf), book.rules(book.names())))
+
+
 # -- §2.10 listing and log cleaners, over listings derived from the given tables --
-KERNEL_CURRENT = "5.4.0-25-generic"
 JOURNAL_SIZE_FACTOR = 104857  # entry bytes = value * this (about value / 10 MiB)
 
 
+def _host(n) -> Column:
+    return F.concat(F.lit("h"), n.cast("string"))
+
+
+def log_entries(spark, sf) -> DataFrame:
+    e = read_table(spark, sf, "events", ["event_id", "user_id", "ts", "value"])
+    return e.select(_host(F.col("user_id") % 4).alias("host"), F.col("event_id").alias("id"), "ts",
+                    F.floor(F.col("value") * JOURNAL_SIZE_FACTOR).cast("long").alias("size_bytes"))
+
+
+def package_lines(spark, sf) -> DataFrame:
+    p = read_table(spark, sf, "part", ["p_type", "p_size"])
+    return p.select(F.col("p_type").alias("host"),
+                    F.concat(F.lit("ii  linux-image-5.4.0-"), F.col("p_size").cast("string"),
+                             F.lit("-generic  5.4.0  amd64  Linux kernel image")).alias("line"))
+
+
+def running_kernels(spark, sf) -> DataFrame:
+    """Another kernel runs on each host; some run one that is not listed."""
+    p = read_table(spark, sf, "part", ["p_type", "p_partkey"])
+    return p.groupBy(F.col("p_type").alias("host")).agg(F.concat(
+        F.lit("-5.4.0-"), (F.min("p_partkey") % 60 + 1).cast("string"), F.lit("-generic")).alias("current"))
+
+
+def snap_lines(spark, sf) -> DataFrame:
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
+    return o.select(_host(F.col("o_custkey") % 4).alias("host"), F.concat(
+        F.lit("snap"), (F.col("o_custkey") % 10).cast("string"), F.lit("  1.0  "),
+        F.col("o_orderkey").cast("string"), F.lit("  "),
+        F.when(F.col("o_orderstatus") == "F", F.lit("disabled")).otherwise(F.lit("-"))).alias("line"))
+
+
+def gem_rows(spark, sf) -> DataFrame:
+    d = read_table(spark, sf, "documents", ["doc_id", "source", "n_chars"])
+    return d.select(_host(F.col("doc_id") % 3).alias("host"), F.col("source").alias("gem"),
+                    F.concat((F.col("n_chars") % 50).cast("string"), F.lit("."),
+                             (F.col("doc_id") % 7).cast("string")).alias("version"), F.col("doc_id").alias("id"))
+
+
+def image_lines(spark, sf) -> DataFrame:
+    p = read_table(spark, sf, "part", ["p_partkey", "p_brand"])
+    return p.select(_host(F.col("p_partkey") % 7).alias("host"), F.concat(
+        F.lit("img"), F.col("p_partkey").cast("string"), F.lit(","), F.col("p_brand"), F.lit(",x")).alias("line"))
+
+
+def container_lines(spark, sf) -> DataFrame:
+    """A container for each line item, on a host by its supplier, of the image of its part."""
+    li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return li.select(_host(F.col("l_suppkey") % 7).alias("host"), F.concat(
+        F.lit("c"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"),
+        F.lit(",img"), F.col("l_partkey").cast("string")).alias("line"))
+
+
+def running_containers(spark, sf) -> DataFrame:
+    li = read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"])
+    return li.filter("l_returnflag <> 'R'").select(_host(F.col("l_suppkey") % 7).alias("host"), F.concat(
+        F.lit("c"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("container"))
+
+
+def snapshot_lines(spark, sf) -> DataFrame:
+    e = read_table(spark, sf, "events", ["event_id", "user_id", "ts"])
+    return e.select(_host(F.col("user_id")).alias("host"), F.concat(
+        F.lit("  "), F.col("event_id").cast("string"), F.lit("  >  "),
+        F.date_format("ts", STAMP_FORMAT), F.lit("  O  user")).alias("line"))
+
+
+def env_docs(spark, sf) -> DataFrame:
+    e = read_table(spark, sf, "events", ["event_id", "user_id", "event_type"])
+    return e.select(_host(F.col("user_id") % 4).alias("host"), F.concat(
+        F.lit('{"envs": ["/opt/conda/envs/base", "/opt/conda/envs/'), F.col("event_type"), F.lit("_"),
+        (F.col("event_id") % 50).cast("string"), F.lit('"]}')).alias("doc"))
+
+
+def sdk_lines(spark, sf) -> DataFrame:
+    p = read_table(spark, sf, "part", ["p_partkey", "p_name", "p_size"])
+    kind = F.when(F.col("p_size") % 3 == 0, "system-images;").when(F.col("p_size") % 3 == 1, "emulator;").otherwise("tools;")
+    return p.select(_host(F.col("p_partkey") % 4).alias("host"), F.concat(
+        kind, F.regexp_replace("p_name", " ", "-"), F.lit("   | 1.0 | Installed")).alias("line"))
+
+
+def installed_packages(spark, sf) -> DataFrame:
+    s = read_table(spark, sf, "supplier", ["s_suppkey"])
+    name = F.when(F.col("s_suppkey") % 3 == 0, "nano").when(F.col("s_suppkey") % 3 == 1, "vim-tiny").otherwise("bash")
+    return s.select(_host(F.col("s_suppkey")).alias("host"), name.alias("package"))
+
+
+def artifact_items(spark, sf) -> DataFrame:
+    c = read_table(spark, sf, "customer", ["c_custkey"])
+    return c.select(_host(F.col("c_custkey") % 4).alias("host"), F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("item"),
+                    (F.col("c_custkey") * 1000).cast("bigint").alias("size_bytes"))
+
+
+def artifact_refs(spark, sf) -> DataFrame:
+    o = read_table(spark, sf, "orders", ["o_custkey"])
+    return o.select(_host(F.col("o_custkey") % 4).alias("host"), F.concat(F.lit("a"), F.col("o_custkey").cast("string")).alias("item"))
+
+
+def run_inputs(spark, sf) -> dict:
+    """Every named input of a run, from the given tables."""
+    from reclaim.plans.listing_rules import ARTIFACT_RULES
+    made = {"log": log_entries, "binlogs": log_entries, "packages": package_lines, "running": running_kernels,
+            "installed": installed_packages, "snaps": snap_lines, "snapshots": snapshot_lines, "envs": env_docs,
+            "sdk": sdk_lines, "gems": gem_rows, "lxc_images": image_lines, "lxc_containers": container_lines,
+            "lxc_running": running_containers, **{f"{r}_items": artifact_items for r in ARTIFACT_RULES},
+            **{f"{r}_refs": artifact_refs for r in ARTIFACT_RULES}}
+    return {name: make(spark, sf) for name, make in made.items()}
+
+
 def q_kernels(spark, sf):
     from reclaim.plans import listing_rules as L
-    p = read_table(spark, sf, "part", ["p_type", "p_size"])
-    listing = p.select(F.col("p_type").alias("host"),
-                       F.concat(F.lit("ii  linux-image-5.4.0-"), F.col("p_size").cast("string"),
-                                F.lit("-generic  5.4.0  amd64  Linux kernel image")).alias("line"))
-    return L.kernels(listing, KERNEL_CURRENT).select("host", "package", "rule")
+    return L.kernels(package_lines(spark, sf), running_kernels(spark, sf)).select("host", "package", "rule")
 
 
 def q_snap_revisions(spark, sf):
     from reclaim.plans import listing_rules as L
-    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey", "o_orderstatus"])
-    line = F.concat(F.lit("snap"), (F.col("o_custkey") % 10).cast("string"), F.lit("  1.0  "),
-                    F.col("o_orderkey").cast("string"), F.lit("  "),
-                    F.when(F.col("o_orderstatus") == "F", F.lit("disabled")).otherwise(F.lit("-")))
-    return L.snap_revisions(o.select(line.alias("line"))).select("snap", "revision", "rule")
+    return L.snap_revisions(snap_lines(spark, sf)).select("host", "snap", "revision", "rule")
 
 
 def q_journal(spark, sf):
     from reclaim.plans import listing_rules as L
-    e = read_table(spark, sf, "events", ["event_id", "user_id", "ts", "value"])
-    entries = e.select(F.col("event_id").alias("id"),
-                       F.concat(F.lit("h"), (F.col("user_id") % 4).cast("string")).alias("host"), "ts",
-                       F.floor(F.col("value") * JOURNAL_SIZE_FACTOR).cast("long").alias("size_bytes"))
-    return L.journal(entries, AS_OF).select("rule", "id")
+    return L.journal(log_entries(spark, sf), AS_OF).select("rule", "id")
+
+
+def q_journal_first_match(spark, sf):
+    """The same two rules through a run: every entry in one rule, with bytes."""
+    from reclaim.plans.catalogue import rulebook
+    from reclaim.plans.run import run
+    res = run(spark, inv(spark, sf).limit(0), rulebook(AS_OF), include="journal,logs",
+              approvals=[("journal", "y"), ("logs", "y")], inputs={"log": log_entries(spark, sf)})
+    return res.items.select("seq", "rule", "host", F.col("item").cast("bigint").alias("id"), "size_bytes")
 
 
 def q_ruby_gems(spark, sf):
     from reclaim.plans import listing_rules as L
-    d = read_table(spark, sf, "documents", ["doc_id", "source", "n_chars"])
-    gems = d.select(F.col("doc_id").alias("id"), F.col("source").alias("gem"),
-                    F.concat((F.col("n_chars") % 50).cast("string"), F.lit("."),
-                             (F.col("doc_id") % 7).cast("string")).alias("version"))
-    return L.old_gems(gems).select("gem", "version", "id", "rule")
+    return L.old_gems(gem_rows(spark, sf)).select("host", "gem", "version", "id", "rule")
 
 
 def q_lxc_images(spark, sf):
     from reclaim.plans import listing_rules as L
-    p = read_table(spark, sf, "part", ["p_partkey", "p_brand"])
-    image_csv = p.select(F.concat(F.lit("img"), F.col("p_partkey").cast("string"), F.lit(","),
-                                  F.col("p_brand"), F.lit(",x")).alias("line"))
-    # containers: the first line of returned orders refers to an image by part key
-    used = (read_table(spark, sf, "lineitem", ["l_partkey", "l_returnflag", "l_linenumber"])
-            .filter((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1))
-            .select(F.concat(F.lit("img"), F.col("l_partkey").cast("string")).alias("image")))
-    return L.lxc_images(image_csv, used).select("image", "rule")
+    used = container_lines(spark, sf).select("host", csv_field("line", 1).alias("image"))
+    return L.lxc_images(image_lines(spark, sf), used).select("host", "image", "rule")
+
+
+def q_lxc_containers(spark, sf):
+    from reclaim.plans import listing_rules as L
+    return L.lxc_containers(container_lines(spark, sf), running_containers(spark, sf)).select("host", "container", "rule")
+
+
+def q_timeshift_snapshots(spark, sf):
+    from reclaim.plans import listing_rules as L
+    return L.timeshift_snapshots(snapshot_lines(spark, sf)).select("host", "stamp", "rule")
+
+
+def q_conda_envs(spark, sf):
+    from reclaim.plans import listing_rules as L
+    return L.conda_envs(env_docs(spark, sf)).groupBy("host", "env", "rule").agg(F.count(F.lit(1)).alias("listed"))
+
+
+def q_android_packages(spark, sf):
+    from reclaim.plans import listing_rules as L
+    return L.android_packages(sdk_lines(spark, sf)).select("host", "package", "rule")
+
+
+def q_mysql_binlogs(spark, sf):
+    from reclaim.plans import listing_rules as L
+    return L.binlogs(log_entries(spark, sf), AS_OF).select("host", "id", "rule")
+
+
+def q_apt_packages(spark, sf):
+    from reclaim.plans import listing_rules as L
+    return L.apt_packages(installed_packages(spark, sf)).select("host", "package", "rule")
+
+
+def q_unused_artifacts(spark, sf):
+    """docker, podman, buildah, flatpak and pnpm: one rule shape, five names."""
+    from functools import reduce
+
+    from reclaim.plans import listing_rules as L
+    items, refs = artifact_items(spark, sf), artifact_refs(spark, sf)
+    return reduce(DataFrame.unionByName, [L.unused(items, refs, ["host", "item"], r) for r in L.ARTIFACT_RULES])
+
+
+def q_full_run(spark, sf):
+    """All 50 rules, all inputs: files and bytes of every step."""
+    from reclaim.plans.catalogue import rulebook
+    from reclaim.plans.run import run
+    book = rulebook(AS_OF)
+    res = run(spark, inv(spark, sf).unionByName(system_inventory(spark, sf)), book, all_rules=True,
+              approvals=[(n, "y") for n in book.names()], inputs=run_inputs(spark, sf))
+    return res.report.select("seq", "name", "status", "files", "bytes")
 
 
 QUERIES: dict[str, Q] = {
@@ -504,6 +677,7 @@ QUERIES: dict[str, Q] = {
     "dir_contents": q_dir_contents,
     "dir_contents_skip_hidden": q_dir_contents_skip_hidden,
     "marker_dirs": q_marker_dirs,
+    "marker_dirs_with_dirs": q_marker_dirs_with_dirs,
     "unreferenced": q_unreferenced,
     "select_include": q_select_include,
     "select_exclude": q_select_exclude,
@@ -512,6 +686,7 @@ QUERIES: dict[str, Q] = {
     "reclaim_by_rule": q_reclaim_by_rule,
     "reclaim_rollup": q_reclaim_rollup,
     "run_report": q_run_report,
+    "run_report_columns": q_run_report_columns,
     "capped_share": q_capped_share,
     "drop_all_but_latest": q_drop_all_but_latest,
     "superseded": q_superseded,
@@ -535,9 +710,19 @@ QUERIES: dict[str, Q] = {
     "custom_rule": q_custom_rule,
     "user_logs": q_user_logs,
     "catalogue_run": q_catalogue_run,
+    "catalogue_run_system": q_catalogue_run_system,
+    "full_run": q_full_run,
     "kernels": q_kernels,
     "snap_revisions": q_snap_revisions,
     "journal": q_journal,
+    "journal_first_match": q_journal_first_match,
     "ruby_gems": q_ruby_gems,
     "lxc_images": q_lxc_images,
+    "lxc_containers": q_lxc_containers,
+    "timeshift_snapshots": q_timeshift_snapshots,
+    "conda_envs": q_conda_envs,
+    "android_packages": q_android_packages,
+    "mysql_binlogs": q_mysql_binlogs,
+    "apt_packages": q_apt_packages,
+    "unused_artifacts": q_unused_artifacts,
 }

@@ -1,94 +1,129 @@
-"""A whole run, as the reference's ``--all`` / ``-i`` / ``-x`` does it, on Spark.
+"""A whole run on Spark: select rules (C5, C6) -> approvals (C8) -> tools per host
+(C7) -> what each step drops, first match in run order (E7) -> plan tables and
+a report per step (D1, D3) with a grand total (D2).  Nothing is deleted; the
+plans say what would be.
 
-select rules (C5, C6) -> approval gate (C8) -> per-host tool gate (C7) -> one
-scan, first match in run order (E7) -> plan table + report per step (D1, D3)
-with a grand total (D2).  Nothing is deleted; the plan says what would be.
-
-The decisions about which steps run are made on the rule table (at most one
-row per selected step); the data-sized work is one projection over the
-inventory and a per-rule aggregate.
+Which steps run is decided on the driver, from the rule book and the arguments,
+without a Spark job.  The data-sized work is one projection over the inventory,
+the listing steps over their own inputs, and a per-step aggregate.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Iterable, Optional
+from functools import reduce
+from typing import Iterable, Mapping, Optional
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclaim.functions.format import format_bytes, size_label
 from reclaim.functions.predicates import not_under
-from reclaim.operators.report import max_over_run, reclaim_by_rule, run_report
+from reclaim.operators.report import max_over_run, reclaim_by_rule, run_report, share_of
 from reclaim.operators.rules import Rule, RuleBook, first_match
-from reclaim.operators.selection import approval_gate, select_rules, tool_gate, with_host_tools
+from reclaim.operators.selection import SelectionError, answers, selected_names, tool_gate, with_host_tools
 
-MAX_STEPS = 10_000  # the rule table is configuration; a run never has more steps
 PROTECTED = ("/snap",)  # fixed value: the prefix the reference never walks into
 
 
 @dataclass
 class RunResult:
     plan: DataFrame      # inventory rows with the step (seq) and rule that would drop them
+    items: DataFrame     # rows of the other inputs: seq, rule, input, host, item, size_bytes
     report: DataFrame    # one row per selected step: status, files, bytes, label
     total: DataFrame     # one row: files and bytes over the run, as text too
 
 
+def _pairs(what: str, given) -> dict:
+    """A mapping, or pairs with no name twice."""
+    if isinstance(given, Mapping):
+        return dict(given)
+    out: dict = {}
+    for k, v in given or []:
+        if k in out:
+            raise SelectionError(f"more than one {what} for {k}")
+        out[k] = v
+    return out
+
+
+def _listed(rules: list[tuple[int, Rule]], inputs: Mapping[str, DataFrame],
+            host_tools: Optional[DataFrame]) -> list[DataFrame]:
+    """What the listing steps of the active rules drop."""
+    out = []
+    for seq, rule in rules:
+        for step in rule.steps:
+            if any(n not in inputs for n in step.needs):
+                continue
+            hits = step.drop(dict(inputs))
+            tools = step.tools or rule.required_tools
+            if host_tools is not None and tools:
+                hosts = host_tools.filter(F.col("tool").isin(list(tools))).select("host")
+                hits = hits.join(hosts, "host", "left_semi")
+            out.append(hits.select(F.lit(seq).cast("bigint").alias("seq"), F.lit(rule.name).alias("rule"),
+                                   F.lit(step.input).alias("input"), "host", "item", "size_bytes"))
+    return out
+
+
 def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str = "", exclude: str = "",
         all_rules: bool = False, approvals: Optional[Iterable[tuple]] = None,
-        host_tools: Optional[DataFrame] = None, errors: Optional[Iterable[tuple]] = None,
-        start_free_bytes: Optional[int] = None, timings: Optional[DataFrame] = None,
-        protected: Iterable[str] = PROTECTED) -> RunResult:
-    """``start_free_bytes`` (the free space before the run) caps the bytes share
-    at half of it, as the reference's report does; the shares may exceed 1.
-    ``timings`` (``seq, duration_s``) fills the report's durations.  Rows below
-    a ``protected`` prefix are removed before any rule is evaluated (a
-    ``NOT StartsWith`` filter, which reaches the Parquet scan)."""
-    cat = book.catalogue(spark)
-    sel = select_rules(spark, cat, include=include, exclude=exclude, all_rules=all_rules)
-    ap = spark.createDataFrame(list(approvals or []) or [("", "")], "name string, ans string")
-    st = approval_gate(sel, cat, ap)
-    er = spark.createDataFrame(list(errors or []) or [("", "")], "name string, error string")
-    st = st.join(er, ["name"], "left").select("seq", "name", "skipped", "error")
-    steps = st.orderBy("seq").limit(MAX_STEPS + 1).collect()
-    if len(steps) > MAX_STEPS:
-        raise ValueError("too many steps in one run")
+        host_tools: Optional[DataFrame] = None, errors=None, start_free_bytes: Optional[int] = None,
+        timings: Optional[DataFrame] = None, protected: Iterable[str] = PROTECTED,
+        inputs: Optional[Mapping[str, DataFrame]] = None) -> RunResult:
+    """``approvals``: pairs (name, answer), see ``selection.answers``, or (position
+    of the step from 1, answer).  ``errors``: (name, text) of rules that failed.
+    ``inputs``: frames by name (``listing_rules.INPUTS``); a step whose inputs
+    are not all there drops nothing, and the report names them.
+    ``start_free_bytes`` (free space before the run) caps the bytes share at half
+    of it; shares may exceed 1.  ``timings`` (``seq, duration_s``) fills the
+    durations.  Rows below a ``protected`` prefix are removed before any rule
+    (a ``NOT StartsWith`` filter, which reaches the Parquet scan)."""
+    inputs = inputs or {}
+    names = selected_names(book.names(), include, exclude, all_rules)
+    failed = _pairs("error", errors)
+    steps, active, seen = [], [], set()
+    for seq, (name, answer) in enumerate(zip(names, answers(names, approvals or [])), 1):
+        rule = book[name]
+        skipped = rule.requires_approval and (answer or "").lower() != "y"
+        lacking = sorted({n for s in rule.steps for n in s.needs if n not in inputs})
+        steps.append((seq, name, skipped, failed.get(name), lacking))
+        if not skipped and name not in failed and name not in seen:  # a second run of a rule finds nothing
+            active.append((seq, rule))
+            seen.add(name)
+    st = spark.createDataFrame(steps, "seq bigint, name string, skipped boolean, error string, missing_inputs array<string>")
 
     inv = inventory
     for prefix in protected:
         inv = inv.filter(not_under(prefix))
-    present = None
+    tests = [(seq, r) for seq, r in active if r.predicate is not None]
     if host_tools is not None:
-        inv = with_host_tools(inv, host_tools)
-        # rules whose tools are on no host are left out before the rule
-        # expression is built (the tool names are bounded by the tool catalogue)
-        present = {r["tool"] for r in host_tools.select("tool").distinct().limit(MAX_STEPS + 1).collect()}
-    seen, active = set(), []
-    for s in steps:
-        rule = book[s["name"]]
-        runs = not s["skipped"] and s["error"] is None and s["name"] not in seen
-        if runs and present is not None and rule.required_tools and not set(rule.required_tools) & present:
-            seen.add(s["name"])
-            continue
-        if runs:
-            seen.add(s["name"])
-            pred = rule.predicate
-            if host_tools is not None:
-                pred = pred & tool_gate(rule.required_tools)
-            active.append(Rule(str(s["seq"]), pred, prepare=rule.prepare, roots=rule.roots, flags=rule.flags))
-    plan = first_match(inv, active, out="_step") if active else inv.limit(0).withColumn("_step", F.lit(None))
+        # as many tool names come back as the selected rules name, no more
+        needed = sorted({t for _, r in tests for t in r.required_tools})
+        here = host_tools.filter(F.col("tool").isin(needed))
+        present = {r["tool"] for r in here.select("tool").distinct().collect()} if needed else set()
+        tests = [(seq, r) for seq, r in tests if not r.required_tools or present & set(r.required_tools)]
+        inv = with_host_tools(inv, here)
+    gated = [Rule(str(seq), r.predicate & tool_gate(r.required_tools) if host_tools is not None else r.predicate,
+                  prepare=r.prepare, roots=r.roots, flags=r.flags) for seq, r in tests]
+    plan = first_match(inv, gated, out="_step") if gated else inv.limit(0).withColumn("_step", F.lit(None))
     plan = plan.withColumn("seq", F.col("_step").cast("long")).drop("_step")
-    plan = plan.join(F.broadcast(st.select("seq", F.col("name").alias("rule"))), ["seq"], "left")
-    per = reclaim_by_rule(plan, rule="seq")
-    report = run_report(st, per, timings).withColumn("freed", size_label("bytes"))
+    plan = plan.join(F.broadcast(st.select("seq", F.col("name").alias("rule"))), ["seq"], "left")  # a row each step
+
+    listed = _listed(active, inputs, host_tools)
+    kind = "seq bigint, rule string, input string, host string, item string, size_bytes bigint"
+    items = reduce(DataFrame.unionByName, listed) if listed else spark.createDataFrame([], kind)
+    first = F.min(F.struct("seq", "rule", "size_bytes")).alias("first")
+    items = items.groupBy("input", "host", "item").agg(first).select(
+        "first.seq", "first.rule", "input", "host", "item", "first.size_bytes")
+
+    both = plan.select("seq", "size_bytes").unionByName(items.select("seq", "size_bytes"))
+    report = run_report(st, reclaim_by_rule(both, rule="seq"), timings).join(
+        st.select("seq", "missing_inputs"), "seq").withColumn("freed", size_label("bytes"))
     # D4 + E6 over the report (one row per step, so a window is right here)
     report = max_over_run(report, "bytes", out="max_bytes")
     report = max_over_run(report, "duration_s", out="max_duration_s")
     cap = F.lit(start_free_bytes // 2) if start_free_bytes is not None else F.col("max_bytes")
-    report = (report
-              .withColumn("bytes_share", F.coalesce(F.try_divide(F.col("bytes").cast("double"),
-                                                                 F.least("max_bytes", cap).cast("double")), F.lit(0.0)))
-              .withColumn("duration_share", F.coalesce(F.try_divide("duration_s", "max_duration_s"), F.lit(0.0))))
+    report = (report.withColumn("bytes_share", share_of("bytes", F.least("max_bytes", cap)))
+              .withColumn("duration_share", share_of("duration_s", F.col("max_duration_s"))))
     total = report.agg(F.sum("files").cast("long").alias("files"), F.sum("bytes").cast("long").alias("bytes")) \
         .withColumn("freed", format_bytes("bytes"))
-    return RunResult(plan, report.orderBy("seq"), total)
+    return RunResult(plan, items, report.orderBy("seq"), total)
