@@ -23,6 +23,7 @@ def col_values(df, c):
 
 
 def test_format_bytes_reference_cases(spark):
+    # fixed values that must equal the reference's: byte texts
     cases = [(500, "500 B"), (1024, "1.0 KiB"), (2 ** 20, "1.0 MiB"), (2 ** 30, "1.0 GiB"),
              (2 ** 40, "1.0 TiB"), (2 ** 50, "1.0 PiB"), (2 ** 60, "1.0 EiB"),
              (1023, "1023 B"), (1280, "1.2 KiB"), (1792, "1.8 KiB"), (1048575, "1024.0 KiB")]
@@ -31,6 +32,16 @@ def test_format_bytes_reference_cases(spark):
     assert got == [e for _, e in cases]
 
 
+def test_format_bytes_rounds_the_double_as_printf_does(spark):
+    rnd = random.Random(11)
+    cases = [int(1.15 * 2 ** 60), 2 ** 63 - 1, 1100 * 2 ** 50, 1024 ** 2 - 1] + [rnd.randrange(1024, 2 ** 63) for _ in range(500)]
+    cases += [1024 ** k * 5 // 4 + d for k in range(1, 7) for d in (-1, 0, 1)] + [1024 ** k * 7 // 4 for k in range(1, 6)]
+    df = spark.createDataFrame([(n,) for n in cases], "bytes long")
+    for n, got in zip(cases, [r[0] for r in df.select(format_bytes("bytes")).collect()]):
+        k = max(e for e in range(1, 7) if float(n) >= 1024.0 ** e or e == 1)
+        assert got == f"{float(n) / 1024.0 ** k:.1f} {'KMGTPE'[k - 1]}iB", n
+
+
 def test_size_label_zero(spark):
     df = spark.createDataFrame([(0,), (2048,)], "bytes long")
     assert col_values(df.select(size_label("bytes").alias("l")), "l") == ["Insignificant", "2.0 KiB"]
@@ -128,7 +139,7 @@ def test_run_report_zero_bytes(spark):
 
 
 def test_first_match_run_order(spark):
-    df = spark.createDataFrame([(1,)], "id long")
+    df = spark.createDataFrame([(1, "/x")], "id long, path string")
     rules = [Rule("z", F.lit(True)), Rule("a", F.lit(True)), Rule("m", F.lit(True))]
     assert col_values(first_match(df, rules), "rule") == ["z"]
 
@@ -142,14 +153,28 @@ def test_drop_all_but_latest_small_group_and_ties(spark):
 
 
 def test_before_current_kernels(spark):
-    names = ["linux-image-5.4.0-42-generic", "linux-image-5.4.0-45-generic", "linux-image-5.4.0-47-generic"]
+    names = ["linux-image-6.1.0-9-cloud", "linux-image-6.1.0-17-cloud", "linux-image-6.1.0-23-cloud"]
     df = spark.createDataFrame([(i, "k", n) for i, n in enumerate(names)], "id long, grp string, v string")
     got = col_values(before_current(df, "grp", version_key("v"), F.col("v") == names[2]), "v")
-    assert sorted(got) == names[:2]
-    none = before_current(df, "grp", version_key("v"), F.col("v") == "linux-image-9")
+    assert sorted(got) == sorted(names[:2])
+    none = before_current(df, "grp", version_key("v"), F.col("v") == "linux-image-0")
     assert none.count() == 0
-    df2 = spark.createDataFrame([(1, "k", "5.4.0-9"), (2, "k", "5.4.0-10")], "id long, grp string, v string")
-    assert col_values(before_current(df2, "grp", version_key("v"), F.col("v") == "5.4.0-10"), "v") == ["5.4.0-9"]
+    df2 = spark.createDataFrame([(1, "k", "2.8-9"), (2, "k", "2.8-10")], "id long, grp string, v string")
+    assert col_values(before_current(df2, "grp", version_key("v"), F.col("v") == "2.8-10"), "v") == ["2.8-9"]
+
+
+def test_version_key_orders_runs_of_any_length(spark):
+    ordered = ["1", "1.0", "1.2", "1.9", "1.10", "1.10a", "1.10b", "2." + "9" * 24 + "1", "2." + "9" * 24 + "2", "2.1" + "0" * 25,
+               "a", "a1", "a02", "a2", "a10"]
+    df = spark.createDataFrame([(v,) for v in reversed(ordered)], "v string")
+    assert col_values(df.orderBy(version_key("v")), "v") == ordered
+
+
+def test_superseded_keeps_the_newest_of_long_versions(spark):
+    from reclaim.operators import superseded
+    base = "7." + "3" * 20
+    df = spark.createDataFrame([(1, "g", base + "8"), (2, "g", base + "9"), (3, "g", "6.9")], "id long, k string, v string")
+    assert sorted(col_values(superseded(df, "k", version_key("v")), "id")) == [1, 3]
 
 
 def test_budget_equal_is_kept_and_first_over_dropped(spark):
@@ -160,21 +185,20 @@ def test_budget_equal_is_kept_and_first_over_dropped(spark):
     assert got == {1: False, 2: False, 3: True, 4: True}
 
 
-@pytest.mark.parametrize("keys,bin_seconds,edge_limit", [(["k"], 60, None), (None, 60, None), (["k"], 3600, None),
-                                                         (None, 7, None), (["k"], 3600, 0), (None, 100000, 0)])
-def test_over_budget_equals_plain_window(spark, keys, bin_seconds, edge_limit):
+@pytest.mark.parametrize("span", [0, 1, 3 * 3600, 400 * 86400])
+@pytest.mark.parametrize("keys", [["k"], None])
+def test_over_budget_equals_plain_window(spark, keys, span):
     rnd = random.Random(7)
     t0 = dt.datetime(2024, 1, 1)
     rows = []
     for i in range(400):
-        ts = None if rnd.random() < 0.03 else t0 + dt.timedelta(seconds=rnd.randrange(0, 3 * 3600))
+        ts = None if rnd.random() < 0.03 else t0 + dt.timedelta(seconds=rnd.random() * span)
         size = None if rnd.random() < 0.03 else rnd.randrange(0, 1000)
         k = None if rnd.random() < 0.03 else rnd.choice("abc")
         rows.append((i, k, ts, size))
     df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, size long")
     budget = 20_000
-    kw = {} if edge_limit is None else {"edge_rows_limit": edge_limit}  # 0: force the distributed edge
-    got = {r.id: r.drop for r in over_budget(df, keys, "ts", budget, "size", bin_seconds=bin_seconds, **kw).collect()}
+    got = {r.id: r.drop for r in over_budget(df, keys, "ts", budget, "size").collect()}
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(
         F.col("ts").desc_nulls_last(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ref = df.withColumn("run", F.sum(F.coalesce("size", F.lit(0))).over(w))
@@ -182,6 +206,60 @@ def test_over_budget_equals_plain_window(spark, keys, bin_seconds, edge_limit):
     assert got == want
 
 
+def test_over_budget_by_numbers_and_ties(spark):
+    # epoch microseconds, doubles and texts as tiebreak; rows that tie with the last kept one stay
+    rows = [(i, 1_700_000_000_000_000 + 5000 * i, i / 7, f"t{i:03d}", 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, us long, x double, tie string, size long")
+    want = [r[0] for r in rows if (300 - r[0]) * 10 > 1005]
+    for ts, tie in (("us", "id"), ("x", "id"), ("us", "tie"), ("x", "tie"), ("id", "us")):
+        got = over_budget(df, None, ts, 1005, "size", tiebreak=tie).filter("drop")
+        assert sorted(col_values(got, "id")) == want, (ts, tie)
+    t = dt.datetime(2024, 1, 1)
+    same = spark.createDataFrame([("a", t, 1, 60), ("a", t, 1, 60), ("a", t, 0, 1)], "k string, ts timestamp_ntz, id long, size long")
+    got = sorted((r.id, r["drop"]) for r in over_budget(same, "k", "ts", 100, "size").collect())
+    assert got == [(0, True), (1, False), (1, False)]
+
+
+def test_keep_newest_has_one_path_for_every_n(spark):
+    from reclaim.operators import drop_last_n
+    t = dt.datetime(2024, 1, 1)
+    rows = [(None, t + dt.timedelta(hours=9)), (1, t + dt.timedelta(hours=8)), (1, t), (2, t + dt.timedelta(hours=1)), (3, None)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz").withColumn("k", F.lit("a"))
+    old = [(1, t), (2, t + dt.timedelta(hours=1)), (3, None)]
+    key = lambda x: (str(x[1]), x[0])
+    for got in (drop_last_n(df, "ts", 2), drop_all_but_latest(df, "k", "ts", 2), drop_all_but_latest(df, None, "ts", 2)):
+        # a row that shares the id of a kept one goes, the newest without an id stays
+        assert sorted(((r.id, r.ts) for r in got.collect()), key=key) == sorted(old, key=key)
+    for n in (5, 1_000_000, 1_000_001):
+        assert drop_last_n(df, "ts", n).count() == drop_all_but_latest(df, "k", "ts", n).count() == 0
+    assert drop_last_n(df, "ts", 0).count() == drop_all_but_latest(df, "k", "ts", 0).count() == 5
+
+
+def test_keep_newest_with_one_key_of_a_third(spark):
+    rnd = random.Random(2)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, 0 if i % 3 == 0 else i % 501 + 1, t0 + dt.timedelta(seconds=rnd.randrange(10 ** 6))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz")
+    w = Window.partitionBy("k").orderBy(F.col("ts").desc(), F.col("id").desc())
+    want = {r.id for r in df.withColumn("n", F.row_number().over(w)).filter("n > 3").collect()}
+    assert set(col_values(drop_all_but_latest(df, "k", "ts", 3), "id")) == want
+
+
+def test_no_job_runs_while_retention_frames_are_built(spark):
+    from reclaim.operators import drop_last_n, freed_between
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, "a", t, 5)], "id long, k string, ts timestamp_ntz, size long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may start")
+    try:
+        frames = [over_budget(df, "k", "ts", 3, "size"), over_budget(df, None, "ts", 3, "size"), drop_last_n(df, "ts", 1),
+                  drop_all_but_latest(df, "k", "ts", 1), freed_between(df, "k", "ts", "size")]
+        assert len(tracker.getJobIdsForGroup("building")) == 0
+        assert all(f.collect() is not None for f in frames)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_capped_share_edges(spark):
     df = spark.createDataFrame([("r", 0.0), ("s", 0.0), ("s", 5.0), ("s", 10.0)], "run string, v double")
     got = sorted((r.run, r.v, r.share) for r in capped_share(df, "v", 4.0, keys=["run"]).collect())
@@ -195,13 +273,12 @@ def test_status_label_order(spark):
 
 
 def test_sdk_listing_first_field(spark):
-    lines = ["system-images;android-30;google_apis;x86    | 30.0.3 | Installed",
-             "emulator                                    | 30.0.12 | Installed",
-             "other-package", "some-package"]
+    lines = ["system-images;watch-9;plain;arm   | 4.1 | Installed", "  emulator-canary | 31.2 | Installed",
+             "platform-tools | 35 | Installed", ""]
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     hit = df.filter(F.col("line").contains("system-images") | F.col("line").contains("emulator"))
     assert col_values(hit.select(ws_field("line", 0).alias("p")), "p") == \
-        ["system-images;android-30;google_apis;x86", "emulator"]
+        ["system-images;watch-9;plain;arm", "emulator-canary"]
 
 
 def test_conda_json_envs(spark):
@@ -334,12 +411,8 @@ def test_dir_name_glob_and_depth(spark):
     assert sorted(r.path for r in df.filter(depth_is("/root", 1)).collect()) == ["/root/.wine", "/root/.winex"]
 
 
-def test_over_budget_running_and_first_match_seq(spark):
-    t = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(1, t + dt.timedelta(minutes=2), 5), (2, t + dt.timedelta(minutes=1), 5),
-                                (3, t, 5)], "id long, ts timestamp_ntz, size long")
-    got = {r.id: (r.drop, r.run) for r in over_budget(df, None, "ts", 7, "size", running="run").collect()}
-    assert got == {1: (False, 5), 2: (True, 10), 3: (True, 15)}
+def test_first_match_seq(spark):
+    df = spark.createDataFrame([(1, "/a"), (2, "/b"), (3, None)], "id long, path string")
     rules = [Rule("a", F.col("id") > 2), Rule("b", F.col("id") > 1), Rule("c", F.lit(True))]
     hits = {r.id: (r.rule, r.seq) for r in first_match(df, rules, seq="seq").collect()}
     assert hits == {1: ("c", 3), 2: ("b", 2), 3: ("a", 1)}
@@ -364,7 +437,7 @@ def test_named_dir_contents_skip_hidden(spark):
 
 def test_exclude_unknown_name_is_an_error(spark):
     cat = _book().catalogue(spark)
-    with pytest.raises(SelectionError, match="invalid cleanup type: zz"):
+    with pytest.raises(SelectionError, match="no rule is called zz"):
         select_rules(spark, cat, exclude="b,zz")
 
 
@@ -376,7 +449,7 @@ def test_glob_classes_and_escapes(spark):
     assert pick(["f[0-9].log"]) == ["/a/f1.log"]
     assert pick(["x[!a]"]) == ["/a/xb"]
     assert pick(["q\\*z"]) == ["/a/q*z"]
-    assert glob_to_regex("*.tmp") == r"^.*\.tmp$"
+    assert glob_to_regex("*.tmp") == r"(?s)\A(?:.*\.tmp)\z"
 
 
 def test_dir_contents_skip_hidden_counts(spark):
@@ -387,18 +460,74 @@ def test_dir_contents_skip_hidden_counts(spark):
     assert got == [("/home/u/box", 2, 5)]
 
 
-def test_scale_conf_sizes():
-    from reclaim.session import scale_conf
-    assert scale_conf(10 * 1024 ** 3)["spark.sql.shuffle.partitions"] == "200"
-    assert scale_conf(100 * 1024 ** 4)["spark.sql.shuffle.partitions"] == "100000"
-    assert scale_conf(1024 ** 4)["spark.sql.shuffle.partitions"] == str(1024 ** 4 // (256 * 1024 ** 2) + 1)
+def test_roots_bound_a_rule_whatever_the_number_of_rules(spark):
+    from reclaim.operators import all_hits
+    df = spark.createDataFrame([("/home/u/a.log",), ("/opt/a.log",)], "path string")
+    logs = F.col("path").endswith(".log")
+    rules = [Rule("r", logs, roots=("/home",))] + [Rule(f"n{i}", F.lit(False), roots=("/var",)) for i in range(5)]
+    free = Rule("free", logs)
+    for n in range(1, 6):
+        assert [r.path for r in first_match(df, rules[:n]).collect()] == ["/home/u/a.log"]
+        got = {r.path: r.rule for r in first_match(df, [*rules[:n], free]).collect()}
+        assert got == {"/home/u/a.log": "r", "/opt/a.log": "free"}  # a rule without roots takes part on every route
+        hits = [r.h for r in df.select(all_hits(rules[:n]).alias("h")).collect()]
+        assert hits == [["r"], []]
+
+
+def test_newlines_and_dots_in_names(spark):
+    from reclaim.operators import dir_path_glob, named, under_dir
+    from reclaim.plans.catalogue import file_rulebook
+    rows = [(1, "/home/u/.config/my-electron-app/a\nb"), (2, "/home/u/.config/my-electron-app/.keep"),
+            (3, "/home/u/.cache/x\n"), (4, "/home/u/.cache/.keep"), (5, "/home/u/Trash/.keep"), (6, "/root/.local/share/Trash/.keep"),
+            (7, "/home/u/Trash/x"), (8, "/home/u/n\n/build"), (9, "/root/.thunderbird/p/Cache/.keep"), (10, "/root/.thunderbird/p/Cache/k/.x")]
+    df = spark.createDataFrame([("h", i, p, "f", 1) for i, p in rows], "host string, id long, path string, kind string, size_bytes long")
+    book = file_rulebook(AS_OF)
+    got = {r.id: r.rule for r in first_match(df, book.rules(["cache", "electron", "thunderbird", "trash"])).collect()}
+    assert got == {1: "electron", 3: "cache", 7: "trash", 10: "thunderbird"}  # one meaning of *: first-level dot entries stay
+    assert [r.id for r in df.filter(under_dir("/home", dir_path_glob("*/n*"))).collect()] == [8]
+    assert [r.id for r in df.filter(under_dir("/home/u/Trash", named("Trash"), skip_hidden=True)).collect()] == [7]
+    assert [r.id for r in df.filter(path_glob("*/x?")).collect()] == [3]
+
+
+def test_marked_directories_and_rows_without_id(spark):
+    from reclaim.plans.catalogue import file_rulebook
+    rows = [("h", "/home/u/p/build", "d", None), ("h", "/home/u/p/build/CMakeCache.txt", "f", 1), ("h", "/home/u/p/build/o", "d", None),
+            ("h", "/home/u/q/build", "d", None), ("h", "/home/u/q/build/CMakeCache.txt", "d", None),  # the marker must be a file
+            ("g", "/home/u/p/build", "d", None), ("h", "/home/u/p/build", "d", None), (None, "/home/u/p/build", "d", None)]
+    df = spark.createDataFrame([(h, p, k, 1, AS_OF, i) for h, p, k, i in rows],
+                               "host string, path string, kind string, size_bytes long, mtime timestamp_ntz, id long")
+    got = sorted((r.host, r.path) for r in first_match(df, file_rulebook(AS_OF).rules(["cmake", "wine"])).collect())
+    assert got == [("h", "/home/u/p/build")] * 2 + [("h", "/home/u/p/build/CMakeCache.txt"), ("h", "/home/u/p/build/o")]
+
+
+def test_two_answers_for_one_rule_are_an_error(spark):
+    cat = _book().catalogue(spark)
+    sel = select_rules(spark, cat, include="a,b")
+    ap = spark.createDataFrame([("a", "y"), ("a", "n")], "name string, ans string")
+    with pytest.raises(Exception, match="more than one answer for a"):
+        approval_gate(sel, cat, ap).collect()
+
+
+def test_plan_names_survive_the_round_trip(spark, tmp_path):
+    from reclaim.sources import read_plan, write_plan
+    df = spark.createDataFrame([(1, "007"), (2, "7"), (3, "2024-01-01")], "id long, rule string")
+    back = read_plan(spark, write_plan(df, str(tmp_path / "plan")))
+    assert {(r.id, r.rule) for r in back.collect()} == {(1, "007"), (2, "7"), (3, "2024-01-01")}
+
+
+def test_stored_hosts_keep_their_names(spark, tmp_path):
+    from reclaim.sources import read_inventory
+    df = spark.createDataFrame([("007", "/a", "f", 1, AS_OF, AS_OF, 1)], "host string, path string, kind string, "
+                               "size_bytes long, mtime timestamp_ntz, atime timestamp_ntz, id long")
+    df.write.partitionBy("host").parquet(str(tmp_path / "inv"))
+    assert [r.host for r in read_inventory(spark, str(tmp_path / "inv")).collect()] == ["007"]
 
 
 def test_empty_inputs(spark):
     from reclaim.operators import freed_between, global_row_number
     empty = spark.createDataFrame([], "id long, k string, ts timestamp_ntz, size long")
     assert over_budget(empty, "k", "ts", 10, "size").count() == 0
-    assert over_budget(empty, None, "ts", 10, "size", edge_rows_limit=0).count() == 0
+    assert over_budget(empty, None, "ts", 10, "size").count() == 0
     assert drop_all_but_latest(empty, "k", "ts", 3).count() == 0
     assert global_row_number(empty, [F.col("id")]).count() == 0
     readings = spark.createDataFrame([], "seq long, free long")

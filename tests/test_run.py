@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reclaim.operators import Rule, RuleBook
 from reclaim.plans.queries import AS_OF, q_select_include, six_rules
 from reclaim.plans.run import run
-from reclaim.sources.tables import load_inventory, materialized_inventory_path
+from reclaim.sources.tables import load_inventory
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
@@ -41,9 +41,9 @@ def test_run_tool_gate_per_host(spark):
     assert hosts == {"h0"}
 
 
-def test_cli(spark, capsys):
+def test_cli(spark, stored, capsys):
     from reclaim.__main__ import main
-    path = materialized_inventory_path(spark, SF)
+    path = stored
     assert main(["--inventory", path, "-i", "cache,trash", "--approve-all", "--as-of", AS_OF.isoformat()]) == 0
     out = capsys.readouterr().out
     assert "cache" in out and "trash" in out
@@ -72,9 +72,9 @@ def test_run_all_rules_matches_catalogue_run(spark):
     assert got == want and got
 
 
-def test_cli_exclude_with_answers(spark, capsys):
+def test_cli_exclude_with_answers(spark, stored, capsys):
     from reclaim.__main__ import main
-    path = materialized_inventory_path(spark, SF)
+    path = stored
     rc = main(["--inventory", path, "-x", "home,python", "--approve", "cache=y", "--approve", "trash=n",
                "--as-of", AS_OF.isoformat()])
     out = capsys.readouterr().out
@@ -82,3 +82,99 @@ def test_cli_exclude_with_answers(spark, capsys):
     lines = {ln.split("|")[2].strip(): ln.split("|")[3].strip() for ln in out.splitlines() if ln.count("|") >= 5}
     assert lines["cache"] == "Success" and lines["trash"] == "Skipped" and lines["user_logs"] == "Skipped"
     assert "home" not in lines and "python" not in lines
+
+
+def inventory(spark, rows):
+    return spark.createDataFrame(rows, "host string, path string, kind string, size_bytes long, id long")
+
+
+ONE = [("h0", "/home/u/.cache/a", "f", 10, 1)]
+
+
+def test_tools_are_never_cut(spark):
+    """20 rules whose tools are all present, among 20,000 tools."""
+    book = RuleBook([Rule(f"r{i:02d}", F.col("id") == i, required_tools=(f"tool{19_999 - i}",)) for i in range(20)])
+    ht = spark.range(20_000).selectExpr("'h0' AS host", "concat('tool', id) AS tool")
+    inv = inventory(spark, [("h0", f"/f{i}", "f", 1, i) for i in range(20)])
+    rep = run(spark, inv, book, all_rules=True, host_tools=ht).report.collect()
+    assert [(r.status, r.bytes) for r in rep] == [("Success", 1)] * 20
+
+
+def test_answers_never_multiply_the_report(spark):
+    from reclaim.operators import SelectionError
+    for given in ([("cache", "n"), ("cache", "y")], [("cache", "y"), ("cache", "Y")]):
+        with pytest.raises(SelectionError):
+            run(spark, inventory(spark, ONE), six_rules(), include="cache", approvals=given)
+    with pytest.raises(SelectionError):
+        run(spark, inventory(spark, ONE), six_rules(), include="cache", errors=[("cache", "a"), ("cache", "b")])
+
+
+def test_consent_is_asked_at_every_step(spark):
+    def status(approvals):
+        rep = run(spark, inventory(spark, ONE), six_rules(), include="cache,python,cache", approvals=approvals).report.collect()
+        return [(r.status, r.bytes) for r in rep if r.name == "cache"]
+    assert status([("cache", "y")]) == [("Success", 10), ("Success", 0)]
+    assert status([("cache", "n"), ("cache", "y")]) == [("Skipped", 0), ("Success", 10)]  # the second step finds it
+    assert status([(3, "y")]) == [("Skipped", 0), ("Success", 10)]
+    assert status([]) == [("Skipped", 0)] * 2
+
+
+def test_run_builds_no_job_for_its_decisions(spark):
+    inv = inventory(spark, ONE)
+    spark.sparkContext.setJobGroup("run", "decisions")
+    try:
+        run(spark, inv, six_rules(), include="cache", approvals=[("cache", "y")])
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("run")) == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rules_over_listings_run_with_the_others(spark):
+    from reclaim.plans.catalogue import rulebook
+    book = rulebook(AS_OF)
+    assert len(book) == 50
+    t = AS_OF.replace(day=1)
+    inputs = {
+        "log": spark.createDataFrame([("a", 1, AS_OF, 200 << 20), ("a", 2, t, 1), ("b", 3, t, 5)], "host string, id long, ts timestamp_ntz, size_bytes long"),
+        "snaps": spark.createDataFrame([("a", "core 1 10 x disabled"), ("b", "core 1 11 x -")], "host string, line string"),
+        "packages": spark.createDataFrame([(h, f"ii linux-image-{v}") for h in "ab" for v in ("1.9", "1.10")], "host string, line string"),
+        "running": spark.createDataFrame([("a", "1.10"), ("b", "1.9")], "host string, current string"),
+    }
+    inv = inventory(spark, [("a", "/var/lib/snapd/cache/x", "f", 7, 1)]).withColumn("mtime", F.lit(t)).withColumn("atime", F.lit(t))
+    res = run(spark, inv, book, include="kernels,journal,snap,logs,conda", approvals=[(n, "y") for n in book.names()], inputs=inputs)
+    got = {(r.rule, r.host, r.item) for r in res.items.collect()}
+    # the running kernel is each host's own; every log entry goes to one rule
+    assert got == {("kernels", "a", "linux-image-1.9"), ("journal", "a", "1"), ("journal", "a", "2"), ("logs", "b", "3"),
+                   ("snap", "a", "core 10")}
+    rep = {r.name: r for r in res.report.collect()}
+    assert (rep["snap"].files, rep["snap"].bytes) == (2, 7) and rep["conda"].missing_inputs == ["envs"] and rep["logs"].bytes == 5
+    tools = spark.createDataFrame([("b", "snap")], "host string, tool string")
+    res = run(spark, inv, book, include="snap", inputs=inputs, host_tools=tools)
+    assert res.items.count() == 0 and res.plan.count() == 0
+
+
+def test_images_in_use_on_another_host_only_are_unused(spark):
+    from reclaim.plans import listing_rules as L
+    imgs = spark.createDataFrame([("a", "i1,x"), ("b", "i1,x")], "host string, line string")
+    used = spark.createDataFrame([("a", "i1")], "host string, image string")
+    assert [(r.host, r.image) for r in L.lxc_images(imgs, used).collect()] == [("b", "i1")]
+    cs = spark.createDataFrame([("a", "c1,i1"), ("a", "c2,i1"), ("b", "c1,i1")], "host string, line string")
+    on = spark.createDataFrame([("a", "c1")], "host string, container string")
+    assert sorted((r.host, r.container) for r in L.lxc_containers(cs, on).collect()) == [("a", "c2"), ("b", "c1")]
+
+
+def test_cli_with_tools_timings_and_inputs(spark, stored, tmp_path, capsys):
+    from reclaim.__main__ import main
+    spark.createDataFrame([("h0", "docker")], "host string, tool string").write.parquet(str(tmp_path / "tools"))
+    spark.createDataFrame([(1, 1.5)], "seq long, duration_s double").write.parquet(str(tmp_path / "timings"))
+    for n, rows in (("items", "('h0', 'x', 2048), ('h1', 'x', 1)"), ("refs", "('h9', 'x', 0)")):
+        spark.sql(f"SELECT * FROM VALUES {rows} AS t(host, item, size_bytes)").selectExpr(
+            "host", "item", "CAST(size_bytes AS BIGINT) AS size_bytes").write.parquet(str(tmp_path / n))
+    rc = main(["--inventory", stored, "-i", "docker,virtualbox,docker", "--approve", "docker=y", "--approve", "docker=y",
+               "--approve", "virtualbox=y", "--error", "virtualbox=no such disk", "--host-tools", str(tmp_path / "tools"),
+               "--timings", str(tmp_path / "timings"), "--start-free", "100", "--input", f"docker_items={tmp_path / 'items'}",
+               "--input", f"docker_refs={tmp_path / 'refs'}", "--items-out", str(tmp_path / "out"), "--as-of", AS_OF.isoformat()])
+    out = capsys.readouterr().out
+    assert rc == 0 and out.count("docker") == 2 and "2.0 KiB" in out and "Error" in out
+    assert [(r.host, r.item) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("h0", "x")]
+    assert main(["--inventory", stored, "-i", "docker", "--input", "nothing=/x"]) == 1

@@ -8,16 +8,16 @@ import pytest
 from reclaim.operators import first_match, reclaim_by_rule
 from reclaim.plans.queries import five_rules
 from reclaim.session import checkpoint_dir
-from reclaim.sources.tables import INVENTORY_COLUMNS, materialized_inventory_path
+from reclaim.sources.tables import INVENTORY_COLUMNS, read_inventory
 from reclaim.streaming.plan_stream import plan_stream, reclaim_totals_stream, write_plan_stream
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
-def test_stream_plan_equals_batch(spark):
-    src = materialized_inventory_path(spark, SF)
-    batch = spark.read.parquet(src)
+def test_stream_plan_equals_batch(spark, stored):
+    src = stored
+    batch = read_inventory(spark, src)
     stream = spark.readStream.schema(batch.schema).parquet(src).select(*INVENTORY_COLUMNS)
     plan = plan_stream(stream, five_rules())
     base = checkpoint_dir(spark)
@@ -40,10 +40,10 @@ def test_stream_plan_equals_batch(spark):
     assert got_t == want_t
 
 
-def test_stream_refuses_rules_needing_directory_rows(spark):
+def test_stream_refuses_rules_needing_directory_rows(spark, stored):
     from reclaim.plans.catalogue import file_rulebook
     from reclaim.plans.queries import AS_OF
-    src = materialized_inventory_path(spark, SF)
+    src = stored
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     with pytest.raises(ValueError):
         plan_stream(stream, file_rulebook(AS_OF).rules(["cmake"]))

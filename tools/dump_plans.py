@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -30,7 +31,8 @@ def main():
     from reclaim.plans.queries import QUERIES as Q
     from reclaim.session import get_spark
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = get_spark("local[8]", 8, extra={"spark.ui.showConsoleProgress": "false"})
+    spark = get_spark("local[8]", 8, extra={
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="reclaim-plans-")})
     out = ["# Executed plans", "", f"Generated by `tools/dump_plans.py` at `{sf}` (local[8], AQE on). "
            "Column ids removed; long lines cut.", ""]
     for name in QUERIES:
