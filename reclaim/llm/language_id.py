@@ -33,7 +33,7 @@ from pyspark.sql.functions import pandas_udf
 
 from reclaim.llm.common import held_out, text_of
 
-DICT_BYTES, PIECES, PIECE_CHARS = 110_000, 600, 300
+DICT_BYTES, PIECES, PIECE_CHARS, SALTS = 110_000, 600, 300, 64
 BLOCK_BYTES, LEVEL = 4096, 5
 #: More languages than this in the labels is taken for a mistake.
 MAX_LANGUAGES = 1000
@@ -57,9 +57,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         lang.alias("lang"), mark.alias("mark"),
         F.substring(text, (F.pmod(mark, F.greatest(F.length(text) - piece_chars, F.lit(1))) + 1).cast("int"),
                     F.lit(piece_chars)).alias("piece"))
-    # a top-n by rank: Spark keeps at most n rows of a language in each map task
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "piece"))
-    taken = rows.withColumn("nth", nth).filter(F.col("nth") <= pieces).select("lang", "nth", "piece")
+    # the first n in two steps, so that no task meets what every task kept of a language
+    salt = F.pmod(F.xxhash64("piece", "mark"), F.lit(SALTS)).alias("salt")
+    for group in (["lang", "salt"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*group).orderBy("mark", "piece"))
+        rows = rows.select("lang", "mark", "piece", salt).withColumn("nth", nth).filter(F.col("nth") <= pieces)
+    taken = rows.select("lang", "nth", "piece")
     languages = [r[0] for r in taken.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
