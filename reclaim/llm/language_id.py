@@ -87,9 +87,10 @@ class Encoder:
 
     def classify(self, text: str | None, block: int = BLOCK_BYTES) -> tuple[str, float]:
         """The language and the relative margin over the second."""
-        data = letters(text).encode("utf-8", "replace")
-        if not data or not self.names:
+        plain = letters(text)
+        if not self.names or not any(map(str.isalpha, plain)):
             return UNKNOWN, 0.0
+        data = plain.encode("utf-8", "replace")
         parts = [data[a:a + block] for a in range(0, len(data), block)]
         sizes = [sum(len(c.compress(p)) for p in parts) for c in self.by_name]
         best = min(range(len(sizes)), key=sizes.__getitem__)

@@ -37,6 +37,8 @@ def test_language_id_edge_cases(spark):
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not letters) and (letters or (r.rejected and r.score == 0))
     assert {r.lang_pred for r in language_id.identify(docs, {}).collect()} == {"und"}
+    encoder = language_id.Encoder(content)
+    assert encoder.classify("½ ² 12_3 ٣ ۴")[0] == "und" and encoder.classify("ª")[0] != "und"
     kept = language_id.keep_identified(docs, content)
     assert kept.columns == docs.columns and {r.lang_pred for r in kept.collect()} == {"x"}
     assert language_id.learn(documents(spark, [])) == {}
