@@ -4,7 +4,9 @@ For each language a zstandard raw-content dictionary is made of text in that
 language.  A text is encoded once with every dictionary; the language whose
 dictionary gives the fewest bytes wins, and a narrow margin is a rejection.  A
 text is encoded in blocks, so that its own earlier words do not take the place
-of the dictionary: whole texts count, of any length, in bounded memory.
+of the dictionary: whole texts count, of any length, in bounded memory.  Where the
+margin is narrow, as in the shortest texts, the text is encoded once more by a
+more thorough compressor and both sizes count.
 
 Before encoding, letters are lower-cased and every run of other characters
 becomes one space: case, digits and markup say nothing about the language.
@@ -34,7 +36,7 @@ from pyspark.sql.functions import pandas_udf
 from reclaim.llm.common import held_out, text_of
 
 DICT_BYTES, PIECES, PIECE_CHARS, SALTS = 110_000, 600, 300, 64
-BLOCK_BYTES, LEVEL = 4096, 5
+BLOCK_BYTES, LEVEL, FINE_LEVEL = 4096, 5, 12
 #: More languages than this in the labels is taken for a mistake.
 MAX_LANGUAGES = 1000
 #: Least relative margin, (second - best) / second, of an accepted text.
@@ -74,28 +76,37 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 class Encoder:
-    """One compressor for each language."""
+    """Two compressors for each language: a fast one, and a thorough one for
+    texts that the fast one leaves undecided."""
 
-    def __init__(self, content: dict[str, bytes], level: int = LEVEL):
+    def __init__(self, content: dict[str, bytes], level: int = LEVEL, fine_level: int = FINE_LEVEL):
         self.names = sorted(content)
-        self.by_name = []
-        for name in self.names:
-            d = zstandard.ZstdCompressionDict(content[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.by_name.append(zstandard.ZstdCompressor(
-                level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
-
-    def classify(self, text: str | None, block: int = BLOCK_BYTES) -> tuple[str, float]:
-        """The language and the relative margin over the second."""
+        self.fast, self.fine = ([self._compressor(content[n], x) for n in self.names] for x in (level, fine_level))
+
+    @staticmethod
+    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False,
+                                        write_dict_id=False)
+
+    def classify(self, text: str | None, block: int = BLOCK_BYTES, narrow: float = MIN_MARGIN) -> tuple[str, float]:
+        """The language and the relative margin over the second; where that is
+        narrow, of the sizes by both compressors together."""
         plain = letters(text)
         if not self.names or not any(map(str.isalpha, plain)):
             return UNKNOWN, 0.0
         data = plain.encode("utf-8", "replace")
         parts = [data[a:a + block] for a in range(0, len(data), block)]
-        sizes = [sum(len(c.compress(p)) for p in parts) for c in self.by_name]
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        rest = min((s for i, s in enumerate(sizes) if i != best), default=2 * sizes[best])
-        return self.names[best], (rest - sizes[best]) / rest
+        total = [0] * len(self.names)
+        for compressors in (self.fast, self.fine):
+            total = [n + sum(len(c.compress(p)) for p in parts) for n, c in zip(total, compressors)]
+            best = min(range(len(total)), key=total.__getitem__)
+            rest = min((n for i, n in enumerate(total) if i != best), default=2 * total[best])
+            margin = (rest - total[best]) / rest
+            if margin >= narrow:
+                break
+        return self.names[best], margin
 
 
 def identify(docs: DataFrame, content: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN,
