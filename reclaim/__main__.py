@@ -3,11 +3,13 @@
     python -m reclaim --inventory PATH (--all | -i a,b | -x a,b) [--as-of TS] [--home /root]
                       [--approve-all | --approve name=ans ...] [--error name=text ...]
                       [--host-tools PATH] [--timings PATH] [--start-free BYTES]
-                      [--input name=PATH ...] [--plan-out PATH] [--items-out PATH]
+                      [--input name=PATH ...] [--text-input name@host=PATH ...]
+                      [--plan-out PATH] [--items-out PATH] [--report-out PATH]
 
 The inventory is Parquet with ``host, path, kind, size_bytes, mtime, atime, id``;
 host tools (``host, tool``), timings (``seq, duration_s``) and further inputs
-(names and columns in ``reclaim.plans.listing_rules.INPUTS``) are Parquet too.
+(names and columns in ``reclaim.plans.listing_rules.INPUTS``) are Parquet too, or a
+listing of one host as text, by line (JSON listings by file).
 A name run several times takes its answers in order, or one for all, or
 ``position=answer``.  The report (one row per selected rule) is printed whole;
 plan tables are written (partitioned by rule), never collected.
@@ -37,6 +39,8 @@ def main(argv=None) -> int:
     ap.add_argument("--input", action="append", default=[], help="name=path")
     ap.add_argument("--plan-out", default=None)
     ap.add_argument("--items-out", default=None)
+    ap.add_argument("--text-input", action="append", default=[], help="name@host=path")
+    ap.add_argument("--report-out", default=None)
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
 
@@ -47,11 +51,14 @@ def main(argv=None) -> int:
         print(f"Error: {e}", file=sys.stderr)
         return 1
 
+    from pyspark.sql import functions as F
+
     from reclaim.plans.catalogue import rulebook
     from reclaim.plans.listing_rules import INPUTS
     from reclaim.plans.run import run
     from reclaim.session import get_spark
-    from reclaim.sources.sinks import write_plan
+    from reclaim.sources.listings import read_documents, read_lines
+    from reclaim.sources.sinks import write_plan, write_report
     from reclaim.sources.tables import read_inventory
 
     spark = get_spark(a.master)
@@ -61,10 +68,15 @@ def main(argv=None) -> int:
     approvals = [(n, "y") for n in book.names()] if a.approve_all else \
         [(int(k), v) if k.isdigit() else (k, v) for k, v in split]
     named = dict(x.split("=", 1) for x in a.input)
-    if unknown := sorted(set(named) - set(INPUTS)):
+    texts = [(*k.split("@", 1), p) for k, p in (x.split("=", 1) for x in a.text_input)]
+    if unknown := sorted(({*named} | {n for n, *_ in texts}) - set(INPUTS)):
         print(f"Error: no rule reads an input called {unknown[0]}", file=sys.stderr)
         return 1
     inputs = {n: spark.read.schema(INPUTS[n]).parquet(p) for n, p in named.items()}
+    for name, host, path in texts:
+        read, column = (read_documents, "doc") if "doc" in INPUTS[name] else (read_lines, "line")
+        listing = read(spark, path, column).select(F.lit(host).alias("host"), column)
+        inputs[name] = inputs[name].unionByName(listing) if name in inputs else listing
     tools = spark.read.parquet(a.host_tools).select("host", "tool") if a.host_tools else None
     timings = spark.read.parquet(a.timings) if a.timings else None
     try:
@@ -78,6 +90,8 @@ def main(argv=None) -> int:
         write_plan(res.plan, a.plan_out)
     if a.items_out:
         write_plan(res.items, a.items_out)
+    if a.report_out:
+        write_report(res.report, a.report_out)
     shown = res.report.select("seq", "name", "status", "files", "freed")
     rows = shown.collect()  # one row a step, as many as the arguments name
     shown.sparkSession.createDataFrame(rows, shown.schema).show(max(len(rows), 1), truncate=False)

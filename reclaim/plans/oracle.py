@@ -365,6 +365,10 @@ _SYS = ("SELECT 'h' || CAST((o_orderkey // {n}) % 4 AS VARCHAR) AS host, "
 SQL["catalogue_run_system"] = (f"WITH inv AS ({_SYS}),\ninv_p AS (SELECT *, string_split(path, '/') AS parts FROM inv),\n"
                                + _MK_WD + f",\nhits AS (SELECT {_FIRST} AS rule, size_bytes FROM inv_p)\n" + _ROLLUP)
 
+SQL["union_step_frames"] = w(f"""SELECT DISTINCT host, path FROM (
+  SELECT host, path FROM inv WHERE ends_with(path, '.pyc')
+  UNION ALL SELECT host, path FROM ({_SYS}) WHERE starts_with(path, '/tmp/') OR starts_with(path, '/root/.local/'))""")
+
 SQL["marker_dirs_with_dirs"] = _with_ctes(
     """mk AS (SELECT DISTINCT host, regexp_replace(path, '/[^/]*$', '') AS d FROM inv
            WHERE string_split(path, '/')[-1] = 'CMakeCache.txt' AND string_split(path, '/')[-2] = 'build')""",

@@ -14,16 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reclaim.functions import (MIB, age_days_over, base_name, before_day_boundary, contains_any,
-                               depth_below, format_bytes, format_duration, kind_in, line_matches,
+                               depth_is, format_bytes, format_duration, kind_in, line_matches,
                                name_glob_any, name_in, not_under, older_than, parent_dir, path_glob,
                                size_label, size_over, status_label, trim_chars, version_key)
 from reclaim.functions.paths import below
 from reclaim.functions.text import field
 from reclaim.operators import (Rule, RuleBook, all_hits, before_current, capped_share,
-                               dir_contents, dir_path_regex, drop_all_but_latest, drop_last_n,
+                               contents_of, dir_contents, dir_path_regex, drop_all_but_latest, drop_last_n,
                                first_match, freed_between, named, ordered_catalogue,
                                over_budget, reachable, reclaim_by_rule, scan_roots,
-                               superseded, tool_gate, under_dir, under_marked_dirs, union_steps,
+                               superseded, tool_gate, under_dir, under_marked_dirs, union_step_frames, union_steps,
                                unreferenced, with_grand_total, with_host_tools)
 from reclaim.operators.order import global_row_number
 from reclaim.plans.catalogue import (ELECTRON_GLOB, HOME_TEMP_GLOBS,
@@ -161,7 +161,7 @@ def q_filter_size(spark, sf):
 
 def q_filter_depth(spark, sf):
     i = inv(spark, sf)
-    return i.filter(kind_in("f") & below("/home") & (depth_below("/home") == 3)).select("id", "path")
+    return i.filter(kind_in("f") & depth_is("/home", 3)).select("id", "path")
 
 
 def q_filter_contains_any(spark, sf):
@@ -387,6 +387,14 @@ def q_union_steps(spark, sf):
     return union_steps(inv(spark, sf), steps).select("id", "path")
 
 
+def q_union_step_frames(spark, sf):
+    """G1 over different inputs: a path named by both steps comes once."""
+    trash = system_inventory(spark, sf).filter(contents_of("/root/.local/share/Trash"))
+    pyc = inv(spark, sf).filter(name_glob_any(["*.pyc"]))
+    below_tmp = system_inventory(spark, sf).filter(below("/tmp") | below("/root/.local"))
+    return union_step_frames([f.select("host", "path") for f in (trash, pyc, below_tmp)], ["host", "path"])
+
+
 # -- 2.8 scalars ---------------------------------------------------------------------------
 def q_format_bytes(spark, sf):
     i = inv(spark, sf).select(F.lit("inv").alias("src"), "id", F.col("size_bytes").alias("bytes"))
@@ -700,6 +708,7 @@ QUERIES: dict[str, Q] = {
     "version_order": q_version_order,
     "global_drop_last_n": q_global_drop_last_n,
     "union_steps": q_union_steps,
+    "union_step_frames": q_union_step_frames,
     "format_bytes": q_format_bytes,
     "format_duration": q_format_duration,
     "base_name": q_base_name,

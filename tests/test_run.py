@@ -178,3 +178,17 @@ def test_cli_with_tools_timings_and_inputs(spark, stored, tmp_path, capsys):
     assert rc == 0 and out.count("docker") == 2 and "2.0 KiB" in out and "Error" in out
     assert [(r.host, r.item) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("h0", "x")]
     assert main(["--inventory", stored, "-i", "docker", "--input", "nothing=/x"]) == 1
+
+
+def test_cli_reads_text_listings_and_writes_the_report(spark, stored, tmp_path, capsys):
+    from reclaim.__main__ import main
+    (tmp_path / "a.txt").write_text("base 2 71 x disabled\nbase 2 72 x -\n")
+    (tmp_path / "b.txt").write_text("base 2 70 x disabled\n")
+    (tmp_path / "envs.json").write_text('{"envs": ["/o/base",\n "/o/train"]}')
+    rc = main(["--inventory", stored, "-i", "snap,conda", "--approve-all", "--text-input", f"snaps@h0={tmp_path / 'a.txt'}",
+               "--text-input", f"snaps@h1={tmp_path / 'b.txt'}", "--text-input", f"envs@h0={tmp_path / 'envs.json'}",
+               "--items-out", str(tmp_path / "items"), "--report-out", str(tmp_path / "report"), "--as-of", AS_OF.isoformat()])
+    assert rc == 0 and "snap" in capsys.readouterr().out
+    got = {(r.rule, r.host, r.item) for r in spark.read.parquet(str(tmp_path / "items")).collect()}
+    assert got == {("snap", "h0", "base 71"), ("snap", "h1", "base 70"), ("conda", "h0", "train")}
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
