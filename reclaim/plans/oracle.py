@@ -365,6 +365,10 @@ _SYS = ("SELECT 'h' || CAST((o_orderkey // {n}) % 4 AS VARCHAR) AS host, "
 SQL["catalogue_run_system"] = (f"WITH inv AS ({_SYS}),\ninv_p AS (SELECT *, string_split(path, '/') AS parts FROM inv),\n"
                                + _MK_WD + f",\nhits AS (SELECT {_FIRST} AS rule, size_bytes FROM inv_p)\n" + _ROLLUP)
 
+SQL["unknown_names"] = f"""SELECT min(event_id) AS pos, name FROM (
+  SELECT event_id, CASE event_type WHEN 'error' THEN 'cache' WHEN 'click' THEN 'trash' ELSE event_type END AS name FROM events)
+WHERE name NOT IN ({", ".join(f"'{n}'" for n in SIX)}) GROUP BY name"""
+
 SQL["union_step_frames"] = w(f"""SELECT DISTINCT host, path FROM (
   SELECT host, path FROM inv WHERE ends_with(path, '.pyc')
   UNION ALL SELECT host, path FROM ({_SYS}) WHERE starts_with(path, '/tmp/') OR starts_with(path, '/root/.local/'))""")

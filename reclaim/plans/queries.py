@@ -24,7 +24,7 @@ from reclaim.operators import (Rule, RuleBook, all_hits, before_current, capped_
                                first_match, freed_between, named, ordered_catalogue,
                                over_budget, reachable, reclaim_by_rule, scan_roots,
                                superseded, tool_gate, under_dir, under_marked_dirs, union_step_frames, union_steps,
-                               unreferenced, with_grand_total, with_host_tools)
+                               unknown_names, unreferenced, with_grand_total, with_host_tools)
 from reclaim.operators.order import global_row_number
 from reclaim.plans.catalogue import (ELECTRON_GLOB, HOME_TEMP_GLOBS,
                                      file_rulebook)
@@ -262,6 +262,14 @@ SELECT_INCLUDE = "user_logs,cache,user_logs,trash"
 SELECT_EXCLUDE = "home,python"
 
 
+def q_unknown_names(spark, sf):
+    """Names asked for, one per event type in order, that no rule has."""
+    e = read_table(spark, sf, "events", ["event_id", "event_type"])
+    asked = F.when(F.col("event_type") == "error", "cache").when(F.col("event_type") == "click", "trash").otherwise(F.col("event_type"))
+    req = e.groupBy(asked.alias("name")).agg(F.min("event_id").alias("pos"))
+    return unknown_names(req, six_rules().catalogue(spark)).select("pos", "name")
+
+
 def q_select_include(spark, sf):
     approvals = [("user_logs", "y"), ("cache", "y"), ("trash", "y")]
     return _run(spark, sf, SELECT_INCLUDE, approvals).report.select("seq", "name", "files", "bytes")
@@ -687,6 +695,7 @@ QUERIES: dict[str, Q] = {
     "marker_dirs": q_marker_dirs,
     "marker_dirs_with_dirs": q_marker_dirs_with_dirs,
     "unreferenced": q_unreferenced,
+    "unknown_names": q_unknown_names,
     "select_include": q_select_include,
     "select_exclude": q_select_exclude,
     "tool_gate": q_tool_gate,
