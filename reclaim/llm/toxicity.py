@@ -1,8 +1,10 @@
 """Toxicity by maximum-scoring segments.
 
-Every token has a score: the log-odds of toxic against clean text with an
-informative Dirichlet prior (the corpus' own token frequencies), shrunk by its
-standard error and lowered by a drift, so that ordinary text scores below zero.
+A text is a row of tokens: its words, and after each word of more than ``STEM``
+letters its first ``STEM`` letters, which speak for forms never seen.  Every
+token has a score: the log-odds of toxic against clean text with an informative
+Dirichlet prior (the corpus' own token frequencies), shrunk by its standard
+error and lowered by a drift, so that ordinary text scores below zero.
 A linear-time scan finds all maximal scoring segments of a text (each is the
 best within itself and can't be extended to gain).  Extreme-value calibration
 says what such a segment is worth: with background frequencies q, lambda solves
@@ -40,21 +42,27 @@ from pyspark.sql import functions as F
 from reclaim.llm.common import held_out, text_of
 
 BUCKETS, SAMPLE = 1 << 18, 20_000
-PRIOR, SHRINK, DRIFT, CLIP = 5000.0, 1.5, 0.75, 6.0
+STEM, PRIOR, SHRINK, DRIFT, CLIP = 5, 5000.0, 1.5, 0.5, 6.0
 SIGNIFICANT = 0.5
 MEMO = 500_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 _CUT = re.compile(r"\s")
 
 
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
+
+
 class Buckets(dict):
-    """token -> bucket, remembered for up to MEMO tokens."""
+    """word -> its bucket and, in the low half, that of its stem (BUCKETS for a
+    short word), remembered for up to MEMO words."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, word: str) -> int:
         if len(self) >= MEMO:
             self.clear()
-        b = self[token] = zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
-        return b
+        stem = _bucket("^" + word[:STEM]) if len(word) > STEM else BUCKETS
+        v = self[word] = _bucket(word) << 32 | stem
+        return v
 
 
 def tokens(text: str | None, memo: Buckets) -> np.ndarray:
@@ -64,7 +72,9 @@ def tokens(text: str | None, memo: Buckets) -> np.ndarray:
         cut = _CUT.search(text, a + (1 << 20))
         z = cut.start() if cut else len(text)
         words = _TOKEN.findall(text, a, z)
-        parts.append(np.fromiter(map(memo.__getitem__, words), np.int32, len(words)))
+        pairs = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
+        row = np.column_stack([pairs >> 32, pairs & 0xFFFFFFFF]).ravel()
+        parts.append(row[row < BUCKETS].astype(np.int32))
         a = z
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
@@ -233,10 +243,12 @@ def places(text: str, found: list[tuple[int, int, float]]) -> list[dict]:
     if not found:
         return []
     wanted = {i for a, z, _ in found for i in (a, z - 1)}
-    last, at = max(wanted), {}
-    for i, m in enumerate(_TOKEN.finditer(text.lower())):
-        if i in wanted:
-            at[i] = m.span()
-        if i == last:
+    last, at, i = max(wanted), {}, 0
+    for m in _TOKEN.finditer(text.lower()):
+        for _ in range(1 + (len(m[0]) > STEM)):
+            if i in wanted:
+                at[i] = m.span()
+            i += 1
+        if i > last:
             break
     return [{"start": at[a][0], "end": at[z - 1][1], "e": float(e)} for a, z, e in found]

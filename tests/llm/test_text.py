@@ -283,7 +283,7 @@ def test_toxicity_held_out(labelled):
     got = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter(toxicity.held_out("doc_id")).toPandas()
     hit = got["score"] >= 0.3
     print("toxicity AUC", auc(got["score"], got["toxic"]), "recall", hit[got["toxic"] == 1].mean(), "precision", got["toxic"][hit].mean())
-    assert auc(got["score"], got["toxic"]) > 0.9 and hit[got["toxic"] == 1].mean() > 0.75 and got["toxic"][hit].mean() > 0.75
+    assert auc(got["score"], got["toxic"]) > 0.9 and hit[got["toxic"] == 1].mean() > 0.9 and got["toxic"][hit].mean() > 0.9
 
 
 def test_toxicity_edge_cases(spark):
@@ -297,8 +297,9 @@ def test_toxicity_edge_cases(spark):
 
 def test_toxic_passages_are_places(labelled):
     text = "calm words here. You IDIOT and\nclown scum worthless, then calm again"
-    found = toxicity.places(text, [(4, 9, 0.1)])
-    assert text[found[0]["start"]:found[0]["end"]] == "IDIOT and\nclown scum worthless"
+    for end in (9, 10):  # the last word is two tokens, the second its stem
+        found = toxicity.places(text, [(4, end, 0.1)])
+        assert text[found[0]["start"]:found[0]["end"]] == "IDIOT and\nclown scum worthless"
 
 
 # ------------------------------------------------------------------ quality
@@ -343,4 +344,4 @@ def test_features_do_not_depend_on_the_cut_of_long_texts():
     at, value = ordinal_quality.features(text, ordinal_quality.Words())
     assert abs((value ** 2).sum() - 1) < 1e-9
     t = toxicity.tokens(text, toxicity.Buckets())
-    assert len(t) == len(re.findall(r"[^\W\d_]+", text))
+    assert len(t) == sum(1 + (len(w) > 5) for w in re.findall(r"[^\W\d_]+", text))
