@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from reclaim.llm.common import held_out, text_of
 
-BUCKETS, SAMPLE, EPOCHS, BATCH, RATE, RIDGE = 1 << 18, 12_000, 12, 128, 0.15, 1e-6
+BUCKETS, SAMPLE, EPOCHS, BATCH, RATE, RIDGE = 1 << 18, 8_000, 12, 128, 0.15, 1e-6
 MEMO = 300_000
 _CUT = re.compile(r"\s")
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
@@ -166,8 +166,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     if not len(grades) or grades.min() == grades.max():
         top = int(grades.max()) if len(grades) else 0
         return Model(np.zeros(BUCKETS), np.repeat([-35.0, 35.0], [top, 1]))
-    return fit_ordinal([(np.asarray(a, np.int64), np.asarray(v, np.float64)) for a, v in zip(got["at"], got["value"])],
-                       grades, int(grades.max()) + 1)
+    return fit_ordinal(list(zip(got["at"], got["value"])), grades, int(grades.max()) + 1)
 
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", select: int = 1,
