@@ -53,16 +53,31 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
-    """text -> ids, by the ranks file at ``path``; kept by the worker."""
-    def make():
+class Encoder:
+    """text -> ids, by the ranks file at ``path``.  Where its pattern gives up (a
+    run of millions of blanks), the tokenizers file takes over."""
+
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        self.slow = None
+        self.slow_path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def ids(self, text: str) -> list[int]:
+        try:
+            return self.fast.encode(text, allowed_special="all")
+        except ValueError:
+            from tokenizers import Tokenizer
+            self.slow = self.slow or Tokenizer.from_file(self.slow_path)
+            return self.slow.encode(text, add_special_tokens=False).ids
+
 
-    return worker_cache(("tiktoken", path).__repr__(), make)
+def encoder(path: str) -> Encoder:
+    """Made once by each worker process."""
+    return worker_cache(("tiktoken", path).__repr__(), lambda: Encoder(path))
 
 
 def stretches(text: str, size: int = 1 << 20) -> Iterator[str]:
@@ -78,8 +93,8 @@ def stretches(text: str, size: int = 1 << 20) -> Iterator[str]:
     yield text[a:]
 
 
-def encode(enc, text: str, end_id: int = END_ID) -> np.ndarray:
-    parts = [np.array(enc.encode(s, allowed_special="all"), "<u4") for s in stretches(text)]
+def encode(enc: Encoder, text: str, end_id: int = END_ID) -> np.ndarray:
+    parts = [np.array(enc.ids(s), "<u4") for s in stretches(text)]
     return np.concatenate([*parts, np.array([end_id], "<u4")])
 
 

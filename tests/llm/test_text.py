@@ -163,6 +163,13 @@ def test_same_ids_as_the_tokenizers_file():
         assert "".join(parts) == t and [i for p in parts for i in want(p)[:-1]] == want(t)[:-1]
 
 
+def test_runs_too_long_for_the_pattern():
+    enc, text = packing.Encoder(packing.ranks_path()), "a" + " " * 4_000_000 + "b"
+    with pytest.raises(ValueError):
+        enc.fast.encode(text)
+    assert packing.encode(enc, text).tolist() == reference_ids()(text)
+
+
 def test_plan_is_best_fit_after_matching():
     rng = random.Random(3)
     for capacity in (10, 100, 1024):
