@@ -48,7 +48,7 @@ def main():
             plan = df._jdf.queryExecution().sparkPlan().toString()
             out += [f"## {name}, before adaptive execution", "", "```"] + [trim(x) for x in plan.splitlines()] + ["```", ""]
         df.collect()  # runs this DataFrame's own execution, so the adaptive plan is final
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = re.split(r"\n *\+- == Initial Plan ==", df._jdf.queryExecution().executedPlan().toString())[0]
         out += [f"## {name}", "", "```"] + [trim(x) for x in plan.splitlines()] + ["```", ""]
     path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(path, "w") as f:
