@@ -234,14 +234,16 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str, key: Column) -> Dat
     """The rows of ``docs`` whose id and ``key`` (a hash of the whole text) are
     those of a row of ``kept`` (``_id``, ``_t``); of rows that repeat both, the
     first by their other columns.  The wanted rows need no row number that
-    would have to survive a second read of the input."""
+    would have to survive a second read of the input.  Both keys are texts that
+    are never null, so the join's partitions serve the choice of the first."""
+    def named(i: Column) -> Column:
+        return F.coalesce(F.concat(F.lit("i"), i.cast("string")), F.lit("null")).alias("_i")
+
     names = docs.columns
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), key.alias("_t"),
-                       F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
-    one = kept.select(F.col("_id").alias("_kid"), F.col("_t").alias("_kt"))
-    rows = rows.join(one, F.col("_t").eqNullSafe(F.col("_kt")) & F.col("_id").eqNullSafe(F.col("_kid")), "left_semi")
+    rows = docs.select(named(F.col(f"`{id_col}`")), key.alias("_t"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    rows = rows.join(kept.select(named(F.col("_id")), "_t"), ["_t", "_i"], "left_semi")
     order = [F.col(f"_row.`{c}`") for c in names if c != id_col and ordered(docs, c)] or [F.lit(0)]
-    nth = F.row_number().over(Window.partitionBy("_t", "_id").orderBy(*order))
+    nth = F.row_number().over(Window.partitionBy("_t", "_i").orderBy(*order))
     return rows.withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
 
 
