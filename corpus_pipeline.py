@@ -57,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     last: list[str] = []
     for name, function in STAGES:
-        out = common.stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+        out = common.stage(function(spark, docs, sf_dir), f"pipeline-{name}", text=True)
         common.release(spark, last, keep_for=out)
         docs, last = out, common.staged()[-1:]
     return docs

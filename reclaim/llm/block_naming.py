@@ -39,7 +39,7 @@ def _sorted_names(distinct: DataFrame, order: list[str], split: list[str], label
     ranges are found from ``split``, the leading columns, so that their sample
     holds no block texts."""
     ranged = distinct.repartitionByRange(*split).sortWithinPartitions(*order)
-    return stage(ranged.withColumn("name", F.monotonically_increasing_id()), label)
+    return stage(ranged.withColumn("name", F.monotonically_increasing_id()), label, text="block" in order)
 
 
 def _block_names(blocks: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def name_documents(rows: DataFrame) -> DataFrame:
     whole = stage(counted.filter("hits = n_blocks").select("row", "n_blocks"), "candidates")
     blocks = stage(rows.join(whole, "row").select(
         "row", F.posexplode(F.arrays_zip("hashes", "blocks")).alias("idx", "b"))
-        .select("row", "idx", F.col("b.hashes").alias("h"), F.col("b.blocks").alias("block")), "blocks")
+        .select("row", "idx", F.col("b.hashes").alias("h"), F.col("b.blocks").alias("block")), "blocks", text=True)
     level, done = 0, []
     names = stage(_block_names(blocks).join(whole, "row"), "level")
     longest = whole.agg(F.max("n_blocks")).first()[0] or 0
@@ -97,7 +97,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), cut.alias("blocks"))
     rows = rows.withColumn("blocks", F.when(F.size("blocks") == 0, F.array(F.lit(""))).otherwise(F.col("blocks")))
     rows = stage(rows.withColumn("hashes", F.transform("blocks", lambda b: block_hash(b)))
-                 .withColumn("row", F.monotonically_increasing_id()), "texts")
+                 .withColumn("row", F.monotonically_increasing_id()), "texts", text=True)
     ids = rows.select("row", "doc_id", "text_sha256")
     named = name_documents(rows).join(ids, "row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))

@@ -28,13 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, text: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.  This cuts the
     lineage: a lost executor costs its running tasks, and generated ids or a
-    sort order stay as they were written."""
+    sort order stay as they were written.
+
+    Tables with whole texts are compressed.  Others are written plain: Spark
+    judges by the size of the files whether a side is small enough to broadcast,
+    and a packed file would hide how much it holds."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reclaim-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**({"compression": "zstd"} if text else {
+        "compression": "none", "parquet.enable.dictionary": "false"})).parquet(path)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -68,7 +68,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"), lines.alias("lines"))
             .withColumn("content", content)
             .select("doc_id", "text", F.size("lines").alias("n_lines"), _windows(F.col("content"), window).alias("windows")))
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "lines")
+    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "lines", text=True)
     seen = rows.select("row", "doc_id", F.posexplode("windows").alias("nth", "w")).select("row", "doc_id", "nth", "w.*")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "nth")
     again = (seen.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
@@ -80,13 +80,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     @pandas_udf("text string, removed string, n_removed bigint")
     def removed(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in parts:
-            yield pd.DataFrame([remove_spans(t, [(s["a"], s["z"]) for s in x]) for t, x in zip(texts, spans)],
-                               columns=["text", "removed", "n_removed"])
-
-    rows = rows.drop("windows")
-    spans = stage(spans, "spans")
-    cut = (rows.join(spans, "row").withColumn("r", removed("text", "spans"))
-           .select("doc_id", "r.text", "n_lines", "r.n_removed", "r.removed"))
-    whole = rows.join(spans, "row", "left_anti").select(
-        "doc_id", "text", "n_lines", F.lit(0).cast("bigint").alias("n_removed"), F.lit("").alias("removed"))
-    return cut.unionByName(whole)
+            yield pd.DataFrame([(t, "", 0) if x is None else remove_spans(t, [(s["a"], s["z"]) for s in x])
+                                for t, x in zip(texts, spans)], columns=["text", "removed", "n_removed"])
+
+    # one join for rows with and without spans: texts are moved once
+    out = rows.drop("windows").join(spans, "row", "left").withColumn("r", removed("text", "spans"))
+    return out.select("doc_id", "r.text", "n_lines", "r.n_removed", "r.removed")
