@@ -11,9 +11,10 @@ more thorough compressor and both sizes count.
 Before encoding, letters are lower-cased and every run of other characters
 becomes one space: case, digits and markup say nothing about the language.
 
-Fitting takes a bounded sample: of each language the ``pieces`` labelled rows
-with the smallest hash of their id, and of each one a stretch of ``piece_chars``
-characters at a place given by the hash; at most ``dict_bytes`` a language.
+Fitting takes a bounded sample: of each language ``pieces`` labelled rows, those
+with the smallest hash of their id in each of ``SALTS`` classes, and of each one
+a stretch of ``piece_chars`` characters at a place given by the hash; at most
+``dict_bytes`` a language.
 Rows whose crc32(id as text) mod 4 is 2 are never learned from.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and
@@ -35,7 +36,7 @@ from pyspark.sql.functions import pandas_udf
 
 from reclaim.llm.common import held_out, text_of
 
-DICT_BYTES, PIECES, PIECE_CHARS, SALTS = 110_000, 600, 300, 64
+DICT_BYTES, PIECES, PIECE_CHARS, SALTS = 110_000, 640, 300, 64
 BLOCK_BYTES, LEVEL, FINE_LEVEL = 4096, 5, 12
 #: More languages than this in the labels is taken for a mistake.
 MAX_LANGUAGES = 1000
@@ -59,17 +60,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         lang.alias("lang"), mark.alias("mark"),
         F.substring(text, (F.pmod(mark, F.greatest(F.length(text) - piece_chars, F.lit(1))) + 1).cast("int"),
                     F.lit(piece_chars)).alias("piece"))
-    # the first n in two steps, so that no task meets what every task kept of a language
-    salt = F.pmod(F.xxhash64("piece", "mark"), F.lit(SALTS)).alias("salt")
-    for group in (["lang", "salt"], ["lang"]):
-        nth = F.row_number().over(Window.partitionBy(*group).orderBy("mark", "piece"))
-        rows = rows.select("lang", "mark", "piece", salt).withColumn("nth", nth).filter(F.col("nth") <= pieces)
-    taken = rows.select("lang", "nth", "piece")
+    # the first few of each of SALTS classes: no task meets more of a language
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)))
+    nth = F.row_number().over(Window.partitionBy("lang", "salt").orderBy("mark", "piece"))
+    taken = rows.withColumn("nth", nth).filter(F.col("nth") <= max(1, pieces // SALTS)).select("lang", "mark", "piece")
     languages = [r[0] for r in taken.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in the labels")
     found: dict[str, list[str]] = {x: [] for x in languages}
-    for r in taken.orderBy("lang", "nth").collect():
+    for r in taken.orderBy("lang", "mark", "piece").collect():
         found[r["lang"]].append(letters(r["piece"]))
     # an empty dictionary is not allowed, and a language without letters can't be learned
     return {k: d for k, v in found.items() if (d := " ".join(v).encode()[:dict_bytes].strip())}
