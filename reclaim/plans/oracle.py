@@ -293,6 +293,7 @@ def _older(col: str, days: int) -> str:
     return f"{col} <= {AS_OF} - INTERVAL {days + 1} DAY"
 
 
+# Fixed values that must equal the reference's: names, paths and day counts below.
 _AUTOTOOLS = "['autom4te.cache', 'config.status', 'config.log', 'configure~', 'Makefile.in', 'aclocal.m4', '.deps', '.libs']"
 R_ALL = {
     "ansible": _contents("/root/.ansible/tmp"),
