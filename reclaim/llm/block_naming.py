@@ -63,7 +63,8 @@ def name_documents(rows: DataFrame) -> DataFrame:
     counted = cells.join(shared.withColumn("hit", F.lit(1)), "h", "left").groupBy("row").agg(
         F.count(F.lit(1)).alias("n_blocks"), F.sum("hit").alias("hits"))
     whole = stage(counted.filter("hits = n_blocks").select("row", "n_blocks"), "candidates")
-    blocks = stage(rows.join(whole, "row").select(
+    # texts move by row at every size: one plan, whether the candidates are few or many
+    blocks = stage(rows.join(whole.hint("merge"), "row").select(
         "row", F.posexplode(F.arrays_zip("hashes", "blocks")).alias("idx", "b"))
         .select("row", "idx", F.col("b.hashes").alias("h"), F.col("b.blocks").alias("block")), "blocks", text=True)
     level, done = 0, []
