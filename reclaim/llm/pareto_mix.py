@@ -11,11 +11,18 @@ probabilities, the same at every run.
 The last document that fits leaves a gap smaller than the next one.  In up to
 ``FILLS`` steps the document left whose size is nearest to the gap is taken too,
 if that brings the words nearer to the target, the first in rank of equals.
+Where documents that fit are left even then (the one that ended the order was
+far longer than they are), the rest of the rank order is gone through and each
+that fits is taken, until none is left; one last document nearest to what
+remains follows.  A fill that overshoots ends the filling, as in the oracle SQL:
+a long document that is the nearest can leave a source that far over.
 
 No source is ranked in one task: ranks fall into ``BINS`` bins, sizes are
 summed by bin before the shuffle, and only the one bin of each source in which
 the words run out is put in order.  A decision is then a comparison with the
-source's cut (one row a source), so a hot source is spread like any other.
+source's cut (one row a source), so a hot source is spread like any other.  Going
+through the rest takes the same steps again on those that fit, once for each
+document that no longer does; each round ends with less to fill.
 
 Edge cases: a null text has size 0; documents of size 0 are ranked like others
 and cost nothing; a null source is a source, last in order; rows that repeat
@@ -85,12 +92,20 @@ def with_odds(rows: DataFrame) -> DataFrame:
     return rows.withColumn("q", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
 
 
+def units_of(rows: DataFrame, bins: int = BINS) -> DataFrame:
+    """What is taken or left whole: rows drawn (g, k, q, size), summed by g, k and q."""
+    return stage(rows.filter("q is not null").groupBy("g", "k", "q").agg(F.sum("size").alias("size"))
+                 .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * bins)), "units")
+
+
 def cuts(rows: DataFrame, want: DataFrame, bins: int = BINS, fills: int = FILLS) -> DataFrame:
     """rows (g, k, q, size; q null: not drawn) and want (g, words) -> for each
     group g: cut, the last (q, k) taken in rank order (null: none), and fills,
     the (q, k) of the documents that fill the gap."""
-    units = stage(rows.filter("q is not null").groupBy("g", "k", "q").agg(F.sum("size").alias("size"))
-                  .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * bins)), "units")
+    return unit_cuts(units_of(rows, bins), want, bins, fills)
+
+
+def unit_cuts(units: DataFrame, want: DataFrame, bins: int = BINS, fills: int = FILLS) -> DataFrame:
     by_bin = units.groupBy("g", "bin").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("g").orderBy("bin"))
     short = (by_bin.withColumn("upto", upto).join(want, "g").filter("upto > words")
@@ -127,6 +142,29 @@ def is_taken(bins: int = BINS) -> Column:
     return F.col("q").isNotNull() & (F.col("bin").isNull() | in_order | fill)
 
 
+def closing(units: DataFrame, state: DataFrame, bins: int = BINS) -> DataFrame:
+    """(g, k) of the units taken beyond ``unit_cuts``: down the rank order each
+    that fits what is left of the gap, then the one nearest to the remainder."""
+    names, gaps = ["g", "k", "q", "size"], state.select("g", "gap")
+    left = stage(units.drop("bin").join(state, "g").filter(
+        ~is_taken(bins) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).select(names), "left")
+    if left.isEmpty():
+        return left.select("g", "k")
+    more, fits = left.filter("false"), left.join(gaps, "g").filter("size <= gap").select(names)
+    while not (fits := stage(fits, "fits")).isEmpty():
+        # what no longer fits after a round has a size above the new gap, so no place need be kept
+        cut = unit_cuts(units_of(fits, bins), gaps.select("g", F.col("gap").alias("words")), bins, 0).drop("gap")
+        now = stage(fits.join(cut, "g").filter(is_taken(bins)).select(names), "taken")
+        gaps = stage(gaps.join(now.groupBy("g").agg(F.sum("size").alias("used")), "g", "left").select(
+            "g", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "gaps")
+        more = more.union(now)
+        fits = fits.join(cut, "g").filter(~is_taken(bins)).join(gaps, "g").filter("size <= gap").select(names)
+    off = F.abs(F.col("gap") - F.col("size"))
+    last = (left.join(more, ["g", "k", "q"], "left_anti").join(gaps, "g").filter(off < F.col("gap"))
+            .groupBy("g").agg(F.min(F.struct(off.alias("off"), "q", "k")).alias("best")))
+    return stage(more.select("g", "k").union(last.select("g", "best.k")), "more")
+
+
 def _group(source: Column) -> Column:
     """Sources as a key without null."""
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
@@ -146,12 +184,16 @@ class Mix:
             F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("copies")), "targets")
         rows = with_odds(self.rows.withColumn("g", _group(F.col("source"))).join(by.select("g", "copies"), "g"))
         want = by.select("g", (F.col("target") - F.floor("copies") * F.col("source_size")).alias("words"))
-        self.cuts = by.join(cuts(rows, want), "g")
+        units = units_of(rows)
+        state = unit_cuts(units, want)
+        self.cuts = by.join(state, "g")
+        self.more = closing(units, state).withColumn("more", F.lit(True))
 
     def _decided(self, rows: DataFrame) -> DataFrame:
         """rows with g and k -> with source_size, target and n_copies."""
-        out = with_odds(rows.join(self.cuts, "g"))
-        return out.withColumn("n_copies", F.col("whole") + is_taken().cast("long"))
+        out = with_odds(rows.join(self.cuts, "g")).join(self.more, ["g", "k"], "left")
+        taken = is_taken() | F.coalesce("more", F.lit(False))
+        return out.withColumn("n_copies", F.col("whole") + taken.cast("long"))
 
     def decisions(self) -> DataFrame:
         """doc_id, size, source_size, target, n_copies, taken: a row for each row."""

@@ -1,5 +1,6 @@
 """Language ID, mixing, packing, secrets, toxicity and quality."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -100,6 +101,22 @@ def test_pareto_ranks_by_random_odds_over_inclusion_odds(spark):
     assert all(abs(rate[str(i)] - v) < 0.08 for i, v in p.items())
 
 
+def test_mix_goes_on_past_a_long_document(spark):
+    """One document holds a third of its source and ends the rank order early:
+    the small ones that still fit are taken, far more than three of them."""
+    def q(key):
+        return int(hashlib.md5(key.encode()).hexdigest()[:13], 16)
+    ranked = sorted(range(300), key=lambda i: q(str(i)))
+    for place in (165, 195):  # of the long one in rank order
+        rows = [(i, "w " * (1500 if i == ranked[place] else 7 + 3 * (i % 3)), "en", "a") for i in range(300)]
+        rows += [(1000 + i, "w " * 10, "en", "b") for i in range(225)]
+        got = {r.doc_id: r for r in mixed(spark, rows).values() if r.doc_id < 1000}
+        target, taken = got[0].target, sum(r.taken for r in got.values())
+        # three documents of up to 13 words could not close what the long one leaves
+        assert 100 < target - sum(got[i].size for i in ranked[:place]) < 750
+        assert got[ranked[place]].taken == 0 and abs(taken - target) < 4, (place, taken, target)
+
+
 def test_mix_edge_cases(spark):
     docs = documents(spark)
     mix = pareto_mix.Mix(docs)
