@@ -3,11 +3,14 @@
 Strong candidates stand alone: assignments to a secret's name, access keys and
 long hexadecimal strings (kinds assign, access, hex).  Weak ones are parts that
 mean little by themselves: an identifier (user, login, client id), a secret
-value without a telling name (pass, pwd, key, auth, and 40-character key
-bodies) and an endpoint (URL with a host, host or server setting).  A weak
-candidate is reported only where complementary parts co-occur in its scope: an
-identifier or an endpoint beside a secret, strong or weak, and a weak secret
-beside an identifier or an endpoint.
+value without a telling name (pass, pwd, key, auth), a bare 40-character key
+body (kind body) and an endpoint (URL with a host, host or server setting).
+Names of the weak kinds may have a prefix (db_user, aws_secret_access_key,
+secretAccessKey).  A weak candidate is reported only where complementary parts
+co-occur in its scope: an identifier or an endpoint beside a secret, strong or
+weak, a weak secret beside an identifier or an endpoint, and a key body also
+beside an access key, whose other half it is.  An access key alone does not
+support a weak value of another form.
 
 Scope: ``reach`` characters around the candidate.  The interval join puts every
 part into the buckets of ``reach`` characters that its interval touches, and
@@ -41,45 +44,62 @@ BASE = {
     # likewise: a match of [0-9a-f]+ is a whole run
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
+
+def _named(names: str, humps: str) -> str:
+    """``names`` in any case as the last word of a name, after _ or as a hump."""
+    return rf"""\b(?:(?:[A-Za-z0-9_]*?_)?(?i:{names})|[A-Za-z0-9_]*?[a-z0-9](?:{humps}))"""
+
+
 WEAK = {
-    "id": (r"""(?i:\b(?:user(?:_?name)?|login|client_?id|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,})""", 0, 6),
-    "value": (r"""(?i:\b(?:pass|pwd|key|auth|credential)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,})""", 0, 6),
-    "endpoint": (r"""(?i:\b(?:[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~%:@-]{3,}|(?:host|server|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}))""", 0, 6),
+    "id": (_named("user(?:_?name)?|login|client_?id|account_?id", "User(?:_?[Nn]ame)?|Login|Client_?I[Dd]|Account_?I[Dd]") + r"""(?i:["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,})""", 0, 6),
+    "value": (_named("pass|pwd|key|auth|credential", "Pass|Pwd|Key|Auth|Credential") + r"""(?i:["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,})""", 0, 6),
+    "endpoint": (r"""(?:(?i:\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~%:@-]{3,})|""" + _named("host|server|endpoint", "Host|Server|Endpoint")
+                 + r"""(?i:["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}))""", 0, 6),
 }
+#: Also weak, but with looks to both sides, which the oracle SQL's patterns can't have: a run of just 40,
+#: neither an access key itself nor hexadecimal, which is strong.
+BODY = {"body": (r"(?<![A-Za-z0-9/+])(?!AKIA[A-Z0-9]{16}|[0-9a-f]{40})[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])", 0, 40)}
 KINDS = [*BASE, *WEAK]
+ALL_KINDS = [*KINDS, *BODY]
 #: What a weak candidate needs beside it, and what can be that.
 NEEDS = {"id": "secret", "endpoint": "secret", "value": "party"}
 PARTS = {"assign": "secret", "access": "secret", "hex": "secret", "value": "secret", "id": "party", "endpoint": "party"}
+#: The same with key bodies; an owner is what can support one.
+ALL_NEEDS = {**NEEDS, "body": "owner"}
+ROLES = {**{k: [v] for k, v in PARTS.items()}, "access": ["secret", "owner"], "id": ["party", "owner"],
+         "endpoint": ["party", "owner"], "body": ["secret"]}
 REACH = 200
 
 
 def _matches(text: Column, kind: str) -> Column:
     """Matches of one kind in order: its number, their place in the list, the
     length of the gap before, of the match and of the part that counts."""
-    pattern, group, least = {**BASE, **WEAK}[kind]
+    pattern, group, least = {**BASE, **WEAK, **BODY}[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(F.transform(F.split(text, pattern), F.length).alias("gap"), found.alias("m"))
     value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
     listed = F.transform(F.filter(parts, lambda p: p["m"].isNotNull()), lambda p, i: F.struct(
-        F.lit(KINDS.index(kind)).alias("kind"), i.alias("nth"), p["gap"].alias("gap"), F.length(p["m"]).alias("size"),
+        F.lit(ALL_KINDS.index(kind)).alias("kind"), i.alias("nth"), p["gap"].alias("gap"), F.length(p["m"]).alias("size"),
         (F.length(value(p["m"])) >= least).alias("long")))
     # most texts hold none: one look tells
     return F.when(F.regexp_like(text, F.lit(pattern)), listed).otherwise(
         F.array().cast("array<struct<kind:int,nth:int,gap:int,size:int,long:boolean>>"))
 
 
-def _is(kind: Column, names: dict[str, str], what: str) -> Column:
-    return kind.isin([KINDS.index(k) for k, v in names.items() if v == what])
+def _of_kind(kind: Column, values: dict) -> Column:
+    """The entry of ``values`` for a kind given by its number."""
+    cases = [F.when(kind == ALL_KINDS.index(k), F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v))
+             for k, v in values.items()]
+    return F.coalesce(*cases)
 
 
 def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
     """Weak candidates of ``spans`` (row, kind, start, end) with a partner
     within ``reach`` characters."""
-    weak = spans.filter(F.col("kind") >= len(BASE)).withColumn(
-        "role", F.when(_is(F.col("kind"), NEEDS, "secret"), "secret").otherwise("party"))
+    weak = spans.filter(F.col("kind") >= len(BASE)).withColumn("role", _of_kind(F.col("kind"), ALL_NEEDS))
     weak = weak.withColumn("bucket", F.explode(F.sequence(
         F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))))
-    part = spans.select(F.col("row").alias("p_row"), F.when(_is(F.col("kind"), PARTS, "secret"), "secret").otherwise("party").alias("p_role"),
+    part = spans.select(F.col("row").alias("p_row"), F.explode(_of_kind(F.col("kind"), ROLES)).alias("p_role"),
                         F.col("start").alias("p_start"), F.col("end").alias("p_end"))
     part = part.withColumn("p_bucket", F.explode(F.sequence(F.floor(F.col("p_start") / reach), F.floor(F.col("p_end") / reach))))
     near = (F.col("p_start") < F.col("end") + reach) & (F.col("p_end") > F.col("start") - reach)
@@ -89,9 +109,9 @@ def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """One row for each row of ``docs``: doc_id and spans, an array of (start,
-    kind, end) in order of start, then of kind as listed in KINDS."""
+    kind, end) in order of start, then of kind as listed in ALL_KINDS."""
     text = text_of(text_col)
-    rows = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat(*[_matches(text, k) for k in KINDS]).alias("found"))
+    rows = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat(*[_matches(text, k) for k in ALL_KINDS]).alias("found"))
                  .withColumn("row", F.monotonically_increasing_id()), "matches")
     each = rows.select("row", F.explode("found").alias("f")).select("row", "f.*")
     upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "kind").orderBy("nth"))
@@ -105,7 +125,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 
 def digest(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(
         ":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -113,6 +133,6 @@ def digest(spans: Column) -> Column:
 def report(found: DataFrame) -> DataFrame:
     """``scan``'s rows with the counts and digests of the spans."""
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("long")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == ALL_KINDS.index(k))).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE],
                         F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
