@@ -19,8 +19,10 @@ Rows whose crc32(id as text) mod 4 is 2 are never learned from.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0 and
 rejected; equal sizes go to the language first by name, with score 0; without
-any labelled row every text is ``und``; an empty table gives an empty
-result; other columns are kept or ignored, never read.
+any labelled row every text is ``und``; more than ``MAX_LANGUAGES`` (1000)
+languages among the labelled rows raise ValueError, because every language
+costs a dictionary of up to ``dict_bytes`` (110 KB) on the driver and in each
+worker; an empty table gives an empty result; other columns are kept or ignored, never read.
 """
 
 from __future__ import annotations

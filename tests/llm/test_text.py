@@ -45,6 +45,14 @@ def test_language_id_edge_cases(spark):
     assert language_id.learn(documents(spark, [])) == {}
 
 
+def test_language_id_takes_a_thousand_languages(spark):
+    rows = [(i, f"some words of language {i}", f"l{i}", "s") for i in range(1400) if not held_out(i)]
+    top = language_id.MAX_LANGUAGES
+    assert len(rows) > top and len(language_id.learn(documents(spark, rows[:top], clash=False))) == top
+    with pytest.raises(ValueError, match=f"more than {top} languages"):
+        language_id.learn(documents(spark, rows[:top + 1], clash=False))
+
+
 # ------------------------------------------------------------------- mixing
 def brute_targets(sizes, weights=(1, 2, 3), top=3):
     names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
