@@ -1,6 +1,7 @@
 """The whole-run API and the command line."""
 
 import os
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,15 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
 
 
+def test_journal_first_match_runs_over_the_whole_inventory(spark, monkeypatch):
+    from reclaim.plans import queries
+    given = []
+    monkeypatch.setattr(sys.modules["reclaim.plans.run"], "run", lambda s, inv, *a, **k: given.append(inv) or run(s, inv, *a, **k))
+    items = queries.q_journal_first_match(spark, SF)
+    assert given[0].count() == load_inventory(spark, SF).count() > 0
+    assert {r.rule for r in items.select("rule").distinct().collect()} <= {"journal", "logs"}
+
+
 def test_run_matches_select_include(spark):
     inv = load_inventory(spark, SF)
     res = run(spark, inv, six_rules(), include="user_logs,cache,user_logs,trash",
