@@ -389,6 +389,14 @@ def test_ordinal_fit_recovers_order():
     assert (np.diff(model.thresholds) > 0).all() and np.corrcoef(expected, grades)[0, 1] > 0.8
 
 
+def test_quality_learns_from_a_sample_of_12000(spark, monkeypatch):
+    docs = spark.range(17000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    ratings, given, fit = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("grade")), [], ordinal_quality.fit_ordinal
+    monkeypatch.setattr(ordinal_quality, "fit_ordinal", lambda rows, grades, n: given.append(len(rows)) or fit(rows[:50], grades[:50], n))
+    ordinal_quality.fit(docs, ratings)
+    assert given == [12000]
+
+
 def test_quality_edge_cases(spark):
     docs = documents(spark)
     ratings = spark.createDataFrame([(4, 2), (5, 0), (6, 1), (9, None), (None, 1), (10, 1), (11, 0)], "doc_id bigint, grade int")
