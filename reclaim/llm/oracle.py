@@ -89,3 +89,74 @@ left_ AS (SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.pos) AS t FROM l ANT
 SELECT d.doc_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed,
        sha256(coalesce(t, '')) AS text_sha256
 FROM d LEFT JOIN spans ON spans.doc_id = d.doc_id LEFT JOIN left_ ON left_.doc_id = d.doc_id"""
+
+# ------------------------------------------------------------------ Merkle
+# CRC32 byte by byte over a blob's hex digits, from a table made by its rule; ``tab.t`` holds the table
+_TAB = """tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def _crc32(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * octet_length(encode({text}))::BIGINT, 2),
+      lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)), lambda c, b: xor(c >> 8, tab.t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_ROW = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels of the trees over ``leaves`` (g, i, n, d), and each node's siblings."""
+    run = "PARTITION BY g, lv, i // 3 ORDER BY i"
+    return f"""{name} AS (SELECT g, 0 AS lv, i, n, d FROM {leaves} UNION ALL
+  SELECT g, lv + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM {name} WHERE n > 1 GROUP BY g, lv, i // 3, n),
+{name}_steps AS (SELECT g, lv, i, coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(d, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name} WHERE n > 1)"""
+
+
+SQL["op12_merkle_manifest"] = f"""WITH RECURSIVE {_TAB},
+d AS (SELECT *, coalesce('s' || source, 'null') AS g, sha256({_ROW} || {_field("text")}) AS leaf,
+  sha256({_ROW} || CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_field("replace(text, chr(10), '')")} ELSE {_field("text")} END) AS other
+  FROM documents, tab),
+leaves AS (SELECT doc_id, g, leaf AS d, other, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+  count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree("own", "leaves")},
+subroots AS (SELECT g AS of, d, '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM own WHERE n = 1),
+{_tree("top", "subroots")},
+steps AS (SELECT doc_id, x.g, x.i, 0 AS tree, s.lv, l, r FROM leaves x JOIN own_steps s ON s.g = x.g AND s.i = x.i // CAST(3 ** s.lv AS BIGINT)
+  UNION ALL SELECT doc_id, x.g, x.i, 1, s.lv, l, r FROM leaves x JOIN subroots u ON u.of = x.g JOIN top_steps s ON s.i = u.i // CAST(3 ** s.lv AS BIGINT)),
+paths AS (SELECT g, i, list({{'l': l, 'r': r}} ORDER BY tree, lv) AS path FROM steps GROUP BY g, i),
+folded AS (SELECT x.doc_id, x.d AS leaf, u.d AS subroot, (SELECT d FROM top WHERE n = 1) AS root, coalesce(path, []) AS path, other
+  FROM leaves x JOIN subroots u ON u.of = x.g LEFT JOIN paths p ON p.g = x.g AND p.i = x.i),
+done AS (SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256,
+  list_reduce(list_prepend({{'l': other, 'r': ''}}, path), lambda a, s: {{'l': sha256(s.l || a.l || s.r), 'r': ''}}).l AS folded_root FROM folded)
+SELECT *, folded_root = root AS verified FROM done"""
+
+# -------------------------------------------------------------- resampling
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FEATURES = """list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+  list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"""
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+SQL["op13_importance_resampling"] = f"""WITH {_TAB},
+own AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+f AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest({_FEATURES}) AS f FROM own) GROUP BY doc_id, f),
+o AS MATERIALIZED (SELECT f, count(*) AS n FROM (SELECT unnest({_FEATURES}) AS f FROM (SELECT {_words("text")} AS w FROM benchmark)) GROUP BY f),
+names AS MATERIALIZED (SELECT f, {_crc32("f")} % 10000 AS bucket FROM (SELECT f FROM f UNION SELECT f FROM o), tab),
+s AS (SELECT bucket, sum(n) AS n FROM f JOIN names USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM o JOIN names USING (f) GROUP BY bucket),
+gain AS MATERIALIZED (SELECT i AS bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+  / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) r(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+weights AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM f JOIN names USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT own.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || own.doc_id), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM own LEFT JOIN weights ON weights.doc_id = own.doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS many FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * many // 100 THEN place END AS rank FROM placed"""

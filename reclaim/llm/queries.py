@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclaim.llm import (block_naming, collision_counting, language_id, line_windows, ordinal_quality, packing, pareto_mix,
-                         secret_scan, simhash_ring, toxicity)
+from reclaim.llm import (block_naming, collision_counting, language_id, line_windows, merkle, ordinal_quality, packing,
+                         pareto_mix, resample, secret_scan, sharding, simhash_ring, toxicity)
 from reclaim.llm.common import held_out
 from reclaim.llm.oracle import SQL
 
@@ -69,6 +69,22 @@ def op10_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``bytes``: sizes near equal, equal texts together where a shard can hold them."""
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(merkle.manifest(table(spark, sf_dir, "documents")))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -76,6 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_secret_scan, op3_language_id, op4_ordinal_quality, op5_pareto_mix,
-    op6_block_naming, op7_packing, op8_collision_counting, op9_simhash, op10_line_windows, pipeline)}
+    op6_block_naming, op7_packing, op8_collision_counting, op9_simhash, op10_line_windows, op11_sharding,
+    op12_merkle_manifest, op13_importance_resampling, pipeline)}
 
 ORACLE = dict(SQL)
