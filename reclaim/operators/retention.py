@@ -9,10 +9,13 @@ are never gathered by group.  How the cut is found:
   a limit of n rows a group in every map task, so a group that holds a third of
   all rows sends n rows a task.
 * F3: the newest n of all by a top-n, read back as a scalar.
-* E4: running sums over ever finer bins of the order: sums by bin of 2^40, then
-  of 2^20 microseconds (or units, for numbers) within the coarse bin where the
-  budget is passed, then by single value and 2^16 tiebreaks, and at last by row.
-  No window holds more than the bins of one level.
+* E4: a radix descent over the composite key (time, then the tiebreak, texts in
+  pieces of 7 bytes).  Each level sums weights by at most 2^16 bins of what the
+  level above left of a group, finds the bin in which the budget is passed, and
+  goes on in it; two fixed levels over the time, then levels that look for the
+  first part of the key that still varies and split its range.  Rows are put in
+  order only within the last bin.  The input is read three times: for the
+  sums over time, for the rows of the one bin left, and to mark the rows.
 
 All of it is one lazy plan for inputs of any size: no job runs before an action.
 Rows that tie with the last kept row in time and tiebreak are kept with it.
@@ -29,6 +32,10 @@ from pyspark.sql import functions as F
 from reclaim.functions.paths import _c
 
 _LOWEST = -(2 ** 62)
+_TIMES, _WHOLE = ("timestamp", "timestamp_ntz", "date"), ("byte", "short", "integer", "long")
+_TEXTS = ("string", "char", "varchar", "binary")
+#: Bins a level, and the numbers of 7 bytes that a text tiebreak is compared by before rows are.
+FANOUT_BITS, TEXT_PARTS = 16, 8
 
 
 def _keys(keys) -> list[str]:
@@ -55,16 +62,29 @@ def _order_value(df: DataFrame, ts: str) -> Column:
     """A whole number that never falls as ``ts`` grows: microseconds of times,
     whole numbers as they are, others in units of 2^-20; null lowest."""
     kind = df.schema[ts].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz", "date"):
+    if kind in _TIMES:
         v = F.unix_micros(F.col(ts).cast("timestamp"))
-    elif kind in ("byte", "short", "integer", "long"):
+    elif kind in _WHOLE:
         v = F.col(ts).cast("long")
     else:
         v = F.floor(F.col(ts).cast("double") * 2 ** 20).cast("long")
-    return F.coalesce(v, F.lit(_LOWEST))
+    return F.coalesce(F.greatest(v, F.lit(_LOWEST + 1)), F.lit(_LOWEST))
 
 
-def _passed(sums: DataFrame, keys: list[str], bins: list[str], budget: int) -> DataFrame:
+def _tie_parts(kind: str, tie: Column) -> list[Column]:
+    """Whole numbers that, compared one after the other, never fall as a tiebreak
+    of this type grows: the number itself, or a text's bytes, 7 to a number."""
+    if kind in _WHOLE or kind in _TIMES:
+        # half of it, which leaves a number below all for null; its last bit is left to the rows' own order
+        whole = F.unix_micros(tie.cast("timestamp")) if kind in _TIMES else tie.cast("long")
+        return [F.coalesce(F.shiftright(whole, 1), F.lit(_LOWEST - 1))]
+    if kind not in _TEXTS:
+        return [F.lit(0).cast("long")]
+    return [F.when(tie.isNull(), F.lit(_LOWEST)).otherwise(F.conv(
+        F.rpad(F.hex(F.substring(tie.cast("binary"), 7 * i + 1, 7)), 14, "0"), 16, 10).cast("long")) for i in range(TEXT_PARTS)]
+
+
+def _passed(sums: DataFrame, keys: list[str], bins: list[str], budget: int, more: Sequence[str] = ()) -> DataFrame:
     """sums (keys, bins, _bw, _start: weight of newer bins of the level above) ->
     per group the bin in which the budget is passed and the weight before it."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(b).desc() for b in bins]).rowsBetween(
@@ -73,45 +93,92 @@ def _passed(sums: DataFrame, keys: list[str], bins: list[str], budget: int) -> D
     return (sums.withColumn("_after", after)
             .withColumn("_start", F.col("_after") - F.col("_bw"))
             .filter((F.col("_after") > F.lit(budget)) & (F.col("_start") <= F.lit(budget)))
-            .select(*keys, *bins, "_start"))
+            .select(*keys, *bins, "_start", *more))
+
+
+def _radix_bin(parts: Sequence[Column], low: Sequence[Column], high: Sequence[Column], bits: int) -> Column:
+    """The bin of a row in a group whose parts run from ``low`` to ``high``: by the
+    first part that varies, at most 2^bits + 1 bins over its range; 0 where none does."""
+    out = F.lit(0).cast("long")
+    for part, lo, hi in reversed(list(zip(parts, low, high))):
+        # in doubles, since the range of 64-bit numbers may itself have 65 bits
+        width = F.ceil(F.log2(hi.cast("double") - lo.cast("double") + 1)).cast("int")
+        shift = F.greatest(width - bits, F.lit(0))
+        out = F.when(lo < hi, F.call_function("shiftright", part, shift) - F.call_function("shiftright", lo, shift)).otherwise(out)
+    return out
+
+
+def budget_cut(df: DataFrame, keys: list[str], ts: str, budget: int, weight: Column, tiebreak: str,
+               levels: int, bits: int) -> DataFrame:
+    """keys and ``_cut``: the places of the first row dropped and the last kept, for
+    groups whose budget is passed.
+
+    Every table used twice is used with all its columns both times: so Spark plans
+    one shuffle of it, and reads what is below it once."""
+    g, kind = keys, df.schema[tiebreak].dataType.typeName()
+    rows = df.select(*g, _place(ts, tiebreak).alias("_p"), weight.alias("_w"), _order_value(df, ts).alias("_v"))
+    # any time Spark can hold falls into less than 2^16 coarse bins, each with 2^16 fine ones
+    high = 44 if df.schema[ts].dataType.typeName() in _TIMES else 48
+    fine, coarse = F.shiftright("_v", high - 16), F.shiftright("_v", high)
+
+    head = _tie_parts(kind, F.col("_p.tie"))[0]
+    by_fine = rows.select("*", head.alias("_t")).groupBy(*g, coarse.alias("_c"), fine.alias("_f")).agg(
+        F.sum("_w").alias("_bw"), F.min("_v").alias("_lo_v"), F.max("_v").alias("_hi_v"), F.min("_t").alias("_lo_t"), F.max("_t").alias("_hi_t"))
+    by_coarse = by_fine.groupBy(*g, "_c").agg(
+        F.sum("_bw").alias("_bw"), F.lit(0).cast("long").alias("_start"), F.min("_lo_v").alias("_least"),
+        F.max("_hi_v").alias("_most"), F.min("_lo_t").alias("_least_t"), F.max("_hi_t").alias("_most_t"))
+    cut = _passed(by_coarse, g, ["_c"], budget, ["_least", "_most", "_least_t", "_most_t"])
+    known = F.col("_lo_v").between(F.col("_least"), F.col("_most")) & F.col("_hi_t").between(F.col("_least_t"), F.col("_most_t"))
+    ranges = ["_lo_v", "_hi_v", "_lo_t", "_hi_t"]
+    cut = _passed(join_on_keys(by_fine, cut, [*g, "_c"], "inner").filter(known & (F.col("_lo_t") <= F.col("_hi_t"))),
+                  g, ["_c", "_f"], budget, ranges).drop("_c")
+    # the rows of one fine bin a group, each with the ranges that the next level splits
+    inside = join_on_keys(rows.withColumn("_f", fine), cut, [*g, "_f"], "inner").drop("_f")
+    parts = lambda p: [F.col("_v"), *_tie_parts(kind, p)]
+    low, top = [F.col("_lo_v"), F.col("_lo_t")], [F.col("_hi_v"), F.col("_hi_t")]
+    for level in range(levels):
+        inside = inside.repartition(*g, "_p")
+        row_bin = _radix_bin(parts(F.col("_p.tie")), low, top, bits)
+        binned = inside.select(*g, "_p", "_w", "_v", "_start", row_bin.alias("_b"))
+        sums = binned.groupBy(*g, "_b").agg(F.sum("_w").alias("_bw"), F.min("_start").alias("_start"),
+                                            F.min(F.struct("_v", "_p")).alias("_lo"), F.max(F.struct("_v", "_p")).alias("_hi"))
+        cut = _passed(sums, g, ["_b"], budget, ["_lo", "_hi"]).withColumnRenamed("_start", "_before")
+        inside = join_on_keys(binned, cut, [*g, "_b"], "inner")
+        # the weight of newer rows, once as known above and once with this level's
+        inside = inside.withColumn("_start", F.greatest("_start", "_before")).drop("_b", "_before")
+        low, top = ([F.col(f"{e}._v"), *_tie_parts(kind, F.col(f"{e}._p.tie"))] for e in ("_lo", "_hi"))
+    run = F.col("_start") + F.sum("_w").over(Window.partitionBy(*g).orderBy(F.col("_p").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    edge = inside.select(*g, "_p", run.alias("_run"))
+    over = F.col("_run") > F.lit(budget)
+    cut = edge.groupBy(*g).agg(F.max(F.when(over, F.col("_p"))).alias("_first"),
+                               F.min(F.when(~over, F.col("_p"))).alias("_last"))
+    return cut.select(*g, F.struct("_first", "_last").alias("_cut"))
 
 
 def over_budget(df: DataFrame, keys: Sequence[str] | str | None, ts: str, budget: int,
-                weight: str | Column | None = None, tiebreak: str = "id", out: str = "drop") -> DataFrame:
+                weight: str | Column | None = None, tiebreak: str = "id", out: str = "drop",
+                levels: int | None = None, bits: int = FANOUT_BITS) -> DataFrame:
     """Add boolean ``out``: the row's running weight (newest first by ``ts``
     then ``tiebreak``, nulls oldest, itself included) is greater than ``budget``.
 
     ``weight`` None counts rows; null weights count 0, none may be negative.
-    Rows equal in ``ts`` and ``tiebreak`` are kept together if one of them is."""
+    Rows equal in ``ts`` and ``tiebreak`` are kept together if one of them is.
+
+    ``levels`` levels of 2^bits bins follow the two over the time: one, or two where
+    the tiebreak is a text, whose first bytes are often the same.  Each divides the
+    rows that are put in order at last: one level leaves of one time with 2^32
+    evenly spread ids 2^16 rows.  More levels suit keys that crowd together more
+    unevenly than that; the answer is the same."""
     keys = _keys(keys)
-    g = keys or ["_g"]
     w = F.lit(1).cast("long") if weight is None else F.coalesce(_c(weight), F.lit(0)).cast("long")
-    whole = df.schema[tiebreak].dataType.typeName() in ("byte", "short", "integer", "long")
-    tie_bin = F.coalesce(F.shiftright(F.col(tiebreak).cast("long"), 16), F.lit(_LOWEST)) if whole else F.lit(0)
-    rows = df if keys else df.withColumn("_g", F.lit(0))
-    rows = rows.select(*g, _place(ts, tiebreak).alias("_p"), w.alias("_w"), _order_value(df, ts).alias("_v"),
-                       tie_bin.cast("long").alias("_t"))
-    fine, coarse = F.shiftright("_v", 20), F.shiftright("_v", 40)
-    start = F.lit(0).cast("long").alias("_start")
-
-    by_fine = rows.groupBy(*g, coarse.alias("_c"), fine.alias("_f")).agg(F.sum("_w").alias("_bw"))
-    by_coarse = by_fine.groupBy(*g, "_c").agg(F.sum("_bw").alias("_bw")).select("*", start)
-    cut_c = _passed(by_coarse, g, ["_c"], budget)
-    cut_f = _passed(join_on_keys(by_fine, cut_c, [*g, "_c"], "inner"), g, ["_c", "_f"], budget).drop("_c")
-    inside = join_on_keys(rows.withColumn("_f", fine), cut_f, [*g, "_f"], "inner")
-    by_value = inside.groupBy(*g, "_v", "_t").agg(F.sum("_w").alias("_bw"), F.min("_start").alias("_start"))
-    cut_v = _passed(by_value, g, ["_v", "_t"], budget)
-    edge = join_on_keys(inside.drop("_start"), cut_v, [*g, "_v", "_t"], "inner")
-    run = F.col("_start") + F.sum("_w").over(Window.partitionBy(*g).orderBy(F.col("_p").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow))
-    edge = edge.withColumn("_run", run)
-    over = F.col("_run") > F.lit(budget)
-    cut = edge.groupBy(*g).agg(F.max(F.when(over, F.col("_p"))).alias("_first"),
-                               F.min(F.when(~over, F.col("_p"))).alias("_last"))
-
-    cut = cut.select(*g, F.struct("_first", "_last").alias("_cut"))
-    # without keys there is at most one row: read as a scalar, no join
-    marked = join_on_keys(df, cut, keys, "left") if keys else df.withColumn("_cut", cut.select("_cut").scalar())
+    if levels is None:
+        levels = 2 if df.schema[tiebreak].dataType.typeName() in _TEXTS else 1
+    if keys:
+        marked = join_on_keys(df, budget_cut(df, keys, ts, budget, w, tiebreak, levels, bits), keys, "left")
+    else:  # at most one row: read as a scalar, no join
+        cut = budget_cut(df.withColumn("_g", F.lit(0)), ["_g"], ts, budget, w, tiebreak, levels, bits)
+        marked = df.withColumn("_cut", cut.select("_cut").scalar())
     place, first, last = _place(ts, tiebreak), F.col("_cut._first"), F.col("_cut._last")
     dropped = (place < first) | ((place == first) & ~first.eqNullSafe(last))
     return marked.withColumn(out, F.coalesce(dropped, F.lit(False))).drop("_cut")

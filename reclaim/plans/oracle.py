@@ -111,10 +111,10 @@ per AS (SELECT CAST(seq AS BIGINT) AS seq, count(*) AS files, CAST(sum(size_byte
         FROM hits WHERE seq IS NOT NULL GROUP BY seq)"""
 
 
-def _budget(keys: str, budget: int, cols: str) -> str:
+def _budget(keys: str, budget: int, cols: str, time: str = "mtime", tie: str = "id") -> str:
     part = f"PARTITION BY {keys} " if keys else ""
     return w(f"""SELECT {cols} FROM (
-  SELECT *, sum(size_bytes) OVER ({part}ORDER BY mtime DESC NULLS LAST, id DESC
+  SELECT *, sum(size_bytes) OVER ({part}ORDER BY {time} DESC NULLS LAST, {tie} DESC
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM inv)
 WHERE run > {budget}""")
 
@@ -190,6 +190,9 @@ SELECT p.p_partkey, p.p_type, p.p_brand FROM part p JOIN c ON c.p_type IS NOT DI
 WHERE c.cur IS NOT NULL AND CAST(substr(p.p_brand, 7) AS INT) < c.cur""",
     "size_budget": _budget("host", 100 * 1048576, "id, host"),
     "size_budget_global": _budget("", 20_000_000_000, "id"),
+    "size_budget_hashed_ids": _budget("host", 100 * 1048576, "id, host", "date_trunc('month', mtime)",
+                                      "CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15) AS BIGINT)"),
+    "size_budget_text_ids": _budget("", 20_000_000_000, "id", "date_trunc('month', mtime)", "md5(CAST(id AS VARCHAR))"),
     "freed_between": """SELECT day, n, CAST(greatest(coalesce(n - lag(n) OVER (ORDER BY day), 0), 0) AS BIGINT) AS freed
 FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)""",
     "first_match": w(f"SELECT id, rule FROM (SELECT id, {first_match_case(FIVE)} AS rule FROM inv_p) WHERE rule IS NOT NULL"),

@@ -362,6 +362,27 @@ def q_size_budget_global(spark, sf):
     return r.filter("drop").select("id")
 
 
+def _by_month(spark, sf, tie: Column) -> DataFrame:
+    """The inventory with the month for a time, so that few times hold all rows, and another tiebreak."""
+    return inv(spark, sf).select("id", "host", "size_bytes", F.date_trunc("MONTH", "mtime").alias("month"), tie.alias("tie"))
+
+
+def _digest(c) -> Column:
+    return F.md5(F.col(c).cast("string").cast("binary"))
+
+
+def q_size_budget_hashed_ids(spark, sf):
+    """One time on a group's every row, ids spread over 60 bits."""
+    rows = _by_month(spark, sf, F.conv(F.substring(_digest("id"), 1, 15), 16, 10).cast("long"))
+    return over_budget(rows, "host", "month", HOST_BUDGET, weight="size_bytes", tiebreak="tie").filter("drop").select("id", "host")
+
+
+def q_size_budget_text_ids(spark, sf):
+    """Without keys, in order of a text: the same start for all, then a digest."""
+    rows = _by_month(spark, sf, F.concat(F.lit("inventory-row-"), _digest("id")))
+    return over_budget(rows, None, "month", GLOBAL_BUDGET, weight="size_bytes", tiebreak="tie").filter("drop").select("id")
+
+
 def q_freed_between(spark, sf):
     e = read_table(spark, sf, "events", ["ts"])
     daily = e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
@@ -711,6 +732,8 @@ QUERIES: dict[str, Q] = {
     "before_current_no_current": q_before_current_no_current,
     "size_budget": q_size_budget,
     "size_budget_global": q_size_budget_global,
+    "size_budget_hashed_ids": q_size_budget_hashed_ids,
+    "size_budget_text_ids": q_size_budget_text_ids,
     "freed_between": q_freed_between,
     "first_match": q_first_match,
     "ordered_catalogue": q_ordered_catalogue,

@@ -220,6 +220,67 @@ def test_over_budget_by_numbers_and_ties(spark):
     assert got == [(0, True), (1, False), (1, False)]
 
 
+def plain_budget(df, keys, ts, tie, budget):
+    """E4 by one window over all rows of a group."""
+    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(
+        F.col(ts).desc_nulls_last(), F.col(tie).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, 0)
+    rows = Window.partitionBy(*keys, ts, tie) if keys else Window.partitionBy(ts, tie)
+    ran = df.withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # rows of one place are kept together if one of them is
+    return {r.id for r in ran.withColumn("least", F.min("upto").over(rows)).filter(F.col("least") > budget).collect()}
+
+
+@pytest.mark.parametrize("tie, kind", [
+    (lambda i: (i * 0x9E3779B97F4A7C15) % 2 ** 64 - 2 ** 63, "long"), (lambda i: [-2 ** 63, -1, 0, 2 ** 63 - 1, None][i % 5], "long"),
+    (lambda i: f"/home/u/projects/p{i % 3}/src/module/{i * 7919 % 1000:04d}", "string"),
+    (lambda i: ["", "a", "a\0", "a\0b", "é", "\U0001f600", None, "z" * 70 + str(i)][i % 8], "string"),
+    (lambda i: bytes([i * 31 % 256, 255 - i % 256]), "binary"), (lambda i: dt.date(2000, 1, 1) + dt.timedelta(days=i * 13 % 9000), "date")])
+@pytest.mark.parametrize("levels, bits", [(None, 16), (2, 2)])
+def test_budget_in_the_order_of_any_tiebreak(spark, tie, kind, levels, bits):
+    """One time on most rows, so the tiebreak decides."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot" if i % 3 else None, None if i % 50 == 0 else t + dt.timedelta(microseconds=i % 40 == 7), tie(i), 5) for i in range(600)]
+    df = spark.createDataFrame(rows, f"id long, k string, ts timestamp_ntz, tie {kind}, size long")
+    for keys, budget in ((["k"], 900), ([], 37)):
+        got = over_budget(df, keys, "ts", budget, "size", tiebreak="tie", levels=levels, bits=bits)
+        assert {r.id for r in got.filter("drop").collect()} == plain_budget(df, keys, "ts", "tie", budget), keys
+
+
+def test_budget_puts_few_rows_in_order_and_reads_three_times(spark, tmp_path):
+    """One time, 200,000 rows a group: no window gets more than 2^bits bins, or the rows of one."""
+    import re
+    path = str(tmp_path / "rows")
+    spark.range(400_000).select((F.col("id") % 2).alias("k"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"),
+                                F.xxhash64("id").alias("id"), F.lit(1).cast("long").alias("size")).write.parquet(path)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        marked = over_budget(spark.read.parquet(path), "k", "ts", 77_777, "size", bits=8)
+        assert marked.groupBy("k").agg(F.sum(F.col("drop").cast("int"))).collect() == [(0, 122_223), (1, 122_223)]
+        run = marked._jdf.queryExecution().executedPlan()
+        plan = run.toString()
+        assert plan.count("FileScan") == 3 and plan.count("ReusedExchange") == 2
+        read = []
+
+        def walk(node):
+            if node.nodeName() == "Window":  # what the sort below a window got
+                below = node.children().head()
+                while "numOutputRows" not in [x for x in below.metrics().keySet().mkString(",").split(",")]:
+                    below = below.children().head()
+                read.append(below.metrics().apply("numOutputRows").value())
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+        marked.collect()
+        walk(run)
+        # two groups: bins of the time, 2^8 + 1 bins of the ids at most, then the rows of one such bin
+        assert read and max(read) <= 2 * max(2 ** 8 + 1, 2 * 200_000 // 2 ** 8)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_keep_newest_has_one_path_for_every_n(spark):
     from reclaim.operators import drop_last_n
     t = dt.datetime(2024, 1, 1)
