@@ -38,13 +38,10 @@ SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha2
 FROM d LEFT JOIN per ON per.doc_id = d.doc_id"""
 
 # ------------------------------------------------------------------ mixing
-_FILL = """f{n} AS (SELECT * FROM (
-  SELECT c.*, row_number() OVER (PARTITION BY c.g ORDER BY abs(s.gap - c.size), c.q, c.k) AS nth
-  FROM c{m} c JOIN s{m} s ON s.g = c.g WHERE c.size > 0 AND abs(s.gap - c.size) < s.gap) WHERE nth = 1),
-s{n} AS (SELECT s.g, s.gap - coalesce(f.size, 0) AS gap FROM s{m} s LEFT JOIN f{n} f ON f.g = s.g),
-c{n} AS (SELECT g, k, q, size FROM c{m} c WHERE NOT EXISTS (SELECT 1 FROM f{n} f WHERE f.g = c.g AND f.k = c.k AND f.q = c.q))"""
-SQL["op5_pareto_mix"] = rf"""WITH d AS (SELECT doc_id, coalesce('s' || source, 'null') AS g, source, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k,
-       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+SQL["op5_pareto_mix"] = rf"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('s' || source, 'null') AS g, source, coalesce(CAST(doc_id AS VARCHAR), 'null') AS id,
+       md5(coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+keyed AS (SELECT *, CASE WHEN doc_id IS NULL OR count(*) OVER (PARTITION BY g, id) > 1
+       THEN id || ':' || t || ':' || (row_number() OVER (PARTITION BY g, id, t) - 1) ELSE id END AS k FROM d),
 by_source AS (SELECT source, g, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source, g),
 weighed AS (SELECT *, (row_number() OVER w - 1) % 3 + 1 AS weight, row_number() OVER w AS place FROM by_source
             WINDOW w AS (ORDER BY source IS NULL, source)),
@@ -55,19 +52,36 @@ stopped AS (SELECT *, weight * left_ > 3 * source_size * weigh AS stops FROM lin
 rest AS (SELECT left_, weigh FROM stopped WHERE NOT stops ORDER BY nth LIMIT 1),
 target AS (SELECT s.g, source_size, CASE WHEN stops THEN CAST(3 * source_size AS DOUBLE)
                   ELSE CAST(s.weight * rest.left_ AS DOUBLE) / CAST(rest.weigh AS DOUBLE) END AS target FROM stopped s, rest),
-c AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM target),
-drawn AS (SELECT d.doc_id, d.k, d.size, c.*, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS p,
-       (CAST('0x' || substr(md5(d.k), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM d JOIN c ON c.g = d.g),
-ranked AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q, target - whole * source_size AS words FROM drawn),
-units AS (SELECT g, k, q, words, sum(size) AS size FROM ranked WHERE q IS NOT NULL GROUP BY g, k, q, words),
-runs AS (SELECT *, sum(size) OVER (PARTITION BY g ORDER BY floor(q / (1 + q) * 4096), q, k ROWS UNBOUNDED PRECEDING) <= words AS taken FROM units),
-s0 AS (SELECT g, words - coalesce(sum(size) FILTER (WHERE taken), 0) AS gap FROM runs GROUP BY g, words),
-c0 AS (SELECT g, k, q, size FROM runs WHERE NOT taken),
-{", ".join(_FILL.format(n=n, m=n - 1) for n in (1, 2, 3))},
-chosen AS (SELECT g, k, q FROM runs WHERE taken UNION ALL SELECT g, k, q FROM f1 UNION ALL SELECT g, k, q FROM f2 UNION ALL SELECT g, k, q FROM f3)
+c AS (SELECT *, target - whole * source_size AS words FROM (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM target)),
+sizes AS (SELECT *, CAST(floor((1 + mean / (size + mean)) * 1024) AS BIGINT) AS lean FROM (
+  SELECT g, size, count(*) AS n, CAST(sum(sum(size)) OVER (PARTITION BY g) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY g) AS mean
+  FROM d WHERE size > 0 GROUP BY g, size)),
+slopes AS (SELECT g, mean, size, lean, (words - coalesce(sum(size * n) OVER b, 0)) / CAST(sum(lean * size * n) OVER f AS DOUBLE) AS slope
+  FROM sizes JOIN c USING (g) WINDOW b AS (PARTITION BY g ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  f AS (PARTITION BY g ORDER BY size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+slope AS (SELECT g, arg_min(mean, size) AS mean, arg_min(slope, size) AS slope FROM slopes WHERE slope * lean <= 1 GROUP BY g),
+drawn AS (SELECT k.doc_id, k.k, k.size, c.*, CASE WHEN k.size > 0 THEN least(1, slope * floor((1 + mean / (k.size + mean)) * 1024)) ELSE 0 END AS p,
+       (CAST('0x' || substr(md5(k.k), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM keyed k JOIN c ON c.g = k.g LEFT JOIN slope s ON s.g = k.g),
+ranked AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM drawn),
+runs AS (SELECT *, floor(q / (1 + q) * 4096) AS bin, sum(size) OVER (PARTITION BY g ORDER BY floor(q / (1 + q) * 4096), q, k ROWS UNBOUNDED PRECEDING) <= words AS taken
+  FROM ranked WHERE q IS NOT NULL),
+gaps AS (SELECT c.g, c.words - coalesce(sum(r.size) FILTER (WHERE r.taken), 0) AS gap FROM c LEFT JOIN runs r ON r.g = c.g GROUP BY c.g, c.words),
+untaken AS (SELECT r.g, r.k, r.q, r.bin, r.size, gap, length(bin(r.size)) - 1 AS class FROM runs r JOIN gaps ON gaps.g = r.g WHERE NOT taken AND r.size > 0),
+fits AS (SELECT *, sum(size) OVER (PARTITION BY g, class ORDER BY bin, q, k ROWS UNBOUNDED PRECEDING) AS upto FROM untaken WHERE size <= gap),
+classes AS (SELECT g, class, list(upto) AS uptos, row_number() OVER (PARTITION BY g ORDER BY class DESC) AS nth FROM fits WHERE upto <= gap GROUP BY g, class),
+fill AS (SELECT g, CAST(0 AS BIGINT) AS nth, gap, CAST(-1 AS BIGINT) AS class, CAST(0 AS HUGEINT) AS upto FROM gaps UNION ALL
+  SELECT g, nth, gap - upto, class, upto FROM (SELECT f.g, l.nth, f.gap, l.class,
+    coalesce(list_max(list_filter(l.uptos, lambda x: x <= f.gap)), 0)::HUGEINT AS upto FROM fill f JOIN classes l ON l.g = f.g AND l.nth = f.nth + 1)),
+filled AS (SELECT x.g, x.k FROM fits x JOIN fill f ON f.g = x.g AND f.class = x.class AND x.upto <= f.upto),
+nearest AS (SELECT g, k FROM (SELECT u.g, u.k, row_number() OVER (PARTITION BY u.g ORDER BY abs(f.gap - u.size), u.bin, u.q, u.k) AS nth
+  FROM untaken u JOIN (SELECT g, arg_max(gap, nth) AS gap FROM fill GROUP BY g) f ON f.g = u.g
+  WHERE abs(f.gap - u.size) < f.gap AND NOT EXISTS (SELECT 1 FROM filled x WHERE x.g = u.g AND x.k = u.k)) WHERE nth = 1),
+chosen AS (SELECT g, k FROM runs WHERE taken UNION ALL SELECT g, k FROM filled UNION ALL SELECT g, k FROM nearest)
 SELECT r.doc_id, r.size, r.source_size, r.target, r.whole + (x.k IS NOT NULL)::BIGINT AS n_copies,
        (r.whole + (x.k IS NOT NULL)::BIGINT) * r.size AS taken
-FROM ranked r LEFT JOIN chosen x ON x.g = r.g AND x.k = r.k AND x.q = r.q"""
+FROM ranked r LEFT JOIN chosen x ON x.g = r.g AND x.k = r.k"""
 
 # ------------------------------------------------------------- exact dedup
 SQL["op6_block_naming"] = f"""WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g') AS t FROM documents)

@@ -1,33 +1,35 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source has a target number of words.  A document whose expected number of
-copies is r gets floor(r) copies for certain; the fraction left is its
-inclusion probability p.  Documents draw a uniform number u from a hash of
-their id and are ranked by random odds over inclusion odds,
-(u / (1 - u)) / (p / (1 - p)).  The first in rank order are taken while the
-source's words last: a sample of fixed size (in words) with unequal
-probabilities, the same at every run.
-
-The last document that fits leaves a gap smaller than the next one.  In up to
-``FILLS`` steps the document left whose size is nearest to the gap is taken too,
-if that brings the words nearer to the target, the first in rank of equals.
-Where documents that fit are left even then (the one that ended the order was
-far longer than they are), the rest of the rank order is gone through and each
-that fits is taken, until none is left; one last document nearest to what
-remains follows.  A fill that overshoots ends the filling, as in the oracle SQL:
-a long document that is the nearest can leave a source that far over.
+Each source has a target number of words.  With r = target / words of the
+source, every document gets floor(r) copies for certain, and the rest of the
+words are a sample of fixed size with unequal probabilities: a document's
+inclusion probability p falls as it gets longer (a document much shorter than
+its source's mean is up to twice as likely as one much longer), and the source's
+p x words add up to the words to be sampled.  Documents draw a uniform number u from a hash
+and are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)).
+The first in rank order are taken while the words last.  Reruns agree.
+
+The first document that does not fit ends that, and leaves a gap smaller than
+itself.  The gap is filled from the rest, by size classes (powers of two) from
+large to small: of each class the first in rank order, while they fit.  At last
+the document nearest to what remains is taken, if that brings the source nearer
+to its target.  A source so ends nearer to its target than its smallest
+document left, however long the document is that did not fit.
 
 No source is ranked in one task: ranks fall into ``BINS`` bins, sizes are
 summed by bin before the shuffle, and only the one bin of each source in which
-the words run out is put in order.  A decision is then a comparison with the
-source's cut (one row a source), so a hot source is spread like any other.  Going
-through the rest takes the same steps again on those that fit, once for each
-document that no longer does; each round ends with less to fill.
-
-Edge cases: a null text has size 0; documents of size 0 are ranked like others
-and cost nothing; a null source is a source, last in order; rows that repeat
-source and id are taken or left together; a null id ranks by the hash of
-the word null; a source without words has target 0 and nothing of it is taken;
+the words run out is put in order.  Filling takes no more documents than the
+gap has words, and the gap is smaller than one document: these few are an array
+in their source's row.  Probabilities come from a window over the distinct
+sizes of a source.  A decision is a comparison with the source's row, so a hot
+source is spread like any other.  Only the sources themselves are in one window,
+a row each.
+
+Edge cases: a null text has size 0; documents of size 0 cost nothing and get the
+certain copies alone; a null source is a source, last in order; a null id, and rows that
+repeat source and id, are sampled row by row, by a hash of id and text and a
+number among equal rows (which of equal rows gets a copy is open, how many do
+is not); a source without words has target 0 and nothing of it is taken;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -37,9 +39,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclaim.llm.common import WORD, stage, text_of
+from reclaim.llm.ranks import ranked
 
 MAX_COPIES, WEIGHTS = 3, (1, 2, 3)
-BINS, FILLS = 4096, 3
+BINS = 4096
 
 
 def n_words(text_col: str) -> Column:
@@ -84,85 +87,126 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPI
         F.col("stops"), (F.col("source_size") * max_copies).cast("double")).otherwise(share).alias("target"))
 
 
+def odds(key: Column, p: Column) -> Column:
+    """Random odds over inclusion odds; null where nothing is drawn, 0 where all are."""
+    u = uniform(key)
+    return F.when(p >= 1, F.lit(0.0)).when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+
+
 def with_odds(rows: DataFrame) -> DataFrame:
     """Rows with id key ``k`` and expected number ``copies`` -> whole (certain
     copies), p (inclusion probability), q (random odds over inclusion odds)."""
     rows = rows.withColumn("whole", F.floor("copies")).withColumn("p", F.col("copies") - F.col("whole"))
-    u = uniform(F.col("k"))
-    return rows.withColumn("q", F.when(F.col("p") > 0, (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
+    return rows.withColumn("q", odds(F.col("k"), F.col("p")))
+
+
+def leaning(size: Column, mean: Column) -> Column:
+    """What p is in proportion to, in 1024ths: from 2 for short documents down to 1 for long ones."""
+    return F.floor((F.lit(1.0) + mean / (size + mean)) * 1024)
+
+
+def inclusion(by_size: DataFrame, by: DataFrame) -> DataFrame:
+    """(g, size, n) and (g, words) -> (g, mean, slope): p = min(1, slope x leaning)
+    adds up to ``words`` over the documents of g.  With sizes in order, those that
+    reach 1 come first."""
+    own = Window.partitionBy("g")
+    rows = by_size.filter("size > 0").withColumn("held", F.col("size") * F.col("n"))
+    rows = rows.withColumn("mean", F.sum("held").over(own) / F.sum("n").over(own)).join(by.select("g", "words"), "g")
+    rows = rows.withColumn("lean", leaning(F.col("size"), F.col("mean")))
+    order = own.orderBy("size")
+    before = F.coalesce(F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("lean").cast("decimal(38,0)") * F.col("held")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("slope", (F.col("words") - before) / rest.cast("double"))
+    return rows.filter(F.col("slope") * F.col("lean") <= 1).groupBy("g").agg(
+        F.min(F.struct("size", "mean", "slope")).alias("m")).select("g", "m.mean", "m.slope")
 
 
 def units_of(rows: DataFrame, bins: int = BINS) -> DataFrame:
-    """What is taken or left whole: rows drawn (g, k, q, size), summed by g, k and q."""
-    return stage(rows.filter("q is not null").groupBy("g", "k", "q").agg(F.sum("size").alias("size"))
-                 .withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * bins)), "units")
+    """What is taken or left: rows drawn (g, k, q, size), with the bin of their rank."""
+    return stage(rows.filter("q is not null").select("g", "k", "q", "size", _bin(bins).alias("bin")), "units")
 
 
-def cuts(rows: DataFrame, want: DataFrame, bins: int = BINS, fills: int = FILLS) -> DataFrame:
-    """rows (g, k, q, size; q null: not drawn) and want (g, words) -> for each
-    group g: cut, the last (q, k) taken in rank order (null: none), and fills,
-    the (q, k) of the documents that fill the gap."""
-    return unit_cuts(units_of(rows, bins), want, bins, fills)
+def _bin(bins: int) -> Column:
+    return F.floor(F.col("q") / (1 + F.col("q")) * bins)
+
 
+def _class(size: Column) -> Column:
+    """The place of the highest bit."""
+    return F.length(F.bin(size)) - 1
 
-def unit_cuts(units: DataFrame, want: DataFrame, bins: int = BINS, fills: int = FILLS) -> DataFrame:
+
+def cuts(rows: DataFrame, want: DataFrame, bins: int = BINS) -> DataFrame:
+    """rows (g, k, q, size; q null: not drawn) and want (g, words) -> for each
+    group g what ``is_taken`` compares a row with: the last place taken in rank
+    order, the last of each size class that fills the gap, and one more."""
+    units = units_of(rows, bins)
     by_bin = units.groupBy("g", "bin").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("g").orderBy("bin"))
     short = (by_bin.withColumn("upto", upto).join(want, "g").filter("upto > words")
-             .groupBy("g").agg(F.min(F.struct("bin", (F.col("upto") - F.col("size")).alias("before"))).alias("edge")))
+             .groupBy("g").agg(F.min(F.struct("bin", (F.col("upto") - F.col("size")).alias("before"))).alias("edge"),
+                               F.lit(0).alias("whole")))
     # a group whose words never run out is taken whole: the cut is in no bin
-    state = stage(want.join(short, "g", "left").select("g", "words", "edge.bin", "edge.before"), "edges")
-    edge = state.select("g", F.col("bin"), "words", "before")
+    edge = stage(want.join(short, "g", "left").select("g", "words", "edge.bin", "edge.before"), "edges")
     upto = F.sum("size").over(Window.partitionBy("g").orderBy("q", "k")) + F.col("before")
     inside = (units.join(edge, ["g", "bin"]).withColumn("upto", upto).filter("upto <= words")
               .groupBy("g").agg(F.max(F.struct("q", "k", "upto")).alias("last")))
-    # below the bin everything is taken; the smallest rank in the bin otherwise bounds the cut
-    state = state.join(inside, "g", "left").select(
+    state = stage(edge.join(inside, "g", "left").select(
         "g", "bin", F.col("last.q").alias("cut_q"), F.col("last.k").alias("cut_k"),
-        (F.col("words") - F.coalesce("last.upto", "before")).alias("gap"),
-        F.array().cast("array<struct<q:double,k:string>>").alias("fills"))
-    state = stage(state, "cuts")
-    for _ in range(fills):
-        off = F.abs(F.col("gap") - F.col("size"))
-        best = (units.drop("bin").join(state, "g").filter(~is_taken(bins) & (F.col("size") > 0) & (off < F.col("gap")))
-                .groupBy("g").agg(F.min(F.struct(off.alias("off"), "q", "k", "size")).alias("best")))
-        more = F.array(F.struct("best.q", "best.k"))
-        state = stage(state.join(best, "g", "left").select(
-            "g", "bin", "cut_q", "cut_k", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"),
-            F.when(F.col("best").isNull(), F.col("fills")).otherwise(F.concat("fills", more)).alias("fills")), "cuts")
-    return state
+        (F.col("words") - F.coalesce("last.upto", "before")).alias("gap")), "cuts")
+    return fill(units, state, bins)
+
+
+def fill(units: DataFrame, state: DataFrame, bins: int = BINS) -> DataFrame:
+    """``state`` (g, bin, cut_q, cut_k, gap) -> with room (the gap), fills and extra."""
+    place = F.struct("bin", "q", "k")
+    left = stage(units.join(state.withColumnRenamed("bin", "cut_bin"), "g").filter(
+        ~_in_order(F.col("bin"), F.col("cut_bin")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap")))
+        .select("g", "bin", "q", "k", "size", "gap", _class(F.col("size")).alias("class")), "left")
+    fits = left.filter("size <= gap")
+    by_bin = fits.groupBy("g", "class", "bin").agg(F.sum("size").alias("size"), F.max("gap").alias("gap"))
+    before = F.sum("size").over(Window.partitionBy("g", "class").orderBy("bin")) - F.col("size")
+    by_bin = by_bin.withColumn("before", before).filter("before <= gap").select("g", "class", "bin", "before")
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("g", "class", "bin").orderBy("q", "k"))
+    # no more rows than the gap has words
+    able = fits.join(by_bin, ["g", "class", "bin"]).withColumn("upto", upto).filter("upto <= gap")
+    classes = able.groupBy("g", "class").agg(F.sort_array(F.collect_list(F.struct("upto", place.alias("last")))).alias("able"))
+    classes = classes.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("class", "able")), asc=False).alias("classes"))
+    kind = f"array<struct<class:int,last:{units.select(place.alias('x')).schema['x'].dataType.simpleString()}>>"
+    start = F.struct(F.col("gap"), F.array().cast(kind).alias("fills"))
+
+    def down(state: Column, c: Column) -> Column:
+        fit = F.filter(c["able"], lambda x: x["upto"] <= state["gap"])
+        last = F.element_at(fit, -1)
+        return F.when(F.size(fit) == 0, state).otherwise(F.struct(
+            (state["gap"] - last["upto"]).alias("gap"),
+            F.concat(state["fills"], F.array(F.struct(c["class"].alias("class"), last["last"].alias("last")))).alias("fills")))
+
+    filled = F.aggregate(F.coalesce("classes", F.array().cast(classes.schema["classes"].dataType)), start, down)
+    state = state.join(classes, "g", "left").withColumn("filled", filled)
+    state = stage(state.select("g", "bin", "cut_q", "cut_k", F.col("gap").alias("room"), F.col("filled.gap").alias("gap"), "filled.fills"), "fills")
+    off = F.abs(F.col("gap") - F.col("size"))
+    nearest = (left.drop("gap").join(state.select("g", "room", "gap", "fills"), "g").filter(~_filled(place, F.col("class")) & (off < F.col("gap")))
+               .groupBy("g").agg(F.min(F.struct(off.alias("off"), place.alias("place"))).alias("best")))
+    return stage(state.join(nearest, "g", "left").select("g", "bin", "cut_q", "cut_k", "room", "fills", F.col("best.place").alias("extra")), "cuts")
+
+
+def _in_order(own: Column, cut: Column) -> Column:
+    """Whether a row (q, k) of the bin ``own`` comes in its group before the words run out."""
+    last = (F.col("q") < F.col("cut_q")) | ((F.col("q") == F.col("cut_q")) & (F.col("k") <= F.col("cut_k")))
+    return cut.isNull() | (own < cut) | ((own == cut) & F.coalesce(last, F.lit(False)))
+
+
+def _filled(place: Column, size_class: Column) -> Column:
+    """Whether a row that the gap had room for is among the first of its class."""
+    return (F.col("size") <= F.col("room")) & F.exists("fills", lambda f: (f["class"] == size_class) & (place <= f["last"]))
 
 
 def is_taken(bins: int = BINS) -> Column:
-    """Whether a drawn row (q, k), joined to its group's cuts, is taken."""
-    own = F.floor(F.col("q") / (1 + F.col("q")) * bins)
-    in_order = (own < F.col("bin")) | ((own == F.col("bin")) & F.coalesce(
-        (F.col("q") < F.col("cut_q")) | ((F.col("q") == F.col("cut_q")) & (F.col("k") <= F.col("cut_k"))), F.lit(False)))
-    fill = F.exists("fills", lambda f: (f["q"] == F.col("q")) & (f["k"] == F.col("k")))
-    return F.col("q").isNotNull() & (F.col("bin").isNull() | in_order | fill)
-
-
-def closing(units: DataFrame, state: DataFrame, bins: int = BINS) -> DataFrame:
-    """(g, k) of the units taken beyond ``unit_cuts``: down the rank order each
-    that fits what is left of the gap, then the one nearest to the remainder."""
-    names, gaps = ["g", "k", "q", "size"], state.select("g", "gap")
-    left = stage(units.drop("bin").join(state, "g").filter(
-        ~is_taken(bins) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).select(names), "left")
-    if left.isEmpty():
-        return left.select("g", "k")
-    more, fits = left.filter("false"), left.join(gaps, "g").filter("size <= gap").select(names)
-    while not (fits := stage(fits, "fits")).isEmpty():
-        # what no longer fits after a round has a size above the new gap, so no place need be kept
-        cut = unit_cuts(units_of(fits, bins), gaps.select("g", F.col("gap").alias("words")), bins, 0).drop("gap")
-        now = stage(fits.join(cut, "g").filter(is_taken(bins)).select(names), "taken")
-        gaps = stage(gaps.join(now.groupBy("g").agg(F.sum("size").alias("used")), "g", "left").select(
-            "g", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")), "gaps")
-        more = more.union(now)
-        fits = fits.join(cut, "g").filter(~is_taken(bins)).join(gaps, "g").filter("size <= gap").select(names)
-    off = F.abs(F.col("gap") - F.col("size"))
-    last = (left.join(more, ["g", "k", "q"], "left_anti").join(gaps, "g").filter(off < F.col("gap"))
-            .groupBy("g").agg(F.min(F.struct(off.alias("off"), "q", "k")).alias("best")))
-    return stage(more.select("g", "k").union(last.select("g", "best.k")), "more")
+    """Whether a drawn row (q, k, size), joined to its group's cuts, is taken."""
+    place = F.struct(_bin(bins).alias("bin"), "q", "k")
+    more = (F.col("size") > 0) & (F.coalesce(_filled(place, _class(F.col("size"))), F.lit(False))
+                                  | F.coalesce(place == F.col("extra"), F.lit(False)))
+    return F.col("q").isNotNull() & (_in_order(_bin(bins), F.col("bin")) | more)
 
 
 def _group(source: Column) -> Column:
@@ -175,34 +219,54 @@ class Mix:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                  weights=WEIGHTS, max_copies: int = MAX_COPIES):
+        self.id_col, self.text_col, self.source_col = id_col, text_col, source_col
         source = F.col(f"`{source_col}`").cast("string")
-        self.id_col, self.source_col = id_col, source_col
-        self.rows = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), source.alias("source"),
-                                      id_key(id_col).alias("k"), n_words(text_col).alias("size")), "sizes")
-        by = stage(source_targets(self.rows, weights, max_copies).select(
-            _group(F.col("source")).alias("g"), "source_size", "target",
-            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("copies")), "targets")
-        rows = with_odds(self.rows.withColumn("g", _group(F.col("source"))).join(by.select("g", "copies"), "g"))
-        want = by.select("g", (F.col("target") - F.floor("copies") * F.col("source_size")).alias("words"))
-        units = units_of(rows)
-        state = unit_cuts(units, want)
-        self.cuts = by.join(state, "g")
-        self.more = closing(units, state).withColumn("more", F.lit(True))
+        plain = stage(docs.select(F.col(f"`{id_col}`").alias("doc_id"), source.alias("source"), *self._keys()), "sizes")
+        again = plain.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or k = 'null'").select("g", "k")
+        again = stage(again, "repeated")
+        self.again = None if again.isEmpty() else again
+        self.rows = self._told_apart(plain, text=False)
+        by_size = stage(self.rows.groupBy("g", "source", "size").agg(F.count(F.lit(1)).alias("n")), "by-size")
+        by = stage(source_targets(by_size.select("source", (F.col("size") * F.col("n")).alias("size")), weights, max_copies)
+                   .select(_group(F.col("source")).alias("g"), "source_size", "target")
+                   .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
+                   .withColumn("words", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+        by = stage(by.join(inclusion(by_size, by), "g", "left"), "inclusion")
+        state = cuts(self._drawn(self.rows.join(by, "g")), by.select("g", "words"))
+        self.cuts = by.drop("words").join(state, "g")
+
+    def _keys(self) -> list[Column]:
+        """g, k (the id), t (a hash of the text) and size of a row of the documents."""
+        return [_group(F.col(f"`{self.source_col}`").cast("string")).alias("g"), id_key(self.id_col).alias("k"),
+                F.md5(text_of(self.text_col).cast("binary")).alias("t"), n_words(self.text_col).alias("size")]
+
+    def _told_apart(self, rows: DataFrame, text: bool) -> DataFrame:
+        """``rows`` with a ``k`` that no other row of the source has."""
+        if self.again is None:
+            return rows.drop("t")
+        same = rows.join(self.again, ["g", "k"], "left_semi").withColumn("_same", F.concat_ws(":", "g", "k", "t"))
+        same = ranked(stage(same, "repeated-rows", text=text), "_same", [], "numbers")
+        same = same.withColumn("k", F.concat_ws(":", "k", "t", F.col("rank").cast("string")))
+        return rows.join(self.again, ["g", "k"], "left_anti").drop("t").unionByName(same.select([c for c in rows.columns if c != "t"]))
+
+    @staticmethod
+    def _drawn(rows: DataFrame) -> DataFrame:
+        """Rows joined to their source's row, with p and q."""
+        p = F.least(F.lit(1.0), F.col("slope") * leaning(F.col("size"), F.col("mean")))
+        rows = rows.withColumn("p", F.when(F.col("size") > 0, F.coalesce(p, F.lit(0.0))).otherwise(F.lit(0.0)))
+        return rows.withColumn("q", odds(F.col("k"), F.col("p")))
 
     def _decided(self, rows: DataFrame) -> DataFrame:
-        """rows with g and k -> with source_size, target and n_copies."""
-        out = with_odds(rows.join(self.cuts, "g")).join(self.more, ["g", "k"], "left")
-        taken = is_taken() | F.coalesce("more", F.lit(False))
-        return out.withColumn("n_copies", F.col("whole") + taken.cast("long"))
+        """rows with g, k and size -> with source_size, target and n_copies."""
+        return self._drawn(rows.join(self.cuts, "g")).withColumn("n_copies", F.col("whole") + is_taken().cast("long"))
 
     def decisions(self) -> DataFrame:
         """doc_id, size, source_size, target, n_copies, taken: a row for each row."""
-        out = self._decided(self.rows.withColumn("g", _group(F.col("source"))))
-        return out.select("doc_id", "size", "source_size", "target", "n_copies", (F.col("n_copies") * F.col("size")).alias("taken"))
+        return self._decided(self.rows).select(
+            "doc_id", "size", "source_size", "target", "n_copies", (F.col("n_copies") * F.col("size")).alias("taken"))
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """``docs``, each row as often as the mix takes it."""
-        rows = docs.select(_group(F.col(f"`{self.source_col}`").cast("string")).alias("g"), id_key(self.id_col).alias("k"),
-                           F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-        copies = self._decided(rows).filter("n_copies > 0")
+        rows = docs.select(*self._keys(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+        copies = self._decided(self._told_apart(rows, text=True)).filter("n_copies > 0")
         return copies.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("n_copies").cast("int")))).select("_row.*")

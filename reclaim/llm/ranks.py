@@ -24,10 +24,10 @@ def ranked(rows: DataFrame, group: str, order: Sequence[Column], label: str) ->
     """``rows`` with ``rank`` (bigint, from 0) within ``group``, a column that is
     never null, and ``n``, the rows of the group.  Rows that tie in ``order`` come
     in the order of the input.  ``rows`` should be cheap to read twice (a staged
-    table): Spark samples them for the ranges.  Adds and drops ``_row``, ``_at``, ``_part``."""
-    dealt = rows.withColumn("_row", F.monotonically_increasing_id())
-    keys = [F.col(group).asc(), *order, F.col("_row").asc()]
-    laid = stage(dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_row")
+    table): Spark samples them for the ranges.  Adds and drops ``_input``, ``_at``, ``_part``."""
+    dealt = rows.withColumn("_input", F.monotonically_increasing_id())
+    keys = [F.col(group).asc(), *order, F.col("_input").asc()]
+    laid = stage(dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("_input")
                  .withColumn("_at", F.monotonically_increasing_id()), label)
     laid = laid.withColumn("_part", F.shiftright("_at", _BITS))
     runs = laid.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))

@@ -1,6 +1,7 @@
 """Language ID, mixing, packing, secrets, toxicity and quality."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -125,6 +126,125 @@ def test_mix_goes_on_past_a_long_document(spark):
         assert got[ranked[place]].taken == 0 and abs(taken - target) < 4, (place, taken, target)
 
 
+def brute_mix(rows):
+    """Taken words by source and (id, text), the rule item by item; rows are (id, text, lang, source)."""
+    size = [len(words(t)) for _, t, *_ in rows]
+    sizes = {}
+    for (_, _, _, s), n in zip(rows, size):
+        sizes[s] = sizes.get(s, 0) + n
+    targets, out = brute_targets(sizes), []
+    ids = pd.Series([(s, i) for i, _, _, s in rows]).value_counts()
+    seen, key = {}, []
+    for i, t, _, s in rows:
+        if i is not None and ids[(s, i)] == 1:
+            key.append(str(i))
+            continue
+        base = f"{'null' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}"
+        key.append(f"{base}:{seen.setdefault((s, base), 0)}")
+        seen[s, base] += 1
+    for s, target in targets.items():
+        own = [x for x in range(len(rows)) if rows[x][3] == s]
+        if not sizes[s]:
+            out += [(rows[x][0], 0, 0) for x in own]
+            continue
+        whole = int(target // sizes[s])
+        left = target - whole * sizes[s]
+        full = [x for x in own if size[x]]
+        mean = sizes[s] / len(full)
+        lean = {x: math.floor((1 + mean / (size[x] + mean)) * 1024) for x in full}
+        full.sort(key=lambda x: size[x])
+        for n, x in enumerate(full):  # the first slope that no probability above 1 spoils
+            if n and size[full[n - 1]] == size[x]:
+                continue
+            slope = (left - sum(size[y] for y in full[:n])) / sum(lean[y] * size[y] for y in full[n:])
+            if slope * lean[x] <= 1:
+                break
+        place = {}
+        for x in full:
+            p, u = min(1.0, slope * lean[x]), (int(hashlib.md5(key[x].encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52
+            if p > 0:
+                place[x] = (0.0 if p >= 1 else (u / (1 - u)) / (p / (1 - p)), key[x])
+        order, taken, gap = sorted(place, key=place.get), set(), left
+        for x in order:
+            if size[x] > gap:
+                break
+            taken.add(x)
+            gap -= size[x]
+        able = [x for x in order if x not in taken and size[x] <= gap]
+        for c in sorted({size[x].bit_length() for x in able}, reverse=True):
+            for x in able:
+                if size[x].bit_length() == c:
+                    if size[x] > gap:
+                        break
+                    taken.add(x)
+                    gap -= size[x]
+        near = [x for x in order if x not in taken and abs(gap - size[x]) < gap]
+        if near:
+            taken.add(min(near, key=lambda x: (abs(gap - size[x]), place[x])))
+        out += [(rows[x][0], size[x], (whole + (x in taken)) * size[x]) for x in own]
+    return sorted(out, key=str)
+
+
+def near_targets(got, source):
+    """Every source nearer to its target than the smallest of its documents that could be taken once more."""
+    by = {}
+    for r in got:
+        by.setdefault(source(r), []).append(r)
+    for rows in by.values():
+        target, taken = rows[0].target, sum(r.taken for r in rows)
+        spare = [r.size for r in rows if r.size and r.n_copies <= target / rows[0].source_size and r.n_copies < 3]
+        assert not spare or abs(target - taken) < max(min(spare), 1), (target, taken, min(spare))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    long = rng.choice([30, 300, 20000])
+    rows = [(None if rng.random() < 0.1 else rng.randrange(300), "w " * rng.choice([0, 1, 7, 12, rng.randint(1, 60), rng.randint(1, long)]),
+             "en", rng.choice([None, "a", "b", "c", "c", "c", "d"])) for _ in range(rng.choice([3, 60, 500]))]
+    got = pareto_mix.Mix(documents(spark, rows)).decisions().collect()
+    assert sorted(((r.doc_id, r.size, r.taken) for r in got), key=str) == brute_mix(rows)
+
+
+def test_mix_with_a_document_longer_than_the_rest_of_what_it_leaves(spark):
+    """2,000 documents of 250 words and one of 200,000, which is the nearest to what is left."""
+    rows = [(i, "w " * (200_000 if i == 0 else 250), "en", "a") for i in range(2001)]
+    rows += [(9000 + i, "w " * 700, "en", "b") for i in range(500)]
+    got = pareto_mix.Mix(documents(spark, rows, clash=False)).decisions().collect()
+    assert {r.target for r in got} == {350_000, 700_000}
+    near_targets(got, lambda r: r.doc_id >= 9000)
+    assert sorted(((r.doc_id, r.size, r.taken) for r in got), key=str) == brute_mix(rows)
+
+
+def test_mix_samples_rows_without_an_id_one_by_one(spark):
+    rows = [(None if i % 2 else i, "w " * 50, "en", "a") for i in range(1000)] + [(7, "x " * 50, "en", "a")] * 300
+    rows += [(9000 + i, "w " * 5, "en", "b") for i in range(2000)]
+    got = pareto_mix.Mix(documents(spark, rows, clash=False)).decisions().collect()
+    near_targets(got, lambda r: r.doc_id is not None and r.doc_id >= 9000)
+    assert len({r.n_copies for r in got if r.doc_id is None}) == len({r.n_copies for r in got if r.doc_id == 7}) == 2
+    docs = documents(spark, rows, clash=False)
+    out = pareto_mix.Mix(docs).apply(docs).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+    assert {r.n for r in out} == {sum(r.taken for r in got if (r.doc_id or 0) >= 9000), sum(r.taken for r in got if (r.doc_id or 0) < 9000)}
+
+
+def test_inclusion_rates_of_the_query_follow_its_odds(spark):
+    """60 sources alike but for their ids: short documents are drawn more often, as
+    often as p says (and the shortest a little more, as they fill gaps)."""
+    lengths = [5, 10, 20, 40, 80] * 60
+    rows = [(1000 * s + i, "w " * n, "en", f"s{s:03d}") for s in range(0, 60) for i, n in enumerate(lengths)]
+    got = pareto_mix.Mix(documents(spark, rows, clash=False)).decisions().collect()
+    kept = [r for r in got if r.target / r.source_size % 1 > 0.3 and r.target / r.source_size % 1 < 0.8]
+    assert len(kept) >= 1000
+    rate = pd.DataFrame([(r.size, r.n_copies - r.target // r.source_size, r.target / r.source_size % 1) for r in kept],
+                        columns=["size", "drawn", "share"]).groupby("size").mean()
+    mean = sum(lengths) / len(lengths)
+    lean = {n: 1 + mean / (n + mean) for n in set(lengths)}
+    slope = rate["share"].mean() * sum(lengths) / sum(n * lean[n] for n in lengths)
+    for n in lean:
+        assert abs(rate["drawn"][n] - slope * lean[n]) < 0.04, (n, rate["drawn"][n], slope * lean[n])
+    assert rate["drawn"][5] > rate["drawn"][80] + 0.1
+
+
 def test_mix_edge_cases(spark):
     docs = documents(spark)
     mix = pareto_mix.Mix(docs)
