@@ -41,6 +41,8 @@ def main(argv=None) -> int:
     ap.add_argument("--items-out", default=None)
     ap.add_argument("--text-input", action="append", default=[], help="name@host=path")
     ap.add_argument("--report-out", default=None)
+    ap.add_argument("--quarantine-out", default=None, help="folder for texts of the inputs that do not parse")
+    ap.add_argument("--run-out", default=None, help="folder for plan, items and report of the run")
     ap.add_argument("--master", default=None)
     a = ap.parse_args(argv)
 
@@ -55,10 +57,10 @@ def main(argv=None) -> int:
 
     from reclaim.plans.catalogue import rulebook
     from reclaim.plans.listing_rules import INPUTS
-    from reclaim.plans.run import run
+    from reclaim.plans.run import run, total_of
     from reclaim.session import get_spark
     from reclaim.sources.listings import read_documents, read_lines
-    from reclaim.sources.sinks import write_plan, write_report
+    from reclaim.sources.sinks import read_plan, write_plan, write_report
     from reclaim.sources.tables import read_inventory
 
     spark = get_spark(a.master)
@@ -86,16 +88,21 @@ def main(argv=None) -> int:
     except SelectionError as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1
+    if a.run_out:
+        res = res.store(a.run_out)
+    # what has been written is not worked out again
     if a.plan_out:
-        write_plan(res.plan, a.plan_out)
+        res = res.over(plan=read_plan(spark, write_plan(res.plan, a.plan_out)))
     if a.items_out:
-        write_plan(res.items, a.items_out)
+        res = res.over(items=read_plan(spark, write_plan(res.items, a.items_out)))
+    if a.quarantine_out and res.quarantine is not None:
+        write_plan(res.quarantine, a.quarantine_out, "input")
+    rows = res.report.collect()  # one row a step, as many as the arguments name
+    report = spark.createDataFrame(rows, res.report.schema).orderBy("seq")
     if a.report_out:
-        write_report(res.report, a.report_out)
-    shown = res.report.select("seq", "name", "status", "files", "freed")
-    rows = shown.collect()  # one row a step, as many as the arguments name
-    shown.sparkSession.createDataFrame(rows, shown.schema).show(max(len(rows), 1), truncate=False)
-    res.total.show(truncate=False)
+        write_report(report, a.report_out)
+    report.select("seq", "name", "status", "files", "freed").show(max(len(rows), 1), truncate=False)
+    total_of(report).show(truncate=False)
     return 0
 
 

@@ -12,7 +12,9 @@ from reclaim.functions.paths import _c
 UNIT_LETTERS = "KMGTPE"
 LABEL_INSIGNIFICANT = "Insignificant"
 STATUS_SKIPPED, STATUS_ERROR, STATUS_SUCCESS = "Skipped", "Error", "Success"
+STATUS_NOT_INSTALLED = "Not installed"
 MESSAGE_SUCCESS = "Cleanup completed successfully"
+MESSAGE_NOT_INSTALLED = "Skipped (not installed)"
 MESSAGE_ERROR_PREFIX = "Error during cleanup: "
 
 
@@ -22,25 +24,27 @@ def format_bytes(n="bytes") -> Column:
     The unit is the largest power of 1024 not above ``n`` (no promotion after
     rounding: 1048575 -> ``1024.0 KiB``).  The value is the number as a double,
     divided by the unit (exact, a power of two) and rounded to tenths, exact
-    ties to even (1280 -> ``1.2 KiB``), in whole-number arithmetic.
+    ties to even (1280 -> ``1.2 KiB``), in whole numbers of 64 bits.
     """
     v = _c(n).cast("long")
-    d = v.cast("double")
-    tenfold = d.cast("decimal(20,0)") * 10
-
-    def text(exp: int) -> Column:
-        unit = F.lit(1024 ** exp).cast("decimal(20,0)")
-        rest = F.pmod(tenfold, unit)
-        q = ((tenfold - rest) / unit).cast("long")
-        up = (rest * 2 > unit) | ((rest * 2 == unit) & (q % 2 == 1))
-        tenths = q + up.cast("long")
-        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"),
-                        F.lit(f" {UNIT_LETTERS[exp - 1]}iB"))
-
-    ladder = F.when(v < 1024, F.concat(v.cast("string"), F.lit(" B")))
-    for exp in range(1, len(UNIT_LETTERS)):
-        ladder = ladder.when(d < F.lit(float(1024 ** (exp + 1))), text(exp))
-    return ladder.otherwise(text(len(UNIT_LETTERS)))
+    # as printed from a double; the largest ones stay below 2^63, which reads the same
+    d = F.least(v.cast("double"), F.lit(float(2 ** 63 - 1024)))
+    x = d.cast("long")
+    exp = F.lit(len(UNIT_LETTERS))
+    for e in range(len(UNIT_LETTERS) - 1, 0, -1):
+        exp = F.when(d < F.lit(float(1024 ** (e + 1))), e).otherwise(exp)
+    shift = exp * 10
+    right = lambda c, by: F.call_function("shiftright", c, by)
+    low = lambda c, bits: c - F.call_function("shiftleft", right(c, bits), bits)
+    # five times the rest in halves of the unit: ten times it would not fit into 64 bits
+    fives = low(x, shift) * 5
+    tenths = right(x, shift) * 10 + right(fives, shift - 1)
+    rest, half = low(fives, shift - 1), F.call_function("shiftleft", F.lit(1).cast("long"), shift - 2)
+    up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
+    tenths = tenths + up.cast("long")
+    text = F.concat(F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" "),
+                    F.substring(F.lit(UNIT_LETTERS), exp, F.lit(1)), F.lit("iB"))
+    return F.when(v < 1024, F.concat(v.cast("string"), F.lit(" B"))).otherwise(text)
 
 
 def format_duration(seconds="duration_s") -> tuple[Column, Column]:

@@ -17,9 +17,10 @@ are never gathered by group.  How the cut is found:
   order only within the last bin.  The input is read three times: for the
   sums over time, for the rows of the one bin left, and to mark the rows.
 
-All of it is one lazy plan for inputs of any size: no job runs before an action.
+All of these are one lazy plan for inputs of any size: no job runs before an action.
 Rows that tie with the last kept row in time and tiebreak are kept with it.
-"Newest per key" by a version (E2, E3) is a max per key, also partial.
+"Newest per key" by a version (E2, E3) is a max per key, also partial; E2 ranks
+the versions first, which runs a job.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reclaim.functions.paths import _c
+from reclaim.operators.order import global_row_number
 
 _LOWEST = -(2 ** 62)
 _TIMES, _WHOLE = ("timestamp", "timestamp_ntz", "date"), ("byte", "short", "integer", "long")
@@ -208,14 +210,23 @@ def drop_last_n(df: DataFrame, ts: str, n: int, tiebreak: str = "id") -> DataFra
 
 
 def superseded(df: DataFrame, keys, version: Column, tiebreak: str = "id") -> DataFrame:
-    """Every version but the newest of each key.  The newest is a max per key
-    (partial aggregate), then an equi-join on the key -- no window."""
+    """Every version but the newest of each key; of equal versions the one with
+    the greatest ``tiebreak`` is the newest, a null version or tiebreak the oldest.
+
+    Versions are texts, whose max per key Spark can only find by sorting.  So the
+    distinct versions are put in order first, all together and in many tasks
+    (``global_row_number``, which runs a job), and the newest is a max of whole
+    numbers per key, combined before the shuffle.  A key with a third of all
+    rows is a row a task."""
     keys = _keys(keys)
-    v = df.withColumn("_v", F.struct(version.alias("v"), F.col(tiebreak).alias("t")))
-    newest = v.groupBy(*keys).agg(F.max("_v").alias("_newest"))
-    return (join_on_keys(v, newest, keys, "inner")
-            .filter(F.col("_v") < F.col("_newest"))
-            .drop("_v", "_newest"))
+    v = df.withColumn("_v", version)
+    ranks = global_row_number(v.select("_v").filter("_v is not null").distinct(), [F.col("_v")], out="_rank")
+    v = v.join(ranks, ["_v"], "left").withColumn("_rank", F.coalesce("_rank", F.lit(0).cast("long"))).drop("_v")
+    newest = v.groupBy(*keys).agg(F.max("_rank").alias("_newest"))
+    v = join_on_keys(v, newest, keys, "inner")
+    last = v.filter(F.col("_rank") == F.col("_newest")).groupBy(*keys).agg(F.max(tiebreak).alias("_last"))
+    older = (F.col("_rank") < F.col("_newest")) | F.coalesce(F.col(tiebreak) < F.col("_last"), F.col("_last").isNotNull() & F.col(tiebreak).isNull())
+    return join_on_keys(v, last, keys, "inner").filter(older).drop("_rank", "_newest", "_last")
 
 
 def before_current(df: DataFrame, keys, version: Column, is_current: Column) -> DataFrame:

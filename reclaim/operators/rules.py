@@ -214,6 +214,10 @@ def union_steps(df: DataFrame, steps: Sequence[Column]) -> DataFrame:
 
 
 def union_step_frames(frames: Sequence[DataFrame], key: Sequence[str] | str) -> DataFrame:
-    """G1 for steps over different inputs: union, then one row per key."""
+    """G1 for steps over different inputs: one row per key, that of the first step
+    that has it; of rows of one step that share a key, the least."""
     key = [key] if isinstance(key, str) else list(key)
-    return reduce(lambda a, b: a.unionByName(b), frames).dropDuplicates(key)
+    names = frames[0].columns
+    rows = reduce(lambda a, b: a.unionByName(b), [f.select(
+        *key, F.struct(F.lit(i).alias("_step"), *names).alias("_row")) for i, f in enumerate(frames)])
+    return rows.groupBy(*key).agg(F.min("_row").alias("_row")).select(*[F.col(f"_row.`{c}`") for c in names])

@@ -8,6 +8,7 @@ a per-host capability row.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterable, Optional, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -141,3 +142,52 @@ def with_host_tools(inventory: DataFrame, host_tools: DataFrame, tools: str = "t
     one row per host on the right, so AQE broadcasts it for any real fleet)."""
     caps = host_capabilities(host_tools).withColumnRenamed("tools", tools)
     return inventory.join(caps, ["host"], "left")
+
+
+# ------------------------------------------------------- tools as bitmaps
+_WORD_BITS = 62
+
+
+class ToolBits:
+    """The tools that rules name, each a bit of the host's bitmaps.
+
+    ``hosts`` has one row a host: as many bigint columns as the tools fill, 62 to
+    each, from one ``bit_or`` (combined before the shuffle).  A rule's gate is an
+    AND with a literal, whatever the number of tools on the host."""
+
+    def __init__(self, tools: Iterable[str]):
+        self.place = {t: i for i, t in enumerate(sorted(set(tools)))}
+        self.columns = [f"_tools{i}" for i in range(-(-len(self.place) // _WORD_BITS))]
+
+    def _mask(self, tools: Iterable[str], word: int) -> int:
+        return sum(1 << self.place[t] % _WORD_BITS for t in set(tools) if self.place[t] // _WORD_BITS == word)
+
+    def hosts(self, host_tools: DataFrame) -> DataFrame:
+        """(host, tool) -> host and its bitmaps; hosts with none of the tools have zeros."""
+        at = F.create_map(*[F.lit(x) for t, i in self.place.items() for x in (t, i)]) if self.place else None
+        rows = host_tools.withColumn("_at", F.element_at(at, F.col("tool")) if self.place else F.lit(None).cast("int"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_at", F.lit(_WORD_BITS)))
+        return rows.groupBy("host").agg(F.lit(1).alias("_known"), *[
+            F.coalesce(F.bit_or(F.when(F.floor(F.col("_at") / _WORD_BITS) == i, bit)), F.lit(0).cast("long")).alias(c)
+            for i, c in enumerate(self.columns)])
+
+    def gate(self, tools: Iterable[str]) -> Column:
+        """Whether a host has any of ``tools`` (true where none is needed)."""
+        tools = list(tools)
+        if not tools:
+            return F.lit(True)
+        hit = F.lit(False)
+        for i, c in enumerate(self.columns):
+            if mask := self._mask(tools, i):
+                hit = hit | (F.coalesce(F.col(c), F.lit(0)).bitwiseAND(F.lit(mask)) != 0)
+        return hit
+
+
+def applicable_rules(steps: Sequence[tuple], hosts: DataFrame, bits: ToolBits) -> list[tuple[int, int]]:
+    """For each of ``steps`` (a tuple of tool sets; the step applies where any of
+    the sets does) the number of hosts it applies to, and of those it does not.
+    One row of sums comes to the driver, two numbers a step."""
+    able = [reduce(lambda a, b: a | b, [bits.gate(t) for t in sets]) if sets else F.lit(True) for sets in steps]
+    sums = [F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(f"s{i}") for i, c in enumerate(able)]
+    row = hosts.agg(F.count(F.lit(1)).alias("n"), *sums).first()
+    return [(row[f"s{i}"], row["n"] - row[f"s{i}"]) for i in range(len(steps))]

@@ -18,7 +18,8 @@ from reclaim.functions.version import version_key
 from reclaim.operators.retention import (before_current, drop_all_but_latest, over_budget, superseded,
                                          unreferenced)
 from reclaim.operators.rules import ListingStep
-from reclaim.sources.listings import STAMP_FORMAT, STAMP_PATTERN, csv_field, json_env_names, regex_all, ws_field
+from reclaim.sources.listings import (STAMP_FORMAT, STAMP_PATTERN, csv_field, fields_reason, json_env_names, json_reason,
+                                      regex_all, regex_reason, ws_field)
 
 # Fixed values that must equal the reference's.
 KERNEL_PATTERN = "linux-image"
@@ -51,6 +52,23 @@ INPUTS = {
        for k, s in (("items", ", size_bytes bigint"), ("refs", ""))},
 }
 
+#: Text inputs: the column that is parsed, and why a text does not parse (null: it does).
+PARSED = {
+    "packages": ("line", lambda: fields_reason("line", 2)),
+    "snaps": ("line", lambda: fields_reason("line", 3)),
+    "snapshots": ("line", lambda: regex_reason("line", STAMP_PATTERN)),
+    "envs": ("doc", lambda: json_reason("doc")),
+    "sdk": ("line", lambda: fields_reason("line", 1)),
+    "lxc_images": ("line", lambda: fields_reason("line", 1, ",")),
+    "lxc_containers": ("line", lambda: fields_reason("line", 2, ",")),
+}
+
+
+def unparsed(inputs: dict) -> list[DataFrame]:
+    """What the rules pass over in the text inputs given: input, host, text, reason."""
+    return [inputs[n].select(F.lit(n).alias("input"), "host", F.col(text).alias("text"), reason().alias("reason"))
+            .filter("reason is not null") for n, (text, reason) in PARSED.items() if n in inputs]
+
 
 def _tag(df: DataFrame, rule: str) -> DataFrame:
     return df.withColumn("rule", F.lit(rule))

@@ -440,7 +440,7 @@ FROM part WHERE p_size % 3 IN (0, 1)""",
     "apt": """SELECT 'h' || CAST(s_suppkey AS VARCHAR) AS host, CASE s_suppkey % 3 WHEN 0 THEN 'nano' ELSE 'vim-tiny' END AS package
 FROM supplier WHERE s_suppkey % 3 IN (0, 1)""",
     "unused": """SELECT 'h' || CAST(c_custkey % 4 AS VARCHAR) AS host, 'a' || CAST(c_custkey AS VARCHAR) AS item, c_custkey * 1000 AS size_bytes
-FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)""",
+FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')""",
 }
 
 
@@ -485,3 +485,26 @@ hits AS (SELECT {_FIRST} AS rule, size_bytes FROM inv_p
 per AS (SELECT rule, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM hits WHERE rule IS NOT NULL GROUP BY rule)
 SELECT CAST(s.seq AS BIGINT) AS seq, s.name, 'Success' AS status, coalesce(per.files, 0) AS files, coalesce(per.bytes, 0) AS bytes
 FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(_ALL, 1))}) s(seq, name) LEFT JOIN per ON per.rule = s.name"""
+
+# -- rules that apply to some hosts, stored runs, texts that do not parse, versions ----------
+SQL["tool_status"] = """WITH ht AS (SELECT 'h' || CAST(c_custkey % 4 AS VARCHAR) AS host,
+  ['vboxmanage', 'docker', 'docker', 'snap', 'mysql', 'vboxmanage', 'mariadb', 'snap'][c_custkey % 4 * 2 + c_custkey // 4 % 2 + 1] AS tool FROM customer),
+steps(seq, name, tools) AS (VALUES (1, 'virtualbox', ['vboxmanage']), (2, 'wine', ['wine']), (3, 'docker', ['docker']), (4, 'snap', ['snap']),
+  (5, 'mysql_mariadb', ['mysql', 'mariadb']), (6, 'python', []), (7, 'maven', ['mvn']), (8, 'apt', ['apt-get'])),
+n AS (SELECT seq, name, count(DISTINCT host) FILTER (len(tools) = 0 OR list_contains(tools, tool)) AS able, count(DISTINCT host) AS hosts
+  FROM steps, ht GROUP BY seq, name)
+SELECT CAST(seq AS BIGINT) AS seq, name, CASE WHEN able = 0 THEN 'Not installed' ELSE 'Success' END AS status,
+  able AS hosts_applicable, hosts - able AS hosts_not_applicable FROM n"""
+SQL["run_stored"] = w(f"""SELECT CAST(s.seq AS BIGINT) AS seq, s.name, 'Success' AS status, coalesce(h.files, 0) AS files, coalesce(h.bytes, 0) AS bytes
+FROM (VALUES {", ".join(f"({i}, '{n}')" for i, n in enumerate(SIX, 1))}) s(seq, name) LEFT JOIN (
+  SELECT rule, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM (SELECT {first_match_case(SIX)} AS rule, size_bytes FROM inv_p)
+  WHERE rule IS NOT NULL GROUP BY rule) h ON h.rule = s.name""")
+SQL["listing_quarantine"] = """SELECT input, host, reason, count(*) AS texts FROM (
+  SELECT 'envs' AS input, 'h' || CAST(user_id % 4 AS VARCHAR) AS host,
+         CASE event_id % 10 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no envs' WHEN 2 THEN 'no text' WHEN 3 THEN 'no text' WHEN 4 THEN 'not JSON' END AS reason FROM events
+  UNION ALL SELECT 'snaps', 'h' || CAST(o_custkey % 4 AS VARCHAR),
+         CASE o_orderkey % 7 WHEN 0 THEN '2 of 3 fields' WHEN 1 THEN '1 of 3 fields' END FROM orders)
+WHERE reason IS NOT NULL GROUP BY ALL"""
+SQL["version_order_full"] = """WITH v AS (SELECT DISTINCT p_size % 13 AS a, p_partkey % 3 AS b, p_partkey % 10 AS e FROM part)
+SELECT CAST(a AS VARCHAR) || '.' || CAST(b AS VARCHAR) || ['~alpha', '~rc1', '~rc2', '', 'a', 'rc1', '+b1', '-1', '-2', '-10'][e + 1] AS version,
+       row_number() OVER (ORDER BY a, b, e) AS pos FROM v"""

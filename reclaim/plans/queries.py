@@ -591,7 +591,8 @@ def artifact_items(spark, sf) -> DataFrame:
 
 
 def artifact_refs(spark, sf) -> DataFrame:
-    o = read_table(spark, sf, "orders", ["o_custkey"])
+    """Artifacts in use: those of customers with an order under way; the others' are unused."""
+    o = read_table(spark, sf, "orders", ["o_custkey", "o_orderstatus"]).filter("o_orderstatus = 'P'")
     return o.select(_host(F.col("o_custkey") % 4).alias("host"), F.concat(F.lit("a"), F.col("o_custkey").cast("string")).alias("item"))
 
 
@@ -690,7 +691,80 @@ def q_full_run(spark, sf):
     return res.report.select("seq", "name", "status", "files", "bytes")
 
 
+# -- rules that apply to some hosts, and texts that do not parse -----------------------
+#: Fixed: the tools of the derived hosts, two to a host.
+FLEET_TOOLS = ["vboxmanage", "docker", "docker", "snap", "mysql", "vboxmanage", "mariadb", "snap"]
+FLEET_RULES = "virtualbox,wine,docker,snap,mysql_mariadb,python,maven,apt"
+
+
+def fleet_tools(spark, sf) -> DataFrame:
+    """A tool of one of four hosts for each customer."""
+    c = read_table(spark, sf, "customer", ["c_custkey"])
+    at = F.col("c_custkey") % 4 * 2 + F.floor(F.col("c_custkey") / 4) % 2
+    return c.select(_host(F.col("c_custkey") % 4).alias("host"),
+                    F.element_at(F.array(*[F.lit(t) for t in FLEET_TOOLS]), at.cast("int") + 1).alias("tool"))
+
+
+def q_tool_status(spark, sf):
+    """A step's hosts, and its status where its tool is on none of them."""
+    from reclaim.plans.catalogue import rulebook
+    from reclaim.plans.run import run
+    book = rulebook(AS_OF)
+    res = run(spark, inv(spark, sf), book, include=FLEET_RULES, approvals=[(n, "y") for n in book.names()],
+              host_tools=fleet_tools(spark, sf), inputs=run_inputs(spark, sf))
+    return res.report.select("seq", "name", "status", "hosts_applicable", "hosts_not_applicable")
+
+
+def q_run_stored(spark, sf):
+    """A6 + D3: a run stored in versions, its report from the stored plan."""
+    from reclaim.plans.run import run
+    book = six_rules()
+    res = run(spark, inv(spark, sf), book, all_rules=True, approvals=[(n, "y") for n in book.names()])
+    return res.store(scratch_path(spark, "run")).report.select("seq", "name", "status", "files", "bytes")
+
+
+def broken_docs(spark, sf) -> DataFrame:
+    """``env_docs`` as it comes from failing hosts: cut short, other JSON, empty."""
+    e = read_table(spark, sf, "events", ["event_id", "user_id"])
+    n = F.col("event_id") % 10
+    doc = (F.when(n == 0, '{"envs": ["/opt/a"').when(n == 1, '{"other": 1}').when(n == 2, "  ").when(n == 3, F.lit(None))
+           .when(n == 4, "no json").otherwise('{"envs": ["/opt/a"]}'))
+    return e.select(_host(F.col("user_id") % 4).alias("host"), doc.alias("doc"))
+
+
+def short_lines(spark, sf) -> DataFrame:
+    o = read_table(spark, sf, "orders", ["o_orderkey", "o_custkey"])
+    line = F.when(F.col("o_orderkey") % 7 == 0, "snap1  1.0").when(F.col("o_orderkey") % 7 == 1, "core").otherwise("core 1 2 x disabled")
+    return o.select(_host(F.col("o_custkey") % 4).alias("host"), line.alias("line"))
+
+
+def q_listing_quarantine(spark, sf):
+    """A2-A5: what does not parse, counted by input, host and reason."""
+    from reclaim.plans.catalogue import rulebook
+    from reclaim.plans.run import run
+    book = rulebook(AS_OF)
+    res = run(spark, inv(spark, sf), book, include="conda,snap", approvals=[(n, "y") for n in book.names()],
+              inputs={"envs": broken_docs(spark, sf), "snaps": short_lines(spark, sf)})
+    return res.quarantine.groupBy("input", "host", "reason").agg(F.count(F.lit(1)).alias("texts"))
+
+
+def q_version_order_full(spark, sf):
+    """F2 over versions with pre-releases, suffixes and zeros."""
+    p = read_table(spark, sf, "part", ["p_partkey", "p_size"])
+    ends = F.element_at(F.array(*[F.lit(x) for x in VERSION_ENDS]), (F.col("p_partkey") % len(VERSION_ENDS)).cast("int") + 1)
+    v = p.select(F.concat((F.col("p_size") % 13).cast("string"), F.lit("."), (F.col("p_partkey") % 3).cast("string"), ends).alias("version")).distinct()
+    return global_row_number(v, [version_key("version")]).select("version", "pos")
+
+
+#: Fixed: endings of a version, in version order.
+VERSION_ENDS = ["~alpha", "~rc1", "~rc2", "", "a", "rc1", "+b1", "-1", "-2", "-10"]
+
+
 QUERIES: dict[str, Q] = {
+    "tool_status": q_tool_status,
+    "run_stored": q_run_stored,
+    "listing_quarantine": q_listing_quarantine,
+    "version_order_full": q_version_order_full,
     "scan_roots": q_scan_roots,
     "listing_csv_first": q_listing_csv_first,
     "listing_ws_field": q_listing_ws_field,

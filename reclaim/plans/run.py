@@ -10,18 +10,20 @@ the listing steps over their own inputs, and a per-step aggregate.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
-from typing import Iterable, Mapping, Optional
+from typing import Callable, Iterable, Mapping, Optional
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reclaim.functions.format import format_bytes, size_label
+from reclaim.functions.format import MESSAGE_NOT_INSTALLED, STATUS_NOT_INSTALLED, STATUS_SUCCESS, format_bytes, size_label
 from reclaim.functions.predicates import not_under
 from reclaim.operators.report import max_over_run, reclaim_by_rule, run_report, share_of
 from reclaim.operators.rules import Rule, RuleBook, first_match
-from reclaim.operators.selection import SelectionError, answers, selected_names, tool_gate, with_host_tools
+from reclaim.operators.selection import SelectionError, ToolBits, answers, applicable_rules, selected_names
+from reclaim.plans.listing_rules import unparsed
+from reclaim.sources.sinks import read_plan, write_plan, write_report
 
 PROTECTED = ("/snap",)  # fixed value: the prefix the reference never walks into
 
@@ -32,6 +34,32 @@ class RunResult:
     items: DataFrame     # rows of the other inputs: seq, rule, input, host, item, size_bytes
     report: DataFrame    # one row per selected step: status, files, bytes, label
     total: DataFrame     # one row: files and bytes over the run, as text too
+    quarantine: Optional[DataFrame] = None  # texts of the inputs that do not parse: input, host, text, reason
+    reported: Optional[Callable[[DataFrame, DataFrame], DataFrame]] = None  # the report of a plan and items
+
+    def over(self, plan: Optional[DataFrame] = None, items: Optional[DataFrame] = None) -> "RunResult":
+        """The same run with its plan or items read from where they were stored:
+        the report then reads these, and the rules are not evaluated again."""
+        plan, items = plan if plan is not None else self.plan, items if items is not None else self.items
+        report = self.reported(plan, items)
+        return replace(self, plan=plan, items=items, report=report, total=total_of(report))
+
+    def store(self, path: str) -> "RunResult":
+        """Write the whole run below ``path``: ``plan`` and ``items`` in versions
+        (``write_plan``), ``quarantine`` where an input was a text, and ``report``, from
+        the stored plan.  The inventory is read by the plan alone."""
+        spark, path = self.plan.sparkSession, path.rstrip("/")
+        stored = self.over(plan=read_plan(spark, write_plan(self.plan, f"{path}/plan")),
+                           items=read_plan(spark, write_plan(self.items, f"{path}/items")))
+        if self.quarantine is not None:
+            stored.quarantine = read_plan(spark, write_plan(self.quarantine, f"{path}/quarantine", "input"), "input")
+        write_report(stored.report, f"{path}/report")
+        return stored
+
+
+def total_of(report: DataFrame) -> DataFrame:
+    return report.agg(F.sum("files").cast("long").alias("files"), F.sum("bytes").cast("long").alias("bytes")) \
+        .withColumn("freed", format_bytes("bytes"))
 
 
 def _pairs(what: str, given) -> dict:
@@ -46,6 +74,12 @@ def _pairs(what: str, given) -> dict:
     return out
 
 
+def _tool_sets(rule: Rule) -> list[tuple]:
+    """The tools of each part of a rule; a part without any applies everywhere."""
+    own = [tuple(rule.required_tools)] if rule.predicate is not None or not rule.steps else []
+    return own + [tuple(s.tools or rule.required_tools) for s in rule.steps]
+
+
 def _listed(rules: list[tuple[int, Rule]], inputs: Mapping[str, DataFrame],
             host_tools: Optional[DataFrame]) -> list[DataFrame]:
     """What the listing steps of the active rules drop."""
@@ -75,7 +109,10 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
     are not all there drops nothing, and the report names them.
     ``start_free_bytes`` (free space before the run) caps the bytes share at half
     of it; shares may exceed 1.  ``timings`` (``seq, duration_s``) fills the
-    durations.  Rows below a ``protected`` prefix are removed before any rule
+    durations.  With ``host_tools`` (``host, tool``) a rule acts on the hosts that
+    have one of its tools; the report counts the hosts it applies to and the
+    others, and a step that applies to none has the status ``Not installed``.
+    Rows below a ``protected`` prefix are removed before any rule
     (a ``NOT StartsWith`` filter, which reaches the Parquet scan)."""
     inputs = inputs or {}
     names = selected_names(book.names(), include, exclude, all_rules)
@@ -95,14 +132,17 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
     for prefix in protected:
         inv = inv.filter(not_under(prefix))
     tests = [(seq, r) for seq, r in active if r.predicate is not None]
+    hosts = None  # for each step, the hosts it applies to and the others
     if host_tools is not None:
-        # as many tool names come back as the selected rules name, no more
-        needed = sorted({t for _, r in tests for t in r.required_tools})
-        here = host_tools.filter(F.col("tool").isin(needed))
-        present = {r["tool"] for r in here.select("tool").distinct().collect()} if needed else set()
-        tests = [(seq, r) for seq, r in tests if not r.required_tools or present & set(r.required_tools)]
-        inv = with_host_tools(inv, here)
-    gated = [Rule(str(seq), r.predicate & tool_gate(r.required_tools) if host_tools is not None else r.predicate,
+        chosen = [book[name] for name in names]
+        bits = ToolBits(t for r in chosen for tools in _tool_sets(r) for t in tools)
+        by_host = bits.hosts(host_tools)
+        counts = applicable_rules([_tool_sets(r) for r in chosen], by_host, bits)
+        hosts = [(seq, name, *n) for (seq, name, *_), n in zip(steps, counts)]
+        here = {name: n for _, name, n, _ in hosts}
+        tests = [(seq, r) for seq, r in tests if not r.required_tools or here[r.name]]
+        inv = inv.join(by_host.drop("_known"), ["host"], "left")  # one row a host
+    gated = [Rule(str(seq), r.predicate & bits.gate(r.required_tools) if host_tools is not None else r.predicate,
                   prepare=r.prepare, roots=r.roots, flags=r.flags) for seq, r in tests]
     plan = first_match(inv, gated, out="_step") if gated else inv.limit(0).withColumn("_step", F.lit(None))
     plan = plan.withColumn("seq", F.col("_step").cast("long")).drop("_step")
@@ -115,15 +155,28 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
     items = items.groupBy("input", "host", "item").agg(first).select(
         "first.seq", "first.rule", "input", "host", "item", "first.size_bytes")
 
-    both = plan.select("seq", "size_bytes").unionByName(items.select("seq", "size_bytes"))
-    report = run_report(st, reclaim_by_rule(both, rule="seq"), timings).join(
-        st.select("seq", "missing_inputs"), "seq").withColumn("freed", size_label("bytes"))
-    # D4 + E6 over the report (one row per step, so a window is right here)
-    report = max_over_run(report, "bytes", out="max_bytes")
-    report = max_over_run(report, "duration_s", out="max_duration_s")
-    cap = F.lit(start_free_bytes // 2) if start_free_bytes is not None else F.col("max_bytes")
-    report = (report.withColumn("bytes_share", share_of("bytes", F.least("max_bytes", cap)))
-              .withColumn("duration_share", share_of("duration_s", F.col("max_duration_s"))))
-    total = report.agg(F.sum("files").cast("long").alias("files"), F.sum("bytes").cast("long").alias("bytes")) \
-        .withColumn("freed", format_bytes("bytes"))
-    return RunResult(plan, items, report.orderBy("seq"), total)
+    if host_tools is not None:
+        plan = plan.drop(*bits.columns)
+    known = spark.createDataFrame([(seq, n, m) for seq, _, n, m in hosts or []],
+                                  "seq bigint, hosts_applicable bigint, hosts_not_applicable bigint")
+
+    def reported(plan: DataFrame, items: DataFrame) -> DataFrame:
+        both = plan.select("seq", "size_bytes").unionByName(items.select("seq", "size_bytes"))
+        report = run_report(st, reclaim_by_rule(both, rule="seq"), timings).join(
+            st.select("seq", "missing_inputs"), "seq").withColumn("freed", size_label("bytes"))
+        # Where no host has a tool of the rule, it did not run, which is no error
+        report = report.join(known, "seq", "left")
+        nowhere = (F.col("status") == STATUS_SUCCESS) & (F.col("hosts_applicable") == 0) & (F.col("hosts_not_applicable") > 0)
+        report = report.withColumns({"status": F.when(nowhere, STATUS_NOT_INSTALLED).otherwise(F.col("status")),
+                                     "message": F.when(nowhere, MESSAGE_NOT_INSTALLED).otherwise(F.col("message"))})
+        # D4 + E6 over the report (one row per step, so a window is right here)
+        report = max_over_run(report, "bytes", out="max_bytes")
+        report = max_over_run(report, "duration_s", out="max_duration_s")
+        cap = F.lit(start_free_bytes // 2) if start_free_bytes is not None else F.col("max_bytes")
+        report = (report.withColumn("bytes_share", share_of("bytes", F.least("max_bytes", cap)))
+                  .withColumn("duration_share", share_of("duration_s", F.col("max_duration_s"))))
+        return report.orderBy("seq")
+
+    report = reported(plan, items)
+    bad = unparsed({n: d for n, d in inputs.items() if any(n in s.needs for _, r in active for s in r.steps)})
+    return RunResult(plan, items, report, total_of(report), reduce(DataFrame.unionByName, bad) if bad else None, reported)
