@@ -4,6 +4,7 @@ connected components, and keeping chosen rows of a table."""
 from __future__ import annotations
 
 import sys
+import threading
 import types
 import uuid
 from typing import Callable, Iterator, Sequence
@@ -17,17 +18,32 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_staged: list[str] = []
+#: Each thread has its own: pipelines in several threads do not meet.
+_local = threading.local()
+
+
+def _staged() -> list[str]:
+    if not hasattr(_local, "staged"):
+        _local.staged = []
+    return _local.staged
 
 
 # ------------------------------------------------------------- staged tables
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-    Where a session names none (tests), the warehouse, which is shared too."""
+    Where a session names none, the warehouse serves in local mode; on a
+    cluster it may be a folder of the driver alone, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def stage(df: DataFrame, label: str, text: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.  This cuts the
     lineage: a lost executor costs its running tasks, and generated ids or a
@@ -35,29 +51,33 @@ def stage(df: DataFrame, label: str, text: bool = False) -> DataFrame:
 
     Tables with whole texts are compressed.  Others are written plain: Spark
     judges by the size of the files whether a side is small enough to broadcast,
-    and a packed file would hide how much it holds."""
+    and a packed file would hide how much it holds.
+
+    The table goes when it is released, and at the latest with the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reclaim-{label}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} if text else {
         "compression": "none", "parquet.enable.dictionary": "false"})).parquet(path)
-    _staged.append(path)
+    _staged().append(path)
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def staged() -> list[str]:
-    """The paths staged by this process and not yet released."""
-    return list(_staged)
+    """The paths staged by this thread and not yet released."""
+    return list(_staged())
 
 
 def release(spark: SparkSession, paths: Sequence[str], keep_for: DataFrame) -> None:
     """Delete those staged tables in ``paths`` that ``keep_for`` does not read."""
     used = keep_for.inputFiles() if paths else []
-    jvm = spark.sparkContext._jvm
     for path in paths:
         if not any(path.rsplit("/", 1)[1] in f for f in used):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            _staged.remove(path)
+            fs, p = _path(spark, path)
+            fs.delete(p, True)
+            if path in _staged():
+                _staged().remove(path)
 
 
 def worker_cache(key, make: Callable):

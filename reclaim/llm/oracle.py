@@ -3,38 +3,56 @@ from their contracts with plain windows and joins."""
 
 from __future__ import annotations
 
-from reclaim.llm.secret_scan import BASE, KINDS, NEEDS, PARTS, REACH, WEAK
-
 _SPACE = r"[\x20\x09-\x0D]+"
 SQL: dict[str, str] = {}
 
 # ------------------------------------------------------------- secret scan
-def _matches(kind: str) -> str:
-    pattern, group, least = {**BASE, **WEAK}[kind]
+# Written from the contract and the method's description, apart from the module.
+_VALUE = r"""["']?\x20*[:=]\x20*["']?"""
+_BEFORE = r"""\b(?:(?:[A-Za-z0-9_]*?_)?(?i:{low})|[A-Za-z0-9_]*?[a-z0-9](?:{hump}))"""
+_ID = _BEFORE.format(low="user|username|user_name|login|clientid|client_id|accountid|account_id|accesskeyid|accesskey_id|access_keyid|access_key_id",
+                     hump="User[Nn]ame|User_[Nn]ame|User|Login|ClientI[Dd]|Client_I[Dd]|AccountI[Dd]|Account_I[Dd]|AccessKeyI[Dd]|AccessKey_I[Dd]|Access_KeyI[Dd]|Access_Key_I[Dd]")
+_WEAK = _BEFORE.format(low="pass|pwd|key|auth|credential", hump="Pass|Pwd|Key|Auth|Credential")
+_HOST = _BEFORE.format(low="host|server|endpoint", hump="Host|Server|Endpoint")
+#: kind, pattern, the group whose length counts, its least length; in the order of the digests.
+_SECRETS = [
+    ("assign", r"(?i:(password|passwd|secret|token|apikey|api_key)" + _VALUE + r"([A-Za-z0-9+/_.=-]+))", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    # a match is a whole run, so the least length may stand in the pattern
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("id", _ID + _VALUE + r"[A-Za-z0-9._@+-]{3,}", 0, 6),
+    ("value", _WEAK + _VALUE + r"[A-Za-z0-9+/_.=-]{6,}", 0, 6),
+    ("endpoint", r"(?:\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[A-Za-z0-9._~%:@-]{3,}|" + _HOST + _VALUE + r"[A-Za-z0-9.-]{3,})", 0, 6),
+    # a whole run of 40 with nothing of its kind around it, and no = after it
+    ("body", r"[A-Za-z0-9/+]{40,}=*", 0, 40),
+]
+
+
+def _matches(n: int) -> str:
+    kind, pattern, group, least = _SECRETS[n]
     p = pattern.replace("'", "''")
     value = f"regexp_extract(m, '{p}', {group})" if group else "m"
-    return f"""SELECT doc_id, {KINDS.index(kind)} AS kind, finish - length(m) AS start, finish, m FROM (
+    whole = " AND length(m) = 40 AND NOT ends_with(m, '=') AND NOT regexp_matches(m, '^(AKIA[A-Z0-9]{16}|[0-9a-f]{40})')" if kind == "body" else ""
+    return f"""SELECT doc_id, {n} AS kind, finish - length(m) AS start, finish, m FROM (
   SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1),
          lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(ms[1:i], lambda x: length(x))))) AS finish
   FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')))
-WHERE length({value}) >= {least}"""
-
-
-def _kinds(names: dict, what: str) -> str:
-    return ", ".join(str(KINDS.index(k)) for k, v in names.items() if v == what)
+WHERE length({value}) >= {least}{whole}"""
 
 
-_NAMES = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+_NAMES = "['assign', 'access', 'hex', 'id', 'value', 'endpoint', 'body']"
 _WRITE = f"string_agg({_NAMES}[kind + 1] || ':' || start || ':' || finish, ',' ORDER BY start, kind, finish)"
+# identifiers (3) and endpoints (5) need a secret (0, 1, 2, 4, 6) within 200 characters, weak secrets (4) and
+# bodies (6) an access key (1), an identifier or an endpoint
 SQL["op2_secret_scan"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-s AS ({' UNION ALL '.join(_matches(k) for k in KINDS)}),
-kept AS (SELECT * FROM s WHERE kind < {len(BASE)} OR EXISTS (
-  SELECT 1 FROM s p WHERE p.doc_id = s.doc_id AND p.start < s.finish + {REACH} AND p.finish > s.start - {REACH}
-    AND CASE WHEN s.kind IN ({_kinds(NEEDS, "secret")}) THEN p.kind IN ({_kinds(PARTS, "secret")}) ELSE p.kind IN ({_kinds(PARTS, "party")}) END)),
-per AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(BASE))},
-               string_agg({_NAMES}[kind + 1] || ':' || start || ':' || finish, ',' ORDER BY start, kind, finish) FILTER (WHERE kind < {len(BASE)}) AS base,
+s AS ({' UNION ALL '.join(_matches(n) for n in range(len(_SECRETS)))}),
+kept AS (SELECT * FROM s WHERE kind < 3 OR EXISTS (
+  SELECT 1 FROM s p WHERE p.doc_id = s.doc_id AND p.start < s.finish + 200 AND p.finish > s.start - 200
+    AND CASE WHEN s.kind IN (3, 5) THEN p.kind IN (0, 1, 2, 4, 6) ELSE p.kind IN (1, 3, 5) END)),
+per AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = {i}) AS n_{k}" for i, k in enumerate(("assign", "access", "hex")))},
+               string_agg({_NAMES}[kind + 1] || ':' || start || ':' || finish, ',' ORDER BY start, kind, finish) FILTER (WHERE kind < 3) AS base,
                {_WRITE} AS spans FROM kept GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, {', '.join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("assign", "access", "hex"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN per ON per.doc_id = d.doc_id"""
 
 # ------------------------------------------------------------------ mixing

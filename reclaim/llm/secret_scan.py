@@ -2,15 +2,14 @@
 
 Strong candidates stand alone: assignments to a secret's name, access keys and
 long hexadecimal strings (kinds assign, access, hex).  Weak ones are parts that
-mean little by themselves: an identifier (user, login, client id), a secret
+mean little by themselves: an identifier (user, login, client id, access key id), a secret
 value without a telling name (pass, pwd, key, auth), a bare 40-character key
 body (kind body) and an endpoint (URL with a host, host or server setting).
 Names of the weak kinds may have a prefix (db_user, aws_secret_access_key,
 secretAccessKey).  A weak candidate is reported only where complementary parts
 co-occur in its scope: an identifier or an endpoint beside a secret, strong or
-weak, a weak secret beside an identifier or an endpoint, and a key body also
-beside an access key, whose other half it is.  An access key alone does not
-support a weak value of another form.
+weak, and a weak secret or a key body beside an access key, an identifier or an
+endpoint.
 
 Scope: ``reach`` characters around the candidate.  The interval join puts every
 part into the buckets of ``reach`` characters that its interval touches, and
@@ -21,7 +20,8 @@ length.
 
 Places of matches come from the texts between them: splitting a text at a
 pattern gives the gaps, extracting gives the matches, and the running sum of
-their lengths gives every span in code points.
+their lengths gives every span in code points.  A text is searched for a kind
+only if it holds one of the words without which the kind's pattern cannot match.
 
 Edge cases: a null text counts as empty; rows that repeat a doc_id are
 scanned each; spans of different kinds may overlap; a null doc_id stays null;
@@ -30,6 +30,8 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,23 +53,21 @@ def _named(names: str, humps: str) -> str:
 
 
 WEAK = {
-    "id": (_named("user(?:_?name)?|login|client_?id|account_?id", "User(?:_?[Nn]ame)?|Login|Client_?I[Dd]|Account_?I[Dd]") + r"""(?i:["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,})""", 0, 6),
+    "id": (_named("user(?:_?name)?|login|client_?id|account_?id|access_?key_?id", "User(?:_?[Nn]ame)?|Login|(?:Client|Account|Access_?Key)_?I[Dd]") + r"""(?i:["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,})""", 0, 6),
     "value": (_named("pass|pwd|key|auth|credential", "Pass|Pwd|Key|Auth|Credential") + r"""(?i:["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,})""", 0, 6),
     "endpoint": (r"""(?:(?i:\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._~%:@-]{3,})|""" + _named("host|server|endpoint", "Host|Server|Endpoint")
                  + r"""(?i:["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}))""", 0, 6),
 }
-#: Also weak, but with looks to both sides, which the oracle SQL's patterns can't have: a run of just 40,
-#: neither an access key itself nor hexadecimal, which is strong.
+#: Also weak: a run of just 40, neither an access key itself nor hexadecimal, which is strong.
 BODY = {"body": (r"(?<![A-Za-z0-9/+])(?!AKIA[A-Z0-9]{16}|[0-9a-f]{40})[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])", 0, 40)}
-KINDS = [*BASE, *WEAK]
-ALL_KINDS = [*KINDS, *BODY]
-#: What a weak candidate needs beside it, and what can be that.
-NEEDS = {"id": "secret", "endpoint": "secret", "value": "party"}
-PARTS = {"assign": "secret", "access": "secret", "hex": "secret", "value": "secret", "id": "party", "endpoint": "party"}
-#: The same with key bodies; an owner is what can support one.
-ALL_NEEDS = {**NEEDS, "body": "owner"}
-ROLES = {**{k: [v] for k, v in PARTS.items()}, "access": ["secret", "owner"], "id": ["party", "owner"],
-         "endpoint": ["party", "owner"], "body": ["secret"]}
+#: Words, in lower case, of which a text with a match holds one.
+WORDS = {"assign": ["passw", "secret", "token", "api"], "access": ["akia"], "id": ["user", "login", "id"],
+         "value": ["pass", "pwd", "key", "auth", "credential"], "endpoint": ["://", "host", "server", "endpoint"]}
+ALL_KINDS = [*BASE, *WEAK, *BODY]
+#: What a weak candidate needs beside it, and what each kind can be beside another.
+NEEDS = {"id": "secret", "endpoint": "secret", "value": "party", "body": "party"}
+ROLES = {"assign": ["secret"], "access": ["secret", "party"], "hex": ["secret"], "value": ["secret"], "body": ["secret"],
+         "id": ["party"], "endpoint": ["party"]}
 REACH = 200
 
 
@@ -81,8 +81,9 @@ def _matches(text: Column, kind: str) -> Column:
     listed = F.transform(F.filter(parts, lambda p: p["m"].isNotNull()), lambda p, i: F.struct(
         F.lit(ALL_KINDS.index(kind)).alias("kind"), i.alias("nth"), p["gap"].alias("gap"), F.length(p["m"]).alias("size"),
         (F.length(value(p["m"])) >= least).alias("long")))
-    # most texts hold none: one look tells
-    return F.when(F.regexp_like(text, F.lit(pattern)), listed).otherwise(
+    # most texts hold none: a look for its words, then one for the pattern tells
+    words = reduce(lambda a, b: a | b, [F.lower(text).contains(w) for w in WORDS[kind]]) if kind in WORDS else F.lit(True)
+    return F.when(words & F.regexp_like(text, F.lit(pattern)), listed).otherwise(
         F.array().cast("array<struct<kind:int,nth:int,gap:int,size:int,long:boolean>>"))
 
 
@@ -96,7 +97,7 @@ def _of_kind(kind: Column, values: dict) -> Column:
 def linked(spans: DataFrame, reach: int = REACH) -> DataFrame:
     """Weak candidates of ``spans`` (row, kind, start, end) with a partner
     within ``reach`` characters."""
-    weak = spans.filter(F.col("kind") >= len(BASE)).withColumn("role", _of_kind(F.col("kind"), ALL_NEEDS))
+    weak = spans.filter(F.col("kind") >= len(BASE)).withColumn("role", _of_kind(F.col("kind"), NEEDS))
     weak = weak.withColumn("bucket", F.explode(F.sequence(
         F.floor((F.col("start") - reach) / reach), F.floor((F.col("end") + reach) / reach))))
     part = spans.select(F.col("row").alias("p_row"), F.explode(_of_kind(F.col("kind"), ROLES)).alias("p_role"),

@@ -124,3 +124,19 @@ def test_staged_tables_of_earlier_stages_go(spark, made, tmp_path):
     # those of the last stage alone are left: nothing says when its result is used up
     assert len(common.staged()) - before <= 2
     assert importlib.util.find_spec("corpus_pipeline")
+
+
+def test_pipelines_in_three_threads(spark, made, tmp_path):
+    """They do not meet: the same results as alone, and only these are left."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+    sf_dir, out, _ = made
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(lambda _: corpus_pipeline.run(spark, sf_dir), range(3)))
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    want = sorted(map(tuple, out[5].select(*key).collect()))
+    assert all(sorted(map(tuple, g.select(*key).collect())) == want for g in got)
+    left = [x for x in set(os.listdir(folder)) - before if x.startswith("reclaim-")]
+    assert len(left) == 3 and all(x.startswith("reclaim-pipeline-best_fit_packing") for x in left)
