@@ -11,23 +11,31 @@ through every stage.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from reclaim.llm import block_naming, common, language_id, packing, pareto_mix, simhash_ring
 
 
-#: Tables that the last call of a stage has staged, by its place in STAGES.
-_made: dict[int, list[str]] = {}
+#: Tables that a thread's last call of a stage has staged, by its place in STAGES.
+_local = threading.local()
+
+
+def _made() -> dict[int, list[str]]:
+    if not hasattr(_local, "made"):
+        _local.made = {}
+    return _local.made
 
 
 def _stage(place: int, function):
     """Before a stage starts, the tables that its predecessor staged go, unless
     its input still reads them (it has been written and read again)."""
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, _made.pop(place - 1, []), keep_for=docs)
+        common.release(spark, _made().pop(place - 1, []), keep_for=docs)
         before = set(common.staged())
         out = function(docs)
-        _made[place] = [p for p in common.staged() if p not in before]
+        _made()[place] = [p for p in common.staged() if p not in before]
         return out
     return run_stage
 
@@ -60,4 +68,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = common.stage(function(spark, docs, sf_dir), f"pipeline-{name}", text=True)
         common.release(spark, last, keep_for=out)
         docs, last = out, common.staged()[-1:]
+    # the result is written: what the last stage staged for it goes too
+    common.release(spark, _made().pop(len(STAGES) - 1, []), keep_for=docs)
     return docs

@@ -37,11 +37,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder: ``spark.checkpoint.dir`` or a folder set on
-    the context; where a session names neither, one in its warehouse, which
-    executors share too.  Never a temp folder of one machine."""
+    the context; where a session names neither, one in its warehouse in local
+    mode, and an error on a cluster.  Never a temp folder of one machine."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         d = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/reclaim-checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
