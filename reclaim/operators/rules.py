@@ -19,6 +19,12 @@ from pyspark.sql import types as T
 
 from reclaim.functions.paths import at_or_below
 from reclaim.functions.predicates import any_of
+from reclaim.operators.rule_index import Where, candidates
+
+#: Rules whose test is data go through the index where there are more of them than this.
+INDEX_FROM = 64
+#: More roots than this reach the scan as their parents, which hold them all.
+MAX_SCAN_ROOTS = 64
 
 
 @dataclass(frozen=True)
@@ -32,11 +38,18 @@ class Rule:
     roots: tuple = ()                   # the rule can only match rows at or below these paths
     flags: tuple = ()                   # DirFlag specs: directory-row tests the predicate reads
     steps: tuple = ()                   # ListingStep: what the rule drops from other inputs
+    where: Optional[Where] = None       # a test that is data, in place of a predicate
+
+    @property
+    def acts_on_files(self) -> bool:
+        return self.predicate is not None or self.where is not None
 
     @property
     def test(self) -> Column:
         """The predicate within the rule's roots.  A rule without an inventory
         part has no predicate and matches no row."""
+        if self.where is not None:
+            return self.where.test
         if self.predicate is None:
             return F.lit(False)
         return self.predicate & any_of(at_or_below(r) for r in self.roots) if self.roots else self.predicate
@@ -75,6 +88,12 @@ class RuleBook:
         return self.add(Rule(name, predicate, requires_approval, tuple(required_tools), prepare, description,
                              tuple(roots)))
 
+    def register_where(self, name: str, root: str, suffix: str = "", kind: Optional[str] = None, size_over: Optional[int] = None,
+                       not_after=None, requires_approval: bool = False, required_tools: Sequence[str] = ()) -> "RuleBook":
+        """J1 for rules by the thousand: a user rule that is data (``Where``)."""
+        where = Where(root, suffix, kind, size_over, not_after)
+        return self.add(Rule(name, None, requires_approval, tuple(required_tools), roots=(root,), where=where))
+
     def __contains__(self, name: str) -> bool:
         return name in self._rules
 
@@ -139,8 +158,13 @@ def reachable(df: DataFrame, rules: Sequence[Rule], path: str = "path") -> DataF
     this is an OR of prefix tests, which goes down to the Parquet scan and
     skips the row groups outside them."""
     roots = sorted({x.rstrip("/") for r in rules for x in r.roots})
-    if not rules or any(not r.roots for r in rules if r.predicate is not None):
+    if not rules or any(not r.roots for r in rules if r.acts_on_files):
         return df
+    while len(roots) > MAX_SCAN_ROOTS:  # a prefix each, as deep as few enough of them allow
+        deepest = max(x.count("/") for x in roots)
+        roots = sorted({x.rsplit("/", 1)[0] if x.count("/") == deepest else x for x in roots})
+        if "" in roots:
+            return df
     return df.filter(any_of(at_or_below(x, path) for x in roots))
 
 
@@ -197,8 +221,16 @@ def first_match(df: DataFrame, rules: Sequence[Rule], out: str = "rule",
     # name and position come out of one evaluation of the rules; the row goes
     # through a generator, so the "hits only" filter cannot be pushed below it
     # and re-evaluate every predicate (as it would through a plain projection)
-    hit = _dispatch(rules, lambda i, r: F.struct(F.lit(r.name).alias("n"), F.lit(i + 1).alias("s")))
-    df = df.select("*", F.explode(F.array(hit)).alias("_hit"))
+    data = [(i + 1, r.name, r.where) for i, r in enumerate(rules) if r.where is not None]
+    data = data if len(data) > INDEX_FROM else []
+    by_test = [(i, r) for i, r in enumerate(rules) if not data or r.where is None]
+    if by_test:
+        place = {id(r): i for i, r in by_test}
+        hit = _dispatch([r for _, r in by_test], lambda _, r: F.struct(F.lit(place[id(r)] + 1).alias("s"), F.lit(r.name).alias("n")))
+    if data:
+        df = candidates(df, data, "_indexed")
+        hit = F.least(hit, F.col("_indexed")) if by_test else F.col("_indexed")
+    df = df.select("*", F.explode(F.array(hit)).alias("_hit")).drop("_indexed")
     if only_hits:
         df = df.filter(F.col("_hit").isNotNull())
     df = df.withColumn(out, F.col("_hit.n"))

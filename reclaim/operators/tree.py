@@ -259,8 +259,11 @@ def mark_under_dirs(inventory: DataFrame, root: str, candidate: DirTest, dirs: D
 def marked_dirs(inventory: DataFrame, dir_name: str, marker: str, path: str = "path", kind: str = "kind") -> DataFrame:
     """C3 helper: ``(host, dir)`` of directories called ``dir_name`` that directly
     hold a *file* called ``marker``."""
-    # "/<dir_name>/<marker>" at the end: a suffix test, which Parquet can push down
+    # "/<dir_name>/<marker>" at the end: a suffix test, which Parquet can push down but no
+    # row group can be skipped by; a stored name can be looked up in bloom filters
     p = parent_dir(path)
+    if "name" in inventory.columns:
+        inventory = inventory.filter(F.col("name") == marker)
     return (inventory
             .filter(_c(path).endswith(f"/{dir_name}/{marker}") & (_c(kind) == "f"))
             .select("host", p.alias("dir")).distinct())

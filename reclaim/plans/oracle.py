@@ -8,7 +8,7 @@ version order uses the brand number instead of the padded key.
 
 from __future__ import annotations
 
-from reclaim.sources.tables import SYSTEM_PATHS
+from reclaim.plans.derived import SYSTEM_PATHS
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -508,3 +508,16 @@ WHERE reason IS NOT NULL GROUP BY ALL"""
 SQL["version_order_full"] = """WITH v AS (SELECT DISTINCT p_size % 13 AS a, p_partkey % 3 AS b, p_partkey % 10 AS e FROM part)
 SELECT CAST(a AS VARCHAR) || '.' || CAST(b AS VARCHAR) || ['~alpha', '~rc1', '~rc2', '', 'a', 'rc1', '+b1', '-1', '-2', '-10'][e + 1] AS version,
        row_number() OVER (ORDER BY a, b, e) AS pos FROM v"""
+SQL["many_rules"] = w(r"""SELECT rule, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM (
+  SELECT 'u' || u || e AS rule, size_bytes FROM (SELECT *, regexp_extract(path, '^/home/u([0-9]+)/', 1) AS u, right(path, 4) AS e FROM inv)
+  WHERE u <> '' AND TRY_CAST(u AS BIGINT) < 1000 AND kind = 'f' AND e IN ('.log', '.tmp') AND size_bytes > TRY_CAST(u AS BIGINT) * 1000)
+GROUP BY rule""")
+SQL["dir_contents_labels"] = w(r"""SELECT id, path FROM inv
+WHERE regexp_matches(path, '^/home/(.*/)?(proj[^/]|\.l[^/]*|my-[^/]*app|build)/[^./].*$')""")
+SQL["select_rules_frame"] = """WITH c AS (SELECT DISTINCT p_brand AS name FROM part)
+SELECT mode, seq, name FROM (
+  SELECT 'exclude' AS mode, row_number() OVER (ORDER BY name) AS seq, name FROM c WHERE name NOT IN ('Brand#12', 'Brand#21')
+  UNION ALL SELECT 'all', row_number() OVER (ORDER BY name), name FROM c
+  UNION ALL SELECT 'include', CAST(i AS BIGINT), n FROM (VALUES (1, 'Brand#21'), (2, 'Brand#12'), (3, 'Brand#21')) v(i, n))"""
+SQL["approval_gate_frame"] = """WITH c AS (SELECT DISTINCT p_brand AS name, CAST(substr(p_brand, 7) AS INT) AS b FROM part)
+SELECT row_number() OVER (ORDER BY name) AS seq, name, b % 2 = 0 AS requires_approval, b % 2 = 0 AND b % 3 <> 0 AS skipped FROM c"""

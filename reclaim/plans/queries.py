@@ -20,16 +20,18 @@ from reclaim.functions import (MIB, age_days_over, base_name, before_day_boundar
 from reclaim.functions.paths import below
 from reclaim.functions.text import field
 from reclaim.operators import (Rule, RuleBook, all_hits, before_current, capped_share,
-                               contents_of, dir_contents, dir_path_regex, drop_all_but_latest, drop_last_n,
+                               contents_of, dir_contents, dir_name_glob, dir_path_regex, drop_all_but_latest, drop_last_n,
                                first_match, freed_between, named, ordered_catalogue,
                                over_budget, reachable, reclaim_by_rule, scan_roots,
                                superseded, tool_gate, under_dir, under_marked_dirs, union_step_frames, union_steps,
                                unknown_names, unreferenced, with_grand_total, with_host_tools)
+from reclaim.operators.labels import DirTree
 from reclaim.operators.order import global_row_number
 from reclaim.plans.catalogue import (ELECTRON_GLOB, HOME_TEMP_GLOBS,
                                      file_rulebook)
+from reclaim.plans.derived import system_inventory
 from reclaim.sources import (csv_field, json_env_names, load_inventory, read_table, regex_all,
-                             system_inventory, with_directories, ws_field)
+                             with_directories, ws_field)
 from reclaim.sources.listings import STAMP_FORMAT, STAMP_PATTERN
 from reclaim.sources.sinks import read_plan, scratch_path, write_plan
 
@@ -47,8 +49,8 @@ CAP_SHARE = 400_000.0
 Q = Callable[[SparkSession, str], DataFrame]
 
 
-def inv(spark, sf) -> DataFrame:
-    return load_inventory(spark, sf)
+def inv(spark, sf, names: bool = False) -> DataFrame:
+    return load_inventory(spark, sf, names)
 
 
 # -- the five rules of the first-match family ---------------------------------
@@ -203,7 +205,7 @@ def q_dir_contents_skip_hidden(spark, sf):
 
 
 def q_marker_dirs(spark, sf):
-    m = under_marked_dirs(inv(spark, sf), "/home", "build", "CMakeCache.txt", flag="_m")
+    m = under_marked_dirs(inv(spark, sf, names=True), "/home", "build", "CMakeCache.txt", flag="_m")
     return m.filter("_m").select("id", "path", "size_bytes")
 
 
@@ -483,7 +485,7 @@ def q_user_logs(spark, sf):
 def q_catalogue_run(spark, sf):
     """All file-tree rules of the catalogue, in one scan, first match, with total."""
     book = file_rulebook(AS_OF)
-    return with_grand_total(first_match(inv(spark, sf), book.rules(book.names())))
+    return with_grand_total(first_match(inv(spark, sf, names=True), book.rules(book.names())))
 
 
 # -- a second inventory, of system and root paths, derived from `orders` ---------------
@@ -760,7 +762,61 @@ def q_version_order_full(spark, sf):
 VERSION_ENDS = ["~alpha", "~rc1", "~rc2", "", "a", "rc1", "+b1", "-1", "-2", "-10"]
 
 
+# -- the DataFrame forms of selection and consent, over a catalogue that is a table -----
+def brand_catalogue(spark, sf) -> DataFrame:
+    """A rule table of the brands; those with an even number need consent."""
+    b = _brands(spark, sf).select(F.col("p_brand").alias("name")).distinct()
+    return b.withColumn("requires_approval", F.substring("name", 7, 9).cast("int") % 2 == 0)
+
+
+def q_select_rules_frame(spark, sf):
+    """C5 + F1 + G2 as DataFrames."""
+    from reclaim.operators import select_rules
+    c = brand_catalogue(spark, sf)
+    modes = {"exclude": {"exclude": "Brand#12,Brand#21"}, "all": {"all_rules": True}, "include": {"include": "Brand#21,Brand#12,Brand#21"}}
+    parts = [select_rules(spark, c, **how).select(F.lit(m).alias("mode"), "seq", "name") for m, how in modes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q_approval_gate_frame(spark, sf):
+    """C8 as a DataFrame: consent is given to the brands whose number 3 divides."""
+    from reclaim.operators import approval_gate
+    c = brand_catalogue(spark, sf)
+    given = c.select("name", F.when(F.substring("name", 7, 9).cast("int") % 3 == 0, "Y").otherwise("no").alias("ans"))
+    return approval_gate(ordered_catalogue(c), c, given).select("seq", "name", "requires_approval", "skipped")
+
+
+MANY_USERS = 1000
+
+
+def many_rules() -> RuleBook:
+    """2,000 user rules: logs and temporary files of each home, above a size of its own."""
+    book = RuleBook()
+    for u in range(MANY_USERS):
+        for end in (".log", ".tmp"):
+            book.register_where(f"u{u}{end}", f"/home/u{u}", end, kind="f", size_over=u * 1000)
+    return book
+
+
+def q_many_rules(spark, sf):
+    """C1 + E7 + J1: 2,000 registered rules through the index."""
+    book = many_rules()
+    return reclaim_by_rule(first_match(inv(spark, sf), book.rules(book.names())))
+
+
+def q_dir_contents_labels(spark, sf):
+    """C2 through interval labels: what a shell * names in directories by their
+    names, some of them within each other."""
+    i = inv(spark, sf)
+    test = dir_name_glob("proj?", ".l*", "my-*app", "build")
+    return DirTree.of(i).under(i, "/home", test, skip_hidden=True).select("id", "path")
+
+
 QUERIES: dict[str, Q] = {
+    "many_rules": q_many_rules,
+    "select_rules_frame": q_select_rules_frame,
+    "approval_gate_frame": q_approval_gate_frame,
+    "dir_contents_labels": q_dir_contents_labels,
     "tool_status": q_tool_status,
     "run_stored": q_run_stored,
     "listing_quarantine": q_listing_quarantine,

@@ -76,7 +76,7 @@ def _pairs(what: str, given) -> dict:
 
 def _tool_sets(rule: Rule) -> list[tuple]:
     """The tools of each part of a rule; a part without any applies everywhere."""
-    own = [tuple(rule.required_tools)] if rule.predicate is not None or not rule.steps else []
+    own = [tuple(rule.required_tools)] if rule.acts_on_files or not rule.steps else []
     return own + [tuple(s.tools or rule.required_tools) for s in rule.steps]
 
 
@@ -131,7 +131,7 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
     inv = inventory
     for prefix in protected:
         inv = inv.filter(not_under(prefix))
-    tests = [(seq, r) for seq, r in active if r.predicate is not None]
+    tests = [(seq, r) for seq, r in active if r.acts_on_files]
     hosts = None  # for each step, the hosts it applies to and the others
     if host_tools is not None:
         chosen = [book[name] for name in names]
@@ -142,8 +142,13 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
         here = {name: n for _, name, n, _ in hosts}
         tests = [(seq, r) for seq, r in tests if not r.required_tools or here[r.name]]
         inv = inv.join(by_host.drop("_known"), ["host"], "left")  # one row a host
-    gated = [Rule(str(seq), r.predicate & bits.gate(r.required_tools) if host_tools is not None else r.predicate,
-                  prepare=r.prepare, roots=r.roots, flags=r.flags) for seq, r in tests]
+    gated = []
+    for seq, r in tests:
+        if host_tools is None or not r.required_tools:
+            gated.append(replace(r, name=str(seq)))
+        else:
+            own = r.where.test if r.where is not None else r.predicate
+            gated.append(replace(r, name=str(seq), predicate=own & bits.gate(r.required_tools), where=None))
     plan = first_match(inv, gated, out="_step") if gated else inv.limit(0).withColumn("_step", F.lit(None))
     plan = plan.withColumn("seq", F.col("_step").cast("long")).drop("_step")
     plan = plan.join(F.broadcast(st.select("seq", F.col("name").alias("rule"))), ["seq"], "left")  # a row each step

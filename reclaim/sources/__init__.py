@@ -1,4 +1,4 @@
-from reclaim.sources.tables import (read_table, inventory_from_events, load_inventory, read_inventory, store_inventory, system_inventory, directories,
+from reclaim.sources.tables import (read_table, inventory_from_events, load_inventory, read_inventory, store_inventory, write_inventory, directories,
                                    with_directories, ancestors, INVENTORY_COLUMNS)
 from reclaim.sources.listings import (csv_field, ws_field, explode_lines, json_env_names, regex_all, read_lines,
                                      read_documents)
