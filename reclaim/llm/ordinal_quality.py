@@ -13,7 +13,9 @@ length does not matter.  Whole texts are read, a stretch at a time.
 
 The weights are fitted on a bounded sample: the ``SAMPLE`` rated ids with the
 smallest hash, none of those whose crc32 mod 4 is 2, in ``EPOCHS`` passes of
-adaptive gradient steps in a fixed order.
+adaptive gradient steps in a fixed order.  Of each it takes the ``FEATURES``
+heaviest features of the whole text, so what comes to the driver is bounded
+whatever the length of the texts.
 
 Edge cases: a null text counts as empty and is graded by the thresholds alone;
 without ratings, or with one grade only, that grade (0 without any) is
@@ -38,6 +40,8 @@ from reclaim.llm.common import held_out, text_of
 
 BUCKETS, SAMPLE, EPOCHS, BATCH, RATE, RIDGE = 1 << 18, 12_000, 12, 128, 0.15, 1e-6
 MEMO = 300_000
+#: Of a rated text, the weights are fitted on so many of its features, the heaviest; texts are graded by all of theirs.
+FEATURES = 4096
 _CUT = re.compile(r"\s")
 _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 
@@ -144,6 +148,15 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
     return Model(w, t0 + np.concatenate([[0], np.cumsum(np.exp(steps))]))
 
 
+def heaviest(x: tuple[np.ndarray, np.ndarray], most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` features of greatest weight, of equal ones those of the smallest bucket."""
+    at, value = x
+    if len(at) <= most:
+        return x
+    some = np.sort(np.lexsort((at, -value))[:most])
+    return at[some], value[some]
+
+
 def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         grade_col: str = "grade", sample: int = SAMPLE) -> Model:
     ids = ratings.select(F.col(f"`{id_col}`").alias("r_id"), F.col(f"`{grade_col}`").cast("int").alias("grade")).dropna()
@@ -157,7 +170,7 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Words()
         for pdf in batches:
-            both = [features(t, memo) for t in pdf["text"]]
+            both = [heaviest(features(t, memo)) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "grade": pdf["grade"], "at": [a for a, _ in both], "value": [v for _, v in both]})
 
     got = rows.mapInPandas(extract, "id string, grade int, at array<int>, value array<float>").toPandas()

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclaim.llm.common import held_out, text_of
+from reclaim.llm.common import held_out, stage, text_of
 
 BUCKETS, SAMPLE = 1 << 18, 20_000
 STEM, PRIOR, SHRINK, DRIFT, CLIP = 5, 5000.0, 1.5, 0.5, 6.0
@@ -199,19 +199,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame(out, columns=["label", "n", "bits"])
 
     seen = rows.join(F.broadcast(drawn), F.col("_id") == F.col("l_id")).select("text", "label", "half")
-    seen = seen.mapInPandas(out_of_half, "label int, n bigint, bits array<double>").toPandas().sort_values(["label", "n"])
+    # the segments of the sampled texts stay in the shared folder; to the driver come four numbers a text
+    seen = stage(seen.mapInPandas(out_of_half, "label int, n bigint, bits array<double>"), "segments")
+    best = seen.select("label", "n", F.coalesce(F.array_max("bits"), F.lit(0.0)).alias("best")).toPandas()
+    best = best.sort_values(["label", "n", "best"])
     scores = token_scores(n[2] + n[4], n[1] + n[3], n[0])
-    y = seen["label"].to_numpy(np.float64)
+    y = best["label"].to_numpy(np.float64)
     if not 0 < y.sum() < len(y):
         share = float(y.mean()) if len(y) else 0.0
         flat = np.zeros((4, 4))
         flat[1], flat[3] = 1.0, np.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(np.full(BUCKETS, -DRIFT), 1.0, 1.0, flat)
-    clean = seen[seen["label"] == 0]
-    chance = [max(m, 1) * np.exp(-max(b, default=0.0)) for m, b in zip(clean["n"], clean["bits"])]
+    clean = best[best["label"] == 0]
+    chance = np.maximum(clean["n"], 1) * np.exp(-np.maximum(clean["best"], 0.0))
     k = 1 / float(np.mean(chance))  # K n exp(-lambda S) of the best segment has mean 1 by chance
-    x = np.array([features(m, list(b), k) for m, b in zip(seen["n"], seen["bits"])])
-    return Model(scores, gumbel_lambda(scores, n[0]), k, _logistic(x, y))
+
+    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [features(m, list(b), k) for m, b in zip(pdf["n"], pdf["bits"])]
+            yield pd.DataFrame(np.array(rows).reshape(-1, 4), columns=["x0", "x1", "x2", "x3"]).assign(label=pdf["label"])
+
+    x = seen.mapInPandas(evidence, "x0 double, x1 double, x2 double, x3 double, label int").toPandas()
+    x = x.sort_values(["label", "x3", "x0", "x1", "x2"])
+    return Model(scores, gumbel_lambda(scores, n[0]), k, _logistic(
+        x[["x0", "x1", "x2", "x3"]].to_numpy(np.float64), x["label"].to_numpy(np.float64)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
