@@ -233,7 +233,8 @@ class Mix:
                    .withColumn("words", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
         by = stage(by.join(inclusion(by_size, by), "g", "left"), "inclusion")
         state = cuts(self._drawn(self.rows.join(by, "g")), by.select("g", "words"))
-        self.cuts = by.drop("words").join(state, "g")
+        # a table of its own, so that Spark sees how small it is and need not shuffle the texts to meet it
+        self.cuts = stage(by.drop("words").join(state, "g"), "sources")
 
     def _keys(self) -> list[Column]:
         """g, k (the id), t (a hash of the text) and size of a row of the documents."""
