@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reclaim.llm.common import held_out, text_of
+from reclaim.llm.common import held_out, stage, text_of
 
 BUCKETS, SAMPLE, EPOCHS, BATCH, RATE, RIDGE = 1 << 18, 12_000, 12, 128, 0.15, 1e-6
 MEMO = 300_000
@@ -171,15 +171,18 @@ def fit(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: s
         memo = Words()
         for pdf in batches:
             both = [heaviest(features(t, memo)) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "grade": pdf["grade"], "at": [a for a, _ in both], "value": [v for _, v in both]})
-
-    got = rows.mapInPandas(extract, "id string, grade int, at array<int>, value array<float>").toPandas()
-    got = got[got["at"].map(len) > 0].sort_values(["id", "grade"])
-    grades = got["grade"].to_numpy(np.int64)
+            yield pd.DataFrame({"id": pdf["id"], "grade": pdf["grade"], "at": [a.astype("<i4").tobytes() for a, _ in both],
+                                "value": [v.astype("<f4").tobytes() for _, v in both]})
+
+    # written once, and read a part at a time: the driver holds the features alone, not also their way to it
+    got = stage(rows.mapInPandas(extract, "id string, grade int, at binary, value binary"), "features", text=True)
+    given = sorted(((r["id"] or "", r["grade"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["value"], "<f4"))
+                    for r in got.filter(F.length("at") > 0).toLocalIterator()), key=lambda r: r[:2])
+    grades = np.array([r[1] for r in given], np.int64)
     if not len(grades) or grades.min() == grades.max():
         top = int(grades.max()) if len(grades) else 0
         return Model(np.zeros(BUCKETS), np.repeat([-35.0, 35.0], [top, 1]))
-    return fit_ordinal(list(zip(got["at"], got["value"])), grades, int(grades.max()) + 1)
+    return fit_ordinal([r[2:] for r in given], grades, int(grades.max()) + 1)
 
 
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", select: int = 1,

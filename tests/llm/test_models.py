@@ -117,8 +117,9 @@ def test_what_fitting_sends_to_the_driver_is_bounded(spark, monkeypatch):
     assert all(not any(hasattr(v, "__len__") for v in pdf.iloc[0]) for pdf in sent if len(pdf))
     sent.clear()
     words = [(i, " ".join(f"{t.split()[0]}{j}" for j in range(20_000 if n == 0 else 5)), "en", "s") for n, (i, t, *_) in enumerate(rows)]
+    monkeypatch.setattr(ordinal_quality, "fit_ordinal", lambda rows, *_: sent.append(rows))
     ordinal_quality.fit(documents(spark, words, clash=False), labels.select("doc_id", F.col("quality").alias("grade")))
-    assert max(len(x) for x in sent[-1]["at"]) == ordinal_quality.FEATURES
+    assert max(len(at) for at, _ in sent[-1]) == ordinal_quality.FEATURES and len(sent) == 1
 
 
 # ---------------------------------------------------------------- language ID
