@@ -5,11 +5,15 @@ are cut into m = 4 * max_bits segments in a ring.  If two fingerprints differ
 in at most max_bits bits, the pigeonring principle gives a start in the ring
 from which, for every length l, the first l segments together differ in at
 most l * max_bits / m bits, that is floor(l / 4) here.  So from some start
-three segments agree, and the four after them differ in one bit at most: one
-half of these agrees too.  Each (start, half) is a key of about 20 bits on which
-candidates meet by an equi-join; then the chain is required at every length,
-and what passes gets the full Hamming check.  Nothing is lost: the filter is
-exact.
+three segments agree, and the four after them differ in one bit at most: cut
+into parts, all of these but one agree too.  Each (start, part left out) is a key
+on which candidates meet by an equi-join; then the chain is required at every
+length, and what passes gets the full Hamming check.  Nothing is lost: the
+filter is exact, whatever the number of parts.
+
+Two parts give 32 keys of about 20 bits, four 64 of 24, eight 128 of 26.  ``parts_for``
+takes the fewest that leave about ``MEMBERS`` unrelated fingerprints to a key, so
+comparisons grow more slowly than the square of the table.
 
 Equal fingerprints are one node from the start, so copies cost nothing.  Hot
 keys are compared in blocks (``in_blocks``).  A task gives back the edges of a
@@ -38,6 +42,8 @@ from reclaim.llm.common import (Forest, components, in_blocks, keep_rows, pairs_
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: Members of a key compared in one piece.
 BLOCK = 2048
+#: Unrelated fingerprints to a key, above which there are more and longer keys.
+MEMBERS = 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -74,7 +80,7 @@ def simhash(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
 class Ring:
     """Segments, keys and chain budgets for one number of bits."""
 
-    def __init__(self, max_bits: int):
+    def __init__(self, max_bits: int, parts: int = 2):
         if not 1 <= max_bits <= 16:
             raise ValueError("max_bits must be from 1 to 16")
         m = 4 * max_bits
@@ -82,21 +88,36 @@ class Ring:
         segment = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(m)]
         run = lambda i, a, b: sum(segment[(i + j) % m] for j in range(a, b))
         #: of each slot, the bits that must agree
-        self.keys = [run(i, 0, 3) | half for i in range(m) for half in (run(i, 3, 5), run(i, 5, 7))]
+        self.keys = [run(i, 0, 3) | run(i, 3, 7) & ~part for i in range(m) for part in self._parts(run(i, 3, 7), parts)]
         #: of each length that raises the budget: the bits of the chain by slot, the budget
-        self.chains = [(np.array([run(i, 0, n) for i in range(m) for _ in (0, 1)], np.uint64), n // 4)
+        self.chains = [(np.array([run(i, 0, n) for i in range(m) for _ in range(parts)], np.uint64), n // 4)
                        for n in range(7, m, 4)]
         self.max_bits = max_bits
 
 
+    @staticmethod
+    def _parts(bits: int, n: int) -> list[int]:
+        """The set bits, dealt in their order to n masks."""
+        places = [b for b in range(64) if bits >> b & 1]
+        return [sum(1 << b for b in places[len(places) * k // n:len(places) * (k + 1) // n]) for k in range(n)]
+
+
+def parts_for(n: int, max_bits: int = MAX_BITS) -> int:
+    """The number of parts for n distinct fingerprints."""
+    for parts in (2, 4, 8):
+        if n >> min(k.bit_count() for k in Ring(max_bits, parts).keys) <= MEMBERS:
+            break
+    return parts
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """Distinct fingerprints (fp) -> edges (u, v) whose components are those of
-    all pairs that differ in at most ``max_bits`` bits."""
-    ring = Ring(max_bits)
+def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK, parts: int | None = None) -> DataFrame:
+    """Distinct fingerprints (fp, staged) -> edges (u, v) whose components are those
+    of all pairs that differ in at most ``max_bits`` bits."""
+    ring = Ring(max_bits, parts or parts_for(prints.count(), max_bits))
     slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.col("fp").bitwiseAND(F.lit(_signed(k))).alias("key"))
                       for i, k in enumerate(ring.keys)])
     rows = prints.select("fp", F.explode(slots).alias("k")).select("fp", "k.slot", "k.key")

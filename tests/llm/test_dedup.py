@@ -84,6 +84,30 @@ def test_pigeonring_finds_every_pair(spark):
             assert linked(len(prints), edges) == linked(len(prints), near)
 
 
+@pytest.mark.parametrize("parts", [2, 4, 8])
+def test_longer_keys_find_every_pair_too(spark, parts):
+    """Pairs that differ in up to four bits, wherever these are in the ring."""
+    rng = np.random.default_rng(parts)
+    pairs = []
+    for n in range(400):
+        x = int(rng.integers(0, 2 ** 63))
+        bits = rng.choice(64, 4, replace=False) if n % 2 else (rng.integers(64) + rng.integers(0, 9, 4)) % 64
+        y = x
+        for bit in bits:
+            y ^= 1 << int(bit)
+        pairs.append([v - 2 ** 64 if v >> 63 else v for v in (x, y)])
+    frame = spark.createDataFrame([(v,) for v in sorted({v for p in pairs for v in p})], "fp bigint")
+    edges = {frozenset((r.u, r.v)) for r in simhash_ring.links(frame, 4, parts=parts).collect()}
+    assert all(x == y or frozenset((x, y)) in edges for x, y in pairs)
+    ring = simhash_ring.Ring(4, parts)
+    assert len(ring.keys) == 16 * parts and min(k.bit_count() for k in ring.keys) == 28 - 16 // parts
+
+
+def test_keys_grow_with_the_table():
+    sizes = [simhash_ring.parts_for(n) for n in (0, 10 ** 6, 5 * 10 ** 8, 6 * 10 ** 8, 8 * 10 ** 9, 10 ** 10, 10 ** 13)]
+    assert sizes == [2, 2, 2, 4, 4, 8, 8]
+
+
 def test_simhash_keeps_one_of_each_group(spark):
     docs = documents(spark)
     kept = simhash_ring.drop_near_copies(docs)
