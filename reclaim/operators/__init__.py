@@ -7,8 +7,10 @@ from reclaim.operators.rules import (ListingStep, Rule, RuleBook, all_hits, firs
                                      first_match_seq, reachable, union_steps, union_step_frames, prepare_all)
 from reclaim.operators.selection import (SelectionError, check_mode, requested, unknown_names,
                                          ordered_catalogue, select_rules, selected_names, answers, approval_gate, host_capabilities,
-                                         tool_gate, with_host_tools)
+                                         tool_gate, with_host_tools, ToolBits, applicable_rules)
 from reclaim.operators.report import (reclaim_by_rule, with_grand_total, run_report, max_over_run,
                                       capped_share, TOTAL_LABEL)
 from reclaim.operators.order import global_row_number
 from reclaim.operators.tree import DirFlag, mark_dirs
+from reclaim.operators.labels import DirTree
+from reclaim.operators.rule_index import Where

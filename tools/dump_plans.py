@@ -20,7 +20,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 QUERIES = ["scan_roots", "first_match", "catalogue_run", "reclaim_rollup", "dir_contents", "marker_dirs",
            "size_budget", "size_budget_global", "drop_all_but_latest", "global_drop_last_n", "superseded",
-           "before_current", "unreferenced", "capped_share", "version_order", "freed_between"]
+           "before_current", "unreferenced", "capped_share", "version_order", "freed_between", "many_rules", "dir_contents_labels",
+           "size_budget_hashed_ids", "run_stored"]
 
 
 BEFORE = ["catalogue_run", "size_budget"]
