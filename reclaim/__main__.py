@@ -89,7 +89,7 @@ def main(argv=None) -> int:
         print(f"Error: {e}", file=sys.stderr)
         return 1
     if a.run_out:
-        res = res.store(a.run_out)
+        res = res.store(a.run_out, measure=not a.timings)
     # what has been written is not worked out again
     if a.plan_out:
         res = res.over(plan=read_plan(spark, write_plan(res.plan, a.plan_out)))

@@ -10,6 +10,7 @@ the listing steps over their own inputs, and a per-step aggregate.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Callable, Iterable, Mapping, Optional
@@ -35,7 +36,9 @@ class RunResult:
     report: DataFrame    # one row per selected step: status, files, bytes, label
     total: DataFrame     # one row: files and bytes over the run, as text too
     quarantine: Optional[DataFrame] = None  # texts of the inputs that do not parse: input, host, text, reason
-    reported: Optional[Callable[[DataFrame, DataFrame], DataFrame]] = None  # the report of a plan and items
+    reported: Optional[Callable[..., DataFrame]] = None  # the report of a plan and items (and measured times)
+    steps: tuple = ()    # (seq, rows) of each listing step, before an item is given to its first step
+    file_steps: tuple = ()  # seq of the steps over the inventory, which are evaluated together
 
     def over(self, plan: Optional[DataFrame] = None, items: Optional[DataFrame] = None) -> "RunResult":
         """The same run with its plan or items read from where they were stored:
@@ -44,19 +47,46 @@ class RunResult:
         report = self.reported(plan, items)
         return replace(self, plan=plan, items=items, report=report, total=total_of(report))
 
-    def store(self, path: str) -> "RunResult":
+    def store(self, path: str, measure: bool = False) -> "RunResult":
         """Write the whole run below ``path``: ``plan`` and ``items`` in versions
         (``write_plan``), ``quarantine`` where an input was a text, and ``report``, from
-        the stored plan.  The inventory is read by the plan alone."""
+        the stored plan.  The inventory is read by the plan alone.
+
+        With ``measure``, each listing step is written by itself first (``steps``) and
+        the report has the seconds that took; the steps over the inventory are one
+        evaluation, and each has its seconds."""
         spark, path = self.plan.sparkSession, path.rstrip("/")
-        stored = self.over(plan=read_plan(spark, write_plan(self.plan, f"{path}/plan")),
-                           items=read_plan(spark, write_plan(self.items, f"{path}/items")))
+        items, seconds = self.items, {}
+        if measure:
+            parts = []
+            for n, (seq, rows) in enumerate(self.steps):
+                started = time.perf_counter()
+                parts.append(read_plan(spark, write_plan(rows, f"{path}/steps/{n}", None), None))
+                seconds[seq] = seconds.get(seq, 0.0) + time.perf_counter() - started
+            items = _first_step(parts) if parts else items
+        started = time.perf_counter()
+        plan = read_plan(spark, write_plan(self.plan, f"{path}/plan"))
+        for seq in self.file_steps if measure else ():
+            seconds[seq] = seconds.get(seq, 0.0) + time.perf_counter() - started
+        items = read_plan(spark, write_plan(items, f"{path}/items"))
+        stored = self.over(plan, items)
+        if measure:
+            times = spark.createDataFrame(sorted(seconds.items()), "seq bigint, duration_s double")
+            report = self.reported(plan, items, times)
+            stored = replace(stored, report=report, total=total_of(report))
         if self.quarantine is not None:
             stored.quarantine = read_plan(spark, write_plan(self.quarantine, f"{path}/quarantine", "input"), "input")
         write_report(stored.report, f"{path}/report")
         return stored
 
 
+def _first_step(listed: list[DataFrame]) -> DataFrame:
+    """Each item once, with the first step that drops it."""
+    first = F.min(F.struct("seq", "rule", "size_bytes")).alias("first")
+    return reduce(DataFrame.unionByName, listed).groupBy("input", "host", "item").agg(first).select(
+        "first.seq", "first.rule", "input", "host", "item", "first.size_bytes")
+
+
 def total_of(report: DataFrame) -> DataFrame:
     return report.agg(F.sum("files").cast("long").alias("files"), F.sum("bytes").cast("long").alias("bytes")) \
         .withColumn("freed", format_bytes("bytes"))
@@ -81,8 +111,8 @@ def _tool_sets(rule: Rule) -> list[tuple]:
 
 
 def _listed(rules: list[tuple[int, Rule]], inputs: Mapping[str, DataFrame],
-            host_tools: Optional[DataFrame]) -> list[DataFrame]:
-    """What the listing steps of the active rules drop."""
+            host_tools: Optional[DataFrame]) -> list[tuple[int, DataFrame]]:
+    """The number of each listing step of the active rules, and what it drops."""
     out = []
     for seq, rule in rules:
         for step in rule.steps:
@@ -93,8 +123,8 @@ def _listed(rules: list[tuple[int, Rule]], inputs: Mapping[str, DataFrame],
             if host_tools is not None and tools:
                 hosts = host_tools.filter(F.col("tool").isin(list(tools))).select("host")
                 hits = hits.join(hosts, "host", "left_semi")
-            out.append(hits.select(F.lit(seq).cast("bigint").alias("seq"), F.lit(rule.name).alias("rule"),
-                                   F.lit(step.input).alias("input"), "host", "item", "size_bytes"))
+            out.append((seq, hits.select(F.lit(seq).cast("bigint").alias("seq"), F.lit(rule.name).alias("rule"),
+                                         F.lit(step.input).alias("input"), "host", "item", "size_bytes")))
     return out
 
 
@@ -155,19 +185,15 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
 
     listed = _listed(active, inputs, host_tools)
     kind = "seq bigint, rule string, input string, host string, item string, size_bytes bigint"
-    items = reduce(DataFrame.unionByName, listed) if listed else spark.createDataFrame([], kind)
-    first = F.min(F.struct("seq", "rule", "size_bytes")).alias("first")
-    items = items.groupBy("input", "host", "item").agg(first).select(
-        "first.seq", "first.rule", "input", "host", "item", "first.size_bytes")
-
+    items = _first_step([rows for _, rows in listed] or [spark.createDataFrame([], kind)])
     if host_tools is not None:
         plan = plan.drop(*bits.columns)
     known = spark.createDataFrame([(seq, n, m) for seq, _, n, m in hosts or []],
                                   "seq bigint, hosts_applicable bigint, hosts_not_applicable bigint")
 
-    def reported(plan: DataFrame, items: DataFrame) -> DataFrame:
+    def reported(plan: DataFrame, items: DataFrame, measured: Optional[DataFrame] = None) -> DataFrame:
         both = plan.select("seq", "size_bytes").unionByName(items.select("seq", "size_bytes"))
-        report = run_report(st, reclaim_by_rule(both, rule="seq"), timings).join(
+        report = run_report(st, reclaim_by_rule(both, rule="seq"), timings if timings is not None else measured).join(
             st.select("seq", "missing_inputs"), "seq").withColumn("freed", size_label("bytes"))
         # Where no host has a tool of the rule, it did not run, which is no error
         report = report.join(known, "seq", "left")
@@ -184,4 +210,5 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
 
     report = reported(plan, items)
     bad = unparsed({n: d for n, d in inputs.items() if any(n in s.needs for _, r in active for s in r.steps)})
-    return RunResult(plan, items, report, total_of(report), reduce(DataFrame.unionByName, bad) if bad else None, reported)
+    return RunResult(plan, items, report, total_of(report), reduce(DataFrame.unionByName, bad) if bad else None, reported,
+                     tuple(listed), tuple(seq for seq, _ in tests))

@@ -98,6 +98,26 @@ def test_plan_and_report_read_the_inventory_once(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "run" / "report")).count() == 2
 
 
+def test_a_stored_run_measures_its_steps(spark, tmp_path):
+    """Listing steps each by itself, the steps over the inventory together; rows
+    and bytes as without."""
+    from reclaim.plans.catalogue import rulebook
+    from reclaim.plans.queries import AS_OF, run_inputs
+    book = rulebook(AS_OF)
+    inventory, read = counted(spark, files(spark))
+    res = run(spark, inventory, book, include="cache,journal,logs,snap,conda,trash", approvals=[(n, "y") for n in book.names() if n != "trash"],
+              inputs=run_inputs(spark, SF))
+    stored = res.store(str(tmp_path / "run"), measure=True)
+    report = {r.name: r for r in stored.report.collect()}
+    assert read.value == 200
+    assert all(report[n].duration_s > 0 for n in ("cache", "journal", "logs", "snap", "conda")) and report["trash"].duration_s == 0
+    assert max(r.duration_share for r in report.values()) == 1
+    plain = {r.name: (r.files, r.bytes, r.status) for r in res.report.collect()}
+    assert plain == {n: (r.files, r.bytes, r.status) for n, r in report.items()}
+    assert sorted(map(tuple, stored.items.select("seq", "rule", "input", "host", "item", "size_bytes").collect())) == sorted(
+        map(tuple, res.items.select("seq", "rule", "input", "host", "item", "size_bytes").collect()))
+
+
 def test_cli_reads_the_inventory_once_where_the_plan_is_written(spark, tmp_path, capsys, monkeypatch):
     import reclaim.sources.tables as tables
     from reclaim.__main__ import main
