@@ -31,7 +31,7 @@ from reclaim.plans.catalogue import (ELECTRON_GLOB, HOME_TEMP_GLOBS,
                                      file_rulebook)
 from reclaim.plans.derived import system_inventory
 from reclaim.sources import (csv_field, json_env_names, load_inventory, read_table, regex_all,
-                             with_directories, ws_field)
+                             union_apart, with_directories, ws_field)
 from reclaim.sources.listings import STAMP_FORMAT, STAMP_PATTERN
 from reclaim.sources.sinks import read_plan, scratch_path, write_plan
 
@@ -676,11 +676,9 @@ def q_apt_packages(spark, sf):
 
 def q_unused_artifacts(spark, sf):
     """docker, podman, buildah, flatpak and pnpm: one rule shape, five names."""
-    from functools import reduce
-
     from reclaim.plans import listing_rules as L
     items, refs = artifact_items(spark, sf), artifact_refs(spark, sf)
-    return reduce(DataFrame.unionByName, [L.unused(items, refs, ["host", "item"], r) for r in L.ARTIFACT_RULES])
+    return union_apart([L.unused(items, refs, ["host", "item"], r) for r in L.ARTIFACT_RULES])
 
 
 def q_full_run(spark, sf):

@@ -8,6 +8,9 @@ ancestor of a file, ``/home`` down to the parent, with the newest mtime below.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,14 @@ def computed_once(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_r")).select("_r.*")
 
 
+def union_apart(frames: Sequence[DataFrame]) -> DataFrame:
+    """The rows of all frames, each frame's in tasks of its own.  Spark runs the n-th
+    partitions of frames that a join or an aggregate left partitioned alike one after the
+    other in one task, which then holds the sorts of all of them; rows out of a
+    generator are not known to be partitioned."""
+    return reduce(DataFrame.unionByName, [computed_once(f) for f in frames])
+
+
 def inventory_from_events(events: DataFrame) -> DataFrame:
     e = events.select("event_id", "ts", "user_id", "event_type", "value")
     eid, et = F.col("event_id"), F.col("event_type")

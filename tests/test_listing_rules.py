@@ -80,3 +80,23 @@ def test_read_listing_files(spark, tmp_path):
     assert [(r.snap, r.revision) for r in L.snap_revisions(lines).collect()] == [("base", "71")]
     docs = read_documents(spark, str(tmp_path / "envs.json")).withColumn("host", F.lit("h"))
     assert [r.env for r in L.conda_envs(docs).collect()] == ["train"]
+
+
+def test_each_artifact_rule_has_tasks_of_its_own(spark, tmp_path):
+    """Five joins over the same inputs are not run one after the other in each task."""
+    from reclaim.plans.queries import q_unused_artifacts
+    spark.createDataFrame([(n,) for n in range(40)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(n, "P" if n % 2 else "O") for n in range(30)] + [(None, "P")], "o_custkey long, o_orderstatus string") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = q_unused_artifacts(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() == 4 * len(L.ARTIFACT_RULES)
+        unused = [f"a{n}" for n in range(40) if n % 2 == 0 or n >= 30]
+        assert sorted((r.rule, r.item) for r in df.collect()) == sorted((r, i) for r in L.ARTIFACT_RULES for i in unused)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
