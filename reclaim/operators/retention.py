@@ -38,6 +38,8 @@ _TIMES, _WHOLE = ("timestamp", "timestamp_ntz", "date"), ("byte", "short", "inte
 _TEXTS = ("string", "char", "varchar", "binary")
 #: Bins a level, and the numbers of 7 bytes that a text tiebreak is compared by before rows are.
 FANOUT_BITS, TEXT_PARTS = 16, 8
+#: The parts that a bin's rows are dealt over where they meet the bin of their group.
+SPREAD = 16
 
 
 def _keys(keys) -> list[str]:
@@ -110,10 +112,22 @@ def _radix_bin(parts: Sequence[Column], low: Sequence[Column], high: Sequence[Co
     return out
 
 
+def _within(rows: DataFrame, cut: DataFrame, keys: list[str], one_group: bool) -> DataFrame:
+    """Inner join of ``rows`` with the one bin of each group.  A bin may hold all rows
+    of its group (one time, or texts that start alike), so they are dealt over parts by
+    their place, and the bin is there once a part.  The bin of a single group is one
+    row, which goes to the rows."""
+    if one_group:
+        return join_on_keys(rows, F.broadcast(cut), keys, "inner")
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("_p"), F.lit(SPREAD)))
+    each = cut.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    return join_on_keys(dealt, each, [*keys, "_part"], "inner").drop("_part")
+
+
 def budget_cut(df: DataFrame, keys: list[str], ts: str, budget: int, weight: Column, tiebreak: str,
-               levels: int, bits: int) -> DataFrame:
+               levels: int, bits: int, one_group: bool = False) -> DataFrame:
     """keys and ``_cut``: the places of the first row dropped and the last kept, for
-    groups whose budget is passed.
+    groups whose budget is passed; ``one_group``: the keys have the same values in every row.
 
     Every table used twice is used with all its columns both times: so Spark plans
     one shuffle of it, and reads what is below it once."""
@@ -135,7 +149,7 @@ def budget_cut(df: DataFrame, keys: list[str], ts: str, budget: int, weight: Col
     cut = _passed(join_on_keys(by_fine, cut, [*g, "_c"], "inner").filter(known & (F.col("_lo_t") <= F.col("_hi_t"))),
                   g, ["_c", "_f"], budget, ranges).drop("_c")
     # the rows of one fine bin a group, each with the ranges that the next level splits
-    inside = join_on_keys(rows.withColumn("_f", fine), cut, [*g, "_f"], "inner").drop("_f")
+    inside = _within(rows.withColumn("_f", fine), cut, [*g, "_f"], one_group).drop("_f")
     parts = lambda p: [F.col("_v"), *_tie_parts(kind, p)]
     low, top = [F.col("_lo_v"), F.col("_lo_t")], [F.col("_hi_v"), F.col("_hi_t")]
     for level in range(levels):
@@ -145,7 +159,7 @@ def budget_cut(df: DataFrame, keys: list[str], ts: str, budget: int, weight: Col
         sums = binned.groupBy(*g, "_b").agg(F.sum("_w").alias("_bw"), F.min("_start").alias("_start"),
                                             F.min(F.struct("_v", "_p")).alias("_lo"), F.max(F.struct("_v", "_p")).alias("_hi"))
         cut = _passed(sums, g, ["_b"], budget, ["_lo", "_hi"]).withColumnRenamed("_start", "_before")
-        inside = join_on_keys(binned, cut, [*g, "_b"], "inner")
+        inside = _within(binned, cut, [*g, "_b"], one_group)
         # the weight of newer rows, once as known above and once with this level's
         inside = inside.withColumn("_start", F.greatest("_start", "_before")).drop("_b", "_before")
         low, top = ([F.col(f"{e}._v"), *_tie_parts(kind, F.col(f"{e}._p.tie"))] for e in ("_lo", "_hi"))
@@ -179,7 +193,7 @@ def over_budget(df: DataFrame, keys: Sequence[str] | str | None, ts: str, budget
     if keys:
         marked = join_on_keys(df, budget_cut(df, keys, ts, budget, w, tiebreak, levels, bits), keys, "left")
     else:  # at most one row: read as a scalar, no join
-        cut = budget_cut(df.withColumn("_g", F.lit(0)), ["_g"], ts, budget, w, tiebreak, levels, bits)
+        cut = budget_cut(df.withColumn("_g", F.lit(0)), ["_g"], ts, budget, w, tiebreak, levels, bits, one_group=True)
         marked = df.withColumn("_cut", cut.select("_cut").scalar())
     place, first, last = _place(ts, tiebreak), F.col("_cut._first"), F.col("_cut._last")
     dropped = (place < first) | ((place == first) & ~first.eqNullSafe(last))

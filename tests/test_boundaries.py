@@ -246,6 +246,32 @@ def test_budget_in_the_order_of_any_tiebreak(spark, tie, kind, levels, bits):
         assert {r.id for r in got.filter("drop").collect()} == plain_budget(df, keys, "ts", "tie", budget), keys
 
 
+@pytest.mark.parametrize("keys", ["k", None])
+def test_budget_of_one_time_deals_the_rows_of_a_group_over_tasks(spark, tmp_path, keys):
+    """One group, one time, texts that start alike: all rows are in one bin of the first
+    levels, and no task is sent them all."""
+    import re
+    path = str(tmp_path / "rows")
+    spark.range(0, 40_000, 1, 8).select(F.lit("h").alias("k"), F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"), "id",
+                                        F.concat(F.lit("inventory-row-"), F.md5(F.col("id").cast("string").cast("binary"))).alias("tie"),
+                                        F.lit(1).cast("long").alias("size")).write.parquet(path)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.read.parquet(path)
+        marked = over_budget(df, keys, "ts", 12_345, "size", tiebreak="tie")
+        assert {r.id for r in marked.filter("drop").select("id").collect()} == plain_budget(df, [keys] if keys else [], "ts", "tie", 12_345)
+        plan = marked._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        # rows meet the bin of their group by their part too, or, of a single group, where they are
+        by_bin = [x for x in re.findall(r"SortMergeJoin \[(.*?)\], \[", plan) if "_f#" in x or "_b#" in x]
+        assert all("_part#" in x for x in by_bin) and len(by_bin) == (3 if keys else 0), by_bin
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_budget_puts_few_rows_in_order_and_reads_three_times(spark, tmp_path):
     """One time, 200,000 rows a group: no window gets more than 2^bits bins, or the rows of one."""
     import re
