@@ -99,6 +99,14 @@ def glob_to_regex(glob: str) -> str:
     return whole(glob_body(glob))
 
 
+def glob_literal(glob: str) -> str | None:
+    """The longest text that every match of the glob holds as it stands; None where the
+    glob has a class or an escape, or no such text."""
+    if "[" in glob or "\\" in glob:
+        return None
+    return max(re.split(r"[*?]+", glob), key=len) or None
+
+
 def glob_to_like(glob: str) -> str | None:
     """LIKE pattern with ``\\`` as escape, or None when the glob has a class."""
     if "[" in glob:

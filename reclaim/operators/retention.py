@@ -262,9 +262,12 @@ def unreferenced(items: DataFrame, refs: DataFrame, keys) -> DataFrame:
 
     The reference keys are deduplicated first (a map-side partial aggregate),
     so a key referenced by a third of all rows is one row per task on the
-    build side; skew on the item side is split by AQE."""
+    build side; skew on the item side is split by AQE.  A hash leads the keys, as
+    the sort before the join compares by the start of the first key, and that of
+    a host or a name is the same for many."""
     keys = _keys(keys)
-    return items.join(refs.select(*keys).distinct(), keys, "left_anti")
+    by = lambda df: df.withColumn("_h", F.xxhash64(*keys))
+    return by(items).join(by(refs.select(*keys).distinct()), ["_h", *keys], "left_anti").drop("_h")
 
 
 def freed_between(readings: DataFrame, keys, seq: str, reading: str, out: str = "freed") -> DataFrame:

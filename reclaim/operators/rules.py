@@ -23,6 +23,8 @@ from reclaim.operators.rule_index import Where, candidates
 
 #: Rules whose test is data go through the index where there are more of them than this.
 INDEX_FROM = 64
+#: Rules tested in one generator: the code of more of them is a method that the JVM does not compile.
+RULES_AT_ONCE = 4
 #: More roots than this reach the scan as their parents, which hold them all.
 MAX_SCAN_ROOTS = 64
 
@@ -224,13 +226,19 @@ def first_match(df: DataFrame, rules: Sequence[Rule], out: str = "rule",
     data = [(i + 1, r.name, r.where) for i, r in enumerate(rules) if r.where is not None]
     data = data if len(data) > INDEX_FROM else []
     by_test = [(i, r) for i, r in enumerate(rules) if not data or r.where is None]
-    if by_test:
-        place = {id(r): i for i, r in by_test}
-        hit = _dispatch([r for _, r in by_test], lambda _, r: F.struct(F.lit(place[id(r)] + 1).alias("s"), F.lit(r.name).alias("n")))
+    place = {id(r): i for i, r in by_test}
+    hit = None
+    for n in range(0, len(by_test), RULES_AT_ONCE):
+        part = _dispatch([r for _, r in by_test[n:n + RULES_AT_ONCE]],
+                         lambda _, r: F.struct(F.lit(place[id(r)] + 1).alias("s"), F.lit(r.name).alias("n")))
+        if hit is not None:
+            df = df.select("*", F.explode(F.array(hit)).alias("_sofar")).drop("_before").withColumnRenamed("_sofar", "_before")
+            part = F.coalesce(F.col("_before"), part)
+        hit = part
     if data:
         df = candidates(df, data, "_indexed")
         hit = F.least(hit, F.col("_indexed")) if by_test else F.col("_indexed")
-    df = df.select("*", F.explode(F.array(hit)).alias("_hit")).drop("_indexed")
+    df = df.select("*", F.explode(F.array(hit)).alias("_hit")).drop("_indexed", "_before")
     if only_hits:
         df = df.filter(F.col("_hit").isNotNull())
     df = df.withColumn(out, F.col("_hit.n"))

@@ -11,15 +11,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from typing import Callable, Iterable, Optional
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reclaim.functions.paths import (_c, at_or_below, base_name, below, glob_body, glob_match, parent_dir,
+from reclaim.functions.paths import (_c, at_or_below, base_name, below, glob_body, glob_literal, glob_match, parent_dir,
                                     path_parts, root_len, whole)
 from reclaim.functions.predicates import any_of
+from reclaim.sources.tables import computed_once, union_apart
 
 
 def scan_roots(df: DataFrame, roots: Iterable[str], path: str = "path") -> DataFrame:
@@ -34,10 +34,19 @@ class DirTest:
     ``names`` (a name-only test) runs as an array overlap on the path parts;
     ``regex`` (a whole-path pattern, unanchored body) runs as one regex on the
     row's own path.  Both stay in generated code, with no per-ancestor string
-    building; ``fn`` is the general form, evaluated per ancestor."""
+    building; ``fn`` is the general form, evaluated per ancestor.
+
+    ``holds``: texts one of which is in every path that passes, so that most rows are
+    told by a plain search; of ``names`` they are known."""
     names: Optional[tuple] = None
     regex: Optional[str] = None
     fn: Optional[Callable[[Column, Column], Column]] = None
+    holds: tuple = ()
+
+    def may_hold(self, path="path", end: str = "") -> Column:
+        """True for every path at or below a directory that passes (with ``end`` "/": below)."""
+        texts = [f"/{x}{end}" for x in self.names] if self.names is not None else self.holds
+        return any_of(_c(path).contains(x) for x in texts) if texts else F.lit(True)
 
     def __call__(self, dpath: Column, dname: Column) -> Column:
         if self.names is not None:
@@ -53,18 +62,19 @@ def named(*names: str) -> DirTest:
 
 def dir_path_glob(*globs: str) -> DirTest:
     """``find -type d -path G`` (``*`` crosses ``/``), any of several globs."""
-    return DirTest(regex="|".join(f"(?:{glob_body(g)})" for g in globs))
+    holds = [glob_literal(g) for g in globs]
+    return DirTest(regex="|".join(f"(?:{glob_body(g)})" for g in globs), holds=tuple(holds) if all(holds) else ())
 
 
 def dir_name_glob(*globs: str) -> DirTest:
     return DirTest(fn=lambda d, n: any_of(glob_match(g, n) for g in globs))
 
 
-def dir_path_regex(regex: str) -> DirTest:
-    """Directory path matches ``regex`` (anchors at the ends are implied)."""
+def dir_path_regex(regex: str, holds: tuple = ()) -> DirTest:
+    """Directory path matches ``regex`` (anchors at the ends are implied); ``holds`` as in ``DirTest``."""
     body = regex[1:] if regex.startswith("^") else regex
     body = body[:-1] if body.endswith("$") and not body.endswith("\\$") else body
-    return DirTest(regex=body)
+    return DirTest(regex=body, holds=holds)
 
 
 def _regex_exact_below(root: str, body: str) -> bool:
@@ -94,21 +104,21 @@ def under_dir(root: str, test: DirTest, contents_only: bool = True, skip_hidden:
         # the same, with a first entry below the directory that has no leading dot
         r0, words = re.escape(root.rstrip("/")), "|".join(re.escape(x) for x in test.names)
         above = [f"{r0}(?:/.*)?/(?:{words})"] + [r0] * (root.rstrip("/").rsplit("/", 1)[-1] in test.names)
-        return scope & _c(path).rlike(whole("(?:" + "|".join(above) + ")/[^./].*"))
+        return scope & test.may_hold(path, "/") & _c(path).rlike(whole("(?:" + "|".join(above) + ")/[^./].*"))
     if test.names is not None and not skip_hidden:
         names = F.array(*[F.lit(x) for x in test.names])
         anc = F.slice(parts, r, F.greatest(n - r, F.lit(0)))  # parts r .. n-1
         hit = F.arrays_overlap(anc, names)
         if not contents_only:
             hit = hit | ((_c(kind) == "d") & base_name(path).isin(list(test.names)))
-        return scope & F.coalesce(hit, F.lit(False))
+        return scope & test.may_hold(path) & F.coalesce(hit, F.lit(False))
     if test.regex is not None and _regex_exact_below(root, test.regex):
         body = "(?:" + test.regex + ")"
         below_rx = body + ("/[^./].*" if skip_hidden else "/.+")
         hit = _c(path).rlike(whole(below_rx))
         if not contents_only:
             hit = hit | ((_c(kind) == "d") & _c(path).rlike(whole(body)))
-        return scope & hit
+        return scope & test.may_hold(path) & hit
     top = n - 1 if contents_only else n
 
     def at(k):
@@ -173,10 +183,10 @@ def _may_match(root: str, test: DirTest, contents_only: bool, path: str) -> Colu
         r = root_len(root)
         names = F.array(*[F.lit(x) for x in test.names])
         # parts r .. n (the row's own name too, for directory rows in subtree mode)
-        return F.coalesce(F.arrays_overlap(F.slice(parts, r, F.greatest(n - r + 1, F.lit(0))), names),
-                          F.lit(False))
+        return test.may_hold(path) & F.coalesce(F.arrays_overlap(F.slice(parts, r, F.greatest(n - r + 1, F.lit(0))), names),
+                                                F.lit(False))
     if test.regex is not None and _regex_exact_below(root, test.regex):
-        return _c(path).rlike(whole("(?:" + test.regex + ")(?:/.*)?"))
+        return test.may_hold(path) & _c(path).rlike(whole("(?:" + test.regex + ")(?:/.*)?"))
     return F.lit(True)
 
 
@@ -229,16 +239,21 @@ def mark_dirs(inventory: DataFrame, flags: Iterable[DirFlag], path: str = "path"
 
     tagged = F.concat(*[candidates(i, f) for i, f in enumerate(flags)])
     some = any_of(_any_candidate(f, path) for f in flags)
-    rest = inventory.filter(~some).select("*", *[F.lit(False).alias(f.flag) for f in flags])
-    rows = inventory.filter(some)
-    passing = reduce(DataFrame.unionByName, [f.dirs(inventory).select("host", "dir", F.lit(i).alias("flag"))
-                                             for i, f in enumerate(flags)]).distinct()
+    # a generator of its own: this test and those before it are too much code for one compiled method
+    split = computed_once(inventory)
+    rest = split.filter(~some).select("*", *[F.lit(False).alias(f.flag) for f in flags])
+    rows = split.filter(some)
+    passing = union_apart([f.dirs(inventory).select("host", "dir", F.lit(i).alias("flag"))
+                           for i, f in enumerate(flags)]).distinct()
     keys = ["host", path, kind]
+    # a hash leads the keys of the joins: the start of a host or a path is that of most others,
+    # and sorting by these compares whole texts
     each = (rows.select(*keys, F.explode(F.array_distinct(tagged)).alias("_d")).select(*keys, "_d.*")
-            .join(passing, ["host", "dir", "flag"], "left_semi"))
+            .withColumn("_h", F.xxhash64("host", "dir", "flag"))
+            .join(passing.withColumn("_h", F.xxhash64("host", "dir", "flag")), ["_h", "host", "dir", "flag"], "left_semi"))
     hits = each.groupBy(*keys).agg(*[F.bool_or(F.col("flag") == i).alias(f.flag) for i, f in enumerate(flags)])
-    hits = hits.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[f.flag for f in flags])
-    same = [rows[k].eqNullSafe(hits[f"_k{n}"]) for n, k in enumerate(keys)]
+    hits = hits.select(F.xxhash64(*keys).alias("_kh"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[f.flag for f in flags])
+    same = [F.xxhash64(*[rows[k] for k in keys]) == hits["_kh"], *[rows[k].eqNullSafe(hits[f"_k{n}"]) for n, k in enumerate(keys)]]
     marked = rows.join(hits, same, "left").select(
         *[rows[c] for c in rows.columns], *[F.coalesce(f.flag, F.lit(False)).alias(f.flag) for f in flags])
     return rest.unionByName(marked)

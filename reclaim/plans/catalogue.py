@@ -66,7 +66,7 @@ def wine_flag(home: str, as_of, days: int, flag: str = "_wine_old") -> DirFlag:
         return (directory_rows(inside)
                 .filter(F.col("path").rlike(whole(body)) & age_days_over(days, as_of, "mtime"))
                 .select("host", F.col("path").alias("dir")))
-    return DirFlag(flag, h, dir_path_regex(body), dirs, contents_only=False)
+    return DirFlag(flag, h, dir_path_regex(body, (f"{h}/.wine",)), dirs, contents_only=False)
 
 
 # Fixed values that must equal the reference's: the roots of the rules.
@@ -111,7 +111,7 @@ def _file_rules(as_of, home, log_days, temp_days, old_days) -> list[Rule]:
           requires_approval=True),
         R("temp", (below("/tmp") | below("/var/tmp")) & f & age_days_over(temp_days, as_of, "atime")),
         R("home", (below("/home") & f & name_glob_any(HOME_TEMP_GLOBS))
-          | under_dir("/home", dir_path_regex(THUMBNAILS_DIR_REGEX), skip_hidden=True),
+          | under_dir("/home", dir_path_regex(THUMBNAILS_DIR_REGEX, ("/.cache/thumbnails",)), skip_hidden=True),
           requires_approval=True),
         R("cache", under_dir("/home", named(".cache"), skip_hidden=True), requires_approval=True),
         R("trash", under_dir("/home", named("Trash"), skip_hidden=True) | contents_of("/root/.local/share/Trash"),

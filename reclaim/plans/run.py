@@ -11,7 +11,7 @@ the listing steps over their own inputs, and a per-step aggregate.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Callable, Iterable, Mapping, Optional
 
@@ -25,6 +25,7 @@ from reclaim.operators.rules import Rule, RuleBook, first_match
 from reclaim.operators.selection import SelectionError, ToolBits, answers, applicable_rules, selected_names
 from reclaim.plans.listing_rules import unparsed
 from reclaim.sources.sinks import read_plan, write_plan, write_report
+from reclaim.sources.tables import union_apart
 
 PROTECTED = ("/snap",)  # fixed value: the prefix the reference never walks into
 
@@ -39,6 +40,8 @@ class RunResult:
     reported: Optional[Callable[..., DataFrame]] = None  # the report of a plan and items (and measured times)
     steps: tuple = ()    # (seq, rows) of each listing step, before an item is given to its first step
     file_steps: tuple = ()  # seq of the steps over the inventory, which are evaluated together
+    rules: Mapping[int, str] = field(default_factory=dict)  # the rule of each step
+    places: tuple = ()  # of each of ``steps``, its place among the steps over its input
 
     def over(self, plan: Optional[DataFrame] = None, items: Optional[DataFrame] = None) -> "RunResult":
         """The same run with its plan or items read from where they were stored:
@@ -63,7 +66,7 @@ class RunResult:
                 started = time.perf_counter()
                 parts.append(read_plan(spark, write_plan(rows, f"{path}/steps/{n}", None), None))
                 seconds[seq] = seconds.get(seq, 0.0) + time.perf_counter() - started
-            items = _first_step(parts) if parts else items
+            items = _first_step(parts, self.places, self.rules) if parts else items
         started = time.perf_counter()
         plan = read_plan(spark, write_plan(self.plan, f"{path}/plan"))
         for seq in self.file_steps if measure else ():
@@ -80,11 +83,25 @@ class RunResult:
         return stored
 
 
-def _first_step(listed: list[DataFrame]) -> DataFrame:
-    """Each item once, with the first step that drops it."""
-    first = F.min(F.struct("seq", "rule", "size_bytes")).alias("first")
-    return reduce(DataFrame.unionByName, listed).groupBy("input", "host", "item").agg(first).select(
-        "first.seq", "first.rule", "input", "host", "item", "first.size_bytes")
+def _first_step(listed: list[DataFrame], places: Iterable[int], rules: Mapping[int, str]) -> DataFrame:
+    """Each item once, with the first step that drops it and, of rows of that step, the
+    least size (null the least).  ``places``: of each frame, the place of its step among
+    the steps over its input; ``rules``: the rule of each step.
+
+    The sizes of each place are a column, so that all is found by hashing: the least
+    of a struct takes a sort of all rows, by texts that are alike."""
+    places = list(places)
+    most = range(max(places, default=0) + 1)
+    rows = union_apart([f.select("item", "host", "input", "seq", F.lit(at).alias("_at"), "size_bytes") for f, at in zip(listed, places)])
+    here = lambda j, c: F.when(F.col("_at") == j, c)
+    size = F.col("size_bytes")
+    least = rows.groupBy("item", "host", "input").agg(
+        F.min("seq").cast("bigint").alias("seq"), *[F.min(here(j, size)).alias(f"_size{j}") for j in most],
+        *[F.max(here(j, size.isNull())).alias(f"_none{j}") for j in most])
+    first = F.coalesce(*[F.when(F.col(f"_none{j}").isNotNull(), F.struct(F.when(~F.col(f"_none{j}"), F.col(f"_size{j}")).alias("size")))
+                         for j in most])["size"]
+    names = F.create_map(*[F.lit(x).cast(t) for seq, name in rules.items() for x, t in ((seq, "bigint"), (name, "string"))])
+    return least.select("seq", names[F.col("seq")].alias("rule"), "input", "host", "item", first.alias("size_bytes"))
 
 
 def total_of(report: DataFrame) -> DataFrame:
@@ -111,9 +128,10 @@ def _tool_sets(rule: Rule) -> list[tuple]:
 
 
 def _listed(rules: list[tuple[int, Rule]], inputs: Mapping[str, DataFrame],
-            host_tools: Optional[DataFrame]) -> list[tuple[int, DataFrame]]:
-    """The number of each listing step of the active rules, and what it drops."""
-    out = []
+            host_tools: Optional[DataFrame]) -> tuple[list[tuple[int, DataFrame]], list[tuple[str, int]]]:
+    """The number of each listing step of the active rules, and what it drops; and
+    the input of each step, and its number."""
+    out, inputs_of = [], []
     for seq, rule in rules:
         for step in rule.steps:
             if any(n not in inputs for n in step.needs):
@@ -123,9 +141,10 @@ def _listed(rules: list[tuple[int, Rule]], inputs: Mapping[str, DataFrame],
             if host_tools is not None and tools:
                 hosts = host_tools.filter(F.col("tool").isin(list(tools))).select("host")
                 hits = hits.join(hosts, "host", "left_semi")
+            inputs_of.append((step.input, seq))
             out.append((seq, hits.select(F.lit(seq).cast("bigint").alias("seq"), F.lit(rule.name).alias("rule"),
                                          F.lit(step.input).alias("input"), "host", "item", "size_bytes")))
-    return out
+    return out, inputs_of
 
 
 def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str = "", exclude: str = "",
@@ -183,9 +202,14 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
     plan = plan.withColumn("seq", F.col("_step").cast("long")).drop("_step")
     plan = plan.join(F.broadcast(st.select("seq", F.col("name").alias("rule"))), ["seq"], "left")  # a row each step
 
-    listed = _listed(active, inputs, host_tools)
+    listed, inputs_of = _listed(active, inputs, host_tools)
     kind = "seq bigint, rule string, input string, host string, item string, size_bytes bigint"
-    items = _first_step([rows for _, rows in listed] or [spark.createDataFrame([], kind)])
+    rules = {seq: rule.name for seq, rule in active} or {0: ""}
+    over: dict = {}  # the steps over each input, in run order
+    for name, seq in inputs_of:
+        over.setdefault(name, []).append(seq)
+    places = tuple(sorted(set(over[name])).index(seq) for name, seq in inputs_of)
+    items = _first_step([rows for _, rows in listed] or [spark.createDataFrame([], kind)], places or (0,), rules)
     if host_tools is not None:
         plan = plan.drop(*bits.columns)
     known = spark.createDataFrame([(seq, n, m) for seq, _, n, m in hosts or []],
@@ -211,4 +235,4 @@ def run(spark: SparkSession, inventory: DataFrame, book: RuleBook, include: str
     report = reported(plan, items)
     bad = unparsed({n: d for n, d in inputs.items() if any(n in s.needs for _, r in active for s in r.steps)})
     return RunResult(plan, items, report, total_of(report), reduce(DataFrame.unionByName, bad) if bad else None, reported,
-                     tuple(listed), tuple(seq for seq, _ in tests))
+                     tuple(listed), tuple(seq for seq, _ in tests), rules, places)

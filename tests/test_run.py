@@ -202,3 +202,44 @@ def test_cli_reads_text_listings_and_writes_the_report(spark, stored, tmp_path,
     got = {(r.rule, r.host, r.item) for r in spark.read.parquet(str(tmp_path / "items")).collect()}
     assert got == {("snap", "h0", "base 71"), ("snap", "h1", "base 70"), ("conda", "h0", "train")}
     assert spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_items_go_to_their_first_step_by_hashing(spark):
+    """The step of the least number, its least size (null the least), without a sort of all rows."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+
+    from reclaim.plans.run import _first_step
+    kind = "seq bigint, rule string, input string, host string, item string, size_bytes bigint"
+    frames = [[(2, "b", "log", "h", "x", 7), (2, "b", "log", "h", "x", 5), (2, "b", "log", None, "y", None), (2, "b", "log", "h", "z", -2 ** 63)],
+              [(5, "e", "log", "h", "x", 1), (5, "e", "log", None, "y", 3), (5, "e", "log", "h", None, 4), (5, "e", "log", "h", None, None)],
+              [(5, "e", "sdk", "h", "x", 9), (5, "e", "sdk", "h", "w", 2 ** 63 - 1)], [(2, "b", "log", "h", "x", 6)]]
+    frames = [spark.createDataFrame(f, kind) for f in frames]
+    got = _first_step(frames, (0, 1, 0, 0), {2: "b", 5: "e"})
+    first = F.min(F.struct("seq", "rule", "size_bytes")).alias("first")
+    want = reduce(DataFrame.unionByName, frames).groupBy("input", "host", "item").agg(first).select(
+        "first.seq", "first.rule", "input", "host", "item", "first.size_bytes")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "SortAggregate" not in got._jdf.queryExecution().toString()
+
+
+def test_the_code_of_all_rules_is_in_methods_that_are_compiled(spark):
+    """The JVM compiles no method of more than 8,000 bytes: tests in one are interpreted row by row."""
+    import re
+
+    from reclaim.operators import first_match
+    from reclaim.plans.catalogue import file_rulebook
+    book = file_rulebook(AS_OF)
+    rows = spark.createDataFrame([("h", "/home/u/.cache/x", "f", 1, AS_OF, AS_OF, 1)],
+                                 "host string, path string, kind string, size_bytes long, mtime timestamp_ntz, atime timestamp_ntz, id long")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hits = first_match(rows, book.rules(book.names()))
+        assert [r.rule for r in hits.collect()] == ["cache"]
+        text = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) <= 8000
