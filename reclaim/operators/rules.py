@@ -155,11 +155,18 @@ def _top(root: str) -> str:
     return "/".join(parts[:2]) if len(parts) > 1 else ""
 
 
+def _outermost(roots: Iterable[str]) -> list[str]:
+    """The roots that are not below another one, which holds their rows already."""
+    given = set(roots)
+    above = lambda x: (x[:i] for i, c in enumerate(x) if c == "/")
+    return sorted(x for x in given if not any(a in given for a in above(x)))
+
+
 def reachable(df: DataFrame, rules: Sequence[Rule], path: str = "path") -> DataFrame:
     """The rows that some rule can reach.  Where every rule declares its roots
     this is an OR of prefix tests, which goes down to the Parquet scan and
     skips the row groups outside them."""
-    roots = sorted({x.rstrip("/") for r in rules for x in r.roots})
+    roots = _outermost({x.rstrip("/") for r in rules for x in r.roots})
     if not rules or any(not r.roots for r in rules if r.acts_on_files):
         return df
     while len(roots) > MAX_SCAN_ROOTS:  # a prefix each, as deep as few enough of them allow
@@ -167,7 +174,7 @@ def reachable(df: DataFrame, rules: Sequence[Rule], path: str = "path") -> DataF
         roots = sorted({x.rsplit("/", 1)[0] if x.count("/") == deepest else x for x in roots})
         if "" in roots:
             return df
-    return df.filter(any_of(at_or_below(x, path) for x in roots))
+    return df.filter(any_of(at_or_below(x, path) for x in _outermost(roots)))
 
 
 def _dispatch(rules: Sequence[Rule], value, path: str = "path") -> Column:

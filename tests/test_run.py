@@ -239,6 +239,8 @@ def test_the_code_of_all_rules_is_in_methods_that_are_compiled(spark):
         hits = first_match(rows, book.rules(book.names()))
         assert [r.rule for r in hits.collect()] == ["cache"]
         text = spark._jvm.PythonSQLUtils.explainString(hits._jdf.queryExecution(), "codegen")
+        derived = first_match(load_inventory(spark, "/root/testdata/sf0.001"), book.rules(book.names()))
+        text += spark._jvm.PythonSQLUtils.explainString(derived._jdf.queryExecution(), "codegen")
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
